@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sentence_pieces
+from . import decontaminate, ngram_join, quality_rules, sentence_pieces, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +22,27 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), digests=True)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), 50, digests=True)
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(_table(spark, sf_dir, "documents"), 3, 90)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_sentence_pieces": op2_sentence_pieces,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_ngram_join": op5_ngram_join,
+    "op7_decontaminate": op7_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
