@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, quality_rules, sentence_pieces, substring_dedup
+from . import decontaminate, ngram_join, quality_rules, sentence_pieces, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(_table(spark, sf_dir, "documents"), 3, 90)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 1)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op2_sentence_pieces": op2_sentence_pieces,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_join": op5_ngram_join,
+    "op6_token_files": op6_token_files,
     "op7_decontaminate": op7_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
