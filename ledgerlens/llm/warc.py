@@ -146,8 +146,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     source = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), surt(pages["url"]).alias("key"))
     heavy = source.filter((F.octet_length("html") >= MIN_PAYLOAD) & F.col("page_id").isNotNull())
     first = heavy.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # only pages that revisit another are named, so no payload goes through the join of hot digests
-    repeats = heavy.select("page_id", "digest").join(cut(first.select("digest", "first_id")), "digest")  # cut: so a hot digest's side can be split.filter("page_id > first_id")
+    # only pages that revisit another are named, so no payload goes through the join of hot digests; cut, so that Spark can split those
+    repeats = heavy.select("page_id", "digest").join(cut(first.select("digest", "first_id")), "digest").filter("page_id > first_id")
     repeats = repeats.select("page_id", "digest", F.col("first_id").alias("refers_to")).distinct()
     sorted_pages = source.join(repeats.hint("shuffle_hash"), ["page_id", "digest"], "left").repartitionByRange(buckets(pages), "key", "page_id").sortWithinPartitions("key", "page_id")
     jvm = spark.sparkContext._jvm
