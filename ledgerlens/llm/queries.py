@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, quality_rules, sentence_pieces, substring_dedup, token_files, warc
+from . import decontaminate, kneser_ney, ngram_join, quality_rules, sentence_pieces, substring_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), digests=True)
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.train_and_score(_table(spark, sf_dir, "documents"), 7, 2)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), 50, digests=True)
 
@@ -48,6 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sentence_pieces": op2_sentence_pieces,
+    "op3_kneser_ney": op3_kneser_ney,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,
