@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, ngram_join, quality_rules, sentence_pieces, substring_dedup, token_files, warc
+from . import decontaminate, kneser_ney, licenses, ngram_join, quality_model, quality_rules, sentence_pieces, substring_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), digests=True)
 
@@ -42,6 +46,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -51,12 +60,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_sentence_pieces": op2_sentence_pieces,
     "op3_kneser_ney": op3_kneser_ney,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op6_token_files": op6_token_files,
     "op7_decontaminate": op7_decontaminate,
+    "op8_quality_model": op8_quality_model,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
