@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_text, blob_of, buckets, cut, groups, ids_of, mix, number_of, on_workers, pieces, scale, words_of
+from .common import U64, as_text, blob_of, buckets, cut, groups, ids_of, mix, on_workers, pieces, scale, words_of
 
 #: Windows that a task gathers before it settles its own repeats (about 100 bytes each for that time).
 GATHERED = 1_500_000
-_MESSAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("ids", pa.binary()), ("prints", pa.binary()), ("offsets", pa.binary()), ("hashes", pa.binary()), ("steps", pa.binary())])
-_MESSAGE_SQL = "bucket int, kind byte, ids binary, prints binary, offsets binary, hashes binary, steps binary"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("places", pa.binary())])
+_MESSAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("ids", pa.binary()), ("prints", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("steps", pa.binary())])
+_MESSAGE_SQL = "bucket int, kind byte, ids binary, prints binary, counts binary, hashes binary, steps binary"
+_PACKED = pa.schema([("target", pa.int32()), ("ids", pa.binary()), ("prints", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+_PACKED_SQL = "target int, ids binary, prints binary, counts binary, places binary"
+_FOUND_SQL = "doc_id long, print long, places binary"
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -59,11 +61,49 @@ def _settle(hashes: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> np.ndarra
     return later
 
 
-def _per_document(owner: np.ndarray, place: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+def _least(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as they need; the first byte says how many (9: signed)."""
+    if len(values) and values.min() < 0:
+        return b"\x09" + values.astype("<i8").tobytes()
+    size = next(x for x in (1, 2, 4, 8) if x == 8 or values.max(initial=0) < 1 << (8 * x))
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def _most(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<i8" if blob[0] == 9 else f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+def _packed(owner: np.ndarray, place: np.ndarray, ids: np.ndarray, prints: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Places to remove, one row for each bucket of documents."""
+    target = scale(mix(ids.astype(np.uint64)), n).astype(np.int64)
+    order = np.lexsort((owner, target[owner]))
+    owner, place = owner[order], place[order]
     starts = groups(owner)
-    stops = np.append(starts[1:], len(owner))
-    places = [blob_of(place[a:b].astype("<u4")) for a, b in zip(starts, stops, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(ids[owner[starts]], pa.int64()), pa.array(prints[owner[starts]], pa.int64()), pa.array(places, pa.binary())], schema=_FOUND)
+    docs, counts = owner[starts], np.diff(np.append(starts, len(owner)))
+    edges = np.append(groups(target[docs]), len(docs))
+    rows = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        stop = starts[b] if b < len(starts) else len(place)
+        rows.append((int(target[docs[a]]), _least(ids[docs[a:b]]), blob_of(prints[docs[a:b]]), _least(counts[a:b]), _least(place[starts[a] : stop].astype(np.int64))))
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with its places, from a partition's packed rows."""
+    held: list[tuple] = []
+    for batch in batches:
+        for ids, prints, counts, places in zip(*(batch.column(c).to_pylist() for c in ("ids", "prints", "counts", "places")), strict=True):
+            held.append((np.repeat(_most(ids), counts := _most(counts)), np.repeat(np.frombuffer(prints, "<u4"), counts), _most(places)))
+    if held:
+        ids, prints, places = (np.concatenate([x[k] for x in held]) for k in range(3))
+        order = np.lexsort((prints, ids))
+        ids, prints, places = ids[order], prints[order].astype(np.int64), places[order].astype("<u4")
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])
+        edges = np.append(np.flatnonzero(new), len(ids))
+        for at in range(0, len(edges) - 1, 1000):
+            mine = edges[at : at + 1001]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[mine[:-1]]), pa.array(prints[mine[:-1]]), pa.array([blob_of(places[a:b]) for a, b in zip(mine[:-1], mine[1:], strict=True)], pa.binary())], names=["doc_id", "print", "places"])
 
 
 def _emit(hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, prints: np.ndarray, n: int, seed: int) -> pa.RecordBatch:
@@ -81,13 +121,12 @@ def _emit(hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, prints: np.n
         known = np.unique(owner[at])
         place = (at - offsets[owner[at]]).astype("<u4")
         ends = np.searchsorted(owner[at], known, side="right")
-        add(seed % n, 1, blob_of(ids[known]), blob_of(prints[known]), blob_of(np.append(0, ends).astype("<i8")), b"", blob_of(place))
+        add(seed % n, 1, _least(ids[known]), blob_of(prints[known]), _least(np.diff(ends, prepend=0)), b"", blob_of(place))
     left = np.flatnonzero(~later)
     bucket = scale(hashes[left] << U64(1), n).astype(np.uint32)
     by = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
     left, bucket = left[by], bucket[by]
     stops = np.searchsorted(bucket, np.arange(n + 1))
-    head = (blob_of(ids), blob_of(prints), blob_of(offsets.astype("<i8")))
     for k in range(n):
         mine = left[stops[k] : stops[k + 1]]
         if len(mine):
@@ -97,8 +136,7 @@ def _emit(hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, prints: np.n
             to = first[np.searchsorted(used, owner[mine])] + mine - offsets[owner[mine]]
             step = np.diff(to, prepend=0)
             steps = b"\x00" + blob_of(step.astype(np.uint8)) if step.max() < 256 else b"\x01" + blob_of(step.astype("<u4"))
-            whole = len(used) == len(ids)
-            part = head if whole else (blob_of(ids[used]), blob_of(prints[used]), blob_of(first.astype("<i8")))
+            part = (_least(ids[used]), blob_of(prints[used]), _least(np.diff(first)))
             # the high byte of the hash is mostly the bucket's number, the rest says more
             add(k, 0, *part, blob_of(hashes[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7] if n >= 32 else hashes[mine].astype("<u8")), steps)
     return pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _MESSAGE, strict=True)], schema=_MESSAGE)
@@ -125,7 +163,7 @@ def _hash_windows(width: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iter
             some = np.flatnonzero(counts)
             first = words.first[some]
             at = np.repeat(first - np.append(0, np.cumsum(counts[some])[:-1]), counts[some]) + np.arange(counts.sum())
-            held.append((all_windows[at], counts[some], ids_of(part)[some], ids_of(part, "print")[some]))
+            held.append((all_windows[at], counts[some], ids_of(part)[some], ids_of(part, "print")[some].astype("<u4")))
             gathered += len(at)
             if gathered >= GATHERED:
                 yield flush()
@@ -134,18 +172,17 @@ def _hash_windows(width: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iter
         yield flush()
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's buckets: the windows whose hash stands in a smaller document elsewhere."""
     kept: dict[int, list[tuple]] = {}
     for batch in batches:
         for row in range(batch.num_rows):
-            bucket, kind, ids, prints, offsets, hashes, steps = (c[row] for c in batch.columns)
-            ids, prints, offsets = (np.frombuffer(x.as_buffer(), k) for x, k in ((ids, np.int64), (prints, np.int64), (offsets, np.int64)))
+            bucket, kind, ids, prints, counts, hashes, steps = (c[row] for c in batch.columns)
+            ids, counts, prints = _most(ids.as_py()), _most(counts.as_py()), np.frombuffer(prints.as_buffer(), "<u4")
             if kind.as_py():
-                place = np.frombuffer(steps.as_buffer(), "<u4")
-                yield _per_document(np.repeat(np.arange(len(ids)), np.diff(offsets)), place, ids, prints)
+                yield from _packed(np.repeat(np.arange(len(ids)), counts), np.frombuffer(steps.as_buffer(), "<u4"), ids, prints, n)
                 continue
-            raw = steps.as_py()
+            offsets, raw = np.append(0, np.cumsum(counts)), steps.as_py()
             window = np.cumsum(np.frombuffer(raw, np.uint8 if raw[0] == 0 else "<u4", offset=1), dtype=np.int64)
             given = np.frombuffer(hashes.as_buffer(), np.uint8).reshape(len(window), -1)
             if given.shape[1] == 7:
@@ -162,17 +199,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, prints = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts])
         at = np.flatnonzero(_settle(hashes, owner, ids))
         if len(at):
-            yield _per_document(owner[at], place[at], ids, prints)
+            yield from _packed(owner[at], place[at], ids, prints, n)
 
 
 def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc_id, print (a fingerprint of the text) and places: for each document with windows to remove, their starts (binary, unsigned 32-bit, in parts)."""
+    """doc_id, print (a fingerprint of the text) and places: for each document with windows to remove, their starts (binary, unsigned 32-bit)."""
     on_workers(docs.sparkSession)
     n = buckets(docs)
-    source = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("print"), docs["text"].alias("text"))
+    source = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).bitwiseAND(0xFFFFFFFF).alias("print"), docs["text"].alias("text"))
     sent = source.mapInArrow(lambda b: _hash_windows(width, n, b), _MESSAGE_SQL).repartition(n, "bucket")
-    found = sent.mapInArrow(_merge, "doc_id long, print long, places binary")
-    return cut(found.groupBy("doc_id", "print").agg(F.collect_list("places").alias("places")))
+    found = sent.mapInArrow(lambda b: _merge(n, b), _PACKED_SQL).repartition(n, "target")
+    return cut(found.mapInArrow(_unpack, _FOUND_SQL))
 
 
 def covered(places: np.ndarray, n_words: int, width: int) -> np.ndarray:
@@ -192,8 +229,8 @@ def _apply(width: int, keep: list[str], digests: bool, batches: Iterator[pa.Reco
                 data = value.as_buffer().to_pybytes()
                 words = data.split()
                 removed = 0
-                if found.is_valid and len(found.values):
-                    gone = covered(number_of(found.values, "<u4"), len(words), width)
+                if found.is_valid:
+                    gone = covered(np.frombuffer(found.as_buffer(), "<u4"), len(words), width)
                     removed = int(gone.sum())
                     kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 else:
@@ -218,7 +255,7 @@ def deduplicate(docs: DataFrame, width: int = 50, *, digests: bool = False) -> D
     found = repeated_windows(docs, width).select(F.col("doc_id").alias("found_id"), F.col("print").alias("found_print"), "places")
     keep = ["doc_id"] if digests else docs.columns
     # one row for each changed document, so the hashed side is small in every partition
-    both = docs.join(found.hint("shuffle_hash"), (docs["doc_id"] == F.col("found_id")) & (F.xxhash64(docs["text"]) == F.col("found_print")), "left")
+    both = docs.join(found.hint("shuffle_hash"), (docs["doc_id"] == F.col("found_id")) & (F.xxhash64(docs["text"]).bitwiseAND(0xFFFFFFFF) == F.col("found_print")), "left")
     source = both.select(*(docs[c] for c in dict.fromkeys([*keep, "text"])), "places")
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + (["n_words long", "n_removed long", "kept_sha256 string"] if digests else [])
     return source.mapInArrow(lambda b: _apply(width, keep, digests, b), ", ".join(schema))
