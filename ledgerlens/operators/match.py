@@ -62,5 +62,5 @@ def closest(names: DataFrame, candidates: DataFrame, threshold: float = 0.72) ->
     right = right.select("*", F.explode(_blocks([F.col("candidate"), short_name(F.col("candidate")), bare(F.col("display"))])).alias("block"))
     pairs = left.join(right, "block").select("key", "candidate", "display", "ord").distinct()
     scored = pairs.withColumn("score", closest_score(F.col("key"), F.col("candidate"), F.col("display"))).filter(F.col("score") > threshold)
-    best = scored.groupBy("key").agg(F.max_by(F.struct("display", "candidate", "score"), F.struct("score", -F.col("ord"))).alias("best"))
+    best = scored.groupBy("key").agg(F.min_by(F.struct("display", "candidate", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("best"))
     return best.select("key", F.col("best.display").alias("suggestion"), F.col("best.candidate").alias("suggested_key"), F.round("best.score", 2).alias("score"))
