@@ -97,6 +97,7 @@ def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     blocks: list[tuple] = []
     lines: list[str] = []
     place = index_place = size = 0
+    marked: tuple | None = None
 
     def end_block() -> None:
         nonlocal index_place
@@ -118,6 +119,10 @@ def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for batch in batches:
         keys, ids, refers = (batch.column(c).to_pylist() for c in ("key", "page_id", "refers_to"))
         for key, page, url, html, digest, other in zip(keys, ids, batch.column("url").to_pylist(), as_text(batch.column("html")), batch.column("digest").to_pylist(), refers, strict=True):
+            if other is not None:
+                marked = (key, page, digest, other)
+                continue
+            other = marked[3] if marked is not None and marked[:3] == (key, page, digest) else None
             if out is None:
                 name = f"part-{uuid.uuid4().hex}"
                 out, index = fs.open_output_stream(f"{base}/{name}.warc.gz", compression=None), fs.open_output_stream(f"{base}/{name}.idx", compression=None)
@@ -147,12 +152,14 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     heavy = source.filter((F.octet_length("html") >= MIN_PAYLOAD) & F.col("page_id").isNotNull())
     first = heavy.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # only pages that revisit another are named, so no payload goes through the join of hot digests; cut, so that Spark can split those
-    repeats = heavy.select("page_id", "digest").join(cut(first.select("digest", "first_id")), "digest").filter("page_id > first_id")
-    repeats = repeats.select("page_id", "digest", F.col("first_id").alias("refers_to")).distinct()
-    sorted_pages = source.join(repeats.hint("shuffle_hash"), ["page_id", "digest"], "left").repartitionByRange(buckets(pages), "key", "page_id").sortWithinPartitions("key", "page_id")
+    repeats = heavy.select("key", "page_id", "digest").join(cut(first.select("digest", "first_id")), "digest").filter("page_id > first_id")
+    # they go to their page by the order of keys, each just before its page
+    marks = repeats.select("key", "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.col("first_id").alias("refers_to")).distinct()
+    rows = source.select("key", "page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to")).unionByName(marks)
+    sorted_pages = rows.repartitionByRange(buckets(pages), "key", "page_id").sortWithinPartitions("key", "page_id", "digest", F.col("refers_to").asc_nulls_last())
     jvm = spark.sparkContext._jvm
     jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
-    return cut(sorted_pages.select("key", "page_id", "url", "html", "digest", "refers_to").mapInArrow(lambda b: _write(folder, b), _BLOCK_SQL))
+    return cut(sorted_pages.mapInArrow(lambda b: _write(folder, b), _BLOCK_SQL))
 
 
 def _block(fs, base: str, index: str, offset: int, length: int) -> list[tuple[str, int | None, int, int]]:
