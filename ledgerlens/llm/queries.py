@@ -71,4 +71,13 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+_BLANK = "[ \\t\\n\\x0b\\x0c\\r]+"
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}'), lambda x: x <> '') AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+        least AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+        hit AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS pos FROM win JOIN least USING (g) WHERE m < doc_id) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256 FROM w LEFT JOIN hit USING (doc_id)""",
+    "op9_warc": """WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages), f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND m < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND m < page_id THEN m END AS refers_to FROM p LEFT JOIN f USING (d)""",
+}
