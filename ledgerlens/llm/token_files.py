@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from .common import as_text, buckets, cut, drop_folder, file_system, mapped, new_folder, on_workers
 
 MAGIC = b"LLTOK001"
-#: Distinct chunks a worker keeps; the table starts anew beyond that.
-TABLE_CHUNKS = 600_000
+#: Distinct chunks, and distinct words inside them, that a worker keeps; a table starts anew beyond that.
+TABLE_CHUNKS, TABLE_WORDS = 400_000, 900_000
 #: Bytes of stored ids in a file, about.
 FILE_BYTES = 64 << 20
 NULL_ID = np.iinfo(np.int64).min
 #: Not white space for the tokenizer, but for str.split().
-_ODD = str.maketrans("", "", "\x1c\x1d\x1e\x1f")
+_ODD = "\x1c\x1d\x1e\x1f"
+#: Signs that may close a word; no apostrophe (contractions) and no '|' or '>' (special tokens).
+SIGNS = ".,;:!?#*$%&-)"
 _LOADED: dict[str, ChunkEncoder] = {}
 #: For each control byte the lengths of its four values, and their sum.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.uint8)
@@ -47,25 +49,51 @@ class ChunkEncoder:
     """The library's ids of texts, by way of a table of the chunks between white space."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.table: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, chunks: list[str]) -> None:
+        """Puts chunks into the table. One of letters and closing ASCII signs is the two parts' ids in turn: the tokenizer cuts there, and lower-cases."""
+        split, whole, bases = [], [], set()
+        for chunk in chunks:
+            word = chunk.rstrip(SIGNS)
+            lowered = word.lower()
+            if word.isalpha() and max(word) < "\u0250" and len(lowered) == len(word):
+                split.append((chunk, lowered, chunk[len(word) :]))
+                bases.update(split[-1][1:])
+            else:
+                whole.append(chunk)
+        bases.discard("")
+        new = [x for x in bases if x not in self.words]
+        if len(self.words) + len(new) > TABLE_WORDS:
+            self.words.clear()
+            new = list(bases)
+        self.words.update(zip(new, self._ids(new), strict=True))
+        self.words[""] = b""
+        self.table.update(zip(whole, self._ids(whole), strict=True))
+        for chunk, word, signs in split:
+            self.table[chunk] = self.words[word] + self.words[signs]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        odd = [len(x) != len(x.translate(_ODD)) for x in texts]
+        odd = [any(c in x for c in _ODD) for x in texts]
         chunks = [[] if o else x.split() for x, o in zip(texts, odd, strict=True)]
-        words = set().union(*chunks) if chunks else set()
-        new = [x for x in words if x not in self.table]
+        found = set().union(*chunks) if chunks else set()
+        new = [x for x in found if x not in self.table]
         if len(self.table) + len(new) > TABLE_CHUNKS:
             self.table.clear()
-            new = list(words)
-        self.table.update(zip(new, self._ids(new), strict=True))
+            new = list(found)
+        self._add(new)
         out = [b"".join([self.table[w] for w in x]) for x in chunks]
         if any(odd):
             whole = iter(self._ids([x for x, o in zip(texts, odd, strict=True) if o]))
