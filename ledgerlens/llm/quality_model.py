@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     known = known.groupBy(known["doc_id"].alias("labelled")).agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     # at most `sample` rows of two numbers
-    source = docs.join(F.broadcast(known), docs["doc_id"] == F.col("labelled")).select("label", docs["text"].alias("text"))
+    source = docs.join(F.broadcast(known), docs["doc_id"] == known["labelled"]).select(known["label"].alias("label"), docs["text"].alias("text"))
     rows = source.mapInArrow(_features, "label int, x array<double>").toArrow()
     y = rows.column("label").to_numpy().astype(float)
     x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), len(NAMES))

@@ -225,7 +225,7 @@ def _apply(width: int, keep: list[str], digests: bool, batches: Iterator[pa.Reco
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             n_words, n_removed, texts = [], [], []
-            for value, found in zip(as_text(part.column("text")), part.column("places"), strict=True):
+            for value, found in zip(as_text(part.column("_text")), part.column("_places"), strict=True):
                 data = value.as_buffer().to_pybytes()
                 words = data.split()
                 removed = 0
@@ -238,8 +238,7 @@ def _apply(width: int, keep: list[str], digests: bool, batches: Iterator[pa.Reco
                 n_words.append(len(words))
                 n_removed.append(removed)
                 texts.append(hashlib.sha256(kept).hexdigest() if digests else kept.decode())
-            columns = [texts if c == "text" and not digests else None for c in keep]
-            arrays = [pa.array(x, pa.string()) if x is not None else part.column(c) for c, x in zip(keep, columns, strict=True)]
+            arrays = [pa.array(texts, pa.string()) if c == "text" else part.column(f"_{k}") for k, c in enumerate(keep)]
             names = list(keep)
             if digests:
                 arrays += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())]
@@ -252,10 +251,12 @@ def deduplicate(docs: DataFrame, width: int = 50, *, digests: bool = False) -> D
 
     With digests: doc_id, n_words, n_removed, kept_sha256 instead.
     """
-    found = repeated_windows(docs, width).select(F.col("doc_id").alias("found_id"), F.col("print").alias("found_print"), "places")
+    found = repeated_windows(docs, width).select(F.col("doc_id").alias("_found_id"), F.col("print").alias("_found_print"), F.col("places").alias("_places"))
     keep = ["doc_id"] if digests else docs.columns
+    # own names inside: the documents' columns may have any
+    source = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text"), *(docs[c].alias(f"_{k}") for k, c in enumerate(keep) if c != "text"))
     # one row for each changed document, so the hashed side is small in every partition
-    both = docs.join(found.hint("shuffle_hash"), (docs["doc_id"] == F.col("found_id")) & (F.xxhash64(docs["text"]).bitwiseAND(0xFFFFFFFF) == F.col("found_print")), "left")
-    source = both.select(*(docs[c] for c in dict.fromkeys([*keep, "text"])), "places")
+    print_ = F.xxhash64("_text").bitwiseAND(0xFFFFFFFF)
+    source = source.join(found.hint("shuffle_hash"), (F.col("_id") == F.col("_found_id")) & (print_ == F.col("_found_print")), "left").drop("_id", "_found_id", "_found_print")
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + (["n_words long", "n_removed long", "kept_sha256 string"] if digests else [])
     return source.mapInArrow(lambda b: _apply(width, keep, digests, b), ", ".join(schema))
