@@ -3,8 +3,8 @@
 A template is a license's wording with markup: `<<optional>> ... <<end>>` may be missing, `<<any N>>`
 stands for up to N words of any kind. It is compiled to an automaton over word hashes; a text is accepted
 from a word on if every mandatory word follows in its place, exactly. Automata start only where a
-template's first two words (always mandatory) stand, which numpy finds for all texts at once. Phrases of
-the base list are found the same way.
+template's leading words (up to two, before its first markup) stand, which numpy finds for all texts at
+once. Phrases of the base list are found the same way.
 
 Defined results: a null or empty text has no words, no labels and score 0. Overlapping places all count.
 Rows are independent; an empty table gives an empty result; extra columns are ignored.
@@ -97,7 +97,7 @@ class Automaton:
 
 
 def compile_template(markup: str) -> Automaton:
-    """The automaton of a template; its first two words must be mandatory (one, if it has no more)."""
+    """The automaton of a template; start has its first two words, fewer where markup begins before (none: it may start anywhere)."""
     by_word: list[dict[int, int]] = [{}]
     any_word: list[int | None] = [None]
     skips: list[list[int]] = [[]]
@@ -112,7 +112,9 @@ def compile_template(markup: str) -> Automaton:
         return len(by_word) - 1
 
     at = 0
+    plain = True  # no markup so far
     for k, token in enumerate(tokens):
+        plain = plain and not token.startswith("<<")
         if token == "<<optional>>":
             open_at.append((at, count))
         elif token == "<<end>>":
@@ -136,7 +138,7 @@ def compile_template(markup: str) -> Automaton:
             word = int(hash_words([token])[0])
             if not open_at:
                 count += 1
-            if len(start) < 2 and len(start) == count - 1 and not open_at:
+            if plain and len(start) < 2:
                 start.append(word)
             to = state()
             by_word[at][word] = to
@@ -159,6 +161,8 @@ def _longest(automaton: Automaton) -> int:
 
 def _places(hashes: np.ndarray, room: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where the wanted words stand one after the other, within one text."""
+    if not len(wanted):
+        return np.arange(len(hashes))
     at = np.flatnonzero((hashes == wanted[0]) & (room >= len(wanted)))
     for k in range(1, len(wanted)):
         at = at[hashes[at + k] == wanted[k]]

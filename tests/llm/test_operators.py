@@ -107,6 +107,20 @@ def test_op1_templates_equal_regular_expressions():
             assert accepted == bool(re.match(pattern, " ".join(words) + " ")), (markup, words)
 
 
+def test_op1_templates_by_scan(spark):
+    """Ordinary wordings inside texts: what stands in the optional and free places must not hide them."""
+    texts = {label: "Before it. " + re.sub(r"<<any \d+>>", "2024 Some", re.sub("<<optional>>|<<end>>", "", markup)) + " and after" for label, markup in licenses.TEMPLATES.items()}
+    texts |= {"notice": "Copyright 2024 Some Company. All rights reserved.", "far": "copyright a b c d e f g all rights reserved", "twice": "copyright copyright x all rights reserved"}
+    got = by_id(licenses.scan(spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id string, text string")))
+    places = lambda k: [(x.label, x.word) for x in got[k].matches]
+    assert all((label, 2) in places(label) and label in got[label].labels.split(",") and got[label].score == 1 for label in licenses.TEMPLATES)
+    assert places("notice") == [("copyright-reserved", 0)] and got["notice"].labels == "copyright-reserved"
+    assert places("far") == [] and got["far"].score == 0.25
+    assert places("twice") == [("copyright-reserved", 0), ("copyright-reserved", 1)]
+    first = licenses.scan(spark.createDataFrame([(1, "x b c")], "doc_id long, text string"), {"t": "<<optional>> a <<end>> b c"}).first()
+    assert [(x.label, x.word) for x in first.matches] == [("t", 1)]
+
+
 def test_op2(held):
     import sentencepiece
 
