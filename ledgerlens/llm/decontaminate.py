@@ -6,7 +6,8 @@ item is one phrase) are sought at once, word by word from the end, by rank queri
 walked back to sampled suffixes, which gives the places. Covered words merge into spans.
 
 The benchmark is the stated query set: it is read in blocks of at most BLOCK_WORDS words, so what a
-worker holds is bounded; every document meets every block, and no document data is exchanged.
+worker holds is bounded; every document meets every block, and no document data is exchanged. Hits of
+all blocks are sought in the text as it came and united row by row, so block sizes never change a result.
 
 Defined results: null texts have no words; items without words are no phrase. Repeated items keep
 their own ids, documents with a null doc_id are treated like any other. An empty benchmark leaves
@@ -22,8 +23,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import ALNUM_LOWER, U64, as_text, on_workers, pieces, raw, words_of
 
@@ -209,25 +210,36 @@ def find(words_hash: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[n
     return to_word[place], phrase
 
 
-def _mark(phrases: Phrases, keep: list[str], mode: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _let_go(shared: Broadcast) -> None:
+    """Frees a worker's copy of a broadcast value, if its file is there to read it again."""
+    if getattr(shared, "_path", None):
+        vars(shared).pop("_value", None)
+
+
+def _mark(blocks: list[Broadcast], keep: list[str], mode: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in pieces(batch, limit=SHARD_BYTES):
             words = words_of(data, offsets, ALNUM_LOWER)
-            first = words.first
-            place, phrase = find(words.hashes(), first, phrases)
+            hashes, first = words.hashes(), words.first
             edge = np.zeros(len(words.start) + 1, np.int64)
-            np.add.at(edge, place, 1)
-            np.add.at(edge, place + phrases.length[phrase], -1)
+            items: list[list[str]] = [[] for _ in range(part.num_rows)]
+            for shared in blocks:
+                phrases = shared.value
+                place, phrase = find(hashes, first, phrases)
+                np.add.at(edge, place, 1)
+                np.add.at(edge, place + phrases.length[phrase], -1)
+                many = np.diff(phrases.item_first)[phrase]
+                item = phrases.items[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(phrases.item_first[phrase], many)] if len(phrase) else np.empty(0, np.int64)
+                doc = np.repeat(np.searchsorted(first, place, side="right") - 1, many)
+                for pair in np.unique(doc * max(1, len(phrases.names)) + item).tolist():
+                    items[pair // len(phrases.names)].append(phrases.names[pair % len(phrases.names)])
+                if len(blocks) > 1:
+                    del phrases
+                    _let_go(shared)
+            items = [sorted(x) for x in items]
             hit = np.cumsum(edge[:-1]) > 0
             before = np.append(0, np.cumsum(hit))
             n_hit = before[first[1:]] - before[first[:-1]]
-            many = np.diff(phrases.item_first)[phrase]
-            item = phrases.items[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(phrases.item_first[phrase], many)] if len(phrase) else np.empty(0, np.int64)
-            doc = np.repeat(np.searchsorted(first, place, side="right") - 1, many)
-            pairs = np.unique(doc * max(1, len(phrases.names)) + item)
-            doc, item = pairs // max(1, len(phrases.names)), pairs % max(1, len(phrases.names))
-            stops = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            items = [sorted(phrases.names[i] for i in item[a:b]) for a, b in zip(stops[:-1], stops[1:], strict=True)]
             if mode == "text":
                 yield _without_spans(part, keep, words, hit, n_hit, data, offsets)
                 continue
@@ -276,50 +288,28 @@ def _blocks(benchmark: DataFrame, width: int) -> Iterator[Phrases]:
         yield phrases_of(held, width)
 
 
-def _run(docs: DataFrame, benchmark: DataFrame, width: int, keep: list[str], mode: str, columns: str) -> list[DataFrame]:
+def _run(docs: DataFrame, benchmark: DataFrame, width: int, keep: list[str], mode: str, columns: str) -> DataFrame:
     spark = docs.sparkSession
     on_workers(spark)
     source = docs.select(*(docs[c] for c in dict.fromkeys([*keep, "text"])))
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    blocks = list(_blocks(benchmark, width)) if mode != "text" else _blocks(benchmark, width)
-    out = []
-    for phrases in blocks or [phrases_of([], width)]:
-        shared = spark.sparkContext.broadcast(phrases)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            return _mark(shared.value, keep, mode, batches)
-
-        marked = source.mapInArrow(run, ", ".join([*kept, columns]) if columns else ", ".join(kept))
-        if mode == "text":
-            source = marked  # the next block is cut from what this one leaves
-            out = [marked]
-        else:
-            out.append(marked)
-    return out or [source.select(*keep)]
+    blocks = [spark.sparkContext.broadcast(phrases) for phrases in _blocks(benchmark, width)]
+    if not blocks and mode == "text":
+        return source.select(*keep)
+    blocks = blocks or [spark.sparkContext.broadcast(phrases_of([], width))]
+    return source.mapInArrow(lambda batches: _mark(blocks, keep, mode, batches), ", ".join([*kept, columns] if columns else kept))
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, spans (first and last word of each merged hit) and items, a row per document and benchmark block."""
-    parts = _run(docs, benchmark, width, ["doc_id"], "spans", "n_words long, spans array<struct<first:long,last:long>>, items array<string>")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """doc_id, n_words, spans (first and last word of each merged hit) and items, a row per document."""
+    return _run(docs, benchmark, width, ["doc_id"], "spans", "n_words long, spans array<struct<first:long,last:long>>, items array<string>")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    parts = _run(docs, benchmark, width, ["doc_id"], "digest", "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    if len(parts) == 1:
-        return parts[0]
-    # several blocks: their spans and items meet per document
-    every = spans(docs, benchmark, width)
-    hit = F.expr("array_distinct(flatten(transform(flatten(collect_list(spans)), s -> sequence(s.first, s.last))))")
-    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
-    out = every.groupBy("doc_id", "n_words").agg(F.size(hit).cast("long").alias("n_hit"), items.alias("items"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return _run(docs, benchmark, width, ["doc_id"], "digest", "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of docs with every hit span cut out of text."""
-    return _run(docs, benchmark, width, docs.columns, "text", "")[0]
+    return _run(docs, benchmark, width, docs.columns, "text", "")

@@ -279,6 +279,23 @@ def test_op7(held, spark):
     assert not any(x.contaminated for x in none.values())
 
 
+def test_op7_blocks_change_nothing(spark, monkeypatch):
+    """Items that overlap, meet across a cut or share an id, and rows that share one, in one block and in many."""
+    texts = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (None, "p q x y z r s"), (2, None), (2, "A b, C."), (3, "")]
+    items = [(1, "b c d e"), (2, "d e f g"), (3, "x y z"), (4, "q r s"), (5, "a b c"), (5, "b c d"), (6, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    got = []
+    for words in (decontaminate.BLOCK_WORDS, 4, 0):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+        got.append([rows(f(docs, benchmark, 3)) for f in (decontaminate.report, decontaminate.spans, decontaminate.remove)])
+    assert got[0] == got[1] == got[2]
+    report, cut = decontaminate.report(docs, benchmark, 3), decontaminate.remove(docs, benchmark, 3)
+    assert sorted((x.doc_id or 0, x.n_words, x.n_hit, x.n_items) for x in report.collect()) == [(0, 7, 3, 1), (1, 8, 7, 4), (1, 8, 7, 4), (2, 0, 0, 0), (2, 3, 3, 1), (3, 0, 0, 0)]
+    assert sorted(x.text for x in cut.collect()) == ["", "", " h", " h", ".", "p q  r s"]
+
+
 def test_op7_index_equals_brute_force():
     r = np.random.default_rng(4)
     for n, top in ((1, 3), (50, 2), (400, 3), (3000, 40)):
