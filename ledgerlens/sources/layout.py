@@ -1,14 +1,16 @@
-"""How a sheet is laid out, told from a bounded sample of its rows on the driver."""
+"""How a sheet is laid out, told from a bounded sample of its rows on the driver and, where it takes the number of rows, one count over the sheet."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..functions.values import GRANTED, NOT_GRANTED
 
 # What columns are called.
@@ -91,8 +93,8 @@ class Layout:
     role: str | None = None
 
 
-def detect(rows: list[list[str]], *, kind: str | None = None, orientation: str | None = None, columns: dict[str, str | int] | None = None, header: int | None = None) -> Layout:
-    """The layout of sampled rows (header_row counts from 0 here). columns: subject, permission, value or category by name or number."""
+def detect(rows: list[list[str]], *, kind: str | None = None, orientation: str | None = None, columns: dict[str, str | int] | None = None, header: int | None = None, count: Callable[[int, int], dict[int, int]] | None = None) -> Layout:
+    """The layout of sampled rows (header_row counts from 0 here). columns: subject, permission, value or category by name or number. count: the filled cells of each column in all rows below a header of some width, if rows are not the whole sheet."""
     at = find_header(rows) if header is None else header
     headers = [clean(h) for h in (rows[at] if at < len(rows) else [])]
     taken: set[int] = set()
@@ -119,7 +121,10 @@ def detect(rows: list[list[str]], *, kind: str | None = None, orientation: str |
             raise ValueError(f"a long layout needs subject, permission and value columns; the header row is: {' | '.join(headers)}")
         return Layout("long", at, tuple(headers), found["subject"], found["permission"], found["value"], found["category"])
     body = rows[at + 1 :]
-    label = next((i for i in range(len(headers)) if any(i < len(r) and clean(r[i]) for r in body)), 0)
+    filled = {i: n for i in range(len(headers)) if (n := sum(1 for r in body if i < len(r) and clean(r[i])))}
+    if count and 0 not in filled:  # a column may begin below the sample
+        filled, count = count(at, len(headers)), None
+    label = min(filled, default=0)
     if orientation is None:
         first = headers[label] if label < len(headers) else ""
         if header_score(first, PERMISSION) or header_score(first, CATEGORY):
@@ -127,8 +132,8 @@ def detect(rows: list[list[str]], *, kind: str | None = None, orientation: str |
         elif header_score(first, SUBJECT):
             orientation = "users-down"
         else:
-            filled = sum(1 for r in body if label < len(r) and clean(r[label]))
-            orientation = "permissions-down" if filled >= sum(1 for h in headers[label + 1 :] if h) else "users-down"
+            filled = count(at, len(headers)) if count else filled
+            orientation = "permissions-down" if filled.get(label, 0) >= sum(1 for h in headers[label + 1 :] if h) else "users-down"
     category, permission, description, first_data = None, label, None, label + 1
     if orientation == "permissions-down":
         lead = headers[label] if label < len(headers) else ""
@@ -189,19 +194,30 @@ def is_role_map(rows: list[list[str]]) -> tuple[int, int, int] | None:
     return None if role is None or user is None else (at, user, role)
 
 
+def _sampled(cells: DataFrame, sheet_no: int) -> list[Row]:
+    return cells.filter(F.col("sheet_no") == sheet_no).orderBy("file", "row").limit(HEADER_ROWS + BODY_ROWS + 1).collect()
+
+
 def sample(cells: DataFrame, sheet_no: int = 0) -> tuple[list[int], list[list[str]]]:
     """Row numbers and cells of a sheet's first rows, at most HEADER_ROWS + BODY_ROWS of the first file."""
-    rows = cells.filter(F.col("sheet_no") == sheet_no).orderBy("file", "row").limit(HEADER_ROWS + BODY_ROWS + 1).collect()
+    rows = _sampled(cells, sheet_no)
     return [r["row"] for r in rows], [list(r["cells"]) for r in rows]
 
 
 def infer(cells: DataFrame, sheet_no: int = 0, **options) -> Layout:
     """The layout of a sheet of cells, with the sheet's own row number of its header."""
-    numbers, rows = sample(cells, sheet_no)
+    rows = _sampled(cells, sheet_no)
     if not rows:
         raise ValueError("a sheet without rows")
-    layout = (None if options else detect_catalog(rows)) or detect(rows, **options)
-    return replace(layout, header_row=numbers[layout.header_row])
+
+    def count(at: int, width: int) -> dict[int, int]:
+        below = cells.filter((F.col("sheet_no") == sheet_no) & F.col("file").eqNullSafe(rows[at]["file"]) & (F.col("row") > rows[at]["row"]))
+        held = below.select(F.posexplode(F.slice("cells", 1, width)).alias("at", "cell")).filter(keys.clean(F.col("cell")) != "")
+        return {r["at"]: r["count"] for r in held.groupBy("at").count().collect()}
+
+    texts = [list(r["cells"]) for r in rows]
+    layout = (None if options else detect_catalog(texts)) or detect(texts, count=count, **options)
+    return replace(layout, header_row=rows[layout.header_row]["row"])
 
 
 def to_records(cells: DataFrame, layout: Layout, role: str | None = None, **options) -> DataFrame:

@@ -220,6 +220,18 @@ def test_layout_titles_and_catalogs():
         layout.detect([["A", "B"], ["1", "2"]], columns={"subject": "Who"})
 
 
+def test_layout_counts_rows_beyond_the_sample(spark):
+    """A blank corner: the orientation is told by all rows, and so is the first column that holds anything."""
+    grid = [["", *(f"Nurse {i}" for i in range(60))], *([f"View {k}", *("X" if (k + i) % 3 else "" for i in range(60))] for k in range(400))]
+    book = lambda rows: cells.read_bytes(spark, "\n".join(",".join(r) for r in rows).encode(), "a.csv")
+    lay = layout.infer(book(grid))
+    assert (lay.kind, lay.header_row, lay.permission, lay.users_down) == ("matrix", 1, 0, False)
+    assert {x.subject for x in layout.to_records(book(grid), lay).select("subject").distinct().collect()} == {f"Nurse {i}" for i in range(60)}
+    assert layout.infer(book(grid[:41])).users_down
+    late = [["", *r] for r in grid[:60]] + [["Z", "View 400", *grid[1][1:]]]
+    assert layout.infer(book(late)).permission == 0
+
+
 def band(kind, k, checked=False):
     r = random.Random(k)
     return {"kind": kind, "checked": checked, "cut_top": False, "cut_bottom": False, "fp": [r.randint(10, 250) for _ in range(12)]}
