@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
+import hashlib
 import math
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,13 +21,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+_LIBC = None
+with contextlib.suppress(OSError):
+    _LIBC = ctypes.CDLL(None)
 SPACE_BYTES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _SEED = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_HASH = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-#: Bytes of text that are turned into arrays at a time (the arrays take about 40 times as much).
+#: Hashes are polynomials modulo this prime, in a fixed base drawn at random: two sequences of n parts have one hash
+#: with a chance of n / PRIME.
+PRIME = (1 << 61) - 1
+WORD_BASE, WINDOW_BASE = (int(x) for x in _SEED.integers(1 << 59, PRIME, 2))
+_POWERS: dict[int, np.ndarray] = {}
+#: Longer words are hashed one by one, by blake2.
+LONG_WORD = 63
+#: Bytes of text that are turned into arrays at a time (the arrays take about 20 times as much).
 PIECE_BYTES = 2 << 20
 
 
@@ -38,11 +49,13 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one is set only where none is."""
+    """The shared folder that the cluster names; a local one is set only where none is and all runs on one machine."""
     on_workers(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
     holder = spark.sparkContext._jsc.sc()
     if holder.getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = named or f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named or holder.getCheckpointDir().get()
@@ -74,13 +87,13 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
 
 
 def buckets(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Exchange width: the session's shuffle partitions, more where the input is larger."""
+    """Exchange width: the session's shuffle partitions, more where the input is larger: up to 20,000 of bytes_each, beyond that of more, 16 times as many bytes at most."""
     try:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:
         size = 0
     size = 0 if size > 1 << 60 else size
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, math.ceil(size / bytes_each)))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(size / bytes_each), max(20_000, math.ceil(size / bytes_each / 16))))
 
 
 def file_system(uri: str):
@@ -112,14 +125,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _POWERS[k] = np.multiply.accumulate(row)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo PRIME."""
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo PRIME of numbers below it, by halves of 31 bits: 2^61 counts as 1."""
+    low = U64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U64(31), a & low, b >> U64(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return reduced((a1 * b1 << U64(1)) + (middle >> U64(30)) + ((middle & U64((1 << 30) - 1)) << U64(31)) + reduced(a0 * b0))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0..n-1, modulo PRIME."""
+    held = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(held) < n:
+        held = np.concatenate([held, times(held, U64(pow(base, len(held), PRIME)))])
+    if len(held) <= 1 << 22:  # a very long text's are not kept
+        _POWERS[base] = held
+    return held[:n]
 
 
 def scale(h: np.ndarray, n: int) -> np.ndarray:
@@ -161,15 +188,27 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash for each word: polynomial over its bytes, by differences of prefix sums."""
+        """A 64-bit hash for each word: a polynomial over its length and its lanes of seven bytes."""
         if not len(self.start):
             return np.empty(0, np.uint64)
-        up, down = _powers(len(self.data) + 1)
-        sums = np.empty(len(self.data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE_HASH[self.data] * up[: len(self.data)], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        eights = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(self.data) + 1,), (1,))
+        length = self.end - self.start
+        h = _LENGTHS[np.minimum(length, LONG_WORD + 1)] + (eights[self.start] & _LANES[np.minimum(length, 7)])
+        h = np.where(h >= U64(PRIME), h - U64(PRIME), h)
+        more, at = np.flatnonzero((length > 7) & (length <= LONG_WORD)), 7
+        while len(more):
+            h[more] = reduced(times(h[more], U64(WORD_BASE)) + (eights[self.start[more] + at] & _LANES[np.minimum(length[more] - at, 7)]))
+            at += 7
+            more = more[length[more] > at]
+        for k in np.flatnonzero(length > LONG_WORD).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(self.data[self.start[k] : self.end[k]].tobytes(), digest_size=8).digest(), "little") % PRIME
+        return mix(h)
+
+
+_LANES = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+_LENGTHS = np.array([k * WORD_BASE % PRIME for k in range(LONG_WORD + 2)], np.uint64)
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, how=SPACED) -> Words:
@@ -235,6 +274,25 @@ def number_of(column: pa.Array, kind) -> np.ndarray:
     return np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid)])
 
 
+def tidy(run):
+    """For functions of a task's batches (the last argument): gives memory back that the task has freed, as a worker goes on to other tasks."""
+
+    @functools.wraps(run)
+    def tidied(*arguments):
+        try:
+            yield from run(*arguments)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def groups(sorted_values: np.ndarray) -> np.ndarray:
     """Where the runs of equal values begin."""
     return np.flatnonzero(np.concatenate([np.ones(min(1, len(sorted_values)), bool), sorted_values[1:] != sorted_values[:-1]]))

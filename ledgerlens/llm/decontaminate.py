@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import ALNUM_LOWER, U64, as_text, on_workers, pieces, raw, words_of
+from .common import ALNUM_LOWER, U64, as_text, on_workers, pieces, raw, tidy, words_of
 
 #: Words of benchmark text that a worker looks up at once; larger benchmarks take several passes.
 BLOCK_WORDS = 4_000_000
@@ -216,6 +216,7 @@ def _let_go(shared: Broadcast) -> None:
         vars(shared).pop("_value", None)
 
 
+@tidy
 def _mark(blocks: list[Broadcast], keep: list[str], mode: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in pieces(batch, limit=SHARD_BYTES):

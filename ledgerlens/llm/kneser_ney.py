@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED_LOWER, U64, blob_of, buckets, cut, drop_folder, file_system, groups, mapped, mix, new_folder, on_workers, pieces, scale, words_of
+from .common import SPACED_LOWER, U64, blob_of, buckets, cut, drop_folder, file_system, groups, mapped, mix, new_folder, on_workers, pieces, scale, tidy, words_of
 
 #: Tokens that a task gathers before it counts, or looks up, what it has.
 GATHERED = 1_500_000
@@ -82,6 +82,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, out, words.first + np.arange(n_docs + 1)
 
 
+@tidy
 def _count_words(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for _, hashes, _ in _tokens(batches):
@@ -110,6 +111,7 @@ def _save(fs, path: str, values: np.ndarray) -> None:
         f.write(np.ascontiguousarray(values).tobytes())
 
 
+@tidy
 def _write_words(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fs, base = file_system(folder)
     for bucket, keys, counts in _gathered(batches):
@@ -162,6 +164,7 @@ def _pairs(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return distinct, np.stack([before, place[:-1]])
 
 
+@tidy
 def _count_pairs(words: Words, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, starts, size = [], [], 0
 
@@ -186,6 +189,7 @@ def _count_pairs(words: Words, n: int, batches: Iterator[pa.RecordBatch]) -> Ite
         yield from flush()
 
 
+@tidy
 def _write_pairs(folder: str, first: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pair files, and by bucket of words what the pairs add to each."""
     fs, base = file_system(folder)
@@ -224,6 +228,7 @@ def _write_pairs(folder: str, first: np.ndarray, batches: Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+@tidy
 def _write_stats(folder: str, words: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fs, base = file_system(folder)
     sums: dict[int, np.ndarray] = {}
@@ -319,7 +324,7 @@ def train(docs: DataFrame, folder: str) -> Model:
     jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
     text = docs.select(docs["text"].alias("text"))
     begin = spark.createDataFrame([(int(scale(np.array([BEGIN]), n_words)[0]), bytearray(int(BEGIN).to_bytes(8, "little")), bytearray(b"\x01\x00"))], _SENT_SQL)
-    sent = text.mapInArrow(lambda b: _count_words(n_words, b), _SENT_SQL).union(begin).repartition(n_words, "bucket")
+    sent = text.mapInArrow(lambda b: _count_words(n_words, b), _SENT_SQL).union(begin).repartitionById(n_words, "bucket")
     # the lists of files have one row per bucket, that is per tens of megabytes of input
     files = cut(sent.mapInArrow(lambda b: _write_words(folder, b), "bucket int, name string, n long, tokens long, types long")).collect()
     names, sizes = [""] * n_words, np.zeros(n_words, np.int64)
@@ -329,14 +334,14 @@ def train(docs: DataFrame, folder: str) -> Model:
     if words.first[-1] >= 1 << 32:
         raise ValueError("more distinct words than 32-bit numbers")
     shared = spark.sparkContext.broadcast(words)
-    sent = text.mapInArrow(lambda b: _count_pairs(shared.value, n, b), _SENT_SQL).repartition(n, "bucket")
+    sent = text.mapInArrow(lambda b: _count_pairs(shared.value, n, b), _SENT_SQL).repartitionById(n, "bucket")
     written = sent.mapInArrow(lambda b: _write_pairs(folder, shared.value.first, b), "bucket int, name string, n long, of_counts array<long>, numbers binary, stats binary")
     written = cut(written)
     pair_names, of_pairs = [""] * n, np.zeros(4, np.int64)
     for row in written.filter("name IS NOT NULL").select("bucket", "name", "of_counts").collect():
         pair_names[row.bucket] = row["name"]
         of_pairs += np.array(row.of_counts)
-    sums = written.filter("name IS NULL").select("bucket", "numbers", "stats").repartition(n_words, "bucket")
+    sums = written.filter("name IS NULL").select("bucket", "numbers", "stats").repartitionById(n_words, "bucket")
     stat_names, of_words, total = [""] * n_words, np.zeros(5, np.int64), 0
     for row in cut(sums.mapInArrow(lambda b: _write_stats(folder, shared.value, b), "bucket int, name string, total long, of_counts array<long>")).collect():
         stat_names[row.bucket] = row["name"]
@@ -349,6 +354,7 @@ def train(docs: DataFrame, folder: str) -> Model:
     return Model(words, pair_names, stat_names, tokens, types, discounts(*(int(x) for x in of_pairs)), lower, total, float(rest))
 
 
+@tidy
 def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ALNUM_LOWER, on_workers, pieces, raw, words_of
+from .common import ALNUM_LOWER, on_workers, pieces, raw, tidy, words_of
 
 # Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -169,6 +169,7 @@ def _places(hashes: np.ndarray, room: np.ndarray, wanted: np.ndarray) -> np.ndar
     return at
 
 
+@tidy
 def _scan(templates: dict[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     phrases = [(hash_words(p.split()), label) for p, label in PHRASES.items()]
     automata = [(label, compile_template(x)) for label, x in templates.items()]

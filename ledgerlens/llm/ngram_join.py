@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_LOWER, U64, blob_of, buckets, cut, groups, ids_of, mix, on_workers, pieces, scale, words_of
+from .common import SPACED_LOWER, U64, blob_of, buckets, cut, groups, ids_of, mix, on_workers, pieces, scale, tidy, words_of
 
 #: Block values that a task gathers before it sends them.
 GATHERED = 1_000_000
@@ -125,7 +125,8 @@ def _message(bucket: int, kind: int, *blobs: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((bucket, kind, *blobs), _MESSAGE, strict=True)], schema=_MESSAGE)
 
 
-def _sketch(width: int, percent: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@tidy
+def _sketch(width: int, percent: int, n: int, most_keys: int, crowd: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: documents with their set's size and fingerprint; 1: block values by bucket; 2: values whose members went around; 3: those members."""
     bands, most, n_blocks = _BANDS, differences(_BANDS, percent), blocks_of(_BANDS, percent)
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -139,15 +140,15 @@ def _sketch(width: int, percent: int, n: int, batches: Iterator[pa.RecordBatch])
         keys, prints = keys[order], prints[order]
         starts = groups(keys)
         many = np.diff(np.append(starts, len(keys)))
-        crowd = np.repeat(many >= CROWD, many)
-        if crowd.any():
+        around = np.repeat(many >= crowd, many)
+        if around.any():
             turn += 1
-            yield _message((int(keys[0] & U64(0x3FFFFFFF)) + turn) % n, 3, blob_of(keys[crowd]), b"", blob_of(prints[crowd]))
-            known = keys[starts[many >= CROWD]]
+            yield _message((int(keys[0] & U64(0x3FFFFFFF)) + turn) % n, 3, blob_of(keys[around]), b"", blob_of(prints[around]))
+            known = keys[starts[many >= crowd]]
             at = scale(known << U64(1), n)
             for k in np.unique(at):
                 yield _message(int(k), 2, blob_of(known[at == k]), b"", b"")
-            keys, prints = keys[~crowd], prints[~crowd]
+            keys, prints = keys[~around], prints[~around]
         stops = np.searchsorted(scale(keys << U64(1), n), np.arange(n + 1).astype(np.uint64))
         for k in range(n):
             mine = slice(stops[k], stops[k + 1])
@@ -183,7 +184,7 @@ def _sketch(width: int, percent: int, n: int, batches: Iterator[pa.RecordBatch])
                 keep = np.repeat(~alone, count) & ~(thin & np.repeat(spare, count))
                 held.append((keys[keep], np.repeat(prints[at], count)[keep]))
                 gathered += len(held[-1][0])
-            if gathered >= GATHERED:
+            if gathered >= most_keys:
                 yield from flush()
                 gathered = 0
     if held:
@@ -197,6 +198,7 @@ def _rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int8)), *(pa.array(c.astype(np.int64, copy=False)) for c in part)], schema=_ROW)
 
 
+@tidy
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: doc_id, size, fingerprint; kind 1: block value, fingerprint, for values that several sets have."""
     kept: dict[int, list[tuple]] = {}
@@ -225,6 +227,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(1, keys[shared].view(np.int64), prints[shared])
 
 
+@tidy
 def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, data, offsets in pieces(batch):
@@ -235,6 +238,7 @@ def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(blobs, pa.binary())], names=["print", "members"])
 
 
+@tidy
 def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = np.zeros(batch.num_rows, bool)
@@ -245,6 +249,7 @@ def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array(linked))
 
 
+@tidy
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole parity sketches; their width is a power of two that grows with the set, so that wider ones fold onto narrower."""
     for batch in batches:
@@ -285,6 +290,7 @@ def _compare(percent: int, group: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+@tidy
 def _compare_sorted(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by value and chunks, so a group is complete when the next begins."""
     rest: pa.Table | None = None
@@ -315,6 +321,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
+@tidy
 def _near(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that their sizes and sketches don't rule out."""
     for batch in batches:
@@ -333,12 +340,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: i
     return cut(both.select("a", "b", "x", "y").mapInArrow(lambda t: _verify(percent, t), "a long, b long"))
 
 
-def link(docs: DataFrame, width: int = 3, percent: int = LINK_PERCENT) -> DataFrame:
+def link(docs: DataFrame, width: int = 3, percent: int = LINK_PERCENT, *, gathered: int = GATHERED, crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and n_links (verified links of the document's set to different sets)."""
     on_workers(docs.sparkSession)
     n = buckets(docs)
     source = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    sent = source.mapInArrow(lambda t: _sketch(width, percent, n, t), _MESSAGE_SQL).repartition(n, "bucket")
+    sent = source.mapInArrow(lambda t: _sketch(width, percent, n, gathered, crowd, t), _MESSAGE_SQL).repartitionById(n, "bucket")
     met = cut(sent.mapInArrow(_meet, _ROW_SQL))
     held = met.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("print"))
     posted = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("print"))
@@ -358,7 +365,7 @@ def link(docs: DataFrame, width: int = 3, percent: int = LINK_PERCENT) -> DataFr
     label = components(found).select(F.col("node").alias("print"), "label")
     parted = cut(posted.join(label, "print", "left").select("key", "print", F.coalesce("label", "print").alias("part")))
     still = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high")
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    chunks = F.ceil(F.col("members") / chunk).cast("int")
     open_ = parted.join(still.select("key", chunks.alias("chunks")), "key")
     mine = F.pmod(F.xxhash64("print"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, on_workers, pieces, words_of
+from .common import SPACED, on_workers, pieces, tidy, words_of
 from .ngram_join import shingles
 
 #: Labelled rows that are learnt from, at most.
@@ -203,6 +203,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+@tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in pieces(batch):
@@ -225,6 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     return fit(x[order], y[order])
 
 
+@tidy
 def _score(model: AdditiveModel, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in pieces(batch):
@@ -246,6 +248,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOL
     on_workers(docs.sparkSession)
     names = docs.columns
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch):

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_text, on_workers
+from .common import as_text, on_workers, tidy
 
 MARK = "▁"
 #: Distinct words a worker keeps; the table starts anew beyond that.
@@ -93,6 +93,7 @@ def table_for(path: str) -> ChunkTable:
     return _LOADED[path]
 
 
+@tidy
 def encode_batches(path: str, keep: list[str], full: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = table_for(path)
     for batch in batches:

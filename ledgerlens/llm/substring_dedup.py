@@ -7,8 +7,8 @@ smallest id loses the words it covers; overlapping windows merge into maximal in
 exchange each task settles the repeats it sees itself and passes on the smallest document only, so a
 window that stands in a third of all documents costs each task one entry.
 
-Windows are judged on the input, not on what is left. At least 60 bits of hash decide: of a trillion windows
-some hundred thousand would collide.
+Windows are judged on the input, not on what is left. Hashes are polynomials modulo a prime of 61 bits, of words
+hashed alike, and at least 60 bits decide: of a trillion windows some hundred thousand would collide.
 
 Defined results: a null or empty text has no words. Rows with a null doc_id are kept whole and remove
 nothing elsewhere. Rows that share a doc_id count as one document. Texts of fewer than `width` words
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_text, blob_of, buckets, cut, groups, ids_of, mix, on_workers, pieces, scale, words_of
+from .common import PRIME, U64, WINDOW_BASE, as_text, blob_of, buckets, cut, groups, ids_of, mix, on_workers, pieces, powers, reduced, scale, tidy, times, words_of
 
 #: Windows that a task gathers before it settles its own repeats (about 100 bytes each for that time).
 GATHERED = 1_500_000
@@ -37,17 +37,18 @@ _FOUND_SQL = "doc_id long, print long, places binary"
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash for each place where width words follow: differences of polynomial prefix sums."""
+    """A 63-bit hash for each place where width words follow: differences of prefix sums of a polynomial modulo PRIME."""
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    base = 0xD1342543DE82EF95
-    up, down = np.full(len(words), base, np.uint64), np.full(n, pow(base, -1, 2**64), np.uint64)
-    up[0] = down[0] = 1
-    np.multiply.accumulate(up, out=up)
-    np.multiply.accumulate(down, out=down)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up)])
-    return mix((sums[width:] - sums[:-width]) * down) >> U64(1)
+    terms = times(reduced(words), powers(WINDOW_BASE, len(words)))
+    # sums of halves don't overflow, and those of one window are short
+    low, high = np.zeros(len(words) + 1, np.uint64), np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(terms & U64((1 << 32) - 1), out=low[1:])
+    np.cumsum(terms >> U64(32), out=high[1:])
+    low, high = low[width:] - low[:-width], high[width:] - high[:-width]
+    sums = reduced((high >> U64(29)) + ((high & U64((1 << 29) - 1)) << U64(32)) + reduced(low))
+    return mix(times(sums, powers(pow(WINDOW_BASE, -1, PRIME), n))) >> U64(1)
 
 
 def _settle(hashes: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -88,6 +89,7 @@ def _packed(owner: np.ndarray, place: np.ndarray, ids: np.ndarray, prints: np.nd
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
 
+@tidy
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document with its places, from a partition's packed rows."""
     held: list[tuple] = []
@@ -142,7 +144,8 @@ def _emit(hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, prints: np.n
     return pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _MESSAGE, strict=True)], schema=_MESSAGE)
 
 
-def _hash_windows(width: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@tidy
+def _hash_windows(width: int, n: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     gathered = 0
 
@@ -165,13 +168,14 @@ def _hash_windows(width: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iter
             at = np.repeat(first - np.append(0, np.cumsum(counts[some])[:-1]), counts[some]) + np.arange(counts.sum())
             held.append((all_windows[at], counts[some], ids_of(part)[some], ids_of(part, "print")[some].astype("<u4")))
             gathered += len(at)
-            if gathered >= GATHERED:
+            if gathered >= most:
                 yield flush()
                 gathered = 0
     if held:
         yield flush()
 
 
+@tidy
 def _merge(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's buckets: the windows whose hash stands in a smaller document elsewhere."""
     kept: dict[int, list[tuple]] = {}
@@ -202,13 +206,13 @@ def _merge(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield from _packed(owner[at], place[at], ids, prints, n)
 
 
-def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = 50, *, gathered: int = GATHERED) -> DataFrame:
     """doc_id, print (a fingerprint of the text) and places: for each document with windows to remove, their starts (binary, unsigned 32-bit)."""
     on_workers(docs.sparkSession)
     n = buckets(docs)
     source = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).bitwiseAND(0xFFFFFFFF).alias("print"), docs["text"].alias("text"))
-    sent = source.mapInArrow(lambda b: _hash_windows(width, n, b), _MESSAGE_SQL).repartition(n, "bucket")
-    found = sent.mapInArrow(lambda b: _merge(n, b), _PACKED_SQL).repartition(n, "target")
+    sent = source.mapInArrow(lambda b: _hash_windows(width, n, gathered, b), _MESSAGE_SQL).repartitionById(n, "bucket")
+    found = sent.mapInArrow(lambda b: _merge(n, b), _PACKED_SQL).repartitionById(n, "target")
     return cut(found.mapInArrow(_unpack, _FOUND_SQL))
 
 
@@ -220,6 +224,7 @@ def covered(places: np.ndarray, n_words: int, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+@tidy
 def _apply(width: int, keep: list[str], digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -246,12 +251,12 @@ def _apply(width: int, keep: list[str], digests: bool, batches: Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def deduplicate(docs: DataFrame, width: int = 50, *, digests: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 50, *, digests: bool = False, gathered: int = GATHERED) -> DataFrame:
     """The rows of docs with repeated windows cut out of text (kept words of a changed text are joined by one space).
 
     With digests: doc_id, n_words, n_removed, kept_sha256 instead.
     """
-    found = repeated_windows(docs, width).select(F.col("doc_id").alias("_found_id"), F.col("print").alias("_found_print"), F.col("places").alias("_places"))
+    found = repeated_windows(docs, width, gathered=gathered).select(F.col("doc_id").alias("_found_id"), F.col("print").alias("_found_print"), F.col("places").alias("_places"))
     keep = ["doc_id"] if digests else docs.columns
     # own names inside: the documents' columns may have any
     source = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text"), *(docs[c].alias(f"_{k}") for k, c in enumerate(keep) if c != "text"))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, buckets, cut, drop_folder, file_system, mapped, new_folder, on_workers
+from .common import as_text, buckets, cut, drop_folder, file_system, mapped, new_folder, on_workers, tidy
 
 MAGIC = b"LLTOK001"
 #: Distinct chunks, and distinct words inside them, that a worker keeps; a table starts anew beyond that.
@@ -160,6 +160,7 @@ def read_file(fs, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # ---- Spark -------------------------------------------------------------------------------------
 
 
+@tidy
 def _encode(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their ids, two bytes each if the vocabulary allows, then one row with the task's counts."""
     encoder = encoder_for(path)
@@ -178,6 +179,7 @@ def _encode(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterat
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([totals.tobytes()], pa.binary())], names=names)
 
 
+@tidy
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
@@ -189,6 +191,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
 
+@tidy
 def _write(folder: str, rank: np.ndarray, kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fs, base = file_system(folder)
     ids, counts, values, size = [], [], [], 0
@@ -216,6 +219,7 @@ def _write(folder: str, rank: np.ndarray, kind: str, batches: Iterator[pa.Record
         yield flush()
 
 
+@tidy
 def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fs, base = file_system(folder)
     ids_of_rank = mapped(fs, f"{base}/ranks.bin", "<u4")
@@ -272,6 +276,7 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     return spread.mapInArrow(lambda b: _read(folder, b), "doc_id long, start long, n_tokens long, ids binary")
 
 
+@tidy
 def _checksums(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _read(folder, batches):
         sums = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, buckets, cut, drop_folder, file_system, new_folder, on_workers
+from .common import as_text, buckets, cut, drop_folder, file_system, new_folder, on_workers, tidy
 
 MIN_PAYLOAD = 100
 #: Captures in a compressed index block.
@@ -91,6 +91,7 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http, payload
 
 
+@tidy
 def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fs, base = file_system(folder)
     out = None
@@ -188,6 +189,7 @@ def _members(fs, path: str, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
             at = to
 
 
+@tidy
 def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fs, base = file_system(folder)
     for batch in batches:
