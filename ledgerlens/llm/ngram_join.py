@@ -14,8 +14,8 @@ hash; exact copies of a set count once), and documents that share a value are ca
 Pairs inside a group already found aren't verified again: no link between different groups is lost.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; with
-fewer words than a shingle has, the whole sequence is the one shingle. Rows with a null doc_id get no
-row. Rows that share a doc_id count as separate documents of that id. An empty table gives an empty
+fewer words than a shingle has, the whole sequence is the one shingle. Rows with a null doc_id are linked with
+nothing and have no component. Rows that share a doc_id count as separate documents of that id. An empty table gives an empty
 result; extra columns are ignored (`keep_one` keeps them).
 """
 
@@ -238,6 +238,14 @@ def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(blobs, pa.binary())], names=["print", "members"])
 
 
+@tidy
+def _set_sizes(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, data, offsets in pieces(batch):
+            words = words_of(data, offsets, SPACED_LOWER)
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(shingles(words.hashes(), words.first, width)[1]), pa.int64())], names=["n_shingles"])
+
+
 @tidy
 def _verify(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -386,7 +394,9 @@ def link(docs: DataFrame, width: int = 3, percent: int = LINK_PERCENT, *, gather
     alone = (F.col("n_shingles") == 0)
     out = held.join(known, "print", "left")
     out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).alias("n_links"))
-    return cut(out)
+    nameless = docs.filter(docs["doc_id"].isNull()).select(F.lit(None).cast("long").alias("doc_id"), docs["text"].alias("text"))
+    nameless = nameless.mapInArrow(lambda t: _set_sizes(width, t), "n_shingles long").select(F.lit(None).cast("long"), "n_shingles", F.lit(None).cast("long"), F.lit(0).cast("long"))
+    return cut(out.withColumn("n_links", F.col("n_links").cast("long")).union(nameless))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -8,7 +8,8 @@ respective distance is not judged.
 
 Defined results: a null text counts as empty (no words, so base_failed), a null language as
 unlisted, distances that are not judged are null and don't fail a document. Rows are independent
-but for the references, so repeated rows count again; extra columns are ignored.
+but for the references, so repeated rows and ids count again. A text of any length is one row's work: its
+words are held as an array. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 # Common words by language.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "was", "with", "on", "it"],
@@ -34,8 +37,8 @@ CLASSES = {
     "beyond": r"[^\x00-\x7F]+",
 }
 WHITE = " \t\n\x0b\x0c\r"
-#: Up to so many words a window's hash and place are packed into one number.
-PACKED_WORDS = 65_536
+#: Decimal places of shares where references are sought.
+PLACES = 4
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,8 @@ class Rules:
     word_distance: float = 0.22
     judged_chars: int = 200
     judged_words: int = 100
+    #: Up to so many words (65,536 at most) a window's hash and place are packed into one number.
+    packed_words: int = 65_536
     common_words: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
 
 
@@ -58,7 +63,7 @@ def _shares(counts: list[Column]) -> Column:
     return F.when(total > 0, F.transform(F.array(*counts), lambda x: x.cast("double") / total))
 
 
-def _repeated_words() -> Column:
+def _repeated_words(packed_words: int) -> Column:
     """Words inside three-word windows that are found twice or more; reads words and n_words."""
     packed = """
         aggregate(sort_array(transform(
@@ -75,11 +80,11 @@ def _repeated_words() -> Column:
             filter(windows, (x, j) -> (j > 0 AND x.w = get(windows, j - 1).w) OR (j < size(windows) - 1 AND x.w = get(windows, j + 1).w)),
             x -> x.p)), named_struct('p', -3L, 'n', 0L),
             (a, p) -> named_struct('p', p, 'n', a.n + least(3L, p - a.p)), a -> a.n)"""
-    return F.expr(f"CASE WHEN n_words < 4 THEN 0L WHEN n_words <= {PACKED_WORDS} THEN {packed} ELSE {whole} END")
+    return F.expr(f"CASE WHEN n_words < 4 THEN 0L WHEN n_words <= {packed_words} THEN {packed} ELSE {whole} END")
 
 
-def measured(docs: DataFrame, rules: Rules) -> DataFrame:
-    """doc_id, key (language or 'other'), text, words, n_words, word_chars, chars and common (the two histograms as shares)."""
+def counted(docs: DataFrame, rules: Rules) -> DataFrame:
+    """doc_id, key (language or 'other'), the counts of each text, and chars and common (its two histograms as shares)."""
     text = F.coalesce(docs["text"], F.lit(""))
     key = F.when(docs["lang"].isin(list(rules.common_words)), docs["lang"]).otherwise("other")
     out = docs.select(docs["doc_id"], key.alias("key"), text.alias("text"))
@@ -88,6 +93,7 @@ def measured(docs: DataFrame, rules: Rules) -> DataFrame:
         flat = F.replace(flat, F.lit(c), F.lit(" "))
     out = out.withColumn("flat", flat)
     out = out.withColumn("words", F.array_remove(F.split("flat", " "), "")).withColumn("solid", F.replace("flat", F.lit(" "), F.lit("")))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     out = out.select(
         "*",
         F.size("words").cast("long").alias("n_words"),
@@ -95,6 +101,7 @@ def measured(docs: DataFrame, rules: Rules) -> DataFrame:
         # a-z go first, so the other classes are sought in what little is left
         F.regexp_replace("solid", "[a-z]+", "").alias("left"),
         F.concat(F.lit(" "), F.replace("flat", F.lit(" "), F.lit("  ")), F.lit(" ")).alias("spaced"),
+        lines.alias("lines"),
     )
     out = out.select("*", *[_without(F.col("left"), p).alias(f"c_{k}") for k, p in CLASSES.items()])
     n_left, n_white = F.length("left"), F.length("text") - F.col("word_chars")
@@ -105,18 +112,31 @@ def measured(docs: DataFrame, rules: Rules) -> DataFrame:
         hits = [((F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(f" {w} "), F.lit("")))) / F.lit(float(len(w.encode()) + 2))) for w in listed]
         shares = F.transform(F.array(*hits), lambda x: x / F.col("n_words"))
         common = F.when(F.col("key") == k, shares).otherwise(common)
-    common = F.when(F.col("n_words") > 0, common)
-    out = out.select("doc_id", "key", "text", "words", "n_words", "word_chars", _shares(counts).alias("chars"), common.alias("listed"))
-    with_rest = F.concat("listed", F.array(1.0 - F.aggregate("listed", F.lit(0.0), lambda a, x: a + x)))
-    return out.withColumn("common", with_rest).drop("listed")
+    out = out.withColumn("listed", F.when(F.col("n_words") > 0, common))
+    packed = "transform(sequence(0, size(words) - 3), i -> shiftleft(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)), 16) | bigint(i))"
+    whole = "sort_array(transform(sequence(0, size(words) - 3), i -> named_struct('w', array(get(words, i), get(words, i + 1), get(words, i + 2)), 'p', bigint(i))))"
+    out = out.withColumn("packed", F.expr(f"CASE WHEN n_words BETWEEN 4 AND {rules.packed_words} THEN sort_array({packed}) END"))
+    out = out.withColumn("windows", F.expr(f"CASE WHEN n_words > {rules.packed_words} THEN {whole} END"))
+    return out.select(
+        "doc_id",
+        "key",
+        "n_words",
+        "word_chars",
+        # none of them is a letter or white space
+        _without(F.col("left"), "[#*$%&|<>]+").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        _repeated_words(rules.packed_words).alias("n_repeat_words"),
+        F.length("text").alias("n_chars"),
+        _shares(counts).alias("chars"),
+        F.concat("listed", F.array(1.0 - F.aggregate("listed", F.lit(0.0), lambda a, x: a + x))).alias("common"),
+    )
 
 
-def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """key, char_reference, word_reference: each language's median share, scaled to the sum 1."""
-    held = measured(docs, rules).select("key", "chars", "common", "n_words")
+def references(counts: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """key, char_reference, word_reference: each language's median share (to four places, so few values are told apart), scaled to the sum 1."""
     wide = {"chars": len(CLASSES) + 3, "common": 1 + max(map(len, rules.common_words.values()))}
-    middle = [F.percentile_approx(F.get(c, F.lit(i)), 0.5, F.lit(1000)).alias(f"{c}_{i}") for c, n in wide.items() for i in range(n)]
-    out = held.filter(F.col("n_words") > 0).groupBy("key").agg(*middle)
+    middle = [F.percentile(F.round(F.get(c, F.lit(i)), PLACES), F.lit(0.5)).alias(f"{c}_{i}") for c, n in wide.items() for i in range(n)]
+    out = counts.filter(F.col("n_words") > 0).groupBy("key").agg(*middle)
     for c, n in wide.items():
         out = out.withColumn(c, F.array_compact(F.array(*(F.col(f"{c}_{i}") for i in range(n)))))
         out = out.withColumn(c, F.expr(f"transform({c}, x -> x / aggregate({c}, 0D, (a, y) -> a + y))"))
@@ -132,23 +152,18 @@ def _distance(share: str, reference: str) -> Column:
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance."""
+    # texts are read once: references and verdicts come from the counts
+    counts = cut(counted(docs, rules))
     # at most one row per listed language and one more: its size is fixed by the rules
-    reference = F.broadcast(references(docs, rules))
-    out = measured(docs, rules).join(reference, "key", "left")
-    lines = F.expr(f"filter(split(text, '\\n', -1), x -> btrim(x, '{WHITE.encode('unicode_escape').decode()}') <> '')")
-    out = out.withColumn("lines", lines)
-    packed = "transform(sequence(0, size(words) - 3), i -> shiftleft(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)), 16) | bigint(i))"
-    whole = "sort_array(transform(sequence(0, size(words) - 3), i -> named_struct('w', array(get(words, i), get(words, i + 1), get(words, i + 2)), 'p', bigint(i))))"
-    out = out.withColumn("packed", F.expr(f"CASE WHEN n_words BETWEEN 4 AND {PACKED_WORDS} THEN sort_array({packed}) END"))
-    out = out.withColumn("windows", F.expr(f"CASE WHEN n_words > {PACKED_WORDS} THEN {whole} END"))
+    out = counts.join(F.broadcast(references(counts, rules)), "key", "left")
     out = out.select(
         "doc_id",
         "n_words",
         "word_chars",
-        _without(F.col("text"), "[#*$%&|<>]+").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words().alias("n_repeat_words"),
-        F.when(F.length("text") >= rules.judged_chars, _distance("chars", "char_reference")).alias("char_distance"),
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        F.when(F.col("n_chars") >= rules.judged_chars, _distance("chars", "char_reference")).alias("char_distance"),
         F.when((F.col("n_words") >= rules.judged_words) & (F.col("key") != "other"), _distance("common", "word_reference")).alias("word_distance"),
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
