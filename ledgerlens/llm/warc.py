@@ -1,17 +1,19 @@
 """WARC archives with a two-level capture index.
 
-Pages are put in order of their reversed-host URL key, so each task writes one archive of gzip members
-in key order, and beside it the index of its captures: blocks of index lines, each compressed by
-itself. The block directory (first key, file, place of each block) is sparse, sorted, and small; a
-look-up searches it by bisection, reads one block, and then the record's byte range.
+Pages are put in order of their reversed-host URL key, so each task writes archives of gzip members
+in key order, and beside each the index of its captures: blocks of index lines, each compressed by
+itself, and behind them the archive's block directory (first key and place of each block). A look-up
+bisects the archives' key ranges (one row for each archive of some 256 MB), then an archive's directory,
+reads the block, and then the records' byte ranges.
 
 Of records with equal payloads of at least MIN_PAYLOAD bytes, the one with the smallest page_id is a
 response and the others revisit it; which is found by a partial aggregate over digests.
 
 Defined results: a null html is an empty payload, a null url an empty key; rows with a null page_id
 are written as responses of their own. Rows that share a page_id and payload are all responses if
-theirs is the smallest. An empty table gives an empty result; extra columns are ignored. A task that
-runs again writes new files; only files that the surviving attempts name are read.
+theirs is the smallest. An html of any length is one record, held whole while it is written or read.
+An empty table gives an empty result; extra columns are ignored. A task that runs again writes new files;
+only files that the surviving attempts name are read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,8 +40,9 @@ ARCHIVE_BYTES = 256 << 20
 #: Gaps up to so many bytes between wanted records are read along.
 GAP = 1 << 16
 _RECORD_DATE = "2024-01-01T00:00:00Z"  # fixed, so archives are the same in every run
-_BLOCK = pa.schema([("first_key", pa.string()), ("archive", pa.string()), ("index", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("captures", pa.int64())])
-_BLOCK_SQL = "first_key string, archive string, index string, offset long, length long, captures long"
+_ARCHIVE = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("archive", pa.string()), ("index", pa.string()), ("directory", pa.int64()), ("captures", pa.int64())])
+_ARCHIVE_SQL = "first_key string, last_key string, archive string, index string, directory long, captures long"
+_WANTED_SQL = "archive string, index string, offset long, length long, key string"
 _PAGE = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 _PAGE_SQL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -92,31 +95,35 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 @tidy
-def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(folder: str, block_lines: int, archive_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fs, base = file_system(folder)
     out = None
-    blocks: list[tuple] = []
+    blocks: list[tuple[str, int, int]] = []
     lines: list[str] = []
-    place = index_place = size = 0
+    place = index_place = size = captures = 0
+    first_key = last_key = ""
     marked: tuple | None = None
 
-    def end_block() -> None:
-        nonlocal index_place
-        if lines:
-            packed = gzip.compress("\n".join(lines).encode(), 6, mtime=0)
-            index.write(packed)
-            blocks.append((lines[0].split(" ", 1)[0], f"{name}.warc.gz", f"{name}.idx", index_place, len(packed), len(lines)))
-            index_place += len(packed)
-            lines.clear()
+    def end_block(key: str) -> None:
+        nonlocal index_place, captures
+        packed = gzip.compress("\n".join(lines).encode(), 6, mtime=0)
+        index.write(packed)
+        blocks.append((key, index_place, len(packed)))
+        index_place += len(packed)
+        captures += len(lines)
+        lines.clear()
 
     def end_archive() -> pa.RecordBatch:
-        end_block()
+        if lines:
+            end_block(block_key)
+        index.write(gzip.compress(json.dumps(blocks).encode(), 6, mtime=0))
         out.close()
         index.close()
-        rows = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*blocks, strict=True), _BLOCK, strict=True)], schema=_BLOCK)
+        row = (first_key, last_key, f"{name}.warc.gz", f"{name}.idx", index_place, captures)
         blocks.clear()
-        return rows
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ARCHIVE, strict=True)], schema=_ARCHIVE)
 
+    block_key = ""
     for batch in batches:
         keys, ids, refers = (batch.column(c).to_pylist() for c in ("key", "page_id", "refers_to"))
         for key, page, url, html, digest, other in zip(keys, ids, batch.column("url").to_pylist(), as_text(batch.column("html")), batch.column("digest").to_pylist(), refers, strict=True):
@@ -127,25 +134,28 @@ def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             if out is None:
                 name = f"part-{uuid.uuid4().hex}"
                 out, index = fs.open_output_stream(f"{base}/{name}.warc.gz", compression=None), fs.open_output_stream(f"{base}/{name}.idx", compression=None)
-                place = index_place = size = 0
+                place = index_place = size = captures = 0
+                first_key = key
             payload = html.as_buffer().to_pybytes()
             member = record(page, url or "", payload, digest, other, len(payload))
             out.write(member)
-            # the key has no blanks: they would end it
-            lines.append(f"{key.replace('%', '%25').replace(' ', '%20')} " + json.dumps([page, place, len(member)]))
+            if not lines:
+                block_key = key
+            lines.append(json.dumps([key, page, place, len(member)]))  # no line ends inside, whatever the key has
+            last_key = key
             place += len(member)
             size += len(payload)
-            if len(lines) >= BLOCK_LINES:
-                end_block()
-            if size >= ARCHIVE_BYTES:
+            if len(lines) >= block_lines:
+                end_block(block_key)
+            if size >= archive_bytes:
                 yield end_archive()
                 out = None
     if out is not None:
         yield end_archive()
 
 
-def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes archives and index files to folder; the block directory: first_key, archive, index, offset, length, captures."""
+def write(pages: DataFrame, folder: str, *, block_lines: int = BLOCK_LINES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes archives and index files to folder; a row for each archive: first_key, last_key, archive, index, directory (where its block directory begins), captures."""
     spark = pages.sparkSession
     on_workers(spark)
     html = F.coalesce(pages["html"], F.lit(""))
@@ -160,18 +170,13 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     sorted_pages = rows.repartitionByRange(buckets(pages), "key", "page_id").sortWithinPartitions("key", "page_id", "digest", F.col("refers_to").asc_nulls_last())
     jvm = spark.sparkContext._jvm
     jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
-    return cut(sorted_pages.mapInArrow(lambda b: _write(folder, b), _BLOCK_SQL))
+    return cut(sorted_pages.mapInArrow(lambda b: _write(folder, block_lines, archive_bytes, b), _ARCHIVE_SQL))
 
 
 def _block(fs, base: str, index: str, offset: int, length: int) -> list[tuple[str, int | None, int, int]]:
     """(key, page_id, offset, length) of the captures in a block."""
     with fs.open_input_file(f"{base}/{index}") as f:
-        text = gzip.decompress(f.read_at(length, offset)).decode()
-    out = []
-    for line in text.split("\n"):
-        key, _, rest = line.partition(" ")
-        out.append((key, *json.loads(rest)))
-    return out
+        return [tuple(json.loads(line)) for line in gzip.decompress(f.read_at(length, offset)).decode().split("\n")]
 
 
 def _members(fs, path: str, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
@@ -189,58 +194,97 @@ def _members(fs, path: str, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
             at = to
 
 
+class CaptureIndex:
+    """Look-ups by URL key. archives: (first_key, last_key, archive, index, directory) in key order, one for each archive."""
+
+    def __init__(self, archives: list[tuple], folder: str):
+        self.fs, self.base = file_system(folder)
+        self.archives = sorted(archives)
+        self.last_keys = [x[1] for x in self.archives]
+        self.held: tuple[str, list] = ("", [])
+
+    def _directory(self, index: str, begin: int) -> list[list]:
+        """[first key, offset, length] of an archive's blocks."""
+        if self.held[0] != index:  # keys come in order, so the last one is mostly the one wanted
+            with self.fs.open_input_file(f"{self.base}/{index}") as f:
+                self.held = (index, json.loads(gzip.decompress(f.read_at(f.size() - begin, begin))))
+        return self.held[1]
+
+    def blocks(self, key: str) -> Iterator[tuple[str, str, int, int]]:
+        """(archive, index, offset, length) of each block that may have the key."""
+        at = bisect_left(self.last_keys, key)  # archives before end below the key
+        while at < len(self.archives) and self.archives[at][0] <= key:
+            _, _, archive, index, begin = self.archives[at]
+            directory = self._directory(index, begin)
+            first = max(0, bisect_left(directory, key, key=lambda x: x[0]) - 1)  # a key's captures may begin in the block before
+            for _, offset, length in directory[first : bisect_right(directory, key, key=lambda x: x[0])]:
+                yield archive, index, offset, length
+            at += 1
+
+    def captures(self, key: str) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+        """Records whose key is the given one."""
+        for archive, *block in self.blocks(key):
+            found = [x[2:] for x in _block(self.fs, self.base, *block) if x[0] == key]
+            yield from (parse(x) for x in _members(self.fs, f"{self.base}/{archive}", found))
+
+
+@tidy
+def _find(index, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of sorted keys, by bisection."""
+    look_up = CaptureIndex(index.value, folder)
+    for batch in batches:
+        rows = [(*block, key) for key in batch.column("key").to_pylist() for block in look_up.blocks(key)]
+        for at in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 10_000], strict=True)], names=["archive", "index", "offset", "length", "key"])
+
+
 @tidy
 def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the wanted keys; rows come sorted by block, and a block is read once for all its keys in a batch."""
     fs, base = file_system(folder)
+    held: tuple[tuple, list] = ((), [])
     for batch in batches:
-        for block in batch.to_pylist():
-            captures = _block(fs, base, block["index"], block["offset"], block["length"])
+        wanted: dict[tuple, set[str]] = {}
+        for *block, key in zip(*(batch.column(c).to_pylist() for c in ("archive", "index", "offset", "length", "key")), strict=True):
+            wanted.setdefault(tuple(block), set()).add(key)
+        for block, keys in wanted.items():
+            if held[0] != block:
+                held = (block, _block(fs, base, *block[1:]))
             rows: list[list] = [[] for _ in _PAGE]
-            for member in _members(fs, f"{base}/{block['archive']}", [x[2:] for x in captures]):
+            for member in _members(fs, f"{base}/{block[0]}", [x[2:] for x in held[1] if x[0] in keys]):
                 fields, http, payload = parse(member)
                 kind, stated = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
                 size = int(http.rpartition(b"Content-Length: ")[2])
                 if kind == "response" and (size != len(payload) or hashlib.sha256(payload).hexdigest() != stated):
-                    raise ValueError(f"{block['archive']}: a payload of {fields['WARC-Record-ID']} is damaged")
+                    raise ValueError(f"{block[0]}: a payload of {fields['WARC-Record-ID']} is damaged")
                 values = (_number(fields["WARC-Record-ID"]), size, stated, kind, _number(fields["WARC-Refers-To"]) if kind == "revisit" else None)
                 for row, value in zip(rows, values, strict=True):
                     row.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _PAGE, strict=True)], schema=_PAGE)
 
 
-def read(directory: DataFrame, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every capture, by way of the index."""
-    spread = directory.repartition(buckets(directory), "index", "offset")
-    return spread.mapInArrow(lambda b: _read(folder, b), _PAGE_SQL)
-
+def look_up(keys: DataFrame, archives: DataFrame, folder: str, tasks: int | None = None) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every capture of keys' distinct values of key.
 
-class CaptureIndex:
-    """Look-ups by URL key: the sparse directory is held sorted, blocks and records are read by range."""
-
-    def __init__(self, directory: DataFrame, folder: str):
-        self.fs, self.base = file_system(folder)
-        self.blocks = sorted(tuple(x) for x in directory.select("first_key", "index", "offset", "length", "archive").collect())
-        self.keys = [x[0] for x in self.blocks]
-
-    def captures(self, key: str) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-        """Records whose key is the given one."""
-        key = key.replace("%", "%25").replace(" ", "%20")
-        at = max(0, bisect_right(self.keys, key) - 1)
-        while at > 0 and self.keys[at] == key:  # a key's captures may begin in the block before
-            at -= 1
-        while at < len(self.blocks) and self.keys[at] <= key:
-            _, index, offset, length, archive = self.blocks[at]
-            found = [x[2:] for x in _block(self.fs, self.base, index, offset, length) if x[0] == key]
-            yield from (parse(x) for x in _members(self.fs, f"{self.base}/{archive}", found))
-            at += 1
+    Keys in order are sought by bisection; then the blocks found, not the keys, are dealt out, so a key with
+    many captures is read by many tasks.
+    """
+    spark: SparkSession = keys.sparkSession
+    on_workers(spark)
+    tasks = tasks or buckets(keys)
+    # one row for each archive of many megabytes
+    index = spark.sparkContext.broadcast([tuple(x) for x in archives.select("first_key", "last_key", "archive", "index", "directory").collect()])
+    wanted = keys.select("key").filter("key IS NOT NULL").distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key")
+    found = wanted.mapInArrow(lambda b: _find(index, folder, b), _WANTED_SQL)
+    dealt = found.repartition(tasks, "index", "offset").sortWithinPartitions("archive", "offset", "key")
+    return dealt.mapInArrow(lambda b: _read(folder, b), _PAGE_SQL)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """A row per page as read back from archives, which are deleted again."""
+    """A row per page as read back from archives by look-ups of all pages' keys; the archives are deleted again."""
     spark: SparkSession = pages.sparkSession
     folder = new_folder(spark, "warc")
-    directory = write(pages, folder)
-    spread = directory.repartition(buckets(pages), "index", "offset")
-    out = cut(spread.mapInArrow(lambda b: _read(folder, b), _PAGE_SQL))
+    archives = write(pages, folder)
+    out = cut(look_up(pages.select(surt(pages["url"]).alias("key")), archives, folder, buckets(pages)))
     drop_folder(spark, folder)
     return out
