@@ -80,6 +80,12 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/ledgerlens-{what}-{uuid.uuid4().hex}"
 
 
+def make_folder(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
@@ -261,6 +267,13 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
         row = to
 
 
+def in_parts(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about limit bytes, so that what goes to the JVM at a time is small."""
+    rows = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> np.ndarray:
     return batch.column(batch.schema.get_field_index(column)).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
@@ -269,6 +282,16 @@ def blob_of(parts: np.ndarray) -> bytes:
     return np.ascontiguousarray(parts).tobytes()
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs; the first byte says how many."""
+    size = 1 if counts.max(initial=0) < 256 else 2 if counts.max() < 65536 else 4 if counts.max() < 1 << 32 else 8
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def wide(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
 def number_of(column: pa.Array, kind) -> np.ndarray:
     """The numbers in a binary column's rows, end to end."""
     return np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid)])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED_LOWER, U64, blob_of, buckets, cut, drop_folder, file_system, groups, mapped, mix, new_folder, on_workers, pieces, scale, tidy, words_of
+from .common import SPACED_LOWER, U64, blob_of, buckets, cut, drop_folder, file_system, groups, in_parts, make_folder, mapped, mix, narrow, new_folder, on_workers, pieces, scale, tidy, wide, words_of
 
 #: Tokens that a task gathers before it counts, or looks up, what it has.
 GATHERED = 1_500_000
@@ -46,16 +46,6 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(30)) ^ (x >> U64(60))
 
 
-def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes as the largest needs; the first byte says how many."""
-    size = 1 if counts.max(initial=0) < 256 else 2 if counts.max() < 65536 else 4 if counts.max() < 1 << 32 else 8
-    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
-
-
-def _wide(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
-
-
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
@@ -66,8 +56,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _deal(keys: np.ndarray, counts: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
     """One row per bucket of sorted keys."""
     stops = np.searchsorted(scale(keys, n), np.arange(n + 1).astype(np.uint64))
-    rows = [(k, blob_of(keys[a:b]), _narrow(counts[a:b])) for k, (a, b) in enumerate(zip(stops[:-1], stops[1:], strict=True)) if b > a]
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+    rows = [(k, blob_of(keys[a:b]), narrow(counts[a:b])) for k, (a, b) in enumerate(zip(stops[:-1], stops[1:], strict=True)) if b > a]
+    yield from in_parts(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -100,7 +90,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarr
     held: dict[int, list[tuple]] = {}
     for batch in batches:
         for bucket, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held.setdefault(bucket, []).append((np.frombuffer(keys, np.uint64), _wide(counts)))
+            held.setdefault(bucket, []).append((np.frombuffer(keys, np.uint64), wide(counts)))
     for bucket in sorted(held):
         parts = held.pop(bucket)
         yield bucket, *_summed(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
@@ -222,7 +212,7 @@ def _write_pairs(folder: str, first: np.ndarray, batches: Iterator[pa.RecordBatc
         for k, (a, b) in enumerate(zip(stops[:-1], stops[1:], strict=True)):
             if b > a:
                 # the fields one after the other: most are small, and so easy to compress
-                rows.append((k, None, None, None, _narrow(np.diff(every[a:b] - first[k], prepend=0)), b"".join(len(x := _narrow(stats[f][a:b].astype(np.int64))).to_bytes(4, "little") + x for f in _STATS.names)))
+                rows.append((k, None, None, None, narrow(np.diff(every[a:b] - first[k], prepend=0)), b"".join(len(x := narrow(stats[f][a:b].astype(np.int64))).to_bytes(4, "little") + x for f in _STATS.names)))
         if rows:
             kinds = [pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -236,10 +226,10 @@ def _write_stats(folder: str, words: Words, batches: Iterator[pa.RecordBatch]) -
         for bucket, numbers, stats in zip(*(batch.column(c).to_pylist() for c in ("bucket", "numbers", "stats")), strict=True):
             if bucket not in sums:
                 sums[bucket] = np.zeros((len(_STATS.names), int(words.first[bucket + 1] - words.first[bucket])), np.int64)
-            place, at = np.cumsum(_wide(numbers)), 0
+            place, at = np.cumsum(wide(numbers)), 0
             for row in range(len(_STATS.names)):
                 size = int.from_bytes(stats[at : at + 4], "little")
-                sums[bucket][row, place] += _wide(stats[at + 4 : at + 4 + size])
+                sums[bucket][row, place] += wide(stats[at + 4 : at + 4 + size])
                 at += 4 + size
     for bucket, rows in sums.items():
         name = f"stats-{uuid.uuid4().hex}"
@@ -320,8 +310,7 @@ def train(docs: DataFrame, folder: str) -> Model:
     on_workers(spark)
     n = buckets(docs)
     n_words = max(1, n // 4)
-    jvm = spark.sparkContext._jvm
-    jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    make_folder(spark, folder)
     text = docs.select(docs["text"].alias("text"))
     begin = spark.createDataFrame([(int(scale(np.array([BEGIN]), n_words)[0]), bytearray(int(BEGIN).to_bytes(8, "little")), bytearray(b"\x01\x00"))], _SENT_SQL)
     sent = text.mapInArrow(lambda b: _count_words(n_words, b), _SENT_SQL).union(begin).repartitionById(n_words, "bucket")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PRIME, U64, WINDOW_BASE, as_text, blob_of, buckets, cut, groups, ids_of, mix, on_workers, pieces, powers, reduced, scale, tidy, times, words_of
+from .common import PRIME, U64, WINDOW_BASE, as_text, blob_of, buckets, cut, groups, ids_of, in_parts, mix, on_workers, pieces, powers, reduced, scale, tidy, times, words_of
 
 #: Windows that a task gathers before it settles its own repeats (about 100 bytes each for that time).
 GATHERED = 1_500_000
@@ -53,7 +53,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def _settle(hashes: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which windows start in a document that isn't the smallest of those with the same window."""
-    order = np.argsort(hashes)
+    order = np.argsort(hashes).astype(np.int32 if len(hashes) < 1 << 31 else np.int64)
     starts = groups(hashes[order])
     doc = ids[owner[order]]
     least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(order)))) if len(order) else doc
@@ -108,9 +108,9 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[mine[:-1]]), pa.array(prints[mine[:-1]]), pa.array([blob_of(places[a:b]) for a, b in zip(mine[:-1], mine[1:], strict=True)], pa.binary())], names=["doc_id", "print", "places"])
 
 
-def _emit(hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, prints: np.ndarray, n: int, seed: int) -> pa.RecordBatch:
+def _emit(hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, prints: np.ndarray, n: int, seed: int) -> Iterator[pa.RecordBatch]:
     """One row per bucket with the windows that are left, and one with what this task has settled."""
-    owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(offsets))
     later = _settle(hashes, owner, ids)
     rows: list[list] = [[] for _ in _MESSAGE]
 
@@ -125,9 +125,10 @@ def _emit(hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, prints: np.n
         ends = np.searchsorted(owner[at], known, side="right")
         add(seed % n, 1, _least(ids[known]), blob_of(prints[known]), _least(np.diff(ends, prepend=0)), b"", blob_of(place))
     left = np.flatnonzero(~later)
-    bucket = scale(hashes[left] << U64(1), n).astype(np.uint32)
-    by = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
+    bucket = scale(hashes[left] << U64(1), n).astype(np.uint16 if n <= 1 << 16 else np.uint32)
+    by = np.argsort(bucket, kind="stable")
     left, bucket = left[by], bucket[by]
+    del by, later
     stops = np.searchsorted(bucket, np.arange(n + 1))
     for k in range(n):
         mine = left[stops[k] : stops[k + 1]]
@@ -141,7 +142,8 @@ def _emit(hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, prints: np.n
             part = (_least(ids[used]), blob_of(prints[used]), _least(np.diff(first)))
             # the high byte of the hash is mostly the bucket's number, the rest says more
             add(k, 0, *part, blob_of(hashes[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7] if n >= 32 else hashes[mine].astype("<u8")), steps)
-    return pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _MESSAGE, strict=True)], schema=_MESSAGE)
+    out = pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _MESSAGE, strict=True)], schema=_MESSAGE)
+    yield from in_parts(out)
 
 
 @tidy
@@ -149,7 +151,7 @@ def _hash_windows(width: int, n: int, most: int, batches: Iterator[pa.RecordBatc
     held: list[tuple] = []
     gathered = 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate([x[0] for x in held])
         offsets = np.append(0, np.cumsum(np.concatenate([x[1] for x in held])))
         ids, prints = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
@@ -169,10 +171,10 @@ def _hash_windows(width: int, n: int, most: int, batches: Iterator[pa.RecordBatc
             held.append((all_windows[at], counts[some], ids_of(part)[some], ids_of(part, "print")[some].astype("<u4")))
             gathered += len(at)
             if gathered >= most:
-                yield flush()
+                yield from flush()
                 gathered = 0
     if held:
-        yield flush()
+        yield from flush()
 
 
 @tidy

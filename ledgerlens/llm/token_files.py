@@ -1,8 +1,8 @@
 """Token ids in binary files: frequency-ranked, byte-aligned variable length, control bytes apart.
 
-All documents are encoded once (each distinct chunk between white space goes through the library once
-per worker and is kept in a bounded table), the ids are counted over the whole corpus, and the ids are
-renumbered by falling frequency. Files hold documents in ascending doc_id: a file is
+Each distinct word of the corpus goes through the library once (`unit_table`), which also gives how often each
+id occurs, so ids are renumbered by falling frequency before any text is encoded. Texts are then encoded by
+look-ups and sent to their part of the doc_id order. Files hold documents in ascending doc_id: a file is
 
     magic, counts | doc ids | ids per document | control bytes (2 bits an id: bytes - 1) | data bytes
 
@@ -10,100 +10,90 @@ and a folder has one `ranks.bin` with the id of each rank. A numpy table over th
 the four lengths of each, so decoding is cumulative sums and gathers, no loop over ids.
 
 Defined results: null and empty texts have no ids but the end id. Rows with a null doc_id come first,
-rows that share a doc_id follow each other in no defined order. An empty table gives an empty result;
-extra columns are ignored. A task that is run again writes a new file; only files that the surviving
-attempts name are read.
+rows that share a doc_id follow each other in no defined order (many of them go to several parts). A text of
+any length is one row, its ids one value. An empty table gives an empty result; extra columns are ignored. A
+task that is run again writes a new file; only files that the surviving attempts name are read.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, buckets, cut, drop_folder, file_system, mapped, new_folder, on_workers, tidy
+from .common import SPACED, SPACED_LOWER, Words, buckets, cut, drop_folder, file_system, in_parts, mapped, new_folder, on_workers, pieces, tidy, words_of
+from .unit_table import GATHERED, LOOKED_UP, build, gathered
 
 MAGIC = b"LLTOK001"
-#: Distinct chunks, and distinct words inside them, that a worker keeps; a table starts anew beyond that.
-TABLE_CHUNKS, TABLE_WORDS = 400_000, 900_000
 #: Bytes of stored ids in a file, about.
 FILE_BYTES = 64 << 20
 NULL_ID = np.iinfo(np.int64).min
-#: Not white space for the tokenizer, but for str.split().
-_ODD = "\x1c\x1d\x1e\x1f"
 #: Signs that may close a word; no apostrophe (contractions) and no '|' or '>' (special tokens).
 SIGNS = ".,;:!?#*$%&-)"
-_LOADED: dict[str, ChunkEncoder] = {}
+#: Closing signs that are taken from a word, at most.
+CLOSING = 8
+_IS_SIGN, _IS_LETTER, _IS_SECOND = (np.isin(np.arange(256), x) for x in (list(SIGNS.encode()), [*range(65, 91), *range(97, 123), 0xC3], [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]))
+_LOADED: dict[str, WordUnits] = {}
 #: For each control byte the lengths of its four values, and their sum.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.uint8)
 TOTALS = LENGTHS.sum(1).astype(np.uint8)
 
 
-class ChunkEncoder:
-    """The library's ids of texts, by way of a table of the chunks between white space."""
+class WordUnits:
+    """The library's ids of texts by way of units: chunks between ASCII white space, those of letters and closing signs in two parts.
 
-    def __init__(self, path: str):
-        import os
+    The tokenizer drops white space, cuts between letters and signs, and lower-cases, so the parts' ids in turn are the text's.
+    """
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.table: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _add(self, chunks: list[str]) -> None:
-        """Puts chunks into the table. One of letters and closing ASCII signs is the two parts' ids in turn: the tokenizer cuts there, and lower-cases."""
-        split, whole, bases = [], [], set()
-        for chunk in chunks:
-            word = chunk.rstrip(SIGNS)
-            lowered = word.lower()
-            if word.isalpha() and max(word) < "\u0250" and len(lowered) == len(word):
-                split.append((chunk, lowered, chunk[len(word) :]))
-                bases.update(split[-1][1:])
-            else:
-                whole.append(chunk)
-        bases.discard("")
-        new = [x for x in bases if x not in self.words]
-        if len(self.words) + len(new) > TABLE_WORDS:
-            self.words.clear()
-            new = list(bases)
-        self.words.update(zip(new, self._ids(new), strict=True))
-        self.words[""] = b""
-        self.table.update(zip(whole, self._ids(whole), strict=True))
-        for chunk, word, signs in split:
-            self.table[chunk] = self.words[word] + self.words[signs]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        odd = [any(c in x for c in _ODD) for x in texts]
-        chunks = [[] if o else x.split() for x, o in zip(texts, odd, strict=True)]
-        found = set().union(*chunks) if chunks else set()
-        new = [x for x in found if x not in self.table]
-        if len(self.table) + len(new) > TABLE_CHUNKS:
-            self.table.clear()
-            new = list(found)
-        self._add(new)
-        out = [b"".join([self.table[w] for w in x]) for x in chunks]
-        if any(odd):
-            whole = iter(self._ids([x for x, o in zip(texts, odd, strict=True) if o]))
-            out = [next(whole) if o else x for x, o in zip(out, odd, strict=True)]
-        return out
-
-
-def encoder_for(path: str) -> ChunkEncoder:
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        words = words_of(data, offsets, SPACED)
+        core = words.end.copy()
+        closing = np.arange(len(core))
+        for _ in range(CLOSING):
+            closing = closing[core[closing] > words.start[closing]]
+            closing = closing[_IS_SIGN[data[core[closing] - 1]]]
+            core[closing] -= 1
+        # letters are ASCII ones and those of two bytes that begin with C3; the rest stays as it is
+        second = np.zeros(len(data), bool)
+        second[1:] = data[:-1] == 0xC3
+        other = np.append(0, np.cumsum(~np.where(second, _IS_SECOND[data], _IS_LETTER[data])))
+        plain = (other[core] == other[words.start]) & (core > words.start)
+        plain[closing] = False  # more signs than were looked at
+        two = plain & (core < words.end)
+        n = 1 + two
+        at = np.cumsum(n) - n
+        start, end = np.empty(n.sum(), np.int64), np.empty(n.sum(), np.int64)
+        # behind the text stands the same in small letters
+        start[at] = words.start + np.where(plain, len(data), 0)
+        end[at] = np.where(plain, core + len(data), words.end)
+        start[at[two] + 1], end[at[two] + 1] = core[two], words.end[two]
+        return Words(np.concatenate([data, SPACED_LOWER[1][data]]), start, end, np.append(0, np.cumsum(n))[words.first])
+
+    def segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), self.kind)
+
+
+def units_for(path: str) -> WordUnits:
     if path not in _LOADED:
-        _LOADED[path] = ChunkEncoder(path)
+        _LOADED[path] = WordUnits(path)
     return _LOADED[path]
 
 
@@ -161,60 +151,89 @@ def read_file(fs, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @tidy
-def _encode(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their ids, two bytes each if the vocabulary allows, then one row with the task's counts."""
-    encoder = encoder_for(path)
-    kind = "<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4"
-    totals = np.zeros(max(encoder.size, end_id + 1), np.int64)
-    end = np.array([end_id], "<u4").tobytes()
-    names = ["doc_id", "n", "ids", "counts"]
+def _encode(path: str, shared: Broadcast, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the ranks of their ids and the part of the doc_id order that they go to."""
+    table, rank, end_id, bounds = shared.value
+    segmenter = units_for(path)
+    kind = "<u2" if len(rank) <= 1 << 16 else "<u4"
+    held: list[tuple[np.ndarray, Words]] = []
+    turn = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal turn
+        shift = np.cumsum([0, *(len(x.data) for _, x in held)])
+        n_units = np.cumsum([0, *(len(x.start) for _, x in held)])
+        units = Words(*(np.concatenate([getattr(x, f) + s if f != "data" else x.data for (_, x), s in zip(held, shift, strict=False)]) for f in ("data", "start", "end")), np.concatenate([*(x.first[:-1] + s for (_, x), s in zip(held, n_units, strict=False)), n_units[-1:]]))
+        ids = np.concatenate([x for x, _ in held])
+        held.clear()
+        codes, many, begin, values = table.values(segmenter, units)
+        # each document is closed by the end id
+        order = np.full(len(codes) + len(ids), len(many), np.int64)
+        order[np.arange(len(codes)) + units.owner()] = codes
+        many, begin = np.append(many, 1), np.append(begin, len(values))
+        ranks = gathered(rank[np.append(values.astype(np.int64), end_id)].astype(kind), begin[order], many[order])
+        stops = np.append(0, np.cumsum(many[order])[units.first[1:] + np.arange(len(ids))])
+        low, high = np.searchsorted(bounds, ids), np.searchsorted(bounds, ids, side="right")
+        part = low + (turn + np.arange(len(ids))) % (high - low + 1)  # an id that is several bounds goes to all parts between
+        turn += len(ids)
+        size = np.dtype(kind).itemsize
+        blobs = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((stops * size).astype("<i4")), pa.py_buffer(ranks)])
+        yield from in_parts(pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(ids), pa.array(np.diff(stops)), blobs], names=["part", "doc_id", "n", "ranks"]))
+
+    size = 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            found = [x + end for x in encoder.encode(as_text(part.column("text")).to_pylist())]
-            every = np.frombuffer(b"".join(found), "<u4")
-            totals += np.bincount(every, minlength=len(totals))
-            blobs = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(len(found), pa.binary())], names=names)
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([totals.tobytes()], pa.binary())], names=names)
+        for part, data, offsets in pieces(batch):
+            held.append((pc.fill_null(part.column("doc_id"), int(NULL_ID)).to_numpy(), segmenter.units(data, offsets)))
+            size += len(held[-1][1].start) + part.num_rows
+            if size >= most:
+                yield from flush()
+                size = 0
+    if held:
+        yield from flush()
 
 
 @tidy
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
+    total = np.zeros(0, np.int64)
     for batch in batches:
-        for x in batch.column("counts"):
-            own = np.frombuffer(x.as_buffer(), np.int64)
-            total = own.copy() if total is None else total + own
-    if total is not None:
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+        for used, own in zip(batch.column("used"), batch.column("total"), strict=True):
+            used, own = np.frombuffer(used.as_buffer(), np.int64), np.frombuffer(own.as_buffer(), np.int64)
+            total = np.pad(total, (0, max(0, int(used.max(initial=-1)) + 1 - len(total))))
+            total[used] += own
+    ids = np.flatnonzero(total)
+    if len(ids):
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
 
 @tidy
-def _write(folder: str, rank: np.ndarray, kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(folder: str, kind: str, file_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fs, base = file_system(folder)
-    ids, counts, values, size = [], [], [], 0
+    ids, counts, values, size, number = [], [], [], 0, 0
 
     def flush() -> pa.RecordBatch:
+        nonlocal number
         path = f"{base}/part-{uuid.uuid4().hex}.bin"
         keys, n = np.concatenate(ids), np.concatenate(counts)
-        write_file(fs, path, keys, n, rank[np.frombuffer(b"".join(values), kind)])
-        row = [path[len(base) + 1 :], int(keys[0]), len(keys), int(n.sum())]
+        write_file(fs, path, keys, n, np.frombuffer(b"".join(values), kind))
+        row = [path[len(base) + 1 :], part, number, int(keys[0]), len(keys), int(n.sum())]
+        number += 1
         for x in (ids, counts, values):
             x.clear()
-        return pa.RecordBatch.from_arrays([pa.array([row[0]]), *(pa.array([x], pa.int64()) for x in row[1:])], names=["file", "first_id", "n_docs", "n_tokens"])
+        return pa.RecordBatch.from_arrays([pa.array([row[0]]), *(pa.array([x], pa.int64()) for x in row[1:])], names=["file", "part", "number", "first_id", "n_docs", "n_tokens"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids.append(pc.fill_null(batch.column("doc_id"), int(NULL_ID)).to_numpy())
-        counts.append(batch.column("n").to_numpy())
-        values += batch.column("ids").to_pylist()
-        size += sum(map(len, values[-batch.num_rows :]))
-        if size >= FILE_BYTES:
-            yield flush()
-            size = 0
+        part = batch.column("part")[0].as_py()
+        for at in range(0, batch.num_rows, 1000):
+            rows = batch.slice(at, 1000)
+            ids.append(rows.column("doc_id").to_numpy())
+            counts.append(rows.column("n").to_numpy())
+            values += rows.column("ranks").to_pylist()
+            size += sum(map(len, values[-rows.num_rows :]))
+            if size >= file_bytes:
+                yield flush()
+                size = 0
     if ids:
         yield flush()
 
@@ -237,36 +256,44 @@ def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 yield pa.RecordBatch.from_arrays([keys, pa.array(begins[rows] + start, pa.int64()), pa.array(counts[rows].astype(np.int64)), pa.array([bytes(x) for x in blobs], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """Writes docs' token files and ranks.bin to folder; the manifest: file, first_id, n_docs, n_tokens, start (ids before it), in order of doc_id."""
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, *, looked_up: int = LOOKED_UP, sent: int = GATHERED, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes docs' token files and ranks.bin to folder; the manifest: file, part, number, first_id, n_docs, n_tokens, start (ids before it), in order of doc_id."""
     spark = docs.sparkSession
     on_workers(spark)
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    encoded = cut(source.mapInArrow(lambda b: _encode(tokenizer_path, end_id, b), "doc_id long, n long, ids binary, counts binary"))
+    units = units_for(tokenizer_path)
+    table, totals = build(source, lambda: units_for(tokenizer_path), folder, units.kind, gathered=sent)
+    n = buckets(docs)
     # as many rows as the vocabulary has ids, whatever the corpus
-    counts = encoded.filter("counts IS NOT NULL").select("counts").mapInArrow(_add_up, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
-    size = max(encoder_for(tokenizer_path).size, end_id + 1)
-    order = np.array([x.id for x in counts], np.int64)
-    ids_of_rank = np.append(order, np.setdiff1d(np.arange(size), order)).astype("<u4")
-    rank = np.empty(size, np.uint32)
-    rank[ids_of_rank] = np.arange(size)
-    jvm = spark.sparkContext._jvm
-    jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    counts = totals.coalesce(max(1, min(n, 64))).mapInArrow(_add_up, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    held = np.zeros(max(units.size, end_id + 1), np.int64)
+    for x in counts:
+        held[x.id] = x.n
+    place = F.coalesce(source["doc_id"], F.lit(int(NULL_ID)))
+    n_docs, bounds = source.agg(F.count(F.lit(1)), F.percentile_approx(place, [k / n for k in range(1, n)] or [0.5], F.lit(max(10_000, 4 * n)))).first()
+    held[end_id] += n_docs
+    ids_of_rank = np.argsort(-held, kind="stable").astype("<u4")
+    rank = np.empty(len(held), np.uint32)
+    rank[ids_of_rank] = np.arange(len(held))
     fs, base = file_system(folder)
     with fs.open_output_stream(f"{base}/ranks.bin") as f:
         f.write(ids_of_rank.tobytes())
-    kind = "<u2" if size <= 1 << 16 else "<u4"
-    shared = spark.sparkContext.broadcast(rank)
-    ordered = encoded.filter("counts IS NULL").select("doc_id", "n", "ids").repartitionByRange(buckets(docs), "doc_id").sortWithinPartitions("doc_id")
-    files = cut(ordered.mapInArrow(lambda b: _write(folder, shared.value, kind, b), "file string, first_id long, n_docs long, n_tokens long"))
+    bounds = np.array((bounds if n > 1 else None) or [], np.int64)
+    shared = spark.sparkContext.broadcast((table, rank, end_id, bounds))
+    encoded = source.mapInArrow(lambda b: _encode(tokenizer_path, shared, looked_up, b), "part int, doc_id long, n long, ranks binary")
+    ordered = encoded.repartitionById(n, "part").sortWithinPartitions("part", "doc_id")
+    kind = "<u2" if len(held) <= 1 << 16 else "<u4"
+    files = cut(ordered.mapInArrow(lambda b: _write(folder, kind, file_bytes, b), "file string, part long, number long, first_id long, n_docs long, n_tokens long"))
+    for name in table.names:
+        if name:
+            for end in ("key", "first", "value"):
+                fs.delete_file(f"{base}/{name}.{end}")
     return _with_starts(files)
 
 
 def _with_starts(files: DataFrame) -> DataFrame:
-    """Ids before each file. The manifest has one row per file of tens of megabytes."""
-    from pyspark.sql import Window
-
-    return files.withColumn("start", F.sum("n_tokens").over(Window.orderBy("first_id", "file")) - F.col("n_tokens"))
+    """Ids before each file. The manifest has one row per file of megabytes."""
+    return files.withColumn("start", F.sum("n_tokens").over(Window.orderBy("part", "number")) - F.col("n_tokens"))
 
 
 def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
@@ -283,11 +310,11 @@ def _checksums(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], sums], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1, **limits) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 as read back from files, which are deleted again."""
     spark = docs.sparkSession
     folder = new_folder(spark, "tokens")
-    manifest = write(docs, folder, tokenizer_path, end_id)
+    manifest = write(docs, folder, tokenizer_path, end_id, **limits)
     spread = manifest.select("file", "start").repartition(buckets(docs), "file")
     out = cut(spread.mapInArrow(lambda b: _checksums(folder, b), "doc_id long, start long, n_tokens long, ids_crc32 long"))
     drop_folder(spark, folder)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, buckets, cut, drop_folder, file_system, new_folder, on_workers, tidy
+from .common import as_text, buckets, cut, drop_folder, file_system, make_folder, new_folder, on_workers, tidy
 
 MIN_PAYLOAD = 100
 #: Captures in a compressed index block.
@@ -168,8 +168,7 @@ def write(pages: DataFrame, folder: str, *, block_lines: int = BLOCK_LINES, arch
     marks = repeats.select("key", "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.col("first_id").alias("refers_to")).distinct()
     rows = source.select("key", "page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to")).unionByName(marks)
     sorted_pages = rows.repartitionByRange(buckets(pages), "key", "page_id").sortWithinPartitions("key", "page_id", "digest", F.col("refers_to").asc_nulls_last())
-    jvm = spark.sparkContext._jvm
-    jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    make_folder(spark, folder)
     return cut(sorted_pages.mapInArrow(lambda b: _write(folder, block_lines, archive_bytes, b), _ARCHIVE_SQL))
 
 

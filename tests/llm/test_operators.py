@@ -164,7 +164,7 @@ def test_op2(held):
 
     docs, texts = held
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    got, full = by_id(sentence_pieces.encode(docs, PIECES, digests=True)), by_id(sentence_pieces.encode(docs, PIECES))
+    got, full = by_id(sentence_pieces.encode(docs, PIECES, digests=True)), by_id(sentence_pieces.encode(docs, PIECES, looked_up=100, sent=50))
     back = by_id(sentence_pieces.decode(sentence_pieces.encode(docs, PIECES).drop("decoded"), PIECES))
     for i, t in texts.items():
         ids = model.encode(t or "")
@@ -275,7 +275,7 @@ def test_op6(held, tmp_path):
     from tokenizers import Tokenizer
 
     docs, texts = held
-    got, library, start = by_id(token_files.round_trip(docs, WORDS, 1)), Tokenizer.from_file(WORDS), 0
+    got, library, start = by_id(token_files.round_trip(docs, WORDS, 1, looked_up=200, sent=100, file_bytes=3000)), Tokenizer.from_file(WORDS), 0
     assert set(got) == set(texts)
     for i in sorted(texts):
         ids = np.array([*library.encode(texts[i] or "", add_special_tokens=False).ids, 1], "<u4")
@@ -283,6 +283,38 @@ def test_op6(held, tmp_path):
         start += len(ids)
 
 
+def odd_texts(n):
+    """Random strings of the signs that tokenizers treat in some way of their own."""
+    r = random.Random(8)
+    signs = [*"abcdefgzABCZ éÉßİıΣςªº×÷\x1c\x1f\x85\xa0\u3000\u2028\u0301\u0345▁▁  \n\t\x00", "'s", "'LL", "<s>", "<|endoftext|>", "<|ENDOFTEXT|>", "😀", "안", "ｆｕ", "123", "...", "!!!!!!!!!!!!", "-", ")", "|", "K", "the ", "and "]
+    return {i: "".join(r.choice(signs) for _ in range(r.randint(0, 40))) for i in range(n)}
+
+
+def test_op2_and_op6_on_odd_texts(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = odd_texts(1500)
+    docs = table(spark, texts)
+    model, library = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(WORDS)
+    pieces = by_id(sentence_pieces.encode(docs, PIECES))
+    digests = by_id(sentence_pieces.encode(docs, PIECES, digests=True, looked_up=1000))
+    words = by_id(token_files.round_trip(docs, WORDS, 1))
+    for i, t in texts.items():
+        ids = model.encode(t)
+        assert (pieces[i].ids, pieces[i].decoded, pieces[i].n_tokens) == (ids, model.decode(ids), len(ids)), t
+        assert (digests[i].ids_sha256, digests[i].decoded_sha256) == tuple(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), model.decode(ids)))
+        assert words[i].ids_crc32 == zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()), t
+
+
+def test_op6_null_and_repeated_ids(spark):
+    rows = [(None, "one two"), (5, "a"), (5, "b c"), (5, "d"), (None, None), (7, "e f g"), (-3, "h")] + [(5, "x y")] * 40
+    got = token_files.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), WORDS, 1).collect()
+    got.sort(key=lambda x: x.start)
+    assert [x.doc_id for x in got] == [None] * 2 + [-3] + [5] * 43 + [7]
+    assert [x.start for x in got] == [sum(y.n_tokens for y in got[:k]) for k in range(len(got))]
+
+
 def test_op6_coding():
     values = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     for n in range(len(values) + 1):
