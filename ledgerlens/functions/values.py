@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .keys import norm_key
+from .keys import norm_key, strip
 
 # Cells that mean granted, and cells that mean not granted.
 GRANTED = ["y", "yes", "true", "1", "x", "✓", "✔", "☑", "check", "checked", "allow", "allowed", "grant", "granted", "on", "enabled", "enable", "permitted", "permit", "full", "full access", "access", "assigned", "active", "ok", "a"]
@@ -17,7 +17,7 @@ TYPES = ["ok", "excess", "missing", "different", "user-not-in-baseline", "user-n
 
 def normalize_value(raw: Column, kind: Column | None = None, key=norm_key) -> Column:
     """'Y', 'N' or the key of a level. kind: 'num' or 'bool' where the cell was a number or a truth value, else text."""
-    k, s = key(raw), F.trim(F.coalesce(raw, F.lit("")))
+    k, s = key(raw), strip(raw)
     text = (
         F.when(k.isin(GRANTED) | s.isin(GRANTED), "Y")
         .when(k.isin(NOT_GRANTED) | s.isin(NOT_GRANTED), "N")
@@ -33,7 +33,7 @@ def normalize_value(raw: Column, kind: Column | None = None, key=norm_key) -> Co
 
 def is_annotated(raw: Column, key=norm_key) -> Column:
     """A cell that says more than yes or no."""
-    k, s = key(raw), F.trim(F.coalesce(raw, F.lit("")))
+    k, s = key(raw), strip(raw)
     known = k.isin(GRANTED + NOT_GRANTED) | s.isin(GRANTED + NOT_GRANTED)
     return (s != "") & ~known
 
@@ -43,10 +43,10 @@ def is_granted(value: Column) -> Column:
 
 
 def show(value: Column, raw: Column, key=norm_key) -> Column:
-    """The value, with what the cell said where that differs."""
-    s = F.trim(F.coalesce(raw, F.lit("")))
+    """The value (Y, N or the key of a level), with what the cell said where that differs."""
+    s = strip(raw)
     blank = F.coalesce(raw, F.lit("")) == ""
-    return F.when(value.isNull(), "").when(blank, F.when(value == "N", "N (blank)").otherwise(value)).when(key(s) == key(value), value).otherwise(F.concat(value, F.lit(" ("), s, F.lit(")")))
+    return F.when(value.isNull(), "").when(blank, F.when(value == "N", "N (blank)").otherwise(value)).when(key(s) == F.lower(value), value).otherwise(F.concat(value, F.lit(" ("), s, F.lit(")")))
 
 
 def severity_rank(severity: Column) -> Column:

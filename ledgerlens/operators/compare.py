@@ -17,6 +17,8 @@ from ..plans.lineage import cut
 from .match import closest, rewrite, unique_matches
 
 TICK_NOTE = "instead of a tick"
+#: Subjects or permissions of both sides that are sent to every task rather than shuffled, at most.
+SMALL = 100_000
 _WINNER = ["permission", "value", "raw", "row", "role"]
 
 
@@ -41,6 +43,8 @@ class Index:
     records: DataFrame
     subjects: DataFrame
     permissions: DataFrame
+    #: About how many subjects and permissions there are, where that was counted.
+    sizes: tuple[int, int] | None = None
 
 
 @dataclass
@@ -95,7 +99,8 @@ def index(records: DataFrame, options: Options, aliases: DataFrame | None = None
     by_key = cut(by_key)
     subjects = by_key.groupBy(F.col("subject_key").alias("key")).agg(F.min_by("first.subject", "ord").alias("display"), F.min("ord").alias("ord"), F.max("listed_only").alias("listed_only"), F.min_by("first_role", "role_ord").alias("role"))
     permissions = by_key.groupBy(F.col("permission_key").alias("key")).agg(F.min_by("first.permission", "ord").alias("display"), F.min("ord").alias("ord"))
-    return Index(by_key.select("subject_key", "permission_key", "last.*", "ord"), subjects, permissions)
+    sizes = by_key.agg(F.approx_count_distinct("subject_key"), F.approx_count_distinct("permission_key")).first()
+    return Index(by_key.select("subject_key", "permission_key", "last.*", "ord"), subjects, permissions, tuple(sizes))
 
 
 def _renamed(side: Index, subjects: DataFrame | None, permissions: DataFrame | None) -> Index:
@@ -107,7 +112,7 @@ def _renamed(side: Index, subjects: DataFrame | None, permissions: DataFrame | N
         table = table.select(F.col("from_key").alias("_from"), F.col("to_key").alias("_to"))
         return df.join(table, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
-    return Index(to(to(side.records, "subject_key", subjects), "permission_key", permissions), to(side.subjects, "key", subjects), to(side.permissions, "key", permissions))
+    return Index(to(to(side.records, "subject_key", subjects), "permission_key", permissions), to(side.subjects, "key", subjects), to(side.permissions, "key", permissions), side.sizes)
 
 
 def paired_names(baseline: Index, actual: Index, options: Options) -> tuple[DataFrame, DataFrame]:
@@ -155,9 +160,14 @@ def classify(pairs: DataFrame) -> DataFrame:
 def reconcile(baseline: Index, actual: Index, options: Options) -> DataFrame:
     """One row per (subject, permission) that either side has, with type and severity.
 
-    One full outer join on the pair; what each side knows of the subject and the permission comes from
-    joins with the (much smaller) tables of subjects and permissions.
+    One full outer join on the pair, the only exchange of pairs: what each side knows of the subject and the
+    permission comes from the tables of subjects and permissions, which go to every task while they are small.
     """
+
+    def spread(df: DataFrame, which: int) -> DataFrame:
+        held = [x.sizes[which] for x in (baseline, actual) if x.sizes]
+        return F.broadcast(df) if len(held) == 2 and sum(held) <= SMALL else df
+
     b, a = (x.records.select("subject_key", "permission_key", *(F.col(c).alias(f"{p}_{c}") for c in [*_WINNER, "ord"]), F.lit(True).alias(h)) for x, p, h in ((baseline, "b", "has_baseline"), (actual, "a", "has_actual")))
     pairs = b.join(a, ["subject_key", "permission_key"], "full_outer")
     pairs = pairs.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_baseline", "has_actual")})
@@ -169,7 +179,7 @@ def reconcile(baseline: Index, actual: Index, options: Options) -> DataFrame:
         F.coalesce("in_b", F.lit(False)).alias("subject_in_baseline"), F.coalesce("in_a", F.lit(False)).alias("subject_in_actual"),
     )
     known = [x.permissions.select(F.col("key").alias("permission_key"), F.lit(True).alias(c)).distinct() for x, c in ((baseline, "permission_in_baseline"), (actual, "permission_in_actual"))]
-    pairs = pairs.join(subjects, "subject_key").join(known[0], "permission_key", "left").join(known[1], "permission_key", "left")
+    pairs = pairs.join(spread(subjects, 0), "subject_key").join(spread(known[0], 1), "permission_key", "left").join(spread(known[1], 1), "permission_key", "left")
     pairs = pairs.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("permission_in_baseline", "permission_in_actual")})
     pairs = classify(pairs)
     pairs = pairs.withColumn("permission", F.coalesce("b_permission", "a_permission"))
@@ -182,24 +192,23 @@ def reconcile(baseline: Index, actual: Index, options: Options) -> DataFrame:
 
 
 def _note() -> Column:
-    """What a finding says."""
-    tick = F.concat(F.lit('the baseline cell says "'), F.coalesce("b_raw", F.lit("")), F.lit(f'" {TICK_NOTE}: fix the cell; the system does not grant it'))
-    levels = F.concat(F.lit('both set, to different levels: the system says "'), F.coalesce("a_raw", F.lit("")), F.lit('", the baseline "'), F.coalesce("b_raw", F.lit("")), F.lit('"'))
-    kind, text = F.col("type"), ~F.col("b_value").isin("Y", "N")
-    none = F.coalesce(F.col("a_value"), F.lit("N")).isin("N", "")
-    return (
-        F.when((kind == "excess") & F.col("has_baseline"), "granted but not in the baseline: remove it, or approve it in the baseline")
-        .when(kind == "excess", "granted; the baseline covers this setting but says nothing for this subject: remove it, or add it to the baseline")
-        .when((kind == "different") & text & none, tick)
-        .when(kind == "different", levels)
-        .when((kind == "missing") & F.col("listed_only"), "required by the baseline but not in this subject's list: grant it")
-        .when((kind == "missing") & ~F.col("has_actual"), "the setting exists but is not listed for this subject")
-        .when(kind == "missing", "required by the baseline but not granted: grant it")
-        .when(kind == "permission-not-in-actual", "this setting appears nowhere in the actual state: renamed, or a typo in the baseline")
-        .when((kind == "permission-not-in-baseline") & (F.col("severity") == "low"), "the baseline does not cover this setting, and it is granted: decide, and add it")
-        .when(kind == "permission-not-in-baseline", "the baseline does not cover this setting (not granted)")
-        .otherwise("")
-    )
+    """What a finding says of its pair, by what the pair is."""
+    kind = F.col("type")
+    said = lambda side: F.concat(F.lit('"'), F.coalesce(f"{side}_raw", F.lit("")), F.lit('"'))
+    absent = ~F.col("has_actual")
+    pasted = ~F.col("b_value").isin("Y", "N") & F.coalesce(F.col("a_value"), F.lit("N")).isin("N", "")
+    cases = [
+        (kind == "excess", F.when(F.col("has_baseline"), "held against the baseline: take it away, or change the baseline").otherwise("held, and the baseline has no line for this subject here: take it away, or add the line")),
+        ((kind == "different") & pasted, F.concat(F.lit("baseline cell with "), said("b"), F.lit(f" {TICK_NOTE}; not held: correct the cell"))),
+        (kind == "different", F.concat(F.lit("levels differ: held "), said("a"), F.lit(", wanted "), said("b"))),
+        (kind == "missing", F.when(F.col("listed_only"), "wanted, and the subject's list lacks it: give it").when(absent, "wanted, and known to the system, but no line for this subject").otherwise("wanted but not held: give it")),
+        (kind == "permission-not-in-actual", F.lit("the system has no such setting: renamed there, or misspelt here")),
+        (kind == "permission-not-in-baseline", F.when(F.col("severity") == "low", "held, and outside the baseline: decide on it").otherwise("outside the baseline, not held")),
+    ]
+    out = F.lit("")
+    for holds, text in reversed(cases):
+        out = F.when(holds, text).otherwise(out)
+    return out
 
 
 def findings(pairs: DataFrame, baseline: Index, actual: Index, options: Options) -> DataFrame:
@@ -215,11 +224,11 @@ def findings(pairs: DataFrame, baseline: Index, actual: Index, options: Options)
     )
     many = F.concat(F.col("n").cast("string"), F.lit(" settings ("), F.col("granted").cast("string"), F.lit(" granted)"))
     missing = F.col("type") == "user-not-in-actual"
-    some = F.concat(F.lit("no baseline for this subject: every grant is unreviewed: "), F.array_join(F.transform("first", lambda x: x["permission"]), "; "), F.when(F.col("granted") > 8, "; ...").otherwise(""))
+    some = F.concat(F.lit("nobody has reviewed what this subject holds: "), F.array_join(F.transform("first", lambda x: x["permission"]), "; "), F.when(F.col("granted") > 8, "; ...").otherwise(""))
     single = single.select(
         F.when(missing, "medium").when(F.col("granted") > 0, "high").otherwise("low").alias("severity"), "type", "subject", F.lit("").alias("permission"),
         F.when(missing, many).otherwise("").alias("expected"), F.when(missing, "").otherwise(many).alias("actual"),
-        F.when(missing, "in the baseline but not in the actual state: not exported, or spelled differently").when(F.col("granted") > 0, some).otherwise("no baseline for this subject, and no grants").alias("note"),
+        F.when(missing, "expected, but the system does not list this subject: left out, or under another name").when(F.col("granted") > 0, some).otherwise("not expected, and holds nothing").alias("note"),
         F.lit(None).cast("int").alias("baseline_row"), F.lit(None).cast("int").alias("actual_row"), "subject_key", F.lit("").alias("permission_key"),
     )
     out = listed.withColumn("suggestion", F.lit("")).select(*columns).unionByName(single.withColumn("suggestion", F.lit("")).select(*columns))
@@ -246,6 +255,15 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.orderBy(severity_rank(F.col("severity")).desc(), F.collate("subject", "UNICODE"), F.collate("permission", "UNICODE"))
 
 
+def detail(result: Result) -> DataFrame:
+    """Every pair in order of subjects (those of the baseline first, each side's as first met), then of settings as first met: subject, role, permission, type, expected, actual."""
+    key = lambda x, name: x.select("key", F.col("ord").alias(name))
+    subjects = key(result.baseline.subjects, "_b").join(key(result.actual.subjects, "_a"), "key", "full_outer").withColumnRenamed("key", "subject_key")
+    pairs = result.pairs.join(subjects, "subject_key", "left")
+    first = [F.col("_b").isNull(), F.col("_b"), F.col("_a"), F.col("b_ord").isNull(), F.col("b_ord"), F.col("a_ord")]
+    return pairs.orderBy(*first).select("subject", "role", "permission", "type", "expected", "actual")
+
+
 def compare(baseline: DataFrame, actual: DataFrame, options: Options | None = None) -> Result:
     options = options or Options()
     b, a = index(baseline, options, options.aliases), index(actual, options)
@@ -260,7 +278,7 @@ def compare(baseline: DataFrame, actual: DataFrame, options: Options | None = No
             named = pairs.join(left.select(F.col("key").alias("from_key"), F.col("display").alias("baseline")), "from_key").join(right.select(F.col("key").alias("to_key"), F.col("display").alias("actual")), "to_key")
             matches.append(named.select("baseline", "actual", F.lit("name").alias("by"), F.lit(kind).alias("kind")))
         b = _renamed(b, subjects, permissions)
-    pairs = reconcile(b, a, options)
+    pairs = cut(reconcile(b, a, options))  # findings, counts and roll-ups all read them
     spark = baseline.sparkSession
     every = matches[0] if matches else spark.createDataFrame([], "baseline string, actual string, by string, kind string")
     for more in matches[1:]:

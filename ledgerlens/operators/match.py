@@ -10,10 +10,10 @@ from ..functions.similarity import similarity
 
 
 def rewrite(df: DataFrame, column: str, aliases: DataFrame | None, kind: str) -> DataFrame:
-    """Replaces keys by their alias (one hop). aliases: kind, from_key, to_key; the last of equal from_key wins by to_key."""
+    """Replaces keys by their alias (one hop). aliases: kind, from_key, to_key and, where rows have an order, ord: the last of equal from_key wins (without ord the largest to_key)."""
     if aliases is None:
         return df
-    mapped = aliases.filter(F.col("kind") == kind).groupBy(F.col("from_key").alias("_from")).agg(F.max("to_key").alias("_to"))
+    mapped = aliases.filter(F.col("kind") == kind).groupBy(F.col("from_key").alias("_from")).agg((F.max_by("to_key", "ord") if "ord" in aliases.columns else F.max("to_key")).alias("_to"))
     return df.join(mapped, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
 
@@ -37,29 +37,29 @@ def closest_score(key: Column, candidate: Column, display: Column) -> Column:
     return F.greatest(similarity(key, candidate), similarity(short_name(key), short_name(candidate)) * 0.95, plain)
 
 
-def _blocks(forms: list[Column]) -> Column:
-    """What two names share if they can be near: a word, two letters in a row, or (for short names) a length within two."""
+def _blocks(forms: list[Column], letters: int) -> Column:
+    """What two names share if they can be near: a word, some letters in a row, or (for short names) a length within two."""
     words = F.flatten(F.array(*(F.split(f, " ") for f in forms)))
-    grams = F.flatten(F.array(*(F.when(F.length(f) >= 2, F.transform(F.sequence(F.lit(0), F.length(f) - 2), _gram(f))).otherwise(F.array().cast("array<string>")) for f in forms)))
+    grams = F.flatten(F.array(*(F.when(F.length(f) >= letters, F.transform(F.sequence(F.lit(0), F.length(f) - letters), _gram(f, letters))).otherwise(F.array().cast("array<string>")) for f in forms)))
     lengths = F.flatten(F.array(*(F.when(F.length(f) < 8, F.transform(F.sequence(F.greatest(F.length(f) - 3, F.lit(0)), F.length(f) + 3), lambda n: F.concat(F.lit("#"), n.cast("string")))).otherwise(F.array().cast("array<string>")) for f in forms)))
     return F.array_distinct(F.concat(words, F.transform(grams, lambda g: F.concat(F.lit("="), g)), lengths))
 
 
-def _gram(f: Column):
-    return lambda i: F.substring(f, i + 1, F.lit(2))
+def _gram(f: Column, letters: int):
+    return lambda i: F.substring(f, i + 1, F.lit(letters))
 
 
-def closest(names: DataFrame, candidates: DataFrame, threshold: float = 0.72) -> DataFrame:
+def closest(names: DataFrame, candidates: DataFrame, threshold: float = 0.72, letters: int = 2) -> DataFrame:
     """key, suggestion, suggested_key, score: the nearest candidate over the threshold (the first of equals).
 
     names: key; candidates: key, display, ord. Only pairs that share a block are scored. For thresholds
     of 0.6 or more that loses nothing: names that near share a word or two adjacent letters, or are
-    short and of similar length.
+    short and of similar length. Lower thresholds take letters=1 (for few names).
     """
     left = names.select("key").distinct()
-    left = left.select("key", F.explode(_blocks([F.col("key"), short_name(F.col("key")), bare(F.col("key"))])).alias("block"))
+    left = left.select("key", F.explode(_blocks([F.col("key"), short_name(F.col("key")), bare(F.col("key"))], letters)).alias("block"))
     right = candidates.select(F.col("key").alias("candidate"), "display", "ord")
-    right = right.select("*", F.explode(_blocks([F.col("candidate"), short_name(F.col("candidate")), bare(F.col("display"))])).alias("block"))
+    right = right.select("*", F.explode(_blocks([F.col("candidate"), short_name(F.col("candidate")), bare(F.col("display"))], letters)).alias("block"))
     pairs = left.join(right, "block").select("key", "candidate", "display", "ord").distinct()
     scored = pairs.withColumn("score", closest_score(F.col("key"), F.col("candidate"), F.col("display"))).filter(F.col("score") > threshold)
     best = scored.groupBy("key").agg(F.min_by(F.struct("display", "candidate", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("best"))

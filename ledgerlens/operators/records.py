@@ -15,6 +15,9 @@ from ..functions.values import glob, normalize_value
 #: Words that mark a column as not to be validated.
 SKIP_WORDS = r"(?i)do(n'?t| not) (need to )?validate|no need to validate"
 
+# Words in the names of roles.
+ROLE_WORDS = ["admin", "user", "super", "provider", "nurse", "rn", "ma", "lvn", "biller", "billing", "front desk", "psr", "specialist", "read only", "assistant", "coordinator", "supervisor", "analyst", "liaison", "liason", "compliance", "him", "it"]
+
 
 def carry_forward(df: DataFrame, column: str, partition: list[str], order: list[str], into: str | None = None) -> DataFrame:
     """Blank cells take the last non-blank one above."""
@@ -75,8 +78,9 @@ def clean_text(x) -> str:
     return " ".join(str(x if x is not None else "").replace("﻿", " ").split())
 
 
-def role_list_records(cells: DataFrame, header_row: int, role: str, name: int, permission: int | None = None, group: int | None = None, description: int | None = None) -> DataFrame:
-    """One role's export in catalog columns: with a permission column its values, else every listed row is held."""
+def role_list_records(cells: DataFrame, header_row: int, role: str | Column, name: int, permission: int | None = None, group: int | None = None, description: int | None = None) -> DataFrame:
+    """Roles' exports in catalog columns: with a permission column its values, else every listed row is held. role: its name, or the column that has it."""
+    role = F.lit(role) if isinstance(role, str) else role
     rows = cells.filter(F.col("row") > header_row).withColumn("name", cell(name)).filter("name <> ''")
     if permission is None:
         raw, value = F.lit("listed"), F.lit("Y")
@@ -84,27 +88,36 @@ def role_list_records(cells: DataFrame, header_row: int, role: str, name: int, p
         raw = _raw(F.lit(permission))
         value = normalize_value(raw, F.get("kinds", F.lit(permission)))
     return rows.select(
-        F.lit(role).alias("subject"), "name", (cell(group) if group is not None else F.lit("")).alias("grp"), value.alias("value"), raw.alias("raw"), (cell(description) if description is not None else F.lit("")).alias("description"),
+        role.alias("subject"), role.alias("role"), "name", (cell(group) if group is not None else F.lit("")).alias("grp"), value.alias("value"), raw.alias("raw"), (cell(description) if description is not None else F.lit("")).alias("description"),
         F.lit(permission is None).alias("listed_only"), "file", "sheet", "row", F.struct("file", "sheet_no", "row", F.lit(name).alias("col")).alias("ord"),
     ).withColumnRenamed("name", "permission")
 
 
 def role_map(cells: DataFrame, header_row: int, user: int, role: int) -> DataFrame:
-    """user_key, user, role: the last row of each user."""
+    """user_key, user, role: the last row of each user; ord: where the user is first."""
     rows = cells.filter(F.col("row") > header_row).select(cell(user).alias("user"), cell(role).alias("role"), F.struct("file", "sheet_no", "row").alias("ord")).filter("user <> '' AND role <> ''")
-    return rows.groupBy(norm_key(F.col("user")).alias("user_key")).agg(F.max_by(F.struct("user", "role"), "ord").alias("last")).select("user_key", "last.*")
+    return rows.groupBy(norm_key(F.col("user")).alias("user_key")).agg(F.max_by(F.struct("user", "role"), "ord").alias("last"), F.min("ord").alias("ord")).select("user_key", "last.*", "ord")
 
 
 def expand_roles(records: DataFrame, users: DataFrame, always: bool = False) -> DataFrame:
-    """Records of roles as records of the users who have them; other subjects stay. Only if half the subjects are roles, or always."""
-    roles = users.select(norm_key(F.col("role")).alias("role_key"), "user", F.col("role").alias("held_role"))
+    """Records of roles as records of the users who have them; other subjects stay. Only if half the subjects are roles, or always. Where both have ord, records are in order of users, the others last."""
+    in_order = "ord" in users.columns and "ord" in records.columns
+    place = users["ord"] if in_order else F.lit(None)
+    roles = users.select(norm_key(F.col("role")).alias("role_key"), "user", F.col("role").alias("held_role"), place.alias("_place"))
     keyed = records.withColumn("role_key", norm_key(F.col("subject")))
     if not always:
         row = keyed.select("role_key").distinct().join(roles.select("role_key", F.lit(1).alias("hit")).distinct(), "role_key", "left").agg(F.count("hit"), F.count(F.lit(1))).first()
         if 2 * row[0] < row[1]:
             return records
     columns = [c for c in records.columns if c not in ("subject", "role")]
-    held = keyed.join(roles, "role_key").select(F.col("user").alias("subject"), *columns, F.col("held_role").alias("role"))
+    if in_order:
+        kind = users.schema["ord"].dataType
+        rank = lambda last, at: F.struct(F.lit(last).alias("kept"), at.alias("user"), F.col("ord").alias("own"))
+        first = keyed.join(roles, "role_key").withColumn("ord", rank(0, F.col("_place")))
+        keyed = keyed.withColumn("ord", rank(1, F.lit(None).cast(kind)))
+    else:
+        first = keyed.join(roles, "role_key")
+    held = first.select(F.col("user").alias("subject"), *columns, F.col("held_role").alias("role"))
     rest = keyed.join(roles.select("role_key").distinct(), "role_key", "left_anti").select("subject", *columns, F.lit(None).cast("string").alias("role"))
     return held.unionByName(rest)
 
@@ -126,9 +139,8 @@ def duplicates(records: DataFrame, keys: list[str]) -> DataFrame:
 
 def looks_like_roles(records: DataFrame) -> DataFrame:
     """share and looks_like_roles: at least half the subjects' names are words for roles."""
-    words = r"(^| )(admin|administrator|provider|nurse|biller|billing|front desk|manager|staff|support|reception|receptionist|assistant|clerk|physician|doctor|scheduler|coder|read only|supervisor|role)s?( |$)"
-    names = records.select(norm_key(F.col("subject")).alias("key")).distinct()
-    return names.agg(F.avg(F.col("key").rlike(words).cast("int")).alias("share")).select("share", (F.coalesce("share", F.lit(0.0)) >= 0.5).alias("looks_like_roles"))
+    names = records.select("subject").distinct()
+    return names.agg(F.avg(F.col("subject").rlike(rf"(?i)\b({'|'.join(ROLE_WORDS)})\b").cast("int")).alias("share")).select("share", (F.coalesce("share", F.lit(0.0)) >= 0.5).alias("looks_like_roles"))
 
 
 def diagnostics(records: DataFrame, cells: DataFrame, header_row: int) -> DataFrame:

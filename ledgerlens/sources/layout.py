@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cache
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -36,18 +37,24 @@ def clean(x) -> str:
     return " ".join(str(x if x is not None else "").replace("﻿", " ").split())
 
 
+@cache
+def _phrase(text: str) -> tuple[str, ...]:
+    return tuple(key(text).split())
+
+
+def _holds(whole: tuple[str, ...], part: tuple[str, ...]) -> bool:
+    """The words of part follow each other in whole."""
+    return any(whole[i : i + len(part)] == part for i in range(len(whole) - len(part) + 1))
+
+
 def header_score(cell, names: list[str]) -> int:
-    """2: a known name; 1: holds one, or stands in one, as whole words; 0: neither."""
-    k = key(cell)
-    if not k:
-        return 0
-    known = [key(n) for n in names]
-    if k in known or k in names:
+    """2: a known name; 1: holds one, or stands in one, as whole words; 0: neither. Below four letters nothing stands in anything."""
+    words = tuple(key(cell).split())
+    listed = {_phrase(n) for n in names} - {()}
+    if words in listed:
         return 2
-    if len(k) < 4:
-        return 0
-    inside = lambda a, b: f" {b} " in f" {a} "
-    return int(any(len(n) >= 4 and (inside(k, n) or inside(n, k)) for n in known))
+    long = lambda x: len(" ".join(x)) > 3
+    return int(long(words) and any(_holds(*sorted((words, n), key=len, reverse=True)) for n in listed if long(n)))
 
 
 def best_column(headers: list[str], names: list[str], taken: set[int]) -> int | None:
@@ -63,17 +70,16 @@ def _label(cell) -> bool:
 
 def find_header(rows: list[list[str]]) -> int:
     """The row that looks most like a header: known names first, then width, then data below it."""
-    best, most = 0, -1.0
-    for i, row in enumerate(rows[:HEADER_ROWS]):
-        labels = [c for c in row if _label(c)]
+    filled = [sum(map(bool, map(clean, row))) for row in rows[: HEADER_ROWS + 1]] + [0]
+
+    def weight(i: int) -> tuple[int, int]:
+        labels = list(filter(_label, rows[i]))
         if len(labels) < 2:
-            continue
+            return -1, -i
         known = sum(max(header_score(c, names) for names in (SUBJECT, PERMISSION, VALUE, CATEGORY)) for c in labels)
-        below = rows[i + 1] if i + 1 < len(rows) else []
-        score = 10 * known + min(len(labels), 8) + 5 * (sum(1 for c in below if clean(c)) >= 2) - 0.01 * i
-        if score > most:
-            best, most = i, score
-    return best
+        return 10 * known + min(len(labels), 8) + (5 if filled[i + 1] > 1 else 0), -i  # the upper one of equals
+
+    return max(range(min(len(rows), HEADER_ROWS)), key=weight, default=0)
 
 
 @dataclass(frozen=True)
@@ -91,6 +97,7 @@ class Layout:
     first_data: int = 1
     users_down: bool = False
     role: str | None = None
+    type: int | None = None
 
 
 def detect(rows: list[list[str]], *, kind: str | None = None, orientation: str | None = None, columns: dict[str, str | int] | None = None, header: int | None = None, count: Callable[[int, int], dict[int, int]] | None = None) -> Layout:
@@ -169,7 +176,7 @@ def detect_catalog(rows: list[list[str]]) -> Layout | None:
         return None
     if any(found["name"] < len(r) and key(r[found["name"]]) in ("y", "n", "yes", "no") for r in body):
         return None
-    return Layout("role-list" if found["value"] is not None else "catalog", at, tuple(headers), None, found["name"], found["value"], found["group"], found["description"], role=role_from_title(rows[:at]))
+    return Layout("role-list" if found["value"] is not None else "catalog", at, tuple(headers), None, found["name"], found["value"], found["group"], found["description"], role=role_from_title(rows[:at]), type=found["type"])
 
 
 def role_from_title(rows: list[list[str]]) -> str | None:
@@ -177,7 +184,7 @@ def role_from_title(rows: list[list[str]]) -> str | None:
     for row in rows:
         held = [clean(c) for c in row if clean(c)]
         if len(held) == 1:
-            m = re.match(r"(?i)(?:role(?: name)?\s*[:=-]\s*|security settings?\s*(?:[-:]|for)\s*)(.+)$", held[0])
+            m = re.match(r"(?i)(?:(?:security )?role(?: name)?|security settings?)\s*[:\-\u2013\u2014]\s*(.+)$", held[0])
             if m:
                 return m[1].strip()
     return None
@@ -205,7 +212,7 @@ def sample(cells: DataFrame, sheet_no: int = 0) -> tuple[list[int], list[list[st
 
 
 def infer(cells: DataFrame, sheet_no: int = 0, **options) -> Layout:
-    """The layout of a sheet of cells, with the sheet's own row number of its header."""
+    """The layout of a sheet of cells (of the first file that has one of that number), with the sheet's own row number of its header. For whole files see `books.read`."""
     rows = _sampled(cells, sheet_no)
     if not rows:
         raise ValueError("a sheet without rows")

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .cells import column_letters
 
@@ -22,10 +23,19 @@ _FIXED = (1980, 1, 1, 0, 0, 0)
 
 @dataclass
 class Sheet:
+    """rows, and by (row, column) from 0 the name of a colour."""
+
     name: str
     rows: list[list] = field(default_factory=list)
     widths: list[int] = field(default_factory=list)
     freeze: int = 1
+    colours: dict[tuple[int, int], str] = field(default_factory=dict)
+
+
+#: Fill colours by name; a cell's style is 0, 1 for headers, or 2 and the colour's place.
+COLOURS = {"red": "FFF4CCCC", "amber": "FFFCE5CD", "yellow": "FFFFF2CC", "green": "FFD9EAD3", "blue": "FFD0E0F0", "grey": "FFEEEEEE"}
+SEVERITY_COLOURS = {"high": "red", "medium": "amber", "low": "yellow", "info": "grey"}
+TYPE_COLOURS = {"ok": "green", "excess": "red", "missing": "amber", "different": "yellow"}
 
 
 def rows_of(df: DataFrame, max_rows: int = MAX_ROWS) -> list[list]:
@@ -80,16 +90,19 @@ def workbook(sheets: list[Sheet]) -> bytes:
     parts["xl/workbook.xml"] = f'{head}<workbook {main} xmlns:r="{office}"><sheets>{listed}</sheets></workbook>'
     links = "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
     parts["xl/_rels/workbook.xml.rels"] = f'{head}<Relationships xmlns="{package}">{links}<Relationship Id="rId{len(sheets) + 1}" Type="{office}/styles" Target="styles.xml"/></Relationships>'
+    fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in COLOURS.values())
+    styles = "".join(f'<xf fontId="0" fillId="{2 + k}" applyFill="1"/>' for k in range(len(COLOURS)))
+    places = {c: 2 + k for k, c in enumerate(COLOURS)}
     parts["xl/styles.xml"] = (
-        f'{head}<styleSheet {main}><fonts count="2"><font><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="11"/><name val="Calibri"/></font></fonts><fills count="2"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill></fills>'
-        '<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf fontId="0"/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>'
+        f'{head}<styleSheet {main}><fonts count="2"><font><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="11"/><name val="Calibri"/></font></fonts><fills count="{2 + len(COLOURS)}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills>'
+        f'<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{2 + len(COLOURS)}"><xf fontId="0"/><xf fontId="1" applyFont="1"/>{styles}</cellXfs></styleSheet>'
     )
     for i, sheet in enumerate(sheets, 1):
         width = max((len(r) for r in sheet.rows), default=1)
         widths = sheet.widths or [max(8, min(60, max((len(str(r[c])) for r in sheet.rows[:50] if c < len(r) and r[c] is not None), default=8) + 2)) for c in range(width)]
         columns = "".join(f'<col min="{c}" max="{c}" width="{w}" customWidth="1"/>' for c, w in enumerate(widths, 1))
         pane = f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{sheet.freeze}" topLeftCell="A{sheet.freeze + 1}" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if sheet.freeze else ""
-        body = "".join(f'<row r="{r}">{"".join(_cell(v, r, c, int(r <= sheet.freeze)) for c, v in enumerate(row))}</row>' for r, row in enumerate(sheet.rows, 1))
+        body = "".join(f'<row r="{r}">{"".join(_cell(v, r, c, places.get(sheet.colours.get((r - 1, c)), int(r <= sheet.freeze))) for c, v in enumerate(row))}</row>' for r, row in enumerate(sheet.rows, 1))
         ref = f'<autoFilter ref="A{sheet.freeze}:{column_letters(width - 1)}{max(len(sheet.rows), 1)}"/>' if sheet.freeze and sheet.rows else ""
         parts[f"xl/worksheets/sheet{i}.xml"] = f"{head}<worksheet {main}>{pane}<cols>{columns}</cols><sheetData>{body}</sheetData>{ref}</worksheet>"
     out = io.BytesIO()
@@ -117,31 +130,86 @@ def to_json(parts: dict[str, DataFrame], meta: dict | None = None, max_rows: int
     return json.dumps(out, default=str, ensure_ascii=False)
 
 
-def report(result, max_rows: int = MAX_ROWS) -> list[Sheet]:
-    """The sheets of a comparison: Summary, Actions, Findings, Subjects, Settings, Matches."""
+def _by_column(rows: list[list], column: int, colours: dict) -> dict[tuple[int, int], str]:
+    return {(r, column): colours[row[column]] for r, row in enumerate(rows) if r and row[column] in colours}
+
+
+def side_by_side(result, limit: int = 10_000) -> Sheet:
+    """Settings by subjects: the value where both sides agree, else 'expected -> actual', coloured by type; under the names, which side has the subject."""
+    from ..operators import inventory
+
+    names = inventory.subjects_of(result.pairs, limit)
+    table = rows_of(inventory.side_by_side(result.pairs, names).select("permission", *(F.col(f"`{n}`") for n in names)))
+    known = {r["subject"]: r for r in result.pairs.groupBy("subject").agg(F.max("subject_in_baseline").alias("b"), F.max("subject_in_actual").alias("a")).collect()}
+    where = ["", *("both" if known[n]["b"] and known[n]["a"] else "baseline" if known[n]["b"] else "system" for n in names)]
+    rows = [table[0], where, *table[1:]]
+    kinds = {(r["permission"], r["subject"]): r["type"] for r in result.pairs.select("permission", "subject", "type").collect()}
+    colours = {(i, j): TYPE_COLOURS[t] for i, row in enumerate(rows[2:], 2) for j, n in enumerate(names, 1) if (t := kinds.get((row[0], n))) in TYPE_COLOURS}
+    return Sheet("Side by side", rows, freeze=2, colours=colours)
+
+
+def report(result, max_rows: int = MAX_ROWS, catalog: DataFrame | None = None, actual_records: DataFrame | None = None, warnings: list[str] | None = None) -> list[Sheet]:
+    """The sheets of a comparison: Summary, Actions, Findings, Side by side, Subjects, Settings, Matches; with a catalog also Coverage and Not in catalog."""
+    from ..operators import catalog as cat
     from ..operators import rollup
     from ..operators.compare import ordered
 
     counts = rows_of(rollup.counts_by_type(result.pairs))
     severity = rows_of(rollup.counts_by_severity(result.findings))
     verdict = rows_of(rollup.verdict(result.pairs, result.findings))
-    return [
-        Sheet("Summary", [*verdict, [], *counts, [], *severity]),
-        Sheet("Actions", rows_of(rollup.actions(result.findings), max_rows)),
-        Sheet("Findings", rows_of(ordered(result.findings).select(*FINDING_COLUMNS), max_rows)),
-        Sheet("Subjects", rows_of(rollup.by_subject(result.findings), max_rows)),
+    roles = result.pairs.groupBy("subject").agg(F.max("role").alias("role"))
+    found = ordered(result.findings)
+    if catalog is not None:
+        found = ordered(cat.enrich(result.findings, catalog)).select(*FINDING_COLUMNS, F.coalesce("grp", F.lit("")).alias("group"), F.coalesce("description", F.lit("")).alias("description"))
+    else:
+        found = found.select(*FINDING_COLUMNS)
+    found = rows_of(found, max_rows)
+    todo = rows_of(rollup.actions(result.findings).join(roles, "subject", "left").select("subject", "role", "remove", "grant", "review", "status"), max_rows)
+    out = [
+        Sheet("Summary", [*verdict, [], *counts, [], *severity, *([[], ["warnings"], *([x] for x in warnings)] if warnings else [])], colours={(1, 2): "green" if verdict[1][2] else "red"}),
+        Sheet("Actions", todo),
+        Sheet("Findings", found, colours=_by_column(found, 0, SEVERITY_COLOURS)),
+        side_by_side(result),
+        Sheet("Subjects", rows_of(rollup.by_subject(result.findings).join(roles, "subject", "left"), max_rows)),
         Sheet("Settings", rows_of(rollup.by_permission(result.pairs), max_rows)),
         Sheet("Matches", rows_of(result.matches, max_rows)),
     ]
+    if catalog is not None:
+        held = actual_records if actual_records is not None else result.actual.records
+        covered = cat.coverage(catalog, result.baseline.permissions.select("display"), held)
+        cover = rows_of(covered.orderBy(F.collate("grp", "UNICODE"), F.collate("name", "UNICODE")).select("grp", "name", "description", "in_baseline", "granted_to", "type"), max_rows)
+        colours = {(r, 3): "green" if row[3] else "amber" for r, row in enumerate(cover) if r and (row[3] or row[4])}
+        out += [Sheet("Coverage", cover, colours=colours), Sheet("Not in catalog", rows_of(not_in_catalog(result, catalog), max_rows))]
+    return out
+
+
+def not_in_catalog(result, catalog: DataFrame) -> DataFrame:
+    """side, permission, suggestion, grp: settings of either side that the catalog doesn't know; near names are sought for the baseline's."""
+    from ..operators import catalog as cat
 
+    sides = [x.permissions.select(F.col("display").alias("permission")) for x in (result.baseline, result.actual)]
+    mine = cat.cross_check(sides[0], catalog)[1].select(F.lit("baseline").alias("side"), "permission", "suggestion", "grp")
+    theirs = cat.lookup(sides[1].distinct(), catalog).filter("catalog_key IS NULL").select(F.lit("system").alias("side"), "permission", F.lit("").alias("suggestion"), F.lit("").alias("grp"))
+    return mine.unionByName(theirs).orderBy("side", "permission")
 
-def text_summary(result, limit: int = 40) -> str:
-    """Verdict, counts, and what there is to do for the first `limit` subjects."""
+
+def text_summary(result, limit: int = 40, books: dict | None = None, catalog: DataFrame | None = None) -> str:
+    """Verdict, how the sides were read, counts, coverage, and what there is to do for the first `limit` subjects. books: what `books.read` gave, by side."""
+    from ..operators import catalog as cat
     from ..operators import rollup
 
     compared, worst, passed, _ = rollup.verdict(result.pairs, result.findings).first()
     lines = [f"{'PASS' if passed else 'FAIL'}: {compared} pairs compared; worst finding: {worst}"]
+    for side, book in (books or {}).items():
+        lines += [f"  {side}: {file} [{sheet}; {layout.kind}]" for (file, sheet), layout in book.layouts.items()]
+        lines += [f"  warning: {x}" for x in book.warnings]
+    lines += [f"  {r['kind']}s: {r['baseline']} in the baseline, {r['actual']} in the system, {r['both']} in both" for r in rollup.sizes(result.baseline, result.actual).collect()]
     lines += [f"  {r['n']:>8}  {r['type']}" for r in rollup.counts_by_type(result.pairs).collect()]
+    if catalog is not None:
+        row = cat.coverage(catalog, result.baseline.permissions.select("display"), result.actual.records).agg(F.count_if("in_baseline").alias("n"), F.count(F.lit(1)).alias("total")).first()
+        lines.append(f"  catalog: {row['n']} of {row['total']} settings are in the baseline")
+        unknown = [r["permission"] for r in not_in_catalog(result, catalog).limit(limit).collect()]
+        lines += [f"  not in the catalog: {x}" for x in unknown]
     todo = rollup.actions(result.findings)
     for row in todo.limit(limit).collect():
         lines.append(f"{row['subject']}: remove {len(row['remove'])}, grant {len(row['grant'])}, review {len(row['review'])}{'; ' + row['status'] if row['status'] else ''}")
@@ -149,11 +217,58 @@ def text_summary(result, limit: int = 40) -> str:
     return "\n".join(lines + ([f"... and {more} more"] if more > 0 else []))
 
 
+def summary_document(result, meta: dict | None = None, max_rows: int = MAX_ROWS) -> dict:
+    """One page for each subject with something to do, as data: title, meta, verdict (passed, headline, detail), subjects (name, role, status, groups of items), matched (subjects without differences)."""
+    from ..operators import rollup
+
+    compared, worst, passed, _ = rollup.verdict(result.pairs, result.findings).first()
+    roles = result.pairs.groupBy("subject").agg(F.max("role").alias("role"), F.max(F.col("subject_in_baseline") & F.col("subject_in_actual")).alias("both"))
+    todo = rollup.actions(result.findings)
+    rows = [dict(zip(("subject", "remove", "grant", "review", "status"), r, strict=True)) for r in rows_of(todo.select("subject", "remove", "grant", "review", "status"), max_rows)[1:]]
+    known = {r["subject"]: r for r in roles.collect()}
+    n = {k: sum(len(r[k]) for r in rows) for k in ("remove", "grant", "review")}
+    busy = {r["subject"] for r in rows}
+    matched = sorted(s for s, r in known.items() if r["both"] and s not in busy)
+    count = lambda k, word: f"{k} {word}{'' if k == 1 else 's'}"
+    headline = "the system is as the baseline says" if passed else f"{count(len(rows), 'subject')} to look at"
+    detail = f"{count(compared, 'pair')} compared; " + (", ".join(f"{k} {count(v, 'setting')}" for k, v in n.items() if v) or "nothing to change") + f"; {count(len(matched), 'subject')} without differences"
+    pages = [{"name": r["subject"], "role": known[r["subject"]]["role"] if r["subject"] in known else "", "status": r["status"], "groups": [{"kind": k, "items": list(r[k])} for k in ("remove", "grant", "review") if r[k]]} for r in rows]
+    sizes = {r["kind"]: [r["baseline"], r["actual"], r["both"]] for r in rollup.sizes(result.baseline, result.actual).collect()}
+    return {"title": "Differences by subject", "meta": {**(meta or {}), **sizes}, "verdict": {"passed": passed, "worst": worst, "headline": headline, "detail": detail}, "subjects": pages, "matched": matched}
+
+
+def inventory_workbook(records: DataFrame, book=None, catalog: DataFrame | None = None, limit: int = 10_000) -> list[Sheet]:
+    """What one side has, without a baseline: Matrix (settings by subjects), Subjects, Settings, Source. Catalog settings that nobody has are listed too."""
+    from ..operators import catalog as cat
+    from ..operators import inventory
+
+    names = inventory.subjects_of(records, limit)
+    wide = inventory.documented(records, catalog, names)
+    matrix = rows_of(wide.orderBy(F.collate("grp", "UNICODE"), F.collate("setting", "UNICODE")).select("grp", "setting", "description", *(F.col(f"`{n}`") for n in names), "held_by", *(["in_catalog"] if catalog is not None else [])))
+    colours = {(r, c): "green" for r, row in enumerate(matrix) if r for c in range(3, 3 + len(names)) if row[c]}
+    listed = rows_of(inventory.documented_list(records, catalog).orderBy(F.collate("grp", "UNICODE"), F.collate("setting", "UNICODE")).select("grp", "setting", "description", "held_by", "who"))
+    source = [["what", "value"], ["subjects", len(names)], ["settings", len(matrix) - 1], ["catalog", catalog.count() if catalog is not None else "none: groups are those of the exports"]]
+    if book is not None:
+        source += [[f"{file} [{sheet}]", layout.kind + (f" of {layout.role}" if layout.role else "")] for (file, sheet), layout in book.layouts.items()] + [["warning", x] for x in book.warnings]
+    return [Sheet("Matrix", matrix, colours=colours), Sheet("Subjects", rows_of(inventory.subject_list(records).orderBy("subject"))), Sheet("Settings", listed), Sheet("Source", source)]
+
+
+def captured_workbook(captured: DataFrame, max_rows: int = MAX_ROWS) -> list[Sheet]:
+    """One sheet for each captured role, in catalog columns with Permission (see `frames.captured`)."""
+    columns = [c for c in captured.columns if c != "role"]
+    header, *rows = rows_of(captured.orderBy("role", "Security group Name", "Security Setting Name").select("role", *columns), max_rows)
+    by_role: dict[str, list[list]] = {}
+    for role, *row in rows:
+        by_role.setdefault(role, []).append(row)
+    return [Sheet(role, [columns, *held], [44, 70, 8, 34, 10]) for role, held in by_role.items()]
+
+
 def template(catalog_rows: DataFrame, roles: list[str], groups: list[str] | None = None) -> list[Sheet]:
-    """A baseline to fill in: the catalog's settings by blank role columns, and a sheet that maps users to roles."""
+    """A baseline to fill in: the catalog's settings by blank role columns, a sheet that maps users to roles, and one that says how to."""
     rows = catalog_rows.filter(catalog_rows["grp"].isin(groups)) if groups else catalog_rows
     body = rows_of(rows.orderBy("grp", "name").select("grp", "name", "description"))[1:]
-    return [Sheet("Permissions", [["Category", "Security Setting", "What it controls", *roles], *([*r, *[""] * len(roles)] for r in body)]), Sheet("Users", [["User", "Role"]])]
+    how = [["How to fill it in"], ["Put X where the role should hold the setting, leave the cell blank where it should not."], ["A level, such as read only, goes into the cell as it is named in the system."], ["On Users, name each user's role if the system lists users rather than roles."]]
+    return [Sheet("Permissions", [["Category", "Security Setting", "What it controls", *roles], *([*r, *[""] * len(roles)] for r in body)]), Sheet("Users", [["User", "Role"]]), Sheet("How to", how)]
 
 
 def write(path: str, result) -> None:
