@@ -15,6 +15,8 @@ from ..functions.values import glob, normalize_value
 #: Words that mark a column as not to be validated.
 SKIP_WORDS = r"(?i)do(n'?t| not) (need to )?validate|no need to validate"
 
+# Columns that look as if they should be left out.
+NOT_VALIDATED = r"(?i)(dont|don t|don't|do not|no) need to validate|do not validate|skip|ignore"
 # Words in the names of roles.
 ROLE_WORDS = ["admin", "user", "super", "provider", "nurse", "rn", "ma", "lvn", "biller", "billing", "front desk", "psr", "specialist", "read only", "assistant", "coordinator", "supervisor", "analyst", "liaison", "liason", "compliance", "him", "it"]
 
@@ -168,3 +170,37 @@ def diagnostics(records: DataFrame, cells: DataFrame, header_row: int) -> DataFr
 def profile(records: DataFrame, column: str) -> DataFrame:
     """Distinct values with counts, most frequent first."""
     return records.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
+
+
+def read_notes(cells: DataFrame, found, ignore: str = "") -> DataFrame:
+    """file, sheet, code, n, sample: everything that was read oddly under a layout (see `layout.Layout`): notes on ticks, levels, pasted text, rows without a name or without a subject, headings, duplicates, columns left out, without a name, or not to be validated."""
+    from ..sources.layout import to_records
+
+    sheet = ["file", "sheet"]
+    below = cells.filter(F.col("row") > found.header_row)
+    filled = F.exists("cells", lambda c: clean(c) != "")
+    rows = to_records(cells, found, ignore=ignore)
+    out = diagnostics(rows, cells, found.header_row).filter("code <> 'skipped row'")
+
+    def noted(df: DataFrame, code: str, sample: Column) -> DataFrame:
+        return df.groupBy(*sheet).agg(F.lit(code).alias("code"), F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(sample)), 1, 6).alias("sample"))
+
+    number = F.col("row").cast("string")
+    if found.kind == "long":
+        held = carry_forward(below.withColumn("subject", cell(found.subject)), "subject", ["file", "sheet_no"], ["row"])
+        return out.unionByName(noted(held.filter(filled & F.col("subject").isNull() & (cell(found.permission) != "")), "row without a subject", number))
+    heads = list(enumerate(map(clean_text, found.headers)))[found.first_data :]
+    at = lambda which: F.array(*(F.struct(F.lit(i).alias("i"), F.lit(h).alias("h")) for i, h in heads if which(i, h))).cast("array<struct<i:int,h:string>>")
+    named, nameless = at(lambda i, h: h), at(lambda i, h: not h)
+    values = F.exists(named, lambda x: clean(F.get("cells", x["i"])) != "")
+    label = cell(found.permission)
+    out = out.unionByName(noted(below.filter((label == "") & values), "row without a name", number))
+    if not found.users_down and found.category is None:
+        out = out.unionByName(noted(below.filter((label != "") & ~values), "section heading", label))
+    columns = below.select(*sheet, F.explode(nameless).alias("x"), "cells").filter(clean(F.get("cells", F.col("x.i"))) != "").select(*sheet, "x.i").distinct()
+    out = out.unionByName(noted(columns, "column without a name", F.col("i").cast("string")))
+    if not found.users_down:
+        heads_of = below.select(*sheet).distinct().select(*sheet, F.explode(named).alias("x")).select(*sheet, "x.h")
+        dropped = glob(F.col("h"), ignore)
+        out = out.unionByName(noted(heads_of.filter(dropped), "column left out", F.col("h"))).unionByName(noted(heads_of.filter(~dropped & F.col("h").rlike(NOT_VALIDATED)), "column not to be validated", F.col("h")))
+    return out

@@ -1,15 +1,44 @@
-"""Cutting plans where what follows reads a result several times."""
+"""Cutting plans where what follows reads a result several times, and the shared folder for files."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local one is set only where it is unset and all runs on one machine."""
+    holder = spark.sparkContext._jsc.sc()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if holder.getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}")
+    return named or holder.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once, into reliable checkpoint files in the folder that spark.checkpoint.dir names (a local one only where it is unset)."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}")
+    """df computed once, into reliable checkpoint files in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def put_files(spark: SparkSession, files: dict[str, bytes]) -> str:
+    """A new folder beside the checkpoints with the given (small) files; returns its address."""
+    import pyarrow.fs as pafs
+
+    folder = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    fs, base = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
+    fs.create_dir(base, recursive=True)
+    for name, data in files.items():
+        with fs.open_output_stream(f"{base}/{name}") as f:
+            f.write(data)
+    return folder
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,29 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import clean, norm_key, perm_key, short_name
 from ..functions.similarity import edit_distance, similarity, token_jaccard
-from ..functions.values import is_annotated, is_granted, normalize_value, show
+from ..functions.values import GRANTED, NOT_GRANTED, is_annotated, is_granted, normalize_value, show
 from ..functions.values import glob as matches_glob
 from ..operators import catalog as cat
 from ..operators import compare as cmp
 from ..operators import inventory as inv
 from ..operators import match, records, rollup
 from ..streaming import frames
-from .derived import PAIRS_SQL, sides, table
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, pairs: bool = False):
-    """Registers a query and its SQL; pairs: the SQL goes on from the classified pairs."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = (PAIRS_SQL if pairs else "") + sql
-        return f
-
-    return add
+from .derived import sides, table
+from .registry import query
 
 
 def _compared(spark: SparkSession, sf_dir: str, **options) -> cmp.Result:
@@ -112,8 +98,7 @@ def glob_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
-_GRANTED = "('y','yes','true','1','x','check','checked','allow','allowed','grant','granted','on','enabled','enable','permitted','permit','full','full access','access','assigned','active','ok','a')"
-_NOT = "('n','no','false','0','','unchecked','deny','denied','none','no access','off','disabled','disable','not allowed','not permitted','revoke','revoked','unassigned','inactive','null','n a','na','blank','d')"
+_GRANTED, _NOT = ("(" + ",".join(f"'{x}'" for x in listed) + ")" for listed in (GRANTED, NOT_GRANTED))
 _VALUES = """(SELECT DISTINCT l_returnflag AS raw FROM lineitem UNION SELECT DISTINCT o_orderstatus FROM orders UNION SELECT DISTINCT o_orderpriority FROM orders UNION SELECT DISTINCT event_type FROM events
     UNION SELECT DISTINCT c_mktsegment FROM customer UNION SELECT unnest(['x - added 1/16', 'Full Access', 'N/A', 'Read Only', 'x-', ' yes ', '', 'not added', 'Off']))"""
 
@@ -146,10 +131,14 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.carry_forward(rows, "cell", ["user_id"], ["ts", "event_id"], "carried").select("event_id", "carried")
 
 
-@query("""SELECT s_suppkey, unnest(['s_name', 's_nationkey', 's_acctbal']) AS setting, unnest([s_name, CAST(s_nationkey AS VARCHAR), CAST(CAST(round(s_acctbal * 100) AS BIGINT) AS VARCHAR)]) AS cell FROM supplier""")
+@query("""SELECT s_name AS permission, unnest(['Even', 'Rich', 'Nation']) AS subject, unnest([CASE WHEN s_suppkey % 2 = 0 THEN 'Y' ELSE 'N' END, CASE WHEN s_acctbal > 5000 THEN 'Y' ELSE 'N' END, 'level ' || s_nationkey]) AS value, CAST(s_suppkey + 2 AS INT) AS row FROM supplier""")
 def melt_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").cast("string").alias("s_nationkey"), F.round(F.col("s_acctbal") * 100).cast("long").cast("string").alias("s_acctbal"))
-    return rows.unpivot("s_suppkey", ["s_name", "s_nationkey", "s_acctbal"], "setting", "cell")
+    """A grid of suppliers (down) by three columns, as cells, melted."""
+    row = (F.col("s_suppkey") + 2).cast("int").alias("row")
+    held = F.array("s_name", F.when(F.col("s_suppkey") % 2 == 0, "X").otherwise(""), F.when(F.col("s_acctbal") > 5000, "yes").otherwise(""), F.concat(F.lit("Level "), F.col("s_nationkey").cast("string")))
+    grid = table(spark, sf_dir, "supplier").select(F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.lit(0).alias("sheet_no"), row, held.alias("cells"), F.transform(held, lambda x: F.lit("str")).alias("kinds"))
+    out = records.matrix_records(grid, 1, ["Security Setting", "Even", "Rich", "Nation"], 0, 1)
+    return out.select("permission", "subject", "value", "row")
 
 
 @query("""SELECT conv_id, turn, heading FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading
@@ -183,11 +172,11 @@ def _role_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """Order priorities held by market segments, and customers with their segment as role."""
     customers = table(spark, sf_dir, "customer")
     held = customers.join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey")).filter("c_mktsegment <> 'MACHINERY'").select(F.col("c_mktsegment").alias("subject"), F.col("o_orderpriority").alias("permission")).distinct()
-    return held.unionByName(spark.createDataFrame([("Auditors", "1-URGENT")], "subject string, permission string")), customers.filter("c_custkey % 5 = 0").select(F.col("c_name").alias("user"), F.col("c_mktsegment").alias("role"))
+    return held.unionByName(spark.createDataFrame([("Auditors", "1-URGENT")], "subject string, permission string")), customers.select(F.col("c_name").alias("user"), F.col("c_mktsegment").alias("role"))
 
 
 _ROLES_SQL = """WITH held AS (SELECT DISTINCT c_mktsegment AS subject, o_orderpriority AS permission FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment <> 'MACHINERY' UNION ALL SELECT 'Auditors', '1-URGENT'),
-    users AS (SELECT c_name AS "user", c_mktsegment AS role FROM customer WHERE c_custkey % 5 = 0)"""
+    users AS (SELECT c_name AS "user", c_mktsegment AS role FROM customer)"""
 
 
 @query(_ROLES_SQL + """ SELECT "user" AS subject, permission, role FROM held JOIN users ON subject = role UNION ALL SELECT subject, permission, NULL FROM held WHERE subject NOT IN (SELECT role FROM users)""")
@@ -208,24 +197,26 @@ def alias_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.rewrite(nations.select("n_nationkey", F.col("n_name").alias("key")), "key", aliases, "subject").select("n_nationkey", "key")
 
 
-_NAMES_SQL = """WITH l AS (SELECT DISTINCT 'brand ' || (p_partkey % 7) || ' > part ' || p_partkey % 1500 AS key, 'part ' || p_partkey % 1500 AS s FROM part WHERE p_partkey % 3 = 0), r AS (SELECT DISTINCT 'old > part ' || p_partkey AS key, 'part ' || p_partkey AS s FROM part WHERE p_partkey % 4 = 0),
+_NAMES_SQL = """WITH l AS (SELECT DISTINCT lower(p_brand) || ' > ' || lower(p_type) || ' ' || p_size || ' ' || CAST(floor(p_retailprice) AS BIGINT) AS key, lower(p_type) || ' ' || p_size || ' ' || CAST(floor(p_retailprice) AS BIGINT) AS s FROM part),
+    r AS (SELECT DISTINCT 'old > ' || lower(p_type) || ' ' || p_size || ' ' || CAST(floor(p_retailprice) AS BIGINT) AS key, lower(p_type) || ' ' || p_size || ' ' || CAST(floor(p_retailprice) AS BIGINT) AS s FROM part),
     lu AS (SELECT s, max(key) AS f FROM l GROUP BY s HAVING count(*) = 1), ru AS (SELECT s, max(key) AS t FROM r GROUP BY s HAVING count(*) = 1)"""
 
 
 @query(_NAMES_SQL + " SELECT f AS from_key, t AS to_key FROM lu JOIN ru USING (s) WHERE f NOT IN (SELECT key FROM r) AND t NOT IN (SELECT key FROM l)")
 def unique_bare_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    left = parts.filter("p_partkey % 3 = 0").select(F.concat(F.lit("brand "), (F.col("p_partkey") % 7).cast("string"), F.lit(" > part "), (F.col("p_partkey") % 1500).cast("string")).alias("key")).distinct()
-    right = parts.filter("p_partkey % 4 = 0").select(F.concat(F.lit("old > part "), F.col("p_partkey").cast("string")).alias("key")).distinct()
+    name = F.concat_ws(" ", F.lower("p_type"), F.col("p_size").cast("string"), F.floor("p_retailprice").cast("string"))
+    left = parts.select(F.concat(F.lower("p_brand"), F.lit(" > "), name).alias("key")).distinct()
+    right = parts.select(F.concat(F.lit("old > "), name).alias("key")).distinct()
     return match.unique_matches(*(x.withColumn("short", short_name(F.col("key"))) for x in (left, right)), "short")
 
 
-@query("""SELECT lower(s_name) || ' (old)' AS from_key, lower(s_name) AS to_key FROM supplier WHERE s_suppkey % 2 = 0""")
+@query("""SELECT lower(s_name) || ' (old)' AS from_key, lower(s_name) AS to_key FROM supplier""")
 def unique_plain_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.keys import plain_key
 
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.lower("s_name").alias("key"))
-    left = suppliers.filter("s_suppkey % 2 = 0").select(F.concat("key", F.lit(" (old)")).alias("key"))
+    left = suppliers.select(F.concat("key", F.lit(" (old)")).alias("key"))
     return match.unique_matches(*(x.select("key", plain_key(F.col("key")).alias("plain")) for x in (left, suppliers)), "plain")
 
 
@@ -234,10 +225,12 @@ _SIM = """CASE WHEN a = b THEN 1.0::DOUBLE ELSE greatest(j * 6e-1 + n * 4e-1, n,
 
 @query(f"""SELECT a, b, distance, round(j, 9) AS jaccard, round({_SIM}, 9) AS score FROM (SELECT *, levenshtein(a, b) AS distance, 1e0 - levenshtein(a, b) / greatest(length(a), length(b), 1)::DOUBLE AS n, len(list_intersect(ta, tb)) AS i,
     len(list_intersect(ta, tb)) / greatest(len(list_distinct(list_concat(ta, tb))), 1)::DOUBLE AS j
-    FROM (SELECT a, b, list_distinct(string_split(a, ' ')) AS ta, list_distinct(string_split(b, ' ')) AS tb FROM (SELECT DISTINCT p_name AS a, p_type AS t FROM part), (SELECT DISTINCT p_name AS b, p_type AS u FROM part) WHERE t = u AND substr(a, 1, 1) = substr(b, 1, 1)) GROUP BY ALL)""")
+    FROM (SELECT a, b, list_distinct(string_split(a, ' ')) AS ta, list_distinct(string_split(b, ' ')) AS tb FROM (SELECT min(p_name) AS a FROM part GROUP BY p_type UNION SELECT max(p_name) FROM part GROUP BY p_type UNION SELECT min(p_name) || ' old' FROM part GROUP BY p_type), (SELECT DISTINCT p_name AS b FROM part)) GROUP BY ALL)""")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select("p_name", "p_type").distinct().withColumn("c", F.substring("p_name", 1, 1))
-    pairs = names.select("c", "p_type", F.col("p_name").alias("a")).join(names.select("c", "p_type", F.col("p_name").alias("b")), ["c", "p_type"]).select("a", "b").distinct()
+    """A stated set of names (the first and last of each type, and the first with a word more) against all names."""
+    names = table(spark, sf_dir, "part")
+    asked = {y for x in names.groupBy("p_type").agg(F.min("p_name"), F.max("p_name"), F.concat(F.min("p_name"), F.lit(" old"))).collect() for y in x[1:]}  # three names a type
+    pairs = names.select(F.explode(F.array(*map(F.lit, sorted(asked)))).alias("a"), F.col("p_name").alias("b")).distinct()
     a, b = F.col("a"), F.col("b")
     return pairs.select("a", "b", edit_distance(a, b).cast("long").alias("distance"), F.round(token_jaccard(a, b), 9).alias("jaccard"), F.round(similarity(a, b), 9).alias("score"))
 
@@ -362,11 +355,14 @@ def top_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.profile(table(spark, sf_dir, "orders"), "o_custkey").limit(12)
 
 
-@query("""SELECT (count(*) FILTER (regexp_matches(k, '(^| )(admin|administrator|provider|nurse|biller|billing|support|staff|manager|assistant|role)s?( |$)')) / count(*)::DOUBLE) AS share, count(*) FILTER (regexp_matches(k, '(^| )(admin|administrator|provider|nurse|biller|billing|support|staff|manager|assistant|role)s?( |$)')) * 2 >= count(*) AS looks_like_roles
-    FROM (SELECT DISTINCT lower(role) AS k FROM conversations UNION SELECT unnest(['provider', 'nurse', 'billing admin', 'support staff']))""")
+_ROLE_WORDS = "|".join(records.ROLE_WORDS)
+
+
+@query(f"""SELECT (count(*) FILTER (regexp_matches(k, '(^| )({_ROLE_WORDS})( |$)')) / count(*)::DOUBLE) AS share, count(*) FILTER (regexp_matches(k, '(^| )({_ROLE_WORDS})( |$)')) * 2 >= count(*) AS looks_like_roles
+    FROM (SELECT DISTINCT lower(role) AS k FROM conversations UNION SELECT unnest(['provider', 'rn pool', 'ma', 'billing admin', 'support staff', 'it analyst', 'lvn', 'manager']))""")
 def role_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("role").alias("subject")).distinct()
-    return records.looks_like_roles(rows.unionByName(spark.createDataFrame([("Provider",), ("Nurse",), ("Billing Admin",), ("Support Staff",)], "subject string")))
+    return records.looks_like_roles(rows.unionByName(spark.createDataFrame([(x,) for x in ("Provider", "RN pool", "MA", "Billing Admin", "Support Staff", "IT analyst", "LVN", "Manager")], "subject string")))
 
 
 @query("""SELECT conv_id, turn, g, k, sum(1) OVER (PARTITION BY g, k) AS same_place FROM (SELECT conv_id, turn, g, row_number() OVER (PARTITION BY conv_id, g ORDER BY turn) AS k FROM (SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM conversations))""")
@@ -376,12 +372,12 @@ def positional_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(counts, ["g", "k"]).select("conv_id", "turn", "g", "k", "same_place")
 
 
-@query()
+@query("SELECT CAST(conv_id AS VARCHAR) AS role, count(*) AS rows, CAST(0 AS INT) AS gaps FROM conversations GROUP BY conv_id")
 def frame_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping windows over each conversation, as frames of bands, merged back into its turns."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("role"), "turn", F.md5("text").alias("m"))
     profile = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring("m", i + 1, F.lit(1)), 16, 10).cast("int") * 10 + 20)
-    band = F.struct(F.when(F.col("turn") == 0, "header").otherwise("data").alias("kind"), F.lit(False).alias("checked"), F.lit(False).alias("cut_top"), F.lit(False).alias("cut_bottom"), profile.alias("fp"))
+    band = F.struct(F.when(F.col("turn") == 0, "group").otherwise("data").alias("kind"), F.lit(False).alias("checked"), F.lit(False).alias("cut_top"), F.lit(False).alias("cut_bottom"), profile.alias("fp"))
     dealt = turns.select("role", "turn", band.alias("band"), F.explode(F.array(F.floor(F.col("turn") / 2), F.greatest(F.floor(F.col("turn") / 2) - 1, F.lit(0)))).alias("frame_no")).distinct()
     framed = dealt.groupBy("role", "frame_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "band"))), lambda x: x["band"]).alias("bands"))
     return frames.merge_frames(framed).groupBy("role").agg(F.count(F.lit(1)).alias("rows"), F.max("gaps").alias("gaps"))

@@ -8,7 +8,7 @@ a workbook is an archive and is read as a whole, by its own task.
 from __future__ import annotations
 
 import csv
-import glob as globbing
+import fnmatch
 import io
 import os
 import re
@@ -142,21 +142,41 @@ def parse(data: bytes, name: str = "", sheet: str | None = None) -> Iterator[tup
             yield "Sheet1", 0, row, cells
 
 
+def _place(path: str):
+    """(file system, path) of an address: anything that pyarrow knows, else a local path."""
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:", path) else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
+def _listed(path: str) -> list[str]:
+    """Files of an address: itself, those of a folder, or those that a pattern in its last part fits."""
+    import pyarrow.fs as pafs
+
+    fs, base = _place(path)
+    prefix = path[: len(path) - len(base)] if path.endswith(base) else ""
+    folder, _, last = base.rpartition("/")
+    if any(c in last for c in "*?["):
+        held = [x.path for x in fs.get_file_info(pafs.FileSelector(folder or "/")) if fnmatch.fnmatch(x.base_name, last)]
+    elif fs.get_file_info(base).type == pafs.FileType.Directory:
+        held = [x.path for x in fs.get_file_info(pafs.FileSelector(base)) if x.extension.lower() in ("xlsx", "xlsm", "csv", "tsv")]
+    else:
+        held = [base]
+    return [prefix + x for x in sorted(held) if not os.path.basename(x).startswith("~$")]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.sheet = options.get("sheet")
-        path = options.get("path", "")
-        found = sorted(globbing.glob(path)) or [path]
-        if os.path.isdir(path):
-            found = sorted(x for x in globbing.glob(f"{path}/*") if x.lower().endswith((".xlsx", ".xlsm", ".csv", ".tsv")))
-        self.paths = [x for x in found if not os.path.basename(x).startswith("~$")]
+        self.paths = _listed(options.get("path", ""))
 
     def partitions(self):
         return [InputPartition(x) for x in self.paths]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
-            data = f.read()
+        fs, path = _place(partition.value)
+        with fs.open_input_file(path) as f:
+            data = f.readall()
         for sheet, number, row, cells in parse(data, partition.value, self.sheet):
             yield partition.value, sheet, number, row, [x for x, _ in cells], [k for _, k in cells]
 
@@ -174,7 +194,7 @@ class CellSource(DataSource):
 
 
 def read_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """Cells of local or mounted files, by the data source."""
+    """Cells of files, by the data source: one, a folder's, or those that a pattern in the last part of the path fits; any file system that pyarrow knows."""
     spark.dataSource.register(CellSource)
     reader = spark.read.format("cells")
     return (reader.option("sheet", sheet) if sheet else reader).load(path)
