@@ -10,9 +10,9 @@ worker holds is bounded; every document meets every block, and no document data
 all blocks are sought in the text as it came and united row by row, so block sizes never change a result.
 
 Defined results: null texts have no words; items without words are no phrase. Repeated items keep
-their own ids, documents with a null doc_id are treated like any other. An empty benchmark leaves
-every document clean; an empty document table gives an empty result; extra columns are kept by
-`remove`.
+their own ids, documents with a null doc_id are treated like any other. Rows that share a doc_id
+stay rows of their own. A text of any length is a shard of its own. An empty benchmark leaves every document
+clean; an empty document table gives an empty result; extra columns, whatever their names, are kept by `remove`.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Workers map the arrays into memory and look up each text's words and pairs in so
 covers all training rows; it is as large as the corpus has distinct pairs (9 bytes each).
 
 Defined results: a null or empty text is only the end token. A null doc_id counts as the text ''. With no
-training rows every token has the same probability. Repeated rows count again; extra columns are ignored.
+training rows every token has the same probability. Repeated rows and ids count again. A text of any length is
+turned into arrays as a whole. An empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

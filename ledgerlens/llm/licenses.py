@@ -7,7 +7,9 @@ template's leading words (up to two, before its first markup) stand, which numpy
 once. Phrases of the base list are found the same way.
 
 Defined results: a null or empty text has no words, no labels and score 0. Overlapping places all count.
-Rows are independent; an empty table gives an empty result; extra columns are ignored.
+Rows are independent, whatever their doc_id (null, repeated), and keep their number. A text of any length is
+turned into arrays as a whole (some 20 times its bytes). An empty table gives an empty result; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

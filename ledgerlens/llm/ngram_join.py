@@ -15,8 +15,9 @@ Pairs inside a group already found aren't verified again: no link between differ
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; with
 fewer words than a shingle has, the whole sequence is the one shingle. Rows with a null doc_id are linked with
-nothing and have no component. Rows that share a doc_id count as separate documents of that id. An empty table gives an empty
-result; extra columns are ignored (`keep_one` keeps them).
+nothing and have no component. Rows that share a doc_id count as separate documents of that id. A text of any length is turned into
+arrays as a whole. An empty table gives an empty result; extra columns, whatever their names, are ignored
+(`keep_one` keeps them). Of a group the smallest doc_id stays.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ smallest hash of their doc_id, a documented bound) are learnt from.
 Defined results: a null text counts as empty and is scored like any other; labels that are null, or of
 documents that don't exist, are not learnt from, a document's repeated labels count as their largest.
 With no labels, or one class only, every score is the (smoothed) share of label 1. Repeated documents are
-scored alike; extra columns are ignored (`keep_good` keeps them).
+scored alike, rows with a null doc_id like any other (they are held out only if the empty text's crc32 says so).
+A text of any length is turned into arrays as a whole. An empty table gives an empty result; extra columns,
+whatever their names, are ignored (`keep_good` keeps them).
 """
 
 from __future__ import annotations

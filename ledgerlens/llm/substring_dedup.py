@@ -10,9 +10,10 @@ window that stands in a third of all documents costs each task one entry.
 Windows are judged on the input, not on what is left. Hashes are polynomials modulo a prime of 61 bits, of words
 hashed alike, and at least 60 bits decide: of a trillion windows some hundred thousand would collide.
 
-Defined results: a null or empty text has no words. Rows with a null doc_id are kept whole and remove
+Defined results: a null or empty text has no words. A text of any length is turned into arrays as a whole. Rows with a null doc_id are kept whole and remove
 nothing elsewhere. Rows that share a doc_id count as one document. Texts of fewer than `width` words
-are kept whole. An empty table gives an empty result; extra columns are kept by `deduplicate`.
+are kept whole. An empty table gives an empty result; extra columns, whatever their
+names, are kept by `deduplicate`. Of equal windows in several documents the one in the smallest doc_id stays.
 """
 
 from __future__ import annotations

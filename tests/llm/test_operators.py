@@ -499,6 +499,53 @@ def test_op10_lines_of_all_white_space(spark):
     assert {i: x.n_dup_lines for i, x in got.items()} == {1: 2, 2: 2, 3: 2, 4: 0, 5: 1, 6: 0, 7: 1}
 
 
+CLASHING = ["held_out", "label", "labelled", "score", "words", "spans", "key", "bucket", "n_words", "component_id", "_text", "_0", "gone_id", "items"]
+
+
+def odd_table(spark):
+    """Null and repeated ids, null, blank and very long texts, and columns of every name that operators use inside."""
+    long_one = " ".join(f"w{k % 977} the" for k in range(60_000))
+    rows = [(None, "one two three four five six"), (None, None), (1, "one two three four five six"), (1, "one two three four five six"), (2, "  "), (3, long_one), (4, None), (5, "x" * 300_000), (6, "one two three four five SIX")]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    return spark.createDataFrame([(*r, "en", *CLASHING) for r in rows], schema).repartition(3)
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op10"])
+def test_odd_rows_and_clashing_columns(spark, name):
+    docs = odd_table(spark)
+    bench = spark.createDataFrame([(1, "two three four", "x"), (None, None, "x"), (1, "two three four", "x")], "item_id long, text string, spans string")
+    labels = spark.createDataFrame([(1, 1, 0, "a"), (2, 0, 0, "a"), (3, 1, 0, "a"), (6, 0, 0, "a")], "doc_id long, quality int, toxic int, score string")
+    run = {
+        "op1": lambda d: licenses.scan(d), "op2": lambda d: sentence_pieces.encode(d, PIECES, digests=True), "op3": lambda d: kneser_ney.train_and_score(d), "op4": lambda d: substring_dedup.deduplicate(d, 4, digests=True),
+        "op5": lambda d: ngram_join.link(d), "op6": lambda d: token_files.round_trip(d, WORDS, 1), "op7": lambda d: decontaminate.report(d, bench, 3), "op8": lambda d: quality_model.score(d, quality_model.train(docs, labels)), "op10": lambda d: quality_rules.judge(d),
+    }[name]
+    got = run(docs).collect()
+    assert sorted(x.doc_id or 0 for x in got) == [0, 0, 1, 1, 2, 3, 4, 5, 6]
+    same = [tuple(v for c, v in x.asDict().items() if c != "start") for x in got if x.doc_id == 1]
+    assert same[0] == same[1]
+    assert run(docs.limit(0)).count() == 0
+    if name == "op5":
+        assert {x.doc_id: x.component_id for x in got if x.doc_id} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 1} and [x.component_id for x in got if x.doc_id is None] == [None, None]
+    if name == "op4":
+        assert {(x.doc_id, x.n_removed) for x in got if x.doc_id in (None, 1, 6)} == {(None, 0), (1, 0), (6, 5)}
+    if name == "op7":
+        assert sorted((x.doc_id or 0, x.n_hit, x.n_items) for x in got if x.n_hit) == [(0, 3, 2), (1, 3, 2), (1, 3, 2), (6, 3, 2)]  # each row of the benchmark is an item
+
+
+def test_stages_keep_odd_rows_and_columns(spark, tmp_path):
+    """Every stage but the last keeps the columns and the rows that it has nothing against."""
+    import corpus_pipeline
+
+    docs = odd_table(spark)
+    spark.createDataFrame([(1, "zz yy xx")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = {"quality": 9, "near_duplicates": 8, "repeated_passages": 9, "benchmark_leaks": 9, "tokens": 9}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == left[name] and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        assert name == "tokens" or (out.columns == docs.columns and out.filter("label <> 'label' OR _0 <> '_0'").count() == 0)
+
+
 def test_pipeline_equals_its_stages_in_plain_python(spark, tmp_path):
     import corpus_pipeline
     import sentencepiece
