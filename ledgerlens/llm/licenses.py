@@ -14,6 +14,7 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,40 +27,92 @@ from .common import ALNUM_LOWER, on_workers, pieces, raw, tidy, words_of
 # Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# License wordings, as their authors publish them, with markup.
+# License wordings and notices as published, with markup for what may be missing or differ.
+_GNU_WARRANTY = (
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+    "See the GNU <<any 2>> General Public License for more details."
+)
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "<<optional>> 1. <<end>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "<<optional>> 2. <<end>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY <<any 8>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL <<any 8>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE'
 TEMPLATES = {
-    "mit-notice": "released under <<optional>> the terms of <<end>> the mit license",
+    "mit-notice": "released under <<optional>> the terms of <<end>> the MIT License",
     "mit-text": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
-        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
-        "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
-        "the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software"
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice <<optional>> (including the next paragraph) <<end>> shall be included in all copies or substantial portions of the Software. "
+        f"{_AS_IS} AND NONINFRINGEMENT. IN NO EVENT SHALL <<any 8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "isc-text": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice "
-        "and this permission notice appear in all copies"
+        "Permission to use, copy, modify, and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND <<any 8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<any 8>> BE LIABLE FOR ANY SPECIAL, DIRECT, '
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
-    "apache-2.0": "licensed under the apache license version 2 0 <<optional>> the license you may not use this file except in compliance with the license <<end>>",
-    "bsd-conditions": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
-        "<<optional>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
-        "<<optional>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
-        "in the documentation and or other materials provided with the distribution"
+    "apache-2.0": (
+        'licensed under the Apache License, Version 2.0 <<optional>> (the "License"); you may not use <<any 4>> except in compliance with the License. You may obtain a copy of the License at <<any 8>> '
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License. <<end>>"
     ),
-    "gpl-2.0": "licensed under the gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> version 2 <<optional>> 0 <<end>>",
-    "gpl-3.0": "licensed under the gnu general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> version 3 <<optional>> 0 <<end>>",
+    "bsd-2-clause": f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}",
+    "bsd-3-clause": (
+        f"{_BSD_CONDITIONS} <<optional>> 3. <<end>> Neither the name of <<any 8>> nor the names of <<any 4>> contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}"
+    ),
+    "gpl-2.0": "licensed under the GNU General Public License <<optional>> as published by the Free Software Foundation <<end>> <<optional>> either <<end>> version 2 <<optional>> 0 <<end>>",
+    "gpl-3.0": "licensed under the GNU General Public License <<optional>> as published by the Free Software Foundation <<end>> <<optional>> either <<end>> version 3 <<optional>> 0 <<end>>",
     "gpl-notice": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
-        "either version <<any 2>> of the license or <<optional>> at your option <<end>> any later version"
+        "This program is free software<<optional>>:<<end>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+        f"either version <<any 2>> of the License, or <<optional>> (at your option) <<end>> any later version. {_GNU_WARRANTY}"
+    ),
+    "lgpl-notice": (
+        "This <<any 2>> is free software; you can redistribute it and/or modify it under the terms of the GNU <<optional>> Lesser <<end>> <<optional>> Library <<end>> General Public License as published by the Free Software Foundation; "
+        "either version <<any 2>> of the License, or (at your option) any later version. This <<any 2>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ),
+    "agpl-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        f"either version <<any 2>> of the License, or (at your option) any later version. {_GNU_WARRANTY}"
+    ),
+    "cc-by-4.0": "licensed under <<optional>> a Creative Commons <<end>> <<optional>> the <<end>> CC BY 4.0",
+    "cc-by-sa-4.0": "licensed under <<optional>> a Creative Commons <<end>> <<optional>> the <<end>> CC BY-SA 4.0",
+    "cc-by-nc-4.0": "licensed under <<optional>> a Creative Commons <<end>> <<optional>> the <<end>> CC BY-NC 4.0",
+    "cc-by-nc-nd-4.0": "licensed under <<optional>> a Creative Commons <<end>> <<optional>> the <<end>> CC BY-NC-ND 4.0",
+    "cc-notice": "This work is licensed under <<any 2>> Creative Commons Attribution <<any 4>> <<optional>> 4.0 <<end>> International <<optional>> Public <<end>> License",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<any 8>>",
+    "zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "<<optional>> 1. <<end>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "<<optional>> 2. <<end>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<optional>> 3. <<end>> This notice may not be removed or altered from any source distribution."
     ),
-    "cc-by-4.0": "licensed under <<optional>> a creative commons <<end>> <<optional>> the <<end>> cc by 4 0",
-    "cc-by-sa-4.0": "licensed under <<optional>> a creative commons <<end>> <<optional>> the <<end>> cc by sa 4 0",
-    "cc-by-nc-4.0": "licensed under <<optional>> a creative commons <<end>> <<optional>> the <<end>> cc by nc 4 0",
-    "cc-by-nc-nd-4.0": "licensed under <<optional>> a creative commons <<end>> <<optional>> the <<end>> cc by nc nd 4 0",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "copyright-reserved": "copyright <<any 6>> all rights reserved",
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "copyright-reserved": "Copyright <<any 6>> All rights reserved",
 }
+_MARKUP = re.compile(r"<<(optional|end|any \d+)>>")
+
+
+def plain(markup: str) -> list[str]:
+    """A template's words, in small letters, and its markup, as a list."""
+    out, at = [], 0
+    for m in [*_MARKUP.finditer(markup), None]:
+        text = markup[at : m.start() if m else len(markup)]
+        out += re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda c: c[0].lower(), text))
+        if m:
+            out.append(m[0])
+            at = m.end()
+    return out
 
 
 def hash_words(words: list[str]) -> np.ndarray:
@@ -104,7 +157,7 @@ def compile_template(markup: str) -> Automaton:
     any_word: list[int | None] = [None]
     skips: list[list[int]] = [[]]
     depth, start, open_at = [0], [], []
-    count, tokens = 0, markup.replace("<<", " <<").replace(">>", ">> ").split()
+    count, tokens = 0, plain(markup)
 
     def state() -> int:
         by_word.append({})
@@ -114,9 +167,9 @@ def compile_template(markup: str) -> Automaton:
         return len(by_word) - 1
 
     at = 0
-    plain = True  # no markup so far
-    for k, token in enumerate(tokens):
-        plain = plain and not token.startswith("<<")
+    leading = True  # no markup so far
+    for token in tokens:
+        leading = leading and not token.startswith("<<")
         if token == "<<optional>>":
             open_at.append((at, count))
         elif token == "<<end>>":
@@ -125,9 +178,9 @@ def compile_template(markup: str) -> Automaton:
             skips[at].append(to)
             skips[begin].append(to)
             at = to
-        elif token == "<<any":
+        elif token.startswith("<<any"):
             begins = [at]
-            for _ in range(int(tokens[k + 1].rstrip(">"))):
+            for _ in range(int(token[6:-2])):
                 to = state()
                 any_word[at] = to
                 at = to
@@ -136,11 +189,11 @@ def compile_template(markup: str) -> Automaton:
             for x in begins:
                 skips[x].append(to)
             at = to
-        elif not token.endswith(">>"):
+        else:
             word = int(hash_words([token])[0])
             if not open_at:
                 count += 1
-            if plain and len(start) < 2:
+            if leading and len(start) < 2:
                 start.append(word)
             to = state()
             by_word[at][word] = to
