@@ -18,7 +18,7 @@ def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subject (supplier), permission (brand > type), raw (return flag) and what orders them."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate", F.col("l_returnflag").alias("raw"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat("p_brand", F.lit(" > "), "p_type").alias("permission"), "p_brand")
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("subject"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("subject"), "s_nationkey")
     return lines.join(parts, "l_partkey").join(suppliers, "l_suppkey")
 
 
@@ -28,8 +28,8 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     rows = shipped(spark, sf_dir).withColumn("ord", F.struct(*ORDER)).withColumn("value", normalize_value(F.col("raw")))
     early = F.col("l_shipdate") < F.lit(CUT).cast("timestamp_ntz")
-    baseline = rows.filter(early & (F.col("l_suppkey") % 10 != 3) & (F.col("p_brand") != "Brand#3"))
-    actual = rows.filter(~early & (F.col("l_suppkey") % 10 != 7) & (F.col("p_brand") != "Brand#7"))
+    baseline = rows.filter(early & (F.col("s_nationkey") != 3) & (F.col("p_brand") != "Brand#3"))
+    actual = rows.filter(~early & (F.col("s_nationkey") != 7) & (F.col("p_brand") != "Brand#7"))
     columns = ["subject", "permission", "value", "raw", "ord"]
     return baseline.select(*columns), actual.select(*columns)
 
@@ -37,14 +37,14 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 #: The same records and their classification in SQL; the queries' SQL begins with it.
 PAIRS_SQL = """
 WITH src AS (
-  SELECT s_name AS subject, p_brand || ' > ' || p_type AS permission, l_returnflag AS raw, l_suppkey, p_brand, l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_partkey,
+  SELECT s_name AS subject, p_brand || ' > ' || p_type AS permission, l_returnflag AS raw, s_nationkey, p_brand, l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_partkey,
          CASE l_returnflag WHEN 'A' THEN 'Y' WHEN 'N' THEN 'N' ELSE lower(l_returnflag) END AS value
   FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
 ranked AS (
   SELECT *, l_shipdate < TIMESTAMP '1998-01-01' AS early FROM src),
 sided AS (
   SELECT *, CASE WHEN early THEN 'b' ELSE 'a' END AS side FROM ranked
-  WHERE CASE WHEN early THEN l_suppkey % 10 <> 3 AND p_brand <> 'Brand#3' ELSE l_suppkey % 10 <> 7 AND p_brand <> 'Brand#7' END),
+  WHERE CASE WHEN early THEN s_nationkey <> 3 AND p_brand <> 'Brand#3' ELSE s_nationkey <> 7 AND p_brand <> 'Brand#7' END),
 last AS (
   SELECT * FROM sided QUALIFY row_number() OVER (PARTITION BY side, subject, permission ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_partkey DESC, raw DESC) = 1),
 b AS (SELECT * FROM last WHERE side = 'b'), a AS (SELECT * FROM last WHERE side = 'a'),

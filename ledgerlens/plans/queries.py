@@ -190,10 +190,10 @@ def role_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.role_gaps(*_role_records(spark, sf_dir))
 
 
-@query("""SELECT n_nationkey, coalesce(t, n_name) AS key FROM nation LEFT JOIN (SELECT n_name AS f, r_name || ' ' || n_name AS t FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 2 = 0) ON f = n_name""")
+@query("""SELECT n_nationkey, coalesce(t, n_name) AS key FROM nation LEFT JOIN (SELECT n_name AS f, r_name || ' ' || n_name AS t FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name IN ('ASIA', 'EUROPE')) ON f = n_name""")
 def alias_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    aliases = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).filter("n_nationkey % 2 = 0").select(F.lit("subject").alias("kind"), F.col("n_name").alias("from_key"), F.concat_ws(" ", "r_name", "n_name").alias("to_key"))
+    aliases = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).filter("r_name IN ('ASIA', 'EUROPE')").select(F.lit("subject").alias("kind"), F.col("n_name").alias("from_key"), F.concat_ws(" ", "r_name", "n_name").alias("to_key"))
     return match.rewrite(nations.select("n_nationkey", F.col("n_name").alias("key")), "key", aliases, "subject").select("n_nationkey", "key")
 
 
@@ -248,12 +248,12 @@ def closest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part types in brands below 20 as catalog settings; the brand is the group."""
-    rows = table(spark, sf_dir, "part").filter("p_partkey % 3 > 0").select(F.concat_ws(" ", "p_type", "p_brand").alias("name"), F.col("p_name").alias("description"), F.col("p_type").alias("type"), F.col("p_brand").alias("grp"), F.col("p_partkey").alias("ord"))
+    """Part types in all brands but one as catalog settings; the brand is the group."""
+    rows = table(spark, sf_dir, "part").filter("p_brand <> 'Brand#3'").select(F.concat_ws(" ", "p_type", "p_brand").alias("name"), F.col("p_name").alias("description"), F.col("p_type").alias("type"), F.col("p_brand").alias("grp"), F.col("p_partkey").alias("ord"))
     return cat.catalog(rows)
 
 
-_CATALOG_SQL = f"""WITH cat AS (SELECT {_KEY.format("p_type || ' ' || p_brand")} AS key, min_by(p_type || ' ' || p_brand, p_partkey) AS name, min_by(p_brand, p_partkey) AS grp, min_by(p_name, p_partkey) AS description FROM part WHERE p_partkey % 3 > 0 GROUP BY 1),
+_CATALOG_SQL = f"""WITH cat AS (SELECT {_KEY.format("p_type || ' ' || p_brand")} AS key, min_by(p_type || ' ' || p_brand, p_partkey) AS name, min_by(p_brand, p_partkey) AS grp, min_by(p_name, p_partkey) AS description FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1),
     held AS (SELECT s_name, 'Area ' || p_size % 2 || ' > ' || p_type || ' ' || p_brand AS permission, {_KEY.format("p_type || ' ' || p_brand")} AS key, l_returnflag FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)"""
 
 
@@ -286,12 +286,12 @@ def coverage_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.coverage_by_group(_covered(spark, sf_dir))
 
 
-@query(f"""WITH cat AS (SELECT {_KEY.format("p_type || ' ' || p_brand")} AS key FROM part WHERE p_partkey % 3 > 0 GROUP BY 1), names AS (SELECT DISTINCT 'Area > ' || p_type || ' ' || p_brand || CASE WHEN p_partkey % 5 = 0 THEN ' zzqqxxyy kkjjww vvvv' ELSE '' END AS permission,
-    {_KEY.format("p_type || ' ' || p_brand || CASE WHEN p_partkey % 5 = 0 THEN ' zzqqxxyy kkjjww vvvv' ELSE '' END")} AS key FROM part)
+@query(f"""WITH cat AS (SELECT {_KEY.format("p_type || ' ' || p_brand")} AS key FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1), names AS (SELECT DISTINCT 'Area > ' || p_type || ' ' || p_brand || CASE WHEN p_size > 40 THEN ' zzqqxxyy kkjjww vvvv' ELSE '' END AS permission,
+    {_KEY.format("p_type || ' ' || p_brand || CASE WHEN p_size > 40 THEN ' zzqqxxyy kkjjww vvvv' ELSE '' END")} AS key FROM part WHERE p_brand <> 'Brand#7')
     SELECT 'known' AS side, permission AS name FROM names WHERE key IN (SELECT key FROM cat) UNION ALL SELECT 'unknown', permission FROM names WHERE key NOT IN (SELECT key FROM cat) UNION ALL SELECT 'uncovered', key FROM cat WHERE key NOT IN (SELECT key FROM names)""")
 def catalog_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = F.when(F.col("p_partkey") % 5 == 0, " zzqqxxyy kkjjww vvvv").otherwise("")
-    names = table(spark, sf_dir, "part").select(F.concat(F.lit("Area > "), "p_type", F.lit(" "), "p_brand", odd).alias("permission"))
+    odd = F.when(F.col("p_size") > 40, " zzqqxxyy kkjjww vvvv").otherwise("")
+    names = table(spark, sf_dir, "part").filter("p_brand <> 'Brand#7'").select(F.concat(F.lit("Area > "), "p_type", F.lit(" "), "p_brand", odd).alias("permission"))
     known, unknown, uncovered = cat.cross_check(names, _catalog(spark, sf_dir))
     out = known.select(F.lit("known").alias("side"), F.col("permission").alias("name")).unionByName(unknown.select(F.lit("unknown").alias("side"), F.col("permission").alias("name")))
     return out.unionByName(uncovered.select(F.lit("uncovered").alias("side"), F.col("key").alias("name")))
@@ -324,19 +324,18 @@ def inventory_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.subject_list(_segment_records(spark, sf_dir))
 
 
-_TWO = ["Supplier#000000001", "Supplier#000000002"]
-
-
-@query("SELECT permission, " + ", ".join(f"max(CASE WHEN subject = '{s}' THEN CASE WHEN type = 'ok' THEN coalesce(av, bv) ELSE coalesce(bv, '-') || ' -> ' || coalesce(av, '-') END END) AS \"{s}\"" for s in _TWO) + " FROM pairs GROUP BY permission", pairs=True)
+@query("SELECT permission, subject, CASE WHEN type = 'ok' THEN coalesce(av, bv) ELSE coalesce(bv, '-') || ' -> ' || coalesce(av, '-') END AS cell FROM pairs", pairs=True)
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.side_by_side(_compared(spark, sf_dir).pairs, _TWO)
+    """The pivot of all subjects, and back to a row for each cell that says something."""
+    wide = inv.side_by_side(_compared(spark, sf_dir).pairs)
+    return wide.unpivot("permission", wide.columns[1:], "subject", "cell").filter("cell IS NOT NULL")
 
 
-@query("""WITH l AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_suppkey % 3 > 0), r AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_suppkey % 4 > 0)
+@query("""WITH l AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), r AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT')
     SELECT 'union' AS op, k FROM (SELECT k FROM l UNION SELECT k FROM r) UNION ALL SELECT 'intersection', k FROM (SELECT k FROM l INTERSECT SELECT k FROM r) UNION ALL SELECT 'difference', k FROM (SELECT k FROM l EXCEPT SELECT k FROM r)""")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("early"))
-    left, right = lines.filter("early AND k % 3 > 0").select("k"), lines.filter("NOT early AND k % 4 > 0").select("k")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k")
+    left, right = orders.filter("o_orderstatus = 'P'").select("k"), orders.filter("o_orderpriority = '1-URGENT'").select("k")
     parts = {"union": left.union(right).distinct(), "intersection": left.intersect(right), "difference": left.exceptAll(left.intersect(right)).distinct().join(right, "k", "left_anti")}
     out = None
     for name, rows in parts.items():
