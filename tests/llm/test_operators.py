@@ -210,33 +210,67 @@ def test_op2(held):
         assert full[i].ids == ids and full[i].decoded == back[i].decoded == model.decode(ids)
 
 
-def test_op3(held):
+class PlainModel:
+    """Interpolated modified Kneser-Ney by dictionaries; counts of the highest order are of tokens, those below of distinct words before."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        padded = [["<begin>"] * (order - 1) + t for t in texts]
+        grams = collections.Counter(tuple(t[k : k + order]) for t in padded for k in range(len(t) - order + 1))
+        self.counts = {order: grams}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = collections.Counter(g[1:] for g in self.counts[k + 1])
+        self.d = {k: kneser_ney.discounts(*(collections.Counter(c.values())[x] for x in range(1, 5))) for k, c in self.counts.items()}
+        self.total, self.left = collections.Counter(), collections.Counter()
+        for k, counts in self.counts.items():
+            for g, c in counts.items():
+                self.total[k, g[:-1]] += c
+                self.left[k, g[:-1]] += self.d[k][min(c, 3)]
+        self.types = len({w for t in texts for w in t})
+
+    def p(self, gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (self.types + 1)
+        total = self.total[k, gram[:-1]]
+        if not total:
+            return self.p(gram[1:])
+        c = self.counts[k][gram]
+        return (max(c - self.d[k][min(c, 3)], 0) + self.left[k, gram[:-1]] * self.p(gram[1:])) / total
+
+
+@pytest.mark.parametrize(("order", "limits"), [(3, {}), (3, {"gathered": 300, "passes": 3}), (2, {})])
+def test_op3(held, order, limits):
     docs, texts = held
-    got = by_id(kneser_ney.train_and_score(docs))
+    got = by_id(kneser_ney.train_and_score(docs, order=order, **limits))
     assert set(got) == set(texts)
     tokens = {i: [*re.findall(SPACE, lower(t)), "<end>"] for i, t in texts.items()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
-    single, pairs = collections.Counter(), collections.Counter()
-    for i, t in tokens.items():
-        if not out[i]:
-            single.update(t)
-            pairs.update(zip(["<begin>", *t[:-1]], t, strict=True))
+    training = [t for i, t in tokens.items() if not out[i]]
+    single, model = collections.Counter(w for t in training for w in t), PlainModel(training, order)
     n, v = sum(single.values()), len(single)
-    before = collections.Counter(w for _, w in pairs)
-    cc = [collections.Counter(x.values()) for x in (pairs, before)]
-    d, e = (kneser_ney.discounts(*(c[k] for k in range(1, 5))) for c in cc)
-    total, left, s = collections.Counter(), collections.Counter(), sum(before.values())
-    for (a, _), c in pairs.items():
-        total[a] += c
-        left[a] += d[min(c, 3)]
-    rest = sum(e[min(c, 3)] for c in before.values()) / s / (v + 1) if s else 1
-    p1 = lambda w: rest + max(before[w] - e[min(before[w], 3)], 0) / max(s, 1)
-    p2 = lambda a, w: (max(pairs[a, w] - d[min(pairs[a, w], 3)], 0) + left[a] * p1(w)) / total[a] if total[a] else p1(w)
     for i, t in tokens.items():
         x = got[i]
         assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (out[i], len(t), sum(single[w] > 0 for w in t), n)
         assert math.isclose(x.base_score, sum(math.log10((single[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert math.isclose(x.score, sum(math.log10(p2(a, w)) for a, w in zip(["<begin>", *t[:-1]], t, strict=True)), rel_tol=1e-9)
+        padded = ["<begin>"] * (order - 1) + t
+        assert math.isclose(x.score, sum(math.log10(model.p(tuple(padded[k : k + order]))) for k in range(len(t))), rel_tol=1e-9)
+
+
+def test_op3_counts_beyond_a_byte_and_probabilities_sum_to_one(spark):
+    """Words, pairs and trigrams that occur 255 times and more; over all words and one unknown a context's probabilities sum to one."""
+    texts = ["a b c " * 300, "a b d", "a c b", *["a b c"] * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = common.new_folder(spark, "many")
+    model = kneser_ney.train(docs, folder, 3, passes=2)
+    plain = PlainModel([[*t.split(), "<end>"] for t in texts], 3)
+    ask = [f"{c} {w}".strip() for c in ("a b", "b c", "c", "", "zz a", "a zz") for w in ("a", "b", "c", "d", "unknown")]
+    got = {x.doc_id: x.score for x in kneser_ney.score(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(ask):
+        padded = ["<begin>", "<begin>", *t.split(), "<end>"]
+        assert math.isclose(got[i], sum(math.log10(plain.p(tuple(padded[k : k + 3]))) for k in range(len(padded) - 2)), rel_tol=1e-9), t
+    for context in (("a", "b"), ("b", "c"), ("q", "a"), ("<begin>", "<begin>")):
+        assert math.isclose(sum(plain.p((*context, w)) for w in ("a", "b", "c", "d", "<end>", "unknown")), 1)
 
 
 def windows_gone(texts, width):
