@@ -133,10 +133,11 @@ def role_gaps(records: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def duplicates(records: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, conflict: keys that occur more than once, and whether neighbours among them differ in value."""
+    """keys, n, conflict and, where records have row, rows: keys that occur more than once, whether neighbours among them differ in value, and where they stand."""
     w = Window.partitionBy(*keys).orderBy("ord")
     rows = records.withColumn("differs", F.coalesce((F.col("value") != F.lag("value").over(w)).cast("int"), F.lit(0)))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max("differs") == 1).alias("conflict")).filter("n > 1")
+    places = [F.array_sort(F.collect_set("row")).alias("rows")] if "row" in records.columns and "row" not in keys else []
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max("differs") == 1).alias("conflict"), *places).filter("n > 1")
 
 
 def looks_like_roles(records: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def diagnostics(records: DataFrame, cells: DataFrame, header_row: int) -> DataFr
     filled = F.exists("cells", lambda c: clean(c) != "")
     skipped = noted(cells.filter((F.col("row") > header_row) & filled).join(used, ["file", "sheet", "row"], "left_anti"), "skipped row", F.col("row").cast("string"))
     twice = duplicates(records.withColumn("subject_key", norm_key(F.col("subject"))).withColumn("permission_key", norm_key(F.col("permission"))), ["file", "sheet", "subject_key", "permission_key"])
-    twice = noted(twice, "duplicate", F.concat("permission_key", F.when(F.col("conflict"), " (copies disagree)").otherwise("")))
+    twice = noted(twice, "duplicate", F.concat("permission_key", F.lit(" rows "), F.array_join("rows", "/"), F.when(F.col("conflict"), " (copies disagree)").otherwise("")))
     out = ticks
     for more in (levels, pasted, skipped, twice):
         out = out.unionByName(more)

@@ -174,6 +174,22 @@ def read_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_notes(grid, lay, "skip*").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+@query("SELECT * FROM (VALUES ('high', 3), ('medium', 4), ('low', 2), ('info', 6), ('compared', 288), ('ok', 283)) AS t(what, n)")
+def sample_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample baseline and export, written, read, and compared: what was planted is found."""
+    from ..sources.samples import sample
+
+    baseline, export, _ = sample()
+
+    def read(folder: str) -> DataFrame:
+        result = cmp.compare(*(books.read(cells.read_cells(spark, f"{folder}/{n}.xlsx")).records for n in ("baseline", "export")))
+        severity = rollup.counts_by_severity(result.findings).select(F.col("severity").alias("what"), "n")
+        compared = rollup.verdict(result.pairs, result.findings).select(F.lit("compared"), "compared")
+        return severity.union(compared).union(rollup.counts_by_type(result.pairs).filter("type = 'ok'"))
+
+    return _read_back(spark, {"baseline.xlsx": baseline, "export.xlsx": export}, read)
+
+
 # ---- sinks -------------------------------------------------------------------------------------
 
 

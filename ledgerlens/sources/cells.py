@@ -95,7 +95,9 @@ def parse_sheet(xml: bytes, shared: list[str]) -> dict[int, list[tuple[str, str]
     """Rows by number."""
     out: dict[int, list[tuple[str, str]]] = {}
     at = 0
-    for row in ET.fromstring(xml).iter(f"{_MAIN}row"):
+    for _, row in ET.iterparse(io.BytesIO(xml)):
+        if row.tag != f"{_MAIN}row":
+            continue
         at = int(row.get("r", at + 1))
         cells: list[tuple[str, str]] = []
         for node in row.iter(f"{_MAIN}c"):
@@ -104,6 +106,7 @@ def parse_sheet(xml: bytes, shared: list[str]) -> dict[int, list[tuple[str, str]
             cells += [("", "blank")] * (place - len(cells))
             cells[place : place + 1] = [_cell(node, shared)]
         out[at] = _trim(cells)
+        row.clear()  # the tree never holds more than a row's cells
     return out
 
 
@@ -142,7 +145,7 @@ def parse(data: bytes, name: str = "", sheet: str | None = None) -> Iterator[tup
             yield "Sheet1", 0, row, cells
 
 
-def _place(path: str):
+def place(path: str):
     """(file system, path) of an address: anything that pyarrow knows, else a local path."""
     import pyarrow.fs as pafs
 
@@ -153,7 +156,7 @@ def _listed(path: str) -> list[str]:
     """Files of an address: itself, those of a folder, or those that a pattern in its last part fits."""
     import pyarrow.fs as pafs
 
-    fs, base = _place(path)
+    fs, base = place(path)
     prefix = path[: len(path) - len(base)] if path.endswith(base) else ""
     folder, _, last = base.rpartition("/")
     if any(c in last for c in "*?["):
@@ -174,7 +177,7 @@ class _Reader(DataSourceReader):
         return [InputPartition(x) for x in self.paths]
 
     def read(self, partition):
-        fs, path = _place(partition.value)
+        fs, path = place(partition.value)
         with fs.open_input_file(path) as f:
             data = f.readall()
         for sheet, number, row, cells in parse(data, partition.value, self.sheet):

@@ -271,17 +271,20 @@ def template(catalog_rows: DataFrame, roles: list[str], groups: list[str] | None
     return [Sheet("Permissions", [["Category", "Security Setting", "What it controls", *roles], *([*r, *[""] * len(roles)] for r in body)]), Sheet("Users", [["User", "Role"]]), Sheet("How to", how)]
 
 
-def write(path: str, result) -> None:
-    """By the path's ending: .xlsx, .csv, .json, else text."""
+def write(path: str, result, **more) -> None:
+    """By the path's ending: .xlsx, .csv, .json, else text; on any file system that pyarrow knows, folders are made. more: what report and text_summary take."""
     from ..operators.compare import ordered
+    from .cells import place
 
     if path.endswith(".xlsx"):
-        data = workbook(report(result))
+        data = workbook(report(result, **more))
     elif path.endswith(".csv"):
         data = findings_csv(ordered(result.findings)).encode()
     elif path.endswith(".json"):
         data = to_json({"findings": ordered(result.findings), "matches": result.matches}).encode()
     else:
-        data = text_summary(result).encode()
-    with open(path, "wb") as f:
+        data = text_summary(result, **more).encode()
+    fs, base = place(path)
+    fs.create_dir(base.rpartition("/")[0] or "/", recursive=True)
+    with fs.open_output_stream(base) as f:
         f.write(data)

@@ -1,50 +1,20 @@
 """Whole files: a sample of a baseline with users and an export, round trips, sheets told apart, loaders, captured screens, reports."""
 
+import io
 import random
+import struct
+import zipfile
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import catalog, compare, inventory, records, rollup
-from ledgerlens.sources import books, cells, layout, sinks
+from ledgerlens.sources import books, cells, images, layout, sinks
+from ledgerlens.sources.samples import ROLES, USERS, sample
 from ledgerlens.streaming import frames
 
-ROLES = ["Provider", "Front Desk", "Nurse", "Biller", "Practice Admin"]
-AREAS = ["Charts", "Billing", "Orders", "Reports", "Messages", "Admin"]
-SETTINGS = [(AREAS[k // 6], f"{AREAS[k // 6]} task {'abcdef'[k % 6]}") for k in range(36)]
-USERS = {"Ann Bell": "Provider", "Cy Dorn": "Provider", "Eve Fox": "Front Desk", "Gus Hall": "Front Desk", "Ida Judd": "Nurse", "Kim Lowe": "Nurse", "Max Noll": "Biller", "Ola Pratt": "Practice Admin", "Quin Rost": "Nurse"}
-
-
-def held(role, k):
-    return (k * 7 + ROLES.index(role) * 3) % 5 < 2 + (role == "Practice Admin")
-
-
-def where(role, granted):
-    return next(k for k in range(36) if held(role, k) == granted)
-
-
-def sample():
-    """(baseline workbook, export workbook, catalog workbook) with planted differences: three grants too many, two too few, one level, a user of each side alone, a setting outside the baseline."""
-    grid = [["Category", "Security Setting", "What it controls", *ROLES], *([a, s, f"About {s}", *("Y" if held(r, k) else "N" for r in ROLES)] for k, (a, s) in enumerate(SETTINGS))]
-    baseline = sinks.workbook([sinks.Sheet("Permissions", grid), sinks.Sheet("Users", [["User", "Role"], *map(list, USERS.items())])])
-    values = {(u, k): "Y" if held(r, k) else "N" for u, r in USERS.items() for k in range(36)}
-    for user, granted in (("Eve Fox", False), ("Ida Judd", False)):
-        values[user, where(USERS[user], granted)] = "Y"
-    for user in ("Ann Bell", "Max Noll"):
-        values[user, where(USERS[user], True)] = "N"
-    values["Kim Lowe", where("Nurse", True)] = "View Only"
-    rows = [["Practice Cloud"], ["User security settings"], ["Printed 1/2"], ["User Name", "Category", "Security Setting", "Value"]]
-    for user in [u for u in USERS if u != "Quin Rost"]:
-        own = [[a, s, values[user, k]] for k, (a, s) in enumerate(SETTINGS)] + [["Messages", "Blast message", "Y" if USERS[user] == "Provider" else "N"]]
-        rows += [[user.upper() if i == 0 else "", *x] for i, x in enumerate(own)]
-    rows += [["TEMP 1" if k == 0 else "", a, s, "Y" if k < 3 else "N"] for k, (a, s) in enumerate(SETTINGS)]
-    export = sinks.workbook([sinks.Sheet("Security Settings", rows, freeze=0)])
-    extra = [("Messages", "Blast message")] + [(AREAS[k % 6], f"Further {k}") for k in range(19)]
-    listed = [["Security Setting Name", "Security Setting Description", "Security Setting Type", "Security group Name"], *([s, f"About {s}", "Old", a] for a, s in SETTINGS + extra)]
-    return baseline, export, sinks.workbook([sinks.Sheet("Sheet1", listed)])
-
-
 @pytest.fixture(scope="module")
 def compared(spark):
     baseline, export, listed = sample()
@@ -301,3 +271,52 @@ def test_lines_name_settings_and_groups(spark):
     lines = spark.createDataFrame([("r", 1, 2, 12, "Bililng desk"), ("r", 1, 22, 32, "Merge_charts"), ("r", 1, 50, 68, "Prnit labels"), ("r", 2, 0, 10, "Print labels"), ("r", 2, 21, 30, "zzzz qqqq")], "role string, frame_no int, top int, bottom int, text string")
     got = sorted((x.permission, x.value) for x in frames.read_lines(lines, bands, cat).collect())
     assert got == [("Billing desk > Merge charts", "Y"), ("Billing desk > Print labels", "N")]
+
+
+def png(image, how):
+    """A PNG file whose rows are all filtered in one way."""
+    step, rows = image.shape[2], []
+    flat = image.reshape(len(image), -1).astype(int)
+    for y, line in enumerate(flat):
+        up = flat[y - 1] if y else np.zeros_like(line)
+        left, corner = (np.concatenate([np.zeros(step, int), x[:-step]]) for x in (line, up))
+        p = left + up - corner
+        near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        guess = {0: 0, 1: left, 2: up, 3: (left + up) // 2, 4: near}[how]
+        rows.append(bytes([how]) + ((line - guess) % 256).astype(np.uint8).tobytes())
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, {1: 0, 3: 2, 4: 6}[step], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(b"".join(rows))) + part(b"IEND", b"")
+
+
+def test_images(spark, tmp_path):
+    r = np.random.default_rng(1)
+    for step in (1, 3, 4):
+        image = r.integers(0, 256, (7, 5, step), np.uint8)
+        for how in range(5):
+            got = images.decode(png(image, how))
+            assert (got[..., :3] == (image[..., :3] if step > 1 else image)).all() and (got[..., 3] == (image[..., 3] if step == 4 else 255)).all()
+    with pytest.raises(images.UnreadableImageError):
+        images.decode(b"GIF89a")
+    whole = np.concatenate([np.full((40, WIDTH, 3), 240, np.uint8), painted(screen())])
+    for n, y in enumerate(range(0, len(whole) - 100, 200)):
+        (tmp_path / f"Front Desk {n}.png").write_bytes(png(whole[y : y + 300], 1))
+    shots = frames.bands_of(images.read_images(spark, str(tmp_path)))
+    merged = frames.merge_frames(shots)
+    assert merged.count() == len(screen()) and merged.first().role == "Front Desk"
+
+
+def test_shared_and_rich_strings(spark):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/sharedStrings.xml", f'<sst {main}><si><t>plain</t></si><si><r><t>ri</t></r><r><rPr><b/></rPr><t xml:space="preserve">ch &amp; more</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row r="2"><c r="B2" t="s"><v>1</v></c><c r="D2" t="s"><v>0</v></c></row><row r="5"><c t="b"><v>1</v></c><c><v>2.5</v></c></row></sheetData></worksheet>')
+    got = [(x.row, x.cells, x.kinds) for x in cells.read_bytes(spark, out.getvalue(), "s.xlsx").collect()]
+    assert got == [(2, ["", "rich & more", "", "plain"], ["blank", "str", "blank", "str"]), (5, ["true", "2.5"], ["bool", "num"])]
+
+
+def test_duplicates_say_their_rows(spark):
+    rows = spark.createDataFrame([("a", "p", "Y", 3, 1), ("a", "p", "N", 7, 2), ("a", "q", "Y", 4, 3)], "subject string, permission string, value string, row int, ord int")
+    assert [(x.permission, x.n, x.conflict, x.rows) for x in records.duplicates(rows, ["subject", "permission"]).collect()] == [("p", 2, True, [3, 7])]
