@@ -38,6 +38,9 @@ CROWD = 32
 #: Members of one value that are compared in one chunk.
 CHUNK = 1024
 
+#: Pairs of one set that one task compares, about; and how many such sets are sent to every task, at most.
+HEAVY, LISTED = 2_000, 10_000
+
 LINK_PERCENT = 90
 
 
@@ -341,15 +344,36 @@ def _near(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _beside(pairs: DataFrame, held: DataFrame, end: str, columns: dict[str, str], heavy: int) -> DataFrame:
+    """Pairs with columns of held (by print) beside their end a or b.
+
+    A print that stands in many pairs (the centre of a large group) is dealt over several tasks: its row is copied
+    for each, and its pairs are spread by their other end.
+    """
+    wanted = held.select("print", *(F.col(c).alias(to) for c, to in columns.items()))
+    counts = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy)
+    counts = counts.select(F.col(end).alias("_print"), F.ceil(F.col("n") / heavy).cast("int").alias("_parts"))
+    rows = counts.limit(LISTED + 1).collect()
+    if not rows:
+        return pairs.join(wanted, pairs[end] == wanted["print"]).drop("print")
+    if len(rows) <= LISTED:
+        counts = F.broadcast(pairs.sparkSession.createDataFrame(rows, "_print long, _parts int"))
+    other = "b" if end == "a" else "a"
+    spread = pairs.join(counts, F.col(end) == F.col("_print"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")).cast("int"), F.lit(0))).drop("_print", "_parts")
+    copied = wanted.join(counts, F.col("print") == F.col("_print"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_print", "_parts")
+    return spread.join(copied, (F.col(end) == F.col("print")) & (F.col("_salt") == F.col("_copy"))).drop("print", "_salt", "_copy")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, heavy: int) -> DataFrame:
     """The linked ones of pairs: first by sketches, which are small, then by sets."""
-    small = pairs.join(sketches.select(F.col("print").alias("a"), F.col("size").alias("n"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("print").alias("b"), F.col("size").alias("m"), F.col("sketch").alias("y")), "b")
-    pairs = small.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b", "n", "m", "x", "y").mapInArrow(lambda t: _near(percent, t), "a long, b long")
-    both = pairs.join(sets.select(F.col("print").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("print").alias("b"), F.col("members").alias("y")), "b")
+    pairs = cut(pairs)
+    small = _beside(_beside(pairs, sketches, "a", {"size": "n", "sketch": "x"}, heavy), sketches, "b", {"size": "m", "sketch": "y"}, heavy)
+    pairs = cut(small.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b", "n", "m", "x", "y").mapInArrow(lambda t: _near(percent, t), "a long, b long"))
+    both = _beside(_beside(pairs, sets, "a", {"members": "x"}, heavy), sets, "b", {"members": "y"}, heavy)
     return cut(both.select("a", "b", "x", "y").mapInArrow(lambda t: _verify(percent, t), "a long, b long"))
 
 
-def link(docs: DataFrame, width: int = 3, percent: int = LINK_PERCENT, *, gathered: int = GATHERED, crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
+def link(docs: DataFrame, width: int = 3, percent: int = LINK_PERCENT, *, gathered: int = GATHERED, crowd: int = CROWD, chunk: int = CHUNK, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and n_links (verified links of the document's set to different sets)."""
     on_workers(docs.sparkSession)
     n = buckets(docs)
@@ -368,7 +392,7 @@ def link(docs: DataFrame, width: int = 3, percent: int = LINK_PERCENT, *, gather
     hub = posted.join(degree, "print").groupBy("key").agg(F.max_by("print", F.struct("degree", "print")).alias("hub"))
     pairs = posted.join(hub, "key").filter("print <> hub").select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct()
     sketches = cut(sets.mapInArrow(_sketches, "print long, size long, sketch binary"))
-    found = _verified(pairs, sets, sketches, percent)
+    found = _verified(pairs, sets, sketches, percent, heavy)
 
     # 2. what the groups found so far leave open
     label = components(found).select(F.col("node").alias("print"), "label")
@@ -382,7 +406,7 @@ def link(docs: DataFrame, width: int = 3, percent: int = LINK_PERCENT, *, gather
     dealt = dealt.select("key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "print", "part", "size", (F.col("mine") > F.col("other")).cast("int").alias("side"), "sketch")
     dealt = dealt.repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two")
     rest = dealt.mapInArrow(lambda t: _compare_sorted(percent, t), "a long, b long").distinct().join(found, ["a", "b"], "left_anti")
-    more = _verified(rest, sets, sketches, percent)
+    more = _verified(rest, sets, sketches, percent, heavy)
 
     links = found.union(more)
     label = components(links)

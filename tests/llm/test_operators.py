@@ -338,10 +338,18 @@ def test_op5_one_value_of_many_sets(spark):
     for k in range(30):
         words = words[: 4 * k] + [f"new{k}"] + words[4 * k + 1 :] if k else words
         texts[k] = " ".join(words)
-    got = by_id(ngram_join.link(table(spark, texts), 1, 90, crowd=4, chunk=5, gathered=60))
+    got = by_id(ngram_join.link(table(spark, texts), 1, 90, crowd=4, chunk=5, gathered=60, heavy=3))
     assert {x.component_id for x in got.values()} == {0}
 
 
+def test_op5_a_centre_of_many_pairs(spark):
+    """A star of near copies, whose centre's pairs are dealt over tasks."""
+    words = [f"w{i}" for i in range(100)]
+    texts = {k: " ".join(words[:k] + [f"own{k}"] + words[k + 1 :]) if k else " ".join(words) for k in range(60)}
+    got = by_id(ngram_join.link(table(spark, texts), 1, 95, heavy=7))
+    assert {x.component_id for x in got.values()} == {0} and all(x.n_links > 0 for x in got.values())
+
+
 def test_op6(held, tmp_path):
     from tokenizers import Tokenizer
 
