@@ -5,11 +5,10 @@ import random
 import re
 import unicodedata
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import keys, similarity, values
+from ledgerlens.functions import keys, values
 from ledgerlens.operators import catalog, compare, inventory, match, records, rollup
 from ledgerlens.sources import cells, layout, sinks
 from ledgerlens.streaming import frames

@@ -133,7 +133,7 @@ def test_roles_of_files_and_sheets(spark):
 
 
 def test_loaders(spark):
-    text = "kind,baseline,ecw\nuser,Ann B,ABELL\nsettings,Old > Name,New > Name\nRun it,Run\nuser,Ann B,ANNB\nlone\nFrom here,x,y\n"
+    text = "kind,baseline,system\nuser,Ann B,ABELL\nsettings,Old > Name,New > Name\nRun it,Run\nuser,Ann B,ANNB\nlone\nFrom here,x,y\n"
     found = [(x.kind, x.from_key, x.to_key) for x in books.aliases(cells.read_bytes(spark, text.encode(), "a.csv")).orderBy("ord").collect()]
     assert found == [("subject", "ann b", "abell"), ("permission", "old > name", "new > name"), ("permission", "run it", "run"), ("subject", "ann b", "annb"), ("permission", "from here", "x")]
     users = books.users(cells.read_bytes(spark, b"User,Role\nann,Nurse\nbob,Clerk\nANN,Clerk\n", "u.csv"))
