@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import ALNUM_LOWER, U64, as_text, on_workers, pieces, raw, tidy, words_of
 
 #: Words of benchmark text that a worker looks up at once; larger benchmarks take several passes.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
 #: Bytes of text in a shard.
 SHARD_BYTES = 4 << 20
 #: Every so many-th place of the text is sampled.
@@ -52,22 +52,20 @@ def phrases_of(rows: list[tuple], width: int) -> Phrases:
     """Phrases of (item_id, text) rows."""
     texts = as_text(pa.array([x[1] for x in rows], pa.string()))
     words = words_of(*raw(texts), ALNUM_LOWER)
-    hashes, counts = words.hashes(), words.counts()
-    vocabulary = np.unique(hashes)
-    symbol = np.searchsorted(vocabulary, hashes) + 2
-    table: dict[bytes, tuple[np.ndarray, set[int]]] = {}
-    for item in range(len(rows)):
-        own = symbol[words.first[item] : words.first[item + 1]].astype(np.int32)
-        for at in range(max(1, len(own) - width + 1) if counts[item] else 0):
-            part = own[at : at + width]
-            table.setdefault(part.tobytes(), (part, set()))[1].add(item)
-    found = list(table.values())
-    symbols = np.zeros((len(found), width), np.int32)
-    for k, (part, _) in enumerate(found):
-        symbols[k, : len(part)] = part
-    owners = [sorted(x[1]) for x in found]
-    first = np.append(0, np.cumsum([len(x) for x in owners])).astype(np.int64)
-    return Phrases(vocabulary, symbols, np.array([len(x[0]) for x in found], np.int64), first, np.array([y for x in owners for y in x], np.int64), [str(x[0]) for x in rows])
+    counts = words.counts()
+    vocabulary, symbol = np.unique(words.hashes(), return_inverse=True)
+    many = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+    item = np.repeat(np.arange(len(rows)), many)
+    place = words.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+    length = np.minimum(counts, width)[item]
+    padded = np.append(symbol.astype(np.int32) + 2, np.zeros(width, np.int32))
+    symbols = padded[place[:, None] + np.arange(width)]
+    symbols[np.arange(width) >= length[:, None]] = 0
+    # one row for each distinct phrase, and its items in order
+    _, at, phrase = np.unique(symbols.view(np.dtype((np.void, 4 * width))).ravel(), return_index=True, return_inverse=True)
+    both = np.unique(phrase.astype(np.int64) * max(1, len(rows)) + item)
+    first = np.searchsorted(both // max(1, len(rows)), np.arange(len(at) + 1))
+    return Phrases(vocabulary, symbols[at], length[at], first, both % max(1, len(rows)), [str(x[0]) for x in rows])
 
 
 class WaveletMatrix:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontaminate, kneser_ney, licenses, ngram_join, quality_model, quality_rules, sentence_pieces, substring_dedup, token_files, warc
 

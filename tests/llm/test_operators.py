@@ -474,6 +474,99 @@ def test_op8(spark):
     assert quality_model.score(docs.limit(0), flat).count() == 0
 
 
+def plain_features(t):
+    w, lines = re.findall(SPACE, t), [x.encode() for x in t.split("\n") if x]
+    size = [len(x.encode()) for x in w]
+    n, solid, n_lines = max(len(w), 1), max(sum(size), 1), max(len(lines), 1)
+    held = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "symbol": b"#*$%&|<>@^~_=+{}[]\\/", "stop": b".,;:!?'\"()-", "mark": b"!?", "beyond": range(128, 256)}
+    windows = len({tuple(w[k : k + 3]) for k in range(len(w) - 2)}) if len(w) > 2 else min(len(w), 1)
+    return [
+        math.log1p(len(w)), solid / n, math.log1p(max(size, default=0)), *(sum(b in x for b in t.encode()) / solid for x in held.values()), len(set(w)) / n, windows / max(len(w) - 2, 1), len(set(lines)) / n_lines,
+        math.log1p(len(w) / n_lines), sum(x <= 3 for x in size) / n, max(collections.Counter(w).values(), default=0) / n, sum(x[-1] not in b".!?:" for x in lines) / n_lines,
+        sum(x.encode()[-1] in held["symbol"] or x.encode()[-1] in held["mark"] for x in w) / n,
+    ]
+
+
+def test_op8_features_equal_plain_python():
+    import pyarrow as pa
+
+    texts = [t or "" for t in TEXTS.values()] + ["#a! b\nb\n\nC? 1.", "x"]
+    got = quality_model.features(*common.raw(pa.array(texts, pa.large_string())))
+    assert np.allclose(got, [plain_features(t) for t in texts]) and got.shape[1] == len(quality_model.NAMES)
+
+
+def plain_tree(g, h, leaves):
+    parts = [(0, len(g))]
+    worth = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + 1)
+    while len(parts) < leaves:
+        cuts = [(worth(a, c) + worth(c, b) - worth(a, b), a, c, b) for a, b in parts for c in range(a + 1, b)]
+        if not cuts or max(cuts)[0] <= 1e-9:
+            break
+        _, a, c, b = max(cuts)
+        parts = [x for x in parts if x != (a, b)] + [(a, c), (c, b)]
+    return {k: sum(g[a:b]) / (sum(h[a:b]) + 1) for a, b in parts for k in range(a, b)}
+
+
+def test_op8_tables_and_scores_equal_brute_force(monkeypatch):
+    """Cyclic boosting by loops over rows, and scores by sums of table values."""
+    for name, value in (("ROUNDS", 3), ("PAIR_ROUNDS", 2), ("PAIRS", 2), ("BINS", 6), ("PAIR_BINS", 3)):
+        monkeypatch.setattr(quality_model, name, value)
+    r = np.random.default_rng(3)
+    width = len(quality_model.NAMES)
+    x = r.normal(size=(90, width))
+    y = (x[:, 1] + x[:, 2] * x[:, 4] + 0.3 * r.normal(size=90) > 0).astype(float)
+    model = quality_model.fit(x, y)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    total = [math.log(share / (1 - share))] * len(y)
+    place = lambda edges, v: sum(e <= v for e in edges)
+    tables = [[0.0] * (len(e) + 1) for e in model.edges]
+
+    def sums(cells, n):
+        g, h = [0.0] * n, [0.0] * n
+        for i, c in enumerate(cells):
+            p = 1 / (1 + math.exp(-total[i]))
+            g[c] += y[i] - p
+            h[c] += p * (1 - p)
+        return g, h
+
+    for _ in range(3):
+        for k, table in enumerate(tables):
+            bins = [place(model.edges[k], v) for v in x[:, k]]
+            step = plain_tree(*sums(bins, len(table)), quality_model.LEAVES)
+            for b in range(len(table)):
+                table[b] += quality_model.STEP * step[b]
+            total = [t + quality_model.STEP * step[b] for t, b in zip(total, bins, strict=True)]
+    assert all(np.allclose(a, b) for a, b in zip(tables, model.tables, strict=True))
+    coarse = [[place(e, v) for v in x[:, k]] for k, e in enumerate(model.pair_edges)]
+
+    def quadrants(a, b):
+        rows, columns = len(model.pair_edges[a]) + 1, len(model.pair_edges[b]) + 1
+        g, h = sums([i * columns + j for i, j in zip(coarse[a], coarse[b], strict=True)], rows * columns)
+        best = (0.0, {})
+        for r_, c_ in [(i, j) for i in range(1, rows) for j in range(1, columns)]:
+            cells = collections.defaultdict(list)
+            for i in range(rows):
+                for j in range(columns):
+                    cells[i >= r_, j >= c_].append((i, j))
+            part = {q: (sum(g[i * columns + j] for i, j in v), sum(h[i * columns + j] for i, j in v)) for q, v in cells.items()}
+            gain = sum(a_ * a_ / (b_ + 1) for a_, b_ in part.values())
+            if gain > best[0]:
+                best = (gain, {ij: part[q][0] / (part[q][1] + 1) for q, v in cells.items() for ij in v})
+        return best
+
+    ranked = sorted(((quadrants(a, b)[0], a, b) for a in range(width) for b in range(a)), reverse=True)[:2]
+    assert model.pairs == [(a, b) for _, a, b in ranked]
+    pairs = [collections.Counter() for _ in model.pairs]
+    for _ in range(2):
+        for (a, b), table in zip(model.pairs, pairs, strict=True):
+            step = quadrants(a, b)[1]
+            for ij, v in step.items():
+                table[ij] += quality_model.STEP * v
+            total = [t + quality_model.STEP * step[i, j] for t, i, j in zip(total, coarse[a], coarse[b], strict=True)]
+    assert all(np.allclose(held[i, j], table[i, j]) for held, table in zip(model.pair_tables, pairs, strict=True) for i, j in table)
+    assert np.allclose(model.score(x), [1 / (1 + math.exp(-t)) for t in total])
+
+
 def test_op9(spark):
     x = "ä" * 80
     rows = [(3, "http://WWW.a.org:80/p?q=1#f", x), (1, "https://a.org/x y", x), (2, None, x), (9, "http://b.org", "short"), (8, "http://b.org", "short"), (7, "u", None), (-4, "http://c.org/%", "y" * 99)]
