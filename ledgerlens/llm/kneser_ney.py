@@ -10,8 +10,8 @@
    word: how often it is followed, by how many words once, twice, more often, and how many words it follows.
 3. Those sums are written beside the words. Discounts come from the counts of counts of each order.
 
-A pair's key takes six bytes (a directory over its highest bits replaces the rest), a trigram four bytes (its
-last word, sorted within its pair) and counts one byte; larger counts are listed apart.
+A pair's key takes five bytes (a directory over its highest bits replaces the rest), a trigram four bytes (its
+last word, sorted within its pair) and counts of one a bit; other counts are listed apart.
 
 Workers map the arrays into memory and look up each text's words, pairs and trigrams in sorted order. The model
 covers all training rows; nothing is pruned.
@@ -40,7 +40,7 @@ from .unit_table import distinct
 #: Tokens that a task gathers before it counts, or looks up, what it has.
 GATHERED = 1_500_000
 #: Passes over the text in which trigrams are counted.
-PASSES = 8
+PASSES = 4
 BEGIN, END = U64(0x0B0E0B0E0B0E0B0E), U64(0x0E0D0E0D0E0D0E0D)
 _STATS = np.dtype([("total", "<u4"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4"), ("before", "<u4")])
 _SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -59,6 +59,13 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(30)) ^ (x >> U64(60))
 
 
+def _sorted_distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    values = np.sort(values)
+    at = groups(values)
+    return values[at], np.diff(np.append(at, len(values)))
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
@@ -92,10 +99,10 @@ def _count_words(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         held.append(hashes)
         size += len(hashes)
         if size >= GATHERED:
-            yield from _deal(*np.unique(np.concatenate(held), return_counts=True), n)
+            yield from _deal(*_sorted_distinct(np.concatenate(held)), n)
             held, size = [], 0
     if held:
-        yield from _deal(*np.unique(np.concatenate(held), return_counts=True), n)
+        yield from _deal(*_sorted_distinct(np.concatenate(held)), n)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -176,7 +183,7 @@ def save_arrays(fs, path: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def load_arrays(fs, path: str) -> dict[str, np.ndarray]:
-    held = mapped(fs, path, np.uint8)
+    held = np.asarray(mapped(fs, path, np.uint8)).view(np.ndarray)
     size = int(held[:8].view("<u8")[0])
     body = held[8 + size :]
     return {name: body[at : at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, at, n) in json.loads(held[8 : 8 + size].tobytes()).items()}
@@ -196,8 +203,24 @@ def counts_at(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.nd
     return out
 
 
-#: Low bits of a key that are kept; those above are told by the bucket and a directory.
-KEPT = U64(48)
+def mostly_one(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts of which most are one: a bit for each that isn't, how many such bits stand before each word of 64, and those counts in order."""
+    other = values != 1
+    bits = np.zeros(-(-(len(values) + 1) // 64) * 64, np.uint8)
+    bits[: len(values)] = other
+    words = np.packbits(bits, bitorder="little").view("<u8")
+    before = np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words)
+    return {f"{name}_bits": words, f"{name}_before": before.astype("<u4" if len(values) < 1 << 32 else "<u8"), **counts_in_bytes(name, values[other])}
+
+
+def mostly_one_at(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    word, bit = at >> 6, (at & 63).astype(np.uint64)
+    held = arrays[f"{name}_bits"][word]
+    out = np.ones(len(at), np.int64)
+    other = np.flatnonzero(held >> bit & U64(1))
+    rank = arrays[f"{name}_before"][word[other]].astype(np.int64) + np.bitwise_count(held[other] & ((U64(1) << bit[other]) - U64(1)))
+    out[other] = counts_at(arrays, name, rank)
+    return out
 
 
 def _base(bucket: int, n: int) -> int:
@@ -206,10 +229,16 @@ def _base(bucket: int, n: int) -> int:
 
 
 def coded_keys(keys: np.ndarray, bucket: int, n: int) -> dict[str, np.ndarray]:
-    """Sorted hashes of a bucket in six bytes each, and where each value of their bits above begins."""
+    """Sorted hashes of a bucket in five or six bytes each, and where each value of their bits above begins (about four keys each)."""
     rest = keys - U64(_base(bucket, n))
-    top = (rest >> KEPT).astype(np.int64)
-    return {"directory": np.searchsorted(top, np.arange((2**64 // n >> int(KEPT)) + 3)).astype("<u8"), "high": (rest >> U64(16) & U64(0xFFFFFFFF)).astype("<u4"), "low": (rest & U64(0xFFFF)).astype("<u2")}
+    largest = 2**64 // n + (1 << 32)
+    kept = max(40, largest.bit_length() - max(0, (len(keys) // 4).bit_length()))
+    below = kept - 32
+    begins = np.searchsorted(rest >> U64(kept) if kept < 64 else np.zeros(len(rest), np.uint64), np.arange((largest >> kept) + 2).astype(np.uint64))
+    return {
+        "kept": np.array([kept], "<u8"), "directory": begins.astype("<u4" if len(keys) < 1 << 32 else "<u8"),
+        "high": (rest >> U64(below) & U64(0xFFFFFFFF)).astype("<u4"), "low": (rest & U64((1 << below) - 1)).astype("<u1" if below <= 8 else "<u2" if below <= 16 else "<u4"),
+    }
 
 
 def _bisect(low: np.ndarray, high: np.ndarray, less) -> np.ndarray:
@@ -228,8 +257,10 @@ def _bisect(low: np.ndarray, high: np.ndarray, less) -> np.ndarray:
 def key_places(arrays: dict[str, np.ndarray], keys: np.ndarray, bucket: int, n: int) -> np.ndarray:
     """The place of each key in the bucket, -1 if it isn't there."""
     rest = keys - U64(_base(bucket, n))
-    slot, high, low = (rest >> KEPT).astype(np.int64), (rest >> U64(16) & U64(0xFFFFFFFF)).astype(np.uint32), (rest & U64(0xFFFF)).astype(np.uint16)
+    kept = int(arrays["kept"][0])
     h, l = arrays["high"], arrays["low"]  # noqa: E741
+    slot = (rest >> U64(kept)).astype(np.int64) if kept < 64 else np.zeros(len(rest), np.int64)
+    high, low = (rest >> U64(kept - 32) & U64(0xFFFFFFFF)).astype(np.uint32), (rest & U64((1 << kept - 32) - 1)).astype(l.dtype)
 
     def less(place: np.ndarray, which: np.ndarray) -> np.ndarray:
         there = h[place]
@@ -295,7 +326,7 @@ def _count_grams(words: Words, order: int, n: int, first: int, last: int, most:
         mine = lambda p: np.flatnonzero(((p >> U64(32)) >= low) & ((p >> U64(32)) < high))
         at = mine(pair)
         if order == 2:
-            keys, counts = np.unique(pair[at], return_counts=True)
+            keys, counts = _sorted_distinct(pair[at])
             yield from dealt(0, keys, np.empty(0, "<u4"), counts)
             return
         two = _before(one, begins, begin)
@@ -315,6 +346,20 @@ def _count_grams(words: Words, order: int, n: int, first: int, last: int, most:
         yield from flush()
 
 
+def _order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The order by first, then second: only rows with an equal first are sorted twice."""
+    by = np.argsort(first)
+    held = first[by]
+    equal = np.zeros(len(by), bool)
+    equal[1:] = held[1:] == held[:-1]
+    run = np.cumsum(~equal)
+    equal[:-1] |= equal[1:]
+    at = np.flatnonzero(equal)
+    again = by[at]
+    by[at] = again[np.argsort(run[at].astype(np.uint64) << U64(32) | second[again])]
+    return by
+
+
 def _of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in range(1, 5)]
 
@@ -327,8 +372,8 @@ def _added(keys: np.ndarray, value: np.ndarray, first: np.ndarray) -> list[tuple
     order = np.argsort(before.astype(np.uint32), kind="stable")
     at, c = groups(before[order]), value[order]
     one = before[order][at]
-    follow, n_follow = np.unique(after, return_counts=True)
-    every = np.union1d(one, follow)
+    follow, n_follow = _sorted_distinct(after)
+    every, _ = _sorted_distinct(np.concatenate([one, follow]))
     stats = {f: np.zeros(len(every), np.int64) for f in _STATS.names}
     place = np.searchsorted(every, one)
     if len(at):
@@ -361,7 +406,7 @@ def _write_grams(folder: str, words_first: np.ndarray, order: int, n: int, first
         if order == 2:
             keys, value = _summed(pairs, counts)
         else:
-            by = np.lexsort((others, pairs))
+            by = _order(pairs, others)
             pairs, others, counts = pairs[by], others[by], counts[by]
             new = np.ones(len(pairs), bool)
             new[1:] = (pairs[1:] != pairs[:-1]) | (others[1:] != others[:-1])
@@ -372,9 +417,14 @@ def _write_grams(folder: str, words_first: np.ndarray, order: int, n: int, first
             begins = groups(pairs)
             before, words = (np.concatenate([np.empty(0, t), *(x[k] for x in kinds[1])]) for k, t in enumerate((np.uint64, "<u4")))
             kinds.clear()
-            before = _runs(before, words.astype(np.uint64))[0]  # a row for each distinct word before
-            known, value_of = np.unique(before, return_counts=True)
-            keys = np.union1d(pairs[begins], known)
+            by = _order(before, words)
+            before, words = before[by], words[by]
+            new = np.ones(len(before), bool)
+            new[1:] = (before[1:] != before[:-1]) | (words[1:] != words[:-1])
+            before = before[new]  # a row for each distinct word before
+            at = groups(before)
+            known, value_of = before[at], np.diff(np.append(at, len(before)))
+            keys, _ = _sorted_distinct(np.concatenate([pairs[begins], known]))
             value, followers = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
             value[np.searchsorted(keys, known)] = value_of
             own = np.searchsorted(keys, pairs[begins])
@@ -385,11 +435,13 @@ def _write_grams(folder: str, words_first: np.ndarray, order: int, n: int, first
                     sums[k][own] = np.add.reduceat(x.astype(np.int64), begins)
             # most pairs are followed by one word: the others are listed
             listed = np.flatnonzero(followers != 1)
-            arrays = {"listed": listed.astype("<u4" if len(keys) < 1 << 32 else "<u8"), **counts_in_bytes("followers", followers[listed]), "last": others}
+            begin = (np.cumsum(followers) - followers)[np.append(listed, len(keys))[: len(listed)]] - listed if len(listed) else listed
+            extra = np.append(begin, len(others) - len(keys))  # rows before a pair beyond one for each pair before
+            arrays = {"listed": listed.astype("<u4" if len(keys) < 1 << 32 else "<u8"), "extra": extra.astype("<i8" if len(others) >= 1 << 31 else "<i4"), **counts_in_bytes("followers", followers[listed]), "last": others}
             for k, x in sums.items():
                 arrays |= counts_in_bytes(k, x[listed])
-            arrays |= counts_in_bytes("count", counts)
-        save_arrays(fs, f"{base}/{name}", {**coded_keys(keys, number, n), **counts_in_bytes("value", value), **arrays})
+            arrays |= mostly_one("count", counts)
+        save_arrays(fs, f"{base}/{name}", {**coded_keys(keys, number, n), **mostly_one("value", value), **arrays})
         none = pa.nulls(1, pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([name]), *(pa.array([x], pa.list_(pa.int64())) for x in (of_grams, _of_counts(value))), none, none], names=names)
         rows = _added(keys, value, words_first)
@@ -472,7 +524,7 @@ class Model:
         value = np.zeros(len(keys), np.int64)
         count, total, left = np.zeros(len(context), np.int64), np.zeros(len(context)), np.zeros(len(context))
         stops = np.searchsorted(scale(keys, n), np.arange(n + 1).astype(np.uint64))
-        rows_by = np.argsort(context, kind="stable")
+        rows_by = np.argsort(context.astype(np.int32) if len(keys) < 1 << 31 else context)
         row_stops = np.searchsorted(context[rows_by], stops)
         fs, base = file_system(self.words.folder)
         for k in np.flatnonzero(np.diff(stops)):
@@ -481,7 +533,7 @@ class Model:
             arrays = load_arrays(fs, f"{base}/{self.gram_names[k]}")
             place = key_places(arrays, keys[stops[k] : stops[k + 1]], int(k), n)
             known = np.flatnonzero(place >= 0)
-            value[stops[k] + known] = counts_at(arrays, "value", place[known])
+            value[stops[k] + known] = mostly_one_at(arrays, "value", place[known])
             if self.order == 2:
                 continue
             rows = rows_by[row_stops[k] : row_stops[k + 1]]
@@ -490,20 +542,19 @@ class Model:
             listed = arrays["listed"]
             at = np.searchsorted(listed, here)
             special = (at < len(listed)) & (listed[np.minimum(at, max(len(listed) - 1, 0))] == here) if len(listed) else np.zeros(len(here), bool)
-            extra = np.append(0, np.cumsum(counts_at(arrays, "followers", np.arange(len(listed))) - 1))
-            begin = here + extra[at]
+            begin = here + arrays["extra"][at].astype(np.int64)
             followers, sums = np.ones(len(here), np.int64), {x: np.zeros(len(here), np.int64) for x in ("total", "one", "two")}
             followers[special] = counts_at(arrays, "followers", at[special])
             for x in sums:
                 sums[x][special] = counts_at(arrays, x, at[special])
             single = np.flatnonzero(~special)
-            only = counts_at(arrays, "count", begin[single])
+            only = mostly_one_at(arrays, "count", begin[single])
             sums["total"][single], sums["one"][single], sums["two"][single] = only, only == 1, only == 2
             wanted = last[rows]
             end = begin + followers
             spot = _bisect(begin, end, lambda p, which, a=arrays["last"], w=wanted: a[p] < w[which])
             hit = np.flatnonzero((spot < end) & (arrays["last"][np.minimum(spot, max(len(arrays["last"]) - 1, 0))] == wanted)) if len(arrays["last"]) else np.empty(0, np.int64)
-            count[rows[hit]] = counts_at(arrays, "count", spot[hit])
+            count[rows[hit]] = mostly_one_at(arrays, "count", spot[hit])
             total[rows] = sums["total"]
             d = self.gram_discounts
             left[rows] = sums["one"] * d[1] + sums["two"] * d[2] + (followers - sums["one"] - sums["two"]) * d[3]
@@ -581,14 +632,20 @@ def _score(model: Model, most: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         before = _before(own, starts, begin)
         number = np.maximum(numbers, 0).astype(np.uint64)
         known = (numbers[own] >= 0) & (numbers[before] >= 0)
-        pair = _pair(number[before], number[own])
-        context, has = _before(pair, starts, _pair(number[[begin]], number[[begin]])[0]), _before(known, starts, numbers[begin] >= 0)
-        keys = np.unique(np.concatenate([pair[known], context[has]]))
-        rows = np.flatnonzero(has)
+        # the places of pairs among the distinct ones in order, -1 for those with unknown words; a context is the pair before
+        pair, known = np.append(_pair(number[before], number[own]), _pair(number[[begin]], number[[begin]])), np.append(known, numbers[begin] >= 0)
+        codes, keys = pd.factorize(pair[known])
+        by = np.argsort(keys)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        keys, spot = keys[by], np.full(len(pair), -1, np.int64)
+        spot[known] = rank[codes]
+        context, spot = _before(spot[:-1], starts, spot[-1]), spot[:-1]
+        rows, known = np.flatnonzero(context >= 0), known[:-1]
         last = np.where(numbers[own[rows]] >= 0, number[own[rows]], U64(0xFFFFFFFF)).astype(np.uint32)  # no word has that number
-        value, gram, total, gram_left = model.gram_values(keys, np.searchsorted(keys, context[rows]), last)
+        value, gram, total, gram_left = model.gram_values(keys, context[rows], last)
         c = np.zeros(len(own), np.int64)
-        c[known] = value[np.searchsorted(keys, pair[known])]
+        c[known] = value[spot[known]]
         p = lower[own]
         seen = np.flatnonzero(followed[before] > 0)
         v, c = before[seen], c[seen]
