@@ -41,7 +41,9 @@ NULL_ID = np.iinfo(np.int64).min
 SIGNS = ".,;:!?#*$%&-)"
 #: Closing signs that are taken from a word, at most.
 CLOSING = 8
-_IS_SIGN, _IS_LETTER, _IS_SECOND = (np.isin(np.arange(256), x) for x in (list(SIGNS.encode()), [*range(65, 91), *range(97, 123), 0xC3], [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]))
+_IS_SIGN = np.isin(np.arange(256), list(SIGNS.encode()))
+#: Bytes of no letter that is ASCII or begins with C3 (second bytes 97 and B7 of that are signs; other first bytes tell for the bytes behind them).
+_IS_OTHER = ~np.isin(np.arange(256), [*range(65, 91), *range(97, 123), 0xC3, *(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))])
 _LOADED: dict[str, WordUnits] = {}
 #: For each control byte the lengths of its four values, and their sum.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.uint8)
@@ -71,9 +73,8 @@ class WordUnits:
             closing = closing[_IS_SIGN[data[core[closing] - 1]]]
             core[closing] -= 1
         # letters are ASCII ones and those of two bytes that begin with C3; the rest stays as it is
-        second = np.zeros(len(data), bool)
-        second[1:] = data[:-1] == 0xC3
-        other = np.append(0, np.cumsum(~np.where(second, _IS_SECOND[data], _IS_LETTER[data])))
+        other = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        np.cumsum(_IS_OTHER[data], out=other[1:])
         plain = (other[core] == other[words.start]) & (core > words.start)
         plain[closing] = False  # more signs than were looked at
         two = plain & (core < words.end)
