@@ -43,7 +43,7 @@ class Index:
     records: DataFrame
     subjects: DataFrame
     permissions: DataFrame
-    #: About how many subjects and permissions there are, where that was counted.
+    #: How many subjects and permissions there are, where that was counted.
     sizes: tuple[int, int] | None = None
 
 
@@ -99,8 +99,10 @@ def index(records: DataFrame, options: Options, aliases: DataFrame | None = None
     by_key = cut(by_key)
     subjects = by_key.groupBy(F.col("subject_key").alias("key")).agg(F.min_by("first.subject", "ord").alias("display"), F.min("ord").alias("ord"), F.max("listed_only").alias("listed_only"), F.min_by("first_role", "role_ord").alias("role"))
     permissions = by_key.groupBy(F.col("permission_key").alias("key")).agg(F.min_by("first.permission", "ord").alias("display"), F.min("ord").alias("ord"))
-    sizes = by_key.agg(F.approx_count_distinct("subject_key"), F.approx_count_distinct("permission_key")).first()
-    return Index(by_key.select("subject_key", "permission_key", "last.*", "ord"), subjects, permissions, tuple(sizes))
+    # both are small beside the records and are read again and again: by pairing, comparison, matches and suggestions
+    subjects, permissions = cut(subjects), cut(permissions)
+    sizes = subjects.select(F.lit(1).alias("one")).union(permissions.select(F.lit(0))).agg(F.sum("one"), F.count_if(F.col("one") == 0)).first()
+    return Index(by_key.select("subject_key", "permission_key", "last.*", "ord"), subjects, permissions, (sizes[0] or 0, sizes[1]))
 
 
 def _renamed(side: Index, subjects: DataFrame | None, permissions: DataFrame | None) -> Index:
@@ -236,18 +238,19 @@ def findings(pairs: DataFrame, baseline: Index, actual: Index, options: Options)
 
 
 def suggestions(found: DataFrame, baseline: Index, actual: Index) -> DataFrame:
-    """Nearest names for what one side lacks. Each distinct name is looked up once."""
-    out = found
-    for kind, column, other in (
-        ("user-not-in-actual", "subject", actual.subjects), ("user-not-in-baseline", "subject", baseline.subjects),
-        ("permission-not-in-actual", "permission_key", actual.permissions), ("permission-not-in-baseline", "permission_key", baseline.permissions),
-    ):
-        names = found.filter(F.col("type") == kind).select(F.col(column).alias("key")).distinct()
-        near = closest(names, other).select(F.col("key").alias("_key"), F.col("suggestion").alias("_near"), F.lit(kind).alias("_type"))
-        out = out.join(near, (F.col(column) == F.col("_key")) & (F.col("type") == F.col("_type")), "left")
-        said = F.concat(F.col("note"), F.lit('; closest: "'), F.col("_near"), F.lit('"'))
-        out = out.withColumn("note", F.when(F.col("_near").isNotNull(), said).otherwise(F.col("note"))).withColumn("suggestion", F.coalesce("_near", "suggestion")).drop("_key", "_near", "_type")
-    return out
+    """Nearest names for what one side lacks: each distinct name is looked up once, subjects and settings together."""
+    name = F.when(F.col("type").isin("user-not-in-actual", "user-not-in-baseline"), F.col("subject")).otherwise(F.col("permission_key"))
+    named = found.withColumn("_name", name)
+    near = None
+    for side, kinds in ((actual, ("user-not-in-actual", "permission-not-in-actual")), (baseline, ("user-not-in-baseline", "permission-not-in-baseline"))):
+        tables = [x.select(F.lit(kind).alias("type"), "key", "display", "ord") for x, kind in zip((side.subjects, side.permissions), kinds, strict=True)]
+        part = closest(named.filter(F.col("type").isin(*kinds)).select("type", F.col("_name").alias("key")), tables[0].unionByName(tables[1]), by=("type",))
+        part = part.select(F.col("type").alias("_type"), F.col("key").alias("_key"), F.col("suggestion").alias("_near"))
+        near = part if near is None else near.unionByName(part)
+    out = named.join(near, (F.col("_name") == F.col("_key")) & (F.col("type") == F.col("_type")), "left")
+    said = F.concat(F.col("note"), F.lit('; closest: "'), F.col("_near"), F.lit('"'))
+    out = out.withColumn("note", F.when(F.col("_near").isNotNull(), said).otherwise(F.col("note"))).withColumn("suggestion", F.coalesce("_near", "suggestion"))
+    return out.drop("_name", "_key", "_near", "_type")
 
 
 def ordered(found: DataFrame) -> DataFrame:

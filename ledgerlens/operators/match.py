@@ -49,18 +49,18 @@ def _gram(f: Column, letters: int):
     return lambda i: F.substring(f, i + 1, F.lit(letters))
 
 
-def closest(names: DataFrame, candidates: DataFrame, threshold: float = 0.72, letters: int = 2) -> DataFrame:
+def closest(names: DataFrame, candidates: DataFrame, threshold: float = 0.72, letters: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
     """key, suggestion, suggested_key, score: the nearest candidate over the threshold (the first of equals).
 
-    names: key; candidates: key, display, ord. Only pairs that share a block are scored. For thresholds
+    names: key; candidates: key, display, ord; both also have the columns of by, which must be equal. Only pairs that share a block are scored. For thresholds
     of 0.6 or more that loses nothing: names that near share a word or two adjacent letters, or are
     short and of similar length. Lower thresholds take letters=1 (for few names).
     """
-    left = names.select("key").distinct()
-    left = left.select("key", F.explode(_blocks([F.col("key"), short_name(F.col("key")), bare(F.col("key"))], letters)).alias("block"))
-    right = candidates.select(F.col("key").alias("candidate"), "display", "ord")
+    left = names.select(*by, "key").distinct()
+    left = left.select(*by, "key", F.explode(_blocks([F.col("key"), short_name(F.col("key")), bare(F.col("key"))], letters)).alias("block"))
+    right = candidates.select(*by, F.col("key").alias("candidate"), "display", "ord")
     right = right.select("*", F.explode(_blocks([F.col("candidate"), short_name(F.col("candidate")), bare(F.col("display"))], letters)).alias("block"))
-    pairs = left.join(right, "block").select("key", "candidate", "display", "ord").distinct()
+    pairs = left.join(right, [*by, "block"]).select(*by, "key", "candidate", "display", "ord").distinct()
     scored = pairs.withColumn("score", closest_score(F.col("key"), F.col("candidate"), F.col("display"))).filter(F.col("score") > threshold)
-    best = scored.groupBy("key").agg(F.min_by(F.struct("display", "candidate", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("best"))
-    return best.select("key", F.col("best.display").alias("suggestion"), F.col("best.candidate").alias("suggested_key"), F.round("best.score", 2).alias("score"))
+    best = scored.groupBy(*by, "key").agg(F.min_by(F.struct("display", "candidate", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("best"))
+    return best.select(*by, "key", F.col("best.display").alias("suggestion"), F.col("best.candidate").alias("suggested_key"), F.round("best.score", 2).alias("score"))

@@ -10,15 +10,15 @@ SETTINGS = [(AREAS[k // 6], f"{AREAS[k // 6]} task {'abcdef'[k % 6]}") for k in
 USERS = {"Ann Bell": "Provider", "Cy Dorn": "Provider", "Eve Fox": "Front Desk", "Gus Hall": "Front Desk", "Ida Judd": "Nurse", "Kim Lowe": "Nurse", "Max Noll": "Biller", "Ola Pratt": "Practice Admin", "Quin Rost": "Nurse"}
 
 
-def held(role, k):
+def held(role: str, k: int) -> bool:
     return (k * 7 + ROLES.index(role) * 3) % 5 < 2 + (role == "Practice Admin")
 
 
-def where(role, granted):
+def where(role: str, granted: bool) -> int:
     return next(k for k in range(36) if held(role, k) == granted)
 
 
-def sample():
+def sample() -> tuple[bytes, bytes, bytes]:
     """(baseline workbook, export workbook, catalog workbook) with planted differences: three grants too many, two too few, one level, a user of each side alone, a setting outside the baseline."""
     grid = [["Category", "Security Setting", "What it controls", *ROLES], *([a, s, f"About {s}", *("Y" if held(r, k) else "N" for r in ROLES)] for k, (a, s) in enumerate(SETTINGS))]
     baseline = workbook([Sheet("Permissions", grid), Sheet("Users", [["User", "Role"], *map(list, USERS.items())])])
