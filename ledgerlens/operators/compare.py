@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key, perm_key, plain_key, short_name
 from ..functions.values import glob, is_granted, severity_rank, show
-from ..plans.lineage import cut
+from ..plans.lineage import cut, shared_dir, together
 from .match import closest, rewrite, unique_matches
 
 TICK_NOTE = "instead of a tick"
@@ -100,7 +100,7 @@ def index(records: DataFrame, options: Options, aliases: DataFrame | None = None
     subjects = by_key.groupBy(F.col("subject_key").alias("key")).agg(F.min_by("first.subject", "ord").alias("display"), F.min("ord").alias("ord"), F.max("listed_only").alias("listed_only"), F.min_by("first_role", "role_ord").alias("role"))
     permissions = by_key.groupBy(F.col("permission_key").alias("key")).agg(F.min_by("first.permission", "ord").alias("display"), F.min("ord").alias("ord"))
     # both are small beside the records and are read again and again: by pairing, comparison, matches and suggestions
-    subjects, permissions = cut(subjects), cut(permissions)
+    subjects, permissions = together(records.sparkSession, lambda: cut(subjects), lambda: cut(permissions))
     sizes = subjects.select(F.lit(1).alias("one")).union(permissions.select(F.lit(0))).agg(F.sum("one"), F.count_if(F.col("one") == 0)).first()
     return Index(by_key.select("subject_key", "permission_key", "last.*", "ord"), subjects, permissions, (sizes[0] or 0, sizes[1]))
 
@@ -121,7 +121,7 @@ def paired_names(baseline: Index, actual: Index, options: Options) -> tuple[Data
     """Subjects alike but for a parenthesis, permissions alike but for the category; each unique on both sides."""
     subjects = [x.subjects.select("key", plain_key(F.col("display"), options.key).alias("plain")) for x in (baseline, actual)]
     permissions = [x.permissions.select("key", short_name(F.col("key")).alias("short")) for x in (baseline, actual)]
-    return cut(unique_matches(*subjects, "plain")), cut(unique_matches(*permissions, "short"))
+    return tuple(together(baseline.subjects.sparkSession, lambda: cut(unique_matches(*subjects, "plain")), lambda: cut(unique_matches(*permissions, "short"))))
 
 
 #: Type and severity by rule; None: by whether the value is granted.
@@ -269,7 +269,8 @@ def detail(result: Result) -> DataFrame:
 
 def compare(baseline: DataFrame, actual: DataFrame, options: Options | None = None) -> Result:
     options = options or Options()
-    b, a = index(baseline, options, options.aliases), index(actual, options)
+    shared_dir(baseline.sparkSession)
+    b, a = together(baseline.sparkSession, lambda: index(baseline, options, options.aliases), lambda: index(actual, options))
     matches = []
     if options.aliases is not None:
         for kind, side in (("subject", a.subjects), ("permission", a.permissions)):
