@@ -174,7 +174,7 @@ def read_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_notes(grid, lay, "skip*").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('high', 3), ('medium', 4), ('low', 2), ('info', 6), ('compared', 288), ('ok', 283)) AS t(what, n)")
+@query("SELECT what, CAST(n AS BIGINT) AS n FROM (VALUES ('high', 3), ('medium', 4), ('low', 2), ('info', 6), ('compared', 288), ('ok', 283)) AS t(what, n)")
 def sample_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample baseline and export, written, read, and compared: what was planted is found."""
     from ..sources.samples import sample
