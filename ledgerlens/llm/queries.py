@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kneser_ney, licenses, ngram_join, quality_model, quality_rules, sentence_pieces, substring_dedup, token_files, warc
+from . import decontaminate, filter_audit, kneser_ney, licenses, minhash, ngram_join, quality_model, quality_rules, sentence_pieces, substring_dedup, token_files, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(_table(spark, sf_dir, "documents"), 5, 85)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 16)
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -69,6 +81,9 @@ QUERIES = {
     "op8_quality_model": op8_quality_model,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_minhash": op11_minhash,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_whitening": op13_whitening,
 }
 _BLANK = "[ \\t\\n\\x0b\\x0c\\r]+"
 _WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}'), lambda x: x <> '')"
@@ -101,18 +116,47 @@ def _rules_sql(rules: quality_rules.Rules = quality_rules.Rules()) -> str:
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x <= {rules.char_distance} AND y <= {rules.word_distance} AS kept FROM f"""
 
 
+def _components_sql(width: int, percent: int) -> str:
+    """found: doc_id, n_shingles, component_id of documents linked by their shingles' Jaccard similarity."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '{_BLANK}'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {width - 2}), lambda i: array_to_string(ws[i:i + {width - 1}], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL) JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        found AS (SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n USING (doc_id))"""
+
+
+def _audit_sql() -> str:
+    """op12: failing masks per document, counted per part, then each step of each order by its masks."""
+    letters, bits = "'A', 'B', 'C', 'D', 'E'", "CASE f WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 WHEN 'D' THEN 8 ELSE 16 END"
+    apart = " AND ".join(f"o{j}.f <> o{k}.f" for k in range(1, 6) for j in range(1, k))
+    return f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+        first AS (SELECT text, min(doc_id) AS least FROM w GROUP BY text),
+        good AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, CAST(len(ws) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 80 * len(ws) AS INT) + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS INT)
+                + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > least, false) AS INT) AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w JOIN first USING (text) LEFT JOIN good USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS g, sum(toxic) AS t FROM m GROUP BY part, mask),
+        letter AS (SELECT f, {bits} AS bit FROM (SELECT unnest([{letters}]) AS f)),
+        orders AS (SELECT o1.f || o2.f || o3.f || o4.f || o5.f AS filter_order FROM letter AS o1, letter AS o2, letter AS o3, letter AS o4, letter AS o5 WHERE {apart}),
+        steps AS (SELECT filter_order, step, l.bit, (SELECT coalesce(sum(b.bit), 0) FROM letter AS b WHERE strpos(filter_order, b.f) < step) AS gone FROM orders, range(1, 6) AS r(step) JOIN letter AS l ON l.f = substr(filter_order, step, 1)),
+        counted AS (SELECT part, filter_order, step, bit,
+            coalesce(sum(n) FILTER ((mask & (CAST(gone AS INT) | bit)) = 0), 0) AS kept,
+            coalesce(sum(n) FILTER ((mask & CAST(gone AS INT)) = 0 AND (mask & bit) <> 0), 0) AS removed,
+            coalesce(sum(n) FILTER ((mask & CAST(gone AS INT)) <> 0 AND (mask & bit) <> 0), 0) AS redundant,
+            coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+            coalesce(sum(g) FILTER ((mask & CAST(gone AS INT)) = 0 AND (mask & bit) <> 0), 0) AS good_lost,
+            coalesce(sum(t) FILTER ((mask & CAST(gone AS INT)) = 0 AND (mask & bit) <> 0), 0) AS toxic_lost FROM c, steps GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+            CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM counted"""
+
+
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
         least AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
         hit AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS pos FROM win JOIN least USING (g) WHERE m < doc_id) GROUP BY doc_id)
         SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256 FROM w LEFT JOIN hit USING (doc_id)""",
-    "op5_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '{_BLANK}'), lambda x: x <> '') AS ws FROM documents),
-        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS g FROM w),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL) JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
-        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
-        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)""",
+    "op5_ngram_join": f"{_components_sql(3, 90)} SELECT doc_id, n_shingles, component_id FROM found",
     "op7_decontaminate": f"""WITH w AS (SELECT doc_id, {_ALNUM} AS ws FROM documents), b AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark),
         p AS (SELECT DISTINCT item_id, array_to_string(x, ' ') AS g, len(x) AS n FROM (SELECT item_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 10 THEN [ws] ELSE list_transform(range(1, len(ws) - 8), lambda i: ws[i:i + 9]) END) AS x FROM b)),
         v AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w JOIN (SELECT DISTINCT n FROM p) ON len(ws) >= n)),
@@ -124,4 +168,6 @@ ORACLES: dict[str, str] = {
     "op9_warc": """WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages), f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d)
         SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND m < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND m < page_id THEN m END AS refers_to FROM p LEFT JOIN f USING (d)""",
     "op10_quality_rules": _rules_sql(),
+    "op11_minhash": f"{_components_sql(5, 85)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM found",
+    "op12_filter_audit": _audit_sql(),
 }
