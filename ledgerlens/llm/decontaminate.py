@@ -9,8 +9,8 @@ The benchmark is the stated query set: it is read in blocks of at most BLOCK_WOR
 worker holds is bounded; every document meets every block, and no document data is exchanged. Hits of
 all blocks are sought in the text as it came and united row by row, so block sizes never change a result.
 
-Defined results: null texts have no words; items without words are no phrase. Repeated items keep
-their own ids, documents with a null doc_id are treated like any other. Rows that share a doc_id
+Defined results: null texts have no words; items without words are no phrase. Rows of one item_id are one
+item; the windows of a row with a null item_id hit words but belong to no item. Documents with a null doc_id are treated like any other. Rows that share a doc_id
 stay rows of their own. A text of any length is a shard of its own. An empty benchmark leaves every document
 clean; an empty document table gives an empty result; extra columns, whatever their names, are kept by `remove`.
 """
@@ -61,11 +61,16 @@ def phrases_of(rows: list[tuple], width: int) -> Phrases:
     padded = np.append(symbol.astype(np.int32) + 2, np.zeros(width, np.int32))
     symbols = padded[place[:, None] + np.arange(width)]
     symbols[np.arange(width) >= length[:, None]] = 0
+    # rows of one item_id are one item; a row without an id has phrases, but is none
+    names = sorted({str(x[0]) for x in rows if x[0] is not None})
+    number = {name: k for k, name in enumerate(names)}
+    named = np.array([-1 if x[0] is None else number[str(x[0])] for x in rows], np.int64)[item] if rows else item
     # one row for each distinct phrase, and its items in order
     _, at, phrase = np.unique(symbols.view(np.dtype((np.void, 4 * width))).ravel(), return_index=True, return_inverse=True)
-    both = np.unique(phrase.astype(np.int64) * max(1, len(rows)) + item)
-    first = np.searchsorted(both // max(1, len(rows)), np.arange(len(at) + 1))
-    return Phrases(vocabulary, symbols[at], length[at], first, both % max(1, len(rows)), [str(x[0]) for x in rows])
+    n = max(1, len(names))
+    both = np.unique((phrase.astype(np.int64) * n + named)[named >= 0])
+    first = np.searchsorted(both // n, np.arange(len(at) + 1))
+    return Phrases(vocabulary, symbols[at], length[at], first, both % n, names)
 
 
 class WaveletMatrix:
@@ -221,7 +226,7 @@ def _mark(blocks: list[Broadcast], keep: list[str], mode: str, batches: Iterator
             words = words_of(data, offsets, ALNUM_LOWER)
             hashes, first = words.hashes(), words.first
             edge = np.zeros(len(words.start) + 1, np.int64)
-            items: list[list[str]] = [[] for _ in range(part.num_rows)]
+            items: list[set[str]] = [set() for _ in range(part.num_rows)]  # an item may have phrases in two blocks
             for shared in blocks:
                 phrases = shared.value
                 place, phrase = find(hashes, first, phrases)
@@ -231,11 +236,11 @@ def _mark(blocks: list[Broadcast], keep: list[str], mode: str, batches: Iterator
                 item = phrases.items[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(phrases.item_first[phrase], many)] if len(phrase) else np.empty(0, np.int64)
                 doc = np.repeat(np.searchsorted(first, place, side="right") - 1, many)
                 for pair in np.unique(doc * max(1, len(phrases.names)) + item).tolist():
-                    items[pair // len(phrases.names)].append(phrases.names[pair % len(phrases.names)])
+                    items[pair // len(phrases.names)].add(phrases.names[pair % len(phrases.names)])
                 if len(blocks) > 1:
                     del phrases
                     _let_go(shared)
-            items = [sorted(x) for x in items]
+            listed = [sorted(x) for x in items]
             hit = np.cumsum(edge[:-1]) > 0
             before = np.append(0, np.cumsum(hit))
             n_hit = before[first[1:]] - before[first[:-1]]
@@ -249,11 +254,11 @@ def _mark(blocks: list[Broadcast], keep: list[str], mode: str, batches: Iterator
                 ends = np.flatnonzero(hit & (~np.append(hit[1:], False) | np.isin(np.arange(len(hit)) + 1, first))) + 1 if len(hit) else starts
                 stops = np.searchsorted(starts, first)
                 spans = [[{"first": int(starts[i] - first[d]), "last": int(ends[i] - first[d]) - 1} for i in range(stops[d], stops[d + 1])] for d in range(part.num_rows)]
-                arrays += [pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
+                arrays += [pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(listed, pa.list_(pa.string()))]
                 names += ["spans", "items"]
             else:
-                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-                arrays += [pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)]
+                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]
+                arrays += [pa.array(n_hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)]
                 names += ["n_hit", "n_items", "items_sha256", "contaminated"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 

@@ -1,7 +1,7 @@
 """License scans by template markup.
 
 A template is a license's wording with markup: `<<optional>> ... <<end>>` may be missing, `<<any N>>`
-stands for up to N words of any kind. It is compiled to an automaton over word hashes; a text is accepted
+stands for up to N words of any kind, `<<one of: a | b c>>` for one of some wordings. It is compiled to an automaton over word hashes; a text is accepted
 from a word on if every mandatory word follows in its place, exactly. Automata start only where a
 template's leading words (up to two, before its first markup) stand, which numpy finds for all texts at
 once. Phrases of the base list are found the same way.
@@ -44,6 +44,9 @@ _BSD_DISCLAIMER = (
     "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE'
+_CC_WORK = "This work is licensed under <<any 2>> Creative Commons"
+_CC_SA, _CC_ND, _CC_NC = "<<one of: ShareAlike | Share Alike>>", "<<one of: NoDerivatives | NoDerivs | No Derivatives>>", "<<one of: NonCommercial | Non Commercial>>"
+_CC_LICENSE = "<<optional>> <<one of: 4 0 | 3 0 | 2 0>> <<end>> <<one of: International | Unported | Generic>> <<optional>> Public <<end>> License"
 TEMPLATES = {
     "mit-notice": "released under <<optional>> the terms of <<end>> the MIT License",
     "mit-text": (
@@ -67,14 +70,14 @@ TEMPLATES = {
     "bsd-3-clause": (
         f"{_BSD_CONDITIONS} <<optional>> 3. <<end>> Neither the name of <<any 8>> nor the names of <<any 4>> contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}"
     ),
-    "gpl-2.0": "licensed under the GNU General Public License <<optional>> as published by the Free Software Foundation <<end>> <<optional>> either <<end>> version 2 <<optional>> 0 <<end>>",
-    "gpl-3.0": "licensed under the GNU General Public License <<optional>> as published by the Free Software Foundation <<end>> <<optional>> either <<end>> version 3 <<optional>> 0 <<end>>",
+    "gpl-2.0": "licensed under the GNU General Public License <<optional>> as published by the Free Software Foundation <<end>> <<optional>> either <<end>> <<one of: version 2 | v2 | v 2>> <<optional>> 0 <<end>>",
+    "gpl-3.0": "licensed under the GNU General Public License <<optional>> as published by the Free Software Foundation <<end>> <<optional>> either <<end>> <<one of: version 3 | v3 | v 3>> <<optional>> 0 <<end>>",
     "gpl-notice": (
         "This program is free software<<optional>>:<<end>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
         f"either version <<any 2>> of the License, or <<optional>> (at your option) <<end>> any later version. {_GNU_WARRANTY}"
     ),
     "lgpl-notice": (
-        "This <<any 2>> is free software; you can redistribute it and/or modify it under the terms of the GNU <<optional>> Lesser <<end>> <<optional>> Library <<end>> General Public License as published by the Free Software Foundation; "
+        "This <<any 2>> is free software; you can redistribute it and/or modify it under the terms of the GNU <<one of: Lesser | Library>> General Public License as published by the Free Software Foundation; "
         "either version <<any 2>> of the License, or (at your option) any later version. This <<any 2>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
         "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
     ),
@@ -85,8 +88,15 @@ TEMPLATES = {
     "cc-by-4.0": "licensed under <<optional>> a Creative Commons <<end>> <<optional>> the <<end>> CC BY 4.0",
     "cc-by-sa-4.0": "licensed under <<optional>> a Creative Commons <<end>> <<optional>> the <<end>> CC BY-SA 4.0",
     "cc-by-nc-4.0": "licensed under <<optional>> a Creative Commons <<end>> <<optional>> the <<end>> CC BY-NC 4.0",
+    "cc-by-nc-sa-4.0": "licensed under <<optional>> a Creative Commons <<end>> <<optional>> the <<end>> CC BY-NC-SA 4.0",
+    "cc-by-nd-4.0": "licensed under <<optional>> a Creative Commons <<end>> <<optional>> the <<end>> CC BY-ND 4.0",
     "cc-by-nc-nd-4.0": "licensed under <<optional>> a Creative Commons <<end>> <<optional>> the <<end>> CC BY-NC-ND 4.0",
-    "cc-notice": "This work is licensed under <<any 2>> Creative Commons Attribution <<any 4>> <<optional>> 4.0 <<end>> International <<optional>> Public <<end>> License",
+    "cc-by-notice": f"{_CC_WORK} Attribution {_CC_LICENSE}",
+    "cc-by-sa-notice": f"{_CC_WORK} Attribution {_CC_SA} {_CC_LICENSE}",
+    "cc-by-nd-notice": f"{_CC_WORK} Attribution {_CC_ND} {_CC_LICENSE}",
+    "cc-by-nc-notice": f"{_CC_WORK} Attribution {_CC_NC} {_CC_LICENSE}",
+    "cc-by-nc-sa-notice": f"{_CC_WORK} Attribution {_CC_NC} {_CC_SA} {_CC_LICENSE}",
+    "cc-by-nc-nd-notice": f"{_CC_WORK} Attribution {_CC_NC} {_CC_ND} {_CC_LICENSE}",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<any 8>>",
     "zlib-text": (
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
@@ -98,9 +108,18 @@ TEMPLATES = {
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
         "for any purpose, commercial or non-commercial, and by any means."
     ),
-    "copyright-reserved": "Copyright <<any 6>> All rights reserved",
+    "copyright-reserved": "Copyright <<any 16>> All rights reserved",
 }
-_MARKUP = re.compile(r"<<(optional|end|any \d+)>>")
+_MARKUP = re.compile(r"<<(optional|end|any \d+|one of:[^>]*)>>")
+
+
+def small_words(text: str) -> list[str]:
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda c: c[0].lower(), text))
+
+
+def choices(token: str) -> list[list[str]]:
+    """The wordings that a `one of` token names."""
+    return [small_words(x) for x in token.removeprefix("<<one of:").removesuffix(">>").split("|")]
 
 
 def plain(markup: str) -> list[str]:
@@ -108,7 +127,7 @@ def plain(markup: str) -> list[str]:
     out, at = [], 0
     for m in [*_MARKUP.finditer(markup), None]:
         text = markup[at : m.start() if m else len(markup)]
-        out += re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda c: c[0].lower(), text))
+        out += small_words(text)
         if m:
             out.append(m[0])
             at = m.end()
@@ -178,6 +197,22 @@ def compile_template(markup: str) -> Automaton:
             skips[at].append(to)
             skips[begin].append(to)
             at = to
+        elif token.startswith("<<one of"):
+            begin, ends, held = at, [], choices(token)
+            for wording in held:
+                at = begin
+                for word in wording:
+                    # wordings that begin alike share their states, as one word leads to one state
+                    known = by_word[at].get(int(hash_words([word])[0]))
+                    to = state() if known is None else known
+                    by_word[at][int(hash_words([word])[0])] = to
+                    at = to
+                ends.append(at)
+            if not open_at:
+                count += min(map(len, held))
+            at = state()
+            for x in ends:
+                skips[x].append(at)
         elif token.startswith("<<any"):
             begins = [at]
             for _ in range(int(token[6:-2])):

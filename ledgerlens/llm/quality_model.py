@@ -210,18 +210,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in pieces(batch):
             rows = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("labelled"), part.column("label"), pa.array(list(rows), pa.list_(pa.float64()))], names=["labelled", "label", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, sample: int = SAMPLE) -> AdditiveModel:
-    """Learns from labelled rows outside the held-out fold."""
+    """Learns from at most `sample` labelled rows outside the held-out fold; rows of one doc_id with the same features count once, however many there are."""
     on_workers(docs.sparkSession)
     known = labels.filter(labels["doc_id"].isNotNull() & labels[label].isNotNull() & ~held_out(labels["doc_id"], folds))
-    known = known.groupBy(known["doc_id"].alias("labelled")).agg(F.max(label).cast("int").alias("label"))
+    known = known.groupBy(known["doc_id"].cast("long").alias("labelled")).agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     # at most `sample` rows of two numbers
-    source = docs.join(F.broadcast(known), docs["doc_id"] == known["labelled"]).select(known["label"].alias("label"), docs["text"].alias("text"))
-    rows = source.mapInArrow(_features, "label int, x array<double>").toArrow()
+    source = docs.join(F.broadcast(known), docs["doc_id"] == known["labelled"]).select(known["labelled"].alias("labelled"), known["label"].alias("label"), docs["text"].alias("text"))
+    rows = source.mapInArrow(_features, "labelled long, label int, x array<double>").distinct()
+    rows = rows.orderBy(F.xxhash64("labelled", "x"), "labelled", "x").limit(sample).select("label", "x").toArrow()
     y = rows.column("label").to_numpy().astype(float)
     x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), len(NAMES))
     order = np.lexsort((*x.T, y))  # the same model whatever the order of rows

@@ -63,24 +63,28 @@ def _shares(counts: list[Column]) -> Column:
     return F.when(total > 0, F.transform(F.array(*counts), lambda x: x.cast("double") / total))
 
 
-def _repeated_words(packed_words: int) -> Column:
-    """Words inside three-word windows that are found twice or more; reads words and n_words."""
-    packed = """
+def _same_hash(j: str) -> str:
+    return f"shiftright(x, 16) = shiftright(get(packed, {j}), 16)"
+
+
+#: Windows whose hashes are equal though their words aren't.
+_CLASH = f"""exists(transform(packed, (x, j) -> j > 0 AND {_same_hash("j - 1")} AND NOT ({" AND ".join(f"get(words, int(x & 65535) + {k}) = get(words, int(get(packed, j - 1) & 65535) + {k})" for k in range(3))})), y -> y)"""
+
+
+def _repeated_words() -> Column:
+    """Words inside three-word windows that are found twice or more; reads packed (null where hashes don't tell windows apart), windows and n_words."""
+    packed = f"""
         aggregate(sort_array(transform(
-            filter(packed, (x, j) ->
-                (j > 0 AND shiftright(x, 16) = shiftright(get(packed, j - 1), 16)
-                    AND get(words, int(x & 65535)) = get(words, int(get(packed, j - 1) & 65535)))
-                OR (j < size(packed) - 1 AND shiftright(x, 16) = shiftright(get(packed, j + 1), 16)
-                    AND get(words, int(x & 65535)) = get(words, int(get(packed, j + 1) & 65535)))),
+            filter(packed, (x, j) -> (j > 0 AND {_same_hash("j - 1")}) OR (j < size(packed) - 1 AND {_same_hash("j + 1")})),
             x -> x & 65535L)), named_struct('p', -3L, 'n', 0L),
             (a, p) -> named_struct('p', p, 'n', a.n + least(3L, p - a.p)), a -> a.n)"""
-    # longer texts: the windows themselves are sorted
+    # else the windows themselves are sorted
     whole = """
         aggregate(sort_array(transform(
             filter(windows, (x, j) -> (j > 0 AND x.w = get(windows, j - 1).w) OR (j < size(windows) - 1 AND x.w = get(windows, j + 1).w)),
             x -> x.p)), named_struct('p', -3L, 'n', 0L),
             (a, p) -> named_struct('p', p, 'n', a.n + least(3L, p - a.p)), a -> a.n)"""
-    return F.expr(f"CASE WHEN n_words < 4 THEN 0L WHEN n_words <= {packed_words} THEN {packed} ELSE {whole} END")
+    return F.expr(f"CASE WHEN n_words < 4 THEN 0L WHEN packed IS NOT NULL THEN {packed} ELSE {whole} END")
 
 
 def counted(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -116,7 +120,8 @@ def counted(docs: DataFrame, rules: Rules) -> DataFrame:
     packed = "transform(sequence(0, size(words) - 3), i -> shiftleft(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)), 16) | bigint(i))"
     whole = "sort_array(transform(sequence(0, size(words) - 3), i -> named_struct('w', array(get(words, i), get(words, i + 1), get(words, i + 2)), 'p', bigint(i))))"
     out = out.withColumn("packed", F.expr(f"CASE WHEN n_words BETWEEN 4 AND {rules.packed_words} THEN sort_array({packed}) END"))
-    out = out.withColumn("windows", F.expr(f"CASE WHEN n_words > {rules.packed_words} THEN {whole} END"))
+    out = out.withColumn("packed", F.expr(f"CASE WHEN NOT {_CLASH} THEN packed END"))
+    out = out.withColumn("windows", F.expr(f"CASE WHEN n_words > 3 AND packed IS NULL THEN {whole} END"))
     return out.select(
         "doc_id",
         "key",
@@ -125,7 +130,7 @@ def counted(docs: DataFrame, rules: Rules) -> DataFrame:
         # none of them is a letter or white space
         _without(F.col("left"), "[#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words(rules.packed_words).alias("n_repeat_words"),
+        _repeated_words().alias("n_repeat_words"),
         F.length("text").alias("n_chars"),
         _shares(counts).alias("chars"),
         F.concat("listed", F.array(1.0 - F.aggregate("listed", F.lit(0.0), lambda a, x: a + x))).alias("common"),

@@ -287,7 +287,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, *,
     files = cut(ordered.mapInArrow(lambda b: _write(folder, kind, file_bytes, b), "file string, part long, number long, first_id long, n_docs long, n_tokens long"))
     for name in table.names:
         if name:
-            for end in ("key", "first", "value"):
+            for end in ("key", "first", "value", "at", "bytes"):
                 fs.delete_file(f"{base}/{name}.{end}")
     return _with_starts(files)
 

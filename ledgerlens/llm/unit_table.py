@@ -7,8 +7,10 @@
    bucket by bucket (the files are memory-mapped where the store is a file system), and joins them back by
    position.
 
-A unit that isn't in the table (where texts aren't the same when they are read again) is segmented on the
-spot, so the table is never a condition of right results.
+Units are found by hash and told apart by their bytes, which the table holds too: of two units of one hash
+the table has one, and the other counts as not there. A unit that isn't in the table (for this reason, or
+where texts aren't the same when they are read again) is segmented on the spot, so the table is never a
+condition of right results.
 """
 
 from __future__ import annotations
@@ -44,6 +46,30 @@ class Segmenter(Protocol):
         """(how many values each unit has, all values)."""
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, length: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_length: np.ndarray) -> np.ndarray:
+    """Whether data[start:start + length] and other's piece are the same, for each pair: eight bytes at a time."""
+    same = length == other_length
+    left, right = _eights(data), _eights(other)
+    more, at = np.flatnonzero(same), 0
+    while len(more):
+        mask = _MASKS[np.minimum(length[more] - at, 8)]
+        alike = ((left[start[more] + at] ^ right[other_start[more] + at]) & mask) == 0
+        same[more[~alike]] = False
+        more = more[alike & (length[more] > at + 8)]
+        at += 8
+    return same
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(for each hash the number of its value, the distinct values, where each is first)."""
     codes, values = pd.factorize(hashes)
@@ -52,6 +78,26 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, values, first
 
 
+def distinct_units(hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(for each unit the number of its bytes, their hashes, where each is first): units of one hash that differ have numbers of their own."""
+    codes, values, first = distinct(hashes)
+    length = end - start
+    shown = first[codes]
+    odd = np.flatnonzero(~same_bytes(data, start, length, data, start[shown], length[shown]))
+    if len(odd):
+        known: dict[bytes, int] = {}
+        more: list[int] = []
+        for k in odd.tolist():
+            unit = data[start[k] : end[k]].tobytes()
+            if unit not in known:
+                known[unit] = len(values) + len(more)
+                more.append(k)
+            codes[k] = known[unit]
+        first = np.append(first, more)
+        values = np.append(values, hashes[more])
+    return codes, values, first
+
+
 def gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """values[start:start + length] for each start, end to end."""
     stop = np.cumsum(length)
@@ -60,7 +106,7 @@ def gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
 
 def _once(hashes: np.ndarray, counts: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes with summed counts, lengths and bytes."""
-    codes, values, first = distinct(hashes)
+    codes, values, first = distinct_units(hashes, data, start, end)
     length = (end - start)[first]
     return values, np.bincount(codes, counts, len(values)).astype(np.int64), length, gathered(data, start[first], length)
 
@@ -121,11 +167,11 @@ def _save(segmenter: Callable[[], Segmenter], folder: str, batches: Iterator[pa.
         del held[bucket]
         stop = np.cumsum(length)
         hashes, counts, length, data = _once(Words(data, stop - length, stop, np.array([0, len(stop)])).hashes(), counts, stop - length, stop, data)
-        order = np.argsort(hashes)
-        data, start = gathered(data, (np.cumsum(length) - length)[order], length[order]), None
-        how_many, values = _segmented(segmenter(), data, length[order])
+        order = np.argsort(hashes, kind="stable")
+        data, length = gathered(data, (np.cumsum(length) - length)[order], length[order]), length[order]
+        how_many, values = _segmented(segmenter(), data, length)
         name = f"units-{uuid.uuid4().hex}"
-        for end, content in (("key", hashes[order]), ("first", np.append(0, np.cumsum(how_many)).astype("<u8")), ("value", values)):
+        for end, content in (("key", hashes[order]), ("first", np.append(0, np.cumsum(how_many)).astype("<u8")), ("value", values), ("at", np.append(0, np.cumsum(length)).astype("<u8")), ("bytes", data)):
             with fs.open_output_stream(f"{base}/{name}.{end}") as f:
                 f.write(blob_of(content))
         used, at = np.unique(values, return_inverse=True)
@@ -141,20 +187,24 @@ class UnitTable:
     names: list[str]
     kind: str
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(how many values each of distinct hashes has, -1 if it isn't here; where its values begin; values)."""
+    def look_up(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how many values each of distinct units has, -1 if it isn't here; where its values begin; values)."""
         fs, base = file_system(self.folder)
-        order, n = np.argsort(hashes), len(self.names)
-        wanted = hashes[order]
+        order, n = np.argsort(hashes, kind="stable"), len(self.names)
+        wanted, start, sized = hashes[order], start[order], length[order]
         many, parts = np.full(len(hashes), -1, np.int64), [np.empty(0, self.kind)]
         stops = np.searchsorted(scale(wanted, n), np.arange(n + 1).astype(np.uint64))
         for k in np.flatnonzero(np.diff(stops)):
             if not self.names[k]:
                 continue
-            key, first, value = (mapped(fs, f"{base}/{self.names[k]}.{end}", kind) for end, kind in (("key", np.uint64), ("first", "<u8"), ("value", self.kind)))
-            mine = wanted[stops[k] : stops[k + 1]]
+            key, first, value, place, held = (mapped(fs, f"{base}/{self.names[k]}.{end}", kind) for end, kind in (("key", np.uint64), ("first", "<u8"), ("value", self.kind), ("at", "<u8"), ("bytes", np.uint8)))
+            own = slice(stops[k], stops[k + 1])
+            mine = wanted[own]
             at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
             found = key[at] == mine
+            there = place[at].astype(np.int64)
+            long = place[at + 1].astype(np.int64) - there
+            found &= same_bytes(data, start[own], sized[own], gathered(held, there, long), np.cumsum(long) - long, long)
             begin = first[at].astype(np.int64)
             length = np.where(found, first[at + 1].astype(np.int64) - begin, 0)
             parts.append(gathered(value, begin, length))
@@ -167,12 +217,12 @@ class UnitTable:
 
     def values(self, segmenter: Segmenter, units: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(for each unit of some texts the number of its distinct value; of those: how many values, where they begin; values)."""
-        codes, hashes, first = distinct(units.hashes())
-        many, begin, values = self.look_up(hashes)
+        codes, hashes, first = distinct_units(units.hashes(), units.data, units.start, units.end)
+        start, length = units.start[first], (units.end - units.start)[first]
+        many, begin, values = self.look_up(hashes, units.data, start, length)
         new = np.flatnonzero(many < 0)
         if len(new):
-            length = (units.end - units.start)[first[new]]
-            more, added = _segmented(segmenter, gathered(units.data, units.start[first[new]], length), length)
+            more, added = _segmented(segmenter, gathered(units.data, start[new], length[new]), length[new])
             many[new] = more
             begin[new] = np.cumsum(more) - more + len(values)
             values = np.concatenate([values, added])
