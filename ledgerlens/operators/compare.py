@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import norm_key, perm_key, plain_key, short_name
 from ..functions.values import glob, is_granted, severity_rank, show
 from ..plans.lineage import cut, shared_dir, together
-from .match import closest, rewrite, unique_matches
+from .match import closest, rewrite, unique_pairs
+from .order import dictionary
 
 TICK_NOTE = "instead of a tick"
 #: Subjects or permissions of both sides that are sent to every task rather than shuffled, at most.
@@ -43,8 +44,6 @@ class Index:
     records: DataFrame
     subjects: DataFrame
     permissions: DataFrame
-    #: How many subjects and permissions there are, where that was counted.
-    sizes: tuple[int, int] | None = None
 
 
 @dataclass
@@ -88,25 +87,73 @@ def first_wins(records: DataFrame, keys: list[str]) -> DataFrame:
     return records.groupBy(*keys).agg(F.min_by(F.struct(*rest), "ord").alias("first")).select(*keys, "first.*")
 
 
-def index(records: DataFrame, options: Options, aliases: DataFrame | None = None) -> Index:
-    """One aggregate over the records; subjects and permissions are aggregates of its (smaller) result, which is kept for them."""
-    rows = keyed(records, options, aliases)
+@dataclass
+class Both:
+    """Both sides in one: what each has of a pair, of a subject and of a permission (columns b_ and a_, null where it has nothing)."""
+
+    pairs: DataFrame
+    subjects: DataFrame
+    permissions: DataFrame
+    #: How many subjects and permissions there are.
+    sizes: tuple[int, int] = (0, 0)
+
+    def side(self, s: str) -> Index:
+        """One side's index."""
+        own = lambda df, *more: df.filter(f"{s}_has").select("key", *(F.col(f"{s}_{c}").alias(c) for c in ("display", "ord", *more)))
+        records = self.pairs.filter(f"{s}_has").select("subject_key", "permission_key", f"{s}_last.*", F.col(f"{s}_ord").alias("ord"))
+        return Index(records, own(self.subjects, "listed_only", "role"), own(self.permissions))
+
+
+_SIDES = ("b", "a")
+
+
+def _of_side(s: str, rows: DataFrame) -> DataFrame:
+    """A side's records in columns of its own, so that both sides' lie in one table whatever the types of their ord."""
     named = F.col("role").isNotNull() & (F.col("role") != "")
-    by_key = rows.groupBy("subject_key", "permission_key").agg(
-        F.max_by(F.struct(*_WINNER), "ord").alias("last"), F.min("ord").alias("ord"), F.min_by(F.struct("subject", "permission"), "ord").alias("first"),
-        F.max("listed_only").alias("listed_only"), F.min_by("role", F.when(named, F.col("ord"))).alias("first_role"), F.min(F.when(named, F.col("ord"))).alias("role_ord"),
+    return rows.select(
+        "subject_key", "permission_key", F.lit(True).alias(f"{s}_has"), F.struct(*_WINNER).alias(f"{s}_last"), F.col("ord").alias(f"{s}_ord"), F.struct("subject", "permission").alias(f"{s}_first"),
+        F.col("listed_only").alias(f"{s}_listed_only"), F.when(named, F.col("role")).alias(f"{s}_role"), F.when(named, F.col("ord")).alias(f"{s}_role_ord"),
     )
-    by_key = cut(by_key)
-    subjects = by_key.groupBy(F.col("subject_key").alias("key")).agg(F.min_by("first.subject", "ord").alias("display"), F.min("ord").alias("ord"), F.max("listed_only").alias("listed_only"), F.min_by("first_role", "role_ord").alias("role"))
-    permissions = by_key.groupBy(F.col("permission_key").alias("key")).agg(F.min_by("first.permission", "ord").alias("display"), F.min("ord").alias("ord"))
-    # both are small beside the records and are read again and again: by pairing, comparison, matches and suggestions
-    subjects, permissions = together(records.sparkSession, lambda: cut(subjects), lambda: cut(permissions))
-    sizes = subjects.select(F.lit(1).alias("one")).union(permissions.select(F.lit(0))).agg(F.sum("one"), F.count_if(F.col("one") == 0)).first()
-    return Index(by_key.select("subject_key", "permission_key", "last.*", "ord"), subjects, permissions, (sizes[0] or 0, sizes[1]))
 
 
-def _renamed(side: Index, subjects: DataFrame | None, permissions: DataFrame | None) -> Index:
-    """The index with keys rewritten by from_key, to_key tables; names stay."""
+def both_sides(baseline: DataFrame, actual: DataFrame, options: Options) -> Both:
+    """One aggregate over the records of both sides is their index and their full outer join at once; subjects and permissions are aggregates of its (smaller) result."""
+    spark = baseline.sparkSession
+    rows = _of_side("b", keyed(baseline, options, options.aliases)).unionByName(_of_side("a", keyed(actual, options)), allowMissingColumns=True)
+    first = lambda s, c, by="ord": F.min_by(f"{s}_{c}", f"{s}_{by}").alias(f"{s}_{c}")
+    pairs = cut(rows.groupBy("subject_key", "permission_key").agg(*(
+        x for s in _SIDES for x in (
+            F.max(f"{s}_has").alias(f"{s}_has"), F.max_by(f"{s}_last", f"{s}_ord").alias(f"{s}_last"), first(s, "first"), F.min(f"{s}_ord").alias(f"{s}_ord"),
+            F.max(f"{s}_listed_only").alias(f"{s}_listed_only"), first(s, "role", "role_ord"), F.min(f"{s}_role_ord").alias(f"{s}_role_ord"),
+        )
+    )))
+
+    def names(column: str, kind: str, more: list[str]) -> DataFrame:
+        held = [x for s in _SIDES for x in (F.max(f"{s}_has").alias(f"{s}_has"), F.min_by(f"{s}_first.{kind}", f"{s}_ord").alias(f"{s}_display"), F.min(f"{s}_ord").alias(f"{s}_ord"))]
+        rest = [x for s in _SIDES for x in (F.max(f"{s}_listed_only").alias(f"{s}_listed_only"), first(s, "role", "role_ord"))] if more else []
+        return pairs.groupBy(F.col(column).alias("key")).agg(*held, *rest)
+
+    # both are small beside the pairs and are read again and again: by pairing, comparison, matches and suggestions
+    subjects, permissions = together(spark, lambda: cut(names("subject_key", "subject", ["role"])), lambda: cut(names("permission_key", "permission", [])))
+    return Both(pairs, subjects, permissions)
+
+
+def _counted(both: Both) -> tuple[int, int]:
+    row = both.subjects.select(F.lit(1).alias("one")).union(both.permissions.select(F.lit(0))).agg(F.sum("one"), F.count_if(F.col("one") == 0)).first()
+    return row[0] or 0, row[1]
+
+
+def paired_names(both: Both, options: Options) -> tuple[DataFrame, DataFrame]:
+    """Subjects alike but for a parenthesis, permissions alike but for the category; each unique on both sides (see `unique_pairs`)."""
+    out = []
+    for table, name in ((both.subjects, lambda display: plain_key(display, options.key)), (both.permissions, lambda _: short_name(F.col("key")))):
+        sides = [table.filter(f"{s}_has").select(name(F.col(f"{s}_display")).alias("name"), "key", F.col(f"{s}_display").alias("display"), F.lit(s == "b").alias("in_baseline"), F.col(f"{o}_has").isNull().alias("alone")) for s, o in (("b", "a"), ("a", "b"))]
+        out.append(unique_pairs(sides[0].unionByName(sides[1])))
+    return out[0], out[1]
+
+
+def _renamed(both: Both, subjects: DataFrame | None, permissions: DataFrame | None) -> Both:
+    """The baseline's keys rewritten by from_key, to_key; names stay. A rewritten key stands on one side only, so a group has one row of each side at most."""
 
     def to(df: DataFrame, column: str, table: DataFrame | None) -> DataFrame:
         if table is None:
@@ -114,14 +161,15 @@ def _renamed(side: Index, subjects: DataFrame | None, permissions: DataFrame | N
         table = table.select(F.col("from_key").alias("_from"), F.col("to_key").alias("_to"))
         return df.join(table, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
-    return Index(to(to(side.records, "subject_key", subjects), "permission_key", permissions), to(side.subjects, "key", subjects), to(side.permissions, "key", permissions), side.sizes)
-
+    def merged(df: DataFrame, keys: list[str], tables: list[DataFrame | None]) -> DataFrame:
+        if not any(t is not None for t in tables):
+            return df
+        for key, table in zip(keys, tables, strict=True):
+            df = to(df, key, table)
+        return df.groupBy(*keys).agg(*(F.first(c, ignorenulls=True).alias(c) for c in df.columns if c not in keys))
 
-def paired_names(baseline: Index, actual: Index, options: Options) -> tuple[DataFrame, DataFrame]:
-    """Subjects alike but for a parenthesis, permissions alike but for the category; each unique on both sides."""
-    subjects = [x.subjects.select("key", plain_key(F.col("display"), options.key).alias("plain")) for x in (baseline, actual)]
-    permissions = [x.permissions.select("key", short_name(F.col("key")).alias("short")) for x in (baseline, actual)]
-    return tuple(together(baseline.subjects.sparkSession, lambda: cut(unique_matches(*subjects, "plain")), lambda: cut(unique_matches(*permissions, "short"))))
+    pairs = merged(both.pairs, ["subject_key", "permission_key"], [subjects, permissions])
+    return Both(pairs, merged(both.subjects, ["key"], [subjects]), merged(both.permissions, ["key"], [permissions]), both.sizes)
 
 
 #: Type and severity by rule; None: by whether the value is granted.
@@ -159,30 +207,23 @@ def classify(pairs: DataFrame) -> DataFrame:
     return out.withColumn("severity", F.coalesce(fixed, by_grant)).drop("rule")
 
 
-def reconcile(baseline: Index, actual: Index, options: Options) -> DataFrame:
+def reconcile(both: Both, options: Options) -> DataFrame:
     """One row per (subject, permission) that either side has, with type and severity.
 
-    One full outer join on the pair, the only exchange of pairs: what each side knows of the subject and the
-    permission comes from the tables of subjects and permissions, which go to every task while they are small.
+    What is known of the subject and the permission comes from their tables, which go to every task while they are small.
     """
 
     def spread(df: DataFrame, which: int) -> DataFrame:
-        held = [x.sizes[which] for x in (baseline, actual) if x.sizes]
-        return F.broadcast(df) if len(held) == 2 and sum(held) <= SMALL else df
-
-    b, a = (x.records.select("subject_key", "permission_key", *(F.col(c).alias(f"{p}_{c}") for c in [*_WINNER, "ord"]), F.lit(True).alias(h)) for x, p, h in ((baseline, "b", "has_baseline"), (actual, "a", "has_actual")))
-    pairs = b.join(a, ["subject_key", "permission_key"], "full_outer")
-    pairs = pairs.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_baseline", "has_actual")})
-    subjects = baseline.subjects.select("key", F.col("display").alias("b_name"), F.col("role").alias("subject_role"), F.lit(True).alias("in_b")).join(
-        actual.subjects.select("key", F.col("display").alias("a_name"), "listed_only", F.lit(True).alias("in_a")), "key", "full_outer"
-    )
-    subjects = subjects.select(
-        F.col("key").alias("subject_key"), F.coalesce("b_name", "a_name").alias("subject"), F.coalesce("subject_role", F.lit("")).alias("role"), F.coalesce("listed_only", F.lit(False)).alias("listed_only"),
-        F.coalesce("in_b", F.lit(False)).alias("subject_in_baseline"), F.coalesce("in_a", F.lit(False)).alias("subject_in_actual"),
+        return F.broadcast(df) if both.sizes[which] <= SMALL else df
+
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    pairs = both.pairs.select("subject_key", "permission_key", has("b_has").alias("has_baseline"), has("a_has").alias("has_actual"), *(x for s in _SIDES for x in (*(F.col(f"{s}_last.{c}").alias(f"{s}_{c}") for c in _WINNER), f"{s}_ord")))
+    subjects = both.subjects.select(
+        F.col("key").alias("subject_key"), F.coalesce("b_display", "a_display").alias("subject"), F.coalesce("b_role", F.lit("")).alias("role"), F.coalesce("a_listed_only", F.lit(False)).alias("listed_only"),
+        has("b_has").alias("subject_in_baseline"), has("a_has").alias("subject_in_actual"),
     )
-    known = [x.permissions.select(F.col("key").alias("permission_key"), F.lit(True).alias(c)).distinct() for x, c in ((baseline, "permission_in_baseline"), (actual, "permission_in_actual"))]
-    pairs = pairs.join(spread(subjects, 0), "subject_key").join(spread(known[0], 1), "permission_key", "left").join(spread(known[1], 1), "permission_key", "left")
-    pairs = pairs.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("permission_in_baseline", "permission_in_actual")})
+    known = both.permissions.select(F.col("key").alias("permission_key"), has("b_has").alias("permission_in_baseline"), has("a_has").alias("permission_in_actual"))
+    pairs = pairs.join(spread(subjects, 0), "subject_key").join(spread(known, 1), "permission_key")
     pairs = classify(pairs)
     pairs = pairs.withColumn("permission", F.coalesce("b_permission", "a_permission"))
     pairs = pairs.withColumn("expected", F.when(F.col("has_baseline"), show(F.col("b_value"), F.col("b_raw"), options.key)).otherwise(""))
@@ -253,38 +294,50 @@ def suggestions(found: DataFrame, baseline: Index, actual: Index) -> DataFrame:
     return out.drop("_name", "_key", "_near", "_type")
 
 
+def finding_order() -> list[Column]:
+    return [severity_rank(F.col("severity")).desc(), *dictionary("subject", "permission")]
+
+
 def ordered(found: DataFrame) -> DataFrame:
     """Findings by falling severity, then subject and permission in dictionary order."""
-    return found.orderBy(severity_rank(F.col("severity")).desc(), F.collate("subject", "UNICODE"), F.collate("permission", "UNICODE"))
+    return found.orderBy(*finding_order())
 
 
 def detail(result: Result) -> DataFrame:
-    """Every pair in order of subjects (those of the baseline first, each side's as first met), then of settings as first met: subject, role, permission, type, expected, actual."""
-    key = lambda x, name: x.select("key", F.col("ord").alias(name))
-    subjects = key(result.baseline.subjects, "_b").join(key(result.actual.subjects, "_a"), "key", "full_outer").withColumnRenamed("key", "subject_key")
-    pairs = result.pairs.join(subjects, "subject_key", "left")
-    first = [F.col("_b").isNull(), F.col("_b"), F.col("_a"), F.col("b_ord").isNull(), F.col("b_ord"), F.col("a_ord")]
-    return pairs.orderBy(*first).select("subject", "role", "permission", "type", "expected", "actual")
+    """Every pair in dictionary order of subjects, then of settings: subject, role, permission, type, expected, actual."""
+    return result.pairs.orderBy(*dictionary("subject", "permission")).select("subject", "role", "permission", "type", "expected", "actual")
+
+
+def _few(table: DataFrame) -> DataFrame | None:
+    """The matches as a table that may go to every task, while they are few; as it is, if there are more; None if there are none."""
+    held = table.limit(SMALL + 1).collect()
+    if not held:
+        return None
+    return F.broadcast(table.sparkSession.createDataFrame(held, table.schema)) if len(held) <= SMALL else table
 
 
 def compare(baseline: DataFrame, actual: DataFrame, options: Options | None = None) -> Result:
     options = options or Options()
-    shared_dir(baseline.sparkSession)
-    b, a = together(baseline.sparkSession, lambda: index(baseline, options, options.aliases), lambda: index(actual, options))
+    spark = baseline.sparkSession
+    shared_dir(spark)
+    both = both_sides(baseline, actual, options)
+    found: list = [None, None]
+    if options.match_by_name:
+        both.sizes, *found = together(spark, lambda: _counted(both), *(lambda t=t: _few(t) for t in paired_names(both, options)))
+    else:
+        both.sizes = _counted(both)
     matches = []
     if options.aliases is not None:
-        for kind, side in (("subject", a.subjects), ("permission", a.permissions)):
+        for kind, table in (("subject", both.subjects), ("permission", both.permissions)):
             used = options.aliases.filter(F.col("kind") == kind).select("from_key", F.col("to_key").alias("key")).distinct()
-            matches.append(used.join(side, "key").select(F.col("from_key").alias("baseline"), F.col("display").alias("actual"), F.lit("alias").alias("by"), F.lit(kind).alias("kind")))
-    if options.match_by_name:
-        subjects, permissions = paired_names(b, a, options)
-        for kind, pairs, left, right in (("subject", subjects, b.subjects, a.subjects), ("permission", permissions, b.permissions, a.permissions)):
-            named = pairs.join(left.select(F.col("key").alias("from_key"), F.col("display").alias("baseline")), "from_key").join(right.select(F.col("key").alias("to_key"), F.col("display").alias("actual")), "to_key")
-            matches.append(named.select("baseline", "actual", F.lit("name").alias("by"), F.lit(kind).alias("kind")))
-        b = _renamed(b, subjects, permissions)
-    pairs = cut(reconcile(b, a, options))  # findings, counts and roll-ups all read them
-    spark = baseline.sparkSession
+            matches.append(used.join(table.filter("a_has"), "key").select(F.col("from_key").alias("baseline"), F.col("a_display").alias("actual"), F.lit("alias").alias("by"), F.lit(kind).alias("kind")))
+    for kind, table in zip(("subject", "permission"), found, strict=True):
+        if table is not None:
+            matches.append(table.select("baseline", "actual", F.lit("name").alias("by"), F.lit(kind).alias("kind")))
+    both = _renamed(both, *found)
+    pairs = cut(reconcile(both, options))  # findings, counts and roll-ups all read them
     every = matches[0] if matches else spark.createDataFrame([], "baseline string, actual string, by string, kind string")
     for more in matches[1:]:
         every = every.unionByName(more)
+    b, a = both.side("b"), both.side("a")
     return Result(pairs, findings(pairs, b, a, options), every, b, a)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,17 @@ def rewrite(df: DataFrame, column: str, aliases: DataFrame | None, kind: str) ->
     return df.join(mapped, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
 
+def unique_pairs(names: DataFrame) -> DataFrame:
+    """from_key, to_key, baseline, actual: where one key of each side has a name, and neither key stands on the other side.
+
+    names: name, key, display, in_baseline (else of the other side), alone (the key stands on this side only). One aggregate.
+    """
+    b, a = F.col("in_baseline"), ~F.col("in_baseline")
+    own = F.struct("key", "display", "alone")
+    out = names.groupBy("name").agg(F.count_if(b).alias("n_b"), F.count_if(a).alias("n_a"), F.max(F.when(b, own)).alias("b"), F.max(F.when(a, own)).alias("a"))
+    return out.filter("n_b = 1 AND n_a = 1 AND b.alone AND a.alone").select(F.col("b.key").alias("from_key"), F.col("a.key").alias("to_key"), F.col("b.display").alias("baseline"), F.col("a.display").alias("actual"))
+
+
 def unique_matches(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
     """from_key, to_key where one key on each side has the group's value and neither key stands on the other side. Both sides: key and the group column."""
     only_left = left.join(right.select("key"), "key", "left_anti")
@@ -37,30 +51,110 @@ def closest_score(key: Column, candidate: Column, display: Column) -> Column:
     return F.greatest(similarity(key, candidate), similarity(short_name(key), short_name(candidate)) * 0.95, plain)
 
 
-def _blocks(forms: list[Column], letters: int) -> Column:
-    """What two names share if they can be near: a word, some letters in a row, or (for short names) a length within two."""
-    words = F.flatten(F.array(*(F.split(f, " ") for f in forms)))
-    grams = F.flatten(F.array(*(F.when(F.length(f) >= letters, F.transform(F.sequence(F.lit(0), F.length(f) - letters), _gram(f, letters))).otherwise(F.array().cast("array<string>")) for f in forms)))
-    lengths = F.flatten(F.array(*(F.when(F.length(f) < 8, F.transform(F.sequence(F.greatest(F.length(f) - 3, F.lit(0)), F.length(f) + 3), lambda n: F.concat(F.lit("#"), n.cast("string")))).otherwise(F.array().cast("array<string>")) for f in forms)))
-    return F.array_distinct(F.concat(words, F.transform(grams, lambda g: F.concat(F.lit("="), g)), lengths))
-
-
-def _gram(f: Column, letters: int):
-    return lambda i: F.substring(f, i + 1, F.lit(letters))
-
-
-def closest(names: DataFrame, candidates: DataFrame, threshold: float = 0.72, letters: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+#: What a name is compared by, and what its similarity counts there: the key, its short name, the name without its parenthesis.
+FACTORS = (1.0, 0.95, 0.97)
+#: Similarity of a name whose words all stand in the other, and texts from whose length on edit distance is that of lengths.
+CONTAINED, LONG = 0.9, 200
+#: Commonest tokens that are told from rare ones, by steps; rows of one token that stand in one block, at most.
+COMMON, BLOCK = (16, 128, 1024), 20_000
+
+
+@dataclass(frozen=True)
+class _Filter:
+    """What two forms must share if their similarity is over `least`: see `closest`."""
+
+    least: float
+    common: tuple[frozenset[str], ...] = ()
+
+    @property
+    def gram(self) -> int:
+        """Letters in a gram: with 2 a pair that near shares some at any length; below 2/3 only single letters do."""
+        return 2 if self.least >= 2 / 3 else 1
+
+    def _sorted(self, tokens: Column) -> Column:
+        """Rarest first, each with how often it stood before (so that repeated ones are told apart)."""
+        rank = lambda x: sum((F.when(x.isin(*sorted(held)), 1).otherwise(0) for held in self.common), F.lit(0))
+        return F.array_sort(F.transform(tokens, lambda x, i: F.struct(rank(x).alias("c"), x.alias("t"), F.size(F.filter(F.slice(tokens, 1, i), lambda y: y == x)).alias("k"))))
+
+    def grams(self, form: Column) -> Column:
+        q = self.gram
+        return F.when(F.length(form) >= q, F.transform(F.sequence(F.lit(0), F.length(form) - q), lambda i: F.concat(F.lit("g"), F.substring(form, i + 1, F.lit(q))))).otherwise(F.array().cast("array<string>"))
+
+    def words(self, form: Column) -> Column:
+        return F.transform(F.array_distinct(F.split(form, " ")), lambda w: F.concat(F.lit("w"), w))
+
+    def _prefix(self, tokens: Column, shared: Column) -> Column:
+        """Of tokens of which two near forms share so many at least: the rarest, one of which both have among theirs."""
+        n = F.greatest(F.size(tokens) - F.greatest(shared, F.lit(1)) + 1, F.lit(0))
+        return F.transform(F.slice(self._sorted(tokens), 1, n), lambda x: F.concat(x["t"], F.lit("#"), x["k"].cast("string")))
+
+    def tokens(self, form: Column, asked: bool) -> Column:
+        if self.least >= 1:  # nothing is over it
+            return F.array().cast("array<string>")
+        q, n = self.gram, F.length(form)
+        by_letters = self._prefix(self.grams(form), F.floor(n * (1 - q * (1 - self.least)) - (q - 1) + 1e-9).cast("int") + 1)
+        by_words = self._prefix(self.words(form), F.floor(F.size(self.words(form)) * self.least + 1e-9).cast("int") + 1)
+        short = F.when(n < q, F.array(F.concat(F.lit("="), form))).otherwise(F.array().cast("array<string>"))
+        out = [F.when(n <= LONG, by_letters).otherwise(F.array().cast("array<string>")), by_words, short]
+        if self.least < CONTAINED:
+            rarest = F.when(F.size(self.words(form)) > 1, F.slice(self._sorted(self.words(form)), 1, 1)["t"]).otherwise(F.array().cast("array<string>"))
+            out.append(F.transform(rarest if asked else self.words(form), lambda w: F.concat(F.lit("in"), w)))
+        # of texts over LONG only the length counts: each meets those of its step of lengths and of both beside it
+        step = F.floor(F.log(n.cast("double")) / -math.log(self.least)).cast("int")
+        near = F.array(*(F.concat(F.lit("l"), (step + k).cast("string")) for k in ((-1, 0, 1) if asked else (0,))))
+        out.append(F.when(n > LONG * self.least, near).otherwise(F.array().cast("array<string>")))
+        return F.array_distinct(F.concat(*out))
+
+
+def _forms(key: Column, display: Column) -> Column:
+    """kind and form, for each way of comparing."""
+    held = [key, short_name(key), bare(display)]
+    every = F.array(*(F.struct(F.lit(k).alias("kind"), f.alias("form")) for k, f in enumerate(held)))
+    return F.filter(every, lambda x: (x["kind"] != 2) | (x["form"] != ""))
+
+
+def _by_kind(threshold: float, common: tuple[frozenset[str], ...], form: Column, asked: bool) -> Column:
+    out = F.lit(None).cast("array<string>")
+    for k, factor in enumerate(FACTORS):
+        out = F.when(F.col("kind") == k, _Filter(threshold / factor, common).tokens(form, asked)).otherwise(out)
+    return out
+
+
+def closest(names: DataFrame, candidates: DataFrame, threshold: float = 0.72, by: tuple[str, ...] = (), *, block: int = BLOCK) -> DataFrame:
     """key, suggestion, suggested_key, score: the nearest candidate over the threshold (the first of equals).
 
-    names: key; candidates: key, display, ord; both also have the columns of by, which must be equal. Only pairs that share a block are scored. For thresholds
-    of 0.6 or more that loses nothing: names that near share a word or two adjacent letters, or are
-    short and of similar length. Lower thresholds take letters=1 (for few names).
+    names: key; candidates: key, display, ord; both also have the columns of by, which must be equal. A pair over the
+    threshold is near by letters, by words, or has all words of the name in the candidate. Near by letters: few edits
+    leave most grams alone, so of the grams in order of rarity one of the first few is shared, and lengths are alike.
+    Near by words: the same with words. Contained: the name's rarest word stands in the candidate. Only pairs that
+    share such a token are scored, each distinct pair of forms once; what the filters leave out can't be over the
+    threshold. The rows of a token that many candidates have are split into blocks of about `block` rows.
     """
+    if not 0.45 <= threshold < 1:
+        raise ValueError("the filters hold for thresholds from 0.45 to 1")
     left = names.select(*by, "key").distinct()
-    left = left.select(*by, "key", F.explode(_blocks([F.col("key"), short_name(F.col("key")), bare(F.col("key"))], letters)).alias("block"))
-    right = candidates.select(*by, F.col("key").alias("candidate"), "display", "ord")
-    right = right.select("*", F.explode(_blocks([F.col("candidate"), short_name(F.col("candidate")), bare(F.col("display"))], letters)).alias("block"))
-    pairs = left.join(right, [*by, "block"]).select(*by, "key", "candidate", "display", "ord").distinct()
-    scored = pairs.withColumn("score", closest_score(F.col("key"), F.col("candidate"), F.col("display"))).filter(F.col("score") > threshold)
-    best = scored.groupBy(*by, "key").agg(F.min_by(F.struct("display", "candidate", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("best"))
-    return best.select(*by, "key", F.col("best.display").alias("suggestion"), F.col("best.candidate").alias("suggested_key"), F.round("best.score", 2).alias("score"))
+    left = left.select(*by, "key", F.explode(_forms(F.col("key"), F.col("key"))).alias("x")).select(*by, "key", "x.*")
+    right = candidates.select(*by, F.explode(_forms(F.col("key"), F.col("display"))).alias("x"), F.struct("display", F.col("key").alias("candidate")).alias("own"), "ord")
+    # of candidates with one form the first counts
+    right = right.groupBy(*by, F.col("x.kind").alias("kind"), F.col("x.form").alias("form")).agg(F.min_by("own", "ord").alias("own"), F.min("ord").alias("ord"))
+    plain = _Filter(threshold)
+    counts = right.select(F.explode(F.concat(F.array_distinct(plain.grams(F.col("form"))), plain.words(F.col("form")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "token").limit(COMMON[-1]).collect()
+    common = tuple(frozenset(x.token for x in top[:n]) for n in COMMON) if top else ()
+    asked = left.select(*by, "kind", "form").distinct().select("*", F.explode(_by_kind(threshold, common, F.col("form"), True)).alias("token"))
+    held = right.select(*by, "kind", F.col("form").alias("other"), F.explode(_by_kind(threshold, common, F.col("form"), False)).alias("token"))
+    on = [*by, "kind", "token"]
+    if top and top[0].n > block:
+        crowded = held.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts")).filter("_parts > 1")
+        held = held.join(crowded, on, "left").withColumn("_part", F.pmod(F.xxhash64("other"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+        asked = asked.join(crowded, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        on.append("_part")
+    alike = F.least(F.length("form"), F.length("other")) > F.element_at(F.array(*(F.lit(threshold / f - 1e-9) for f in FACTORS)), F.col("kind") + 1) * F.greatest(F.length("form"), F.length("other"))
+    by_length = F.col("token").startswith("g") | F.col("token").startswith("l")
+    pairs = asked.join(held, on).filter(~by_length | alike).select(*by, "kind", "form", "other").distinct()
+    factor = F.element_at(F.array(*map(F.lit, FACTORS)), F.col("kind") + 1)
+    scored = pairs.withColumn("score", similarity(F.col("form"), F.col("other")) * factor).filter(F.col("score") > threshold)
+    named = scored.join(right.withColumnRenamed("form", "other"), [*by, "kind", "other"])
+    first = named.groupBy(*by, "kind", "form").agg(F.min_by(F.struct("own", "score", "ord"), F.struct(-F.col("score"), F.col("ord"))).alias("best"))
+    best = left.join(first, [*by, "kind", "form"]).groupBy(*by, "key").agg(F.min_by("best", F.struct(-F.col("best.score"), F.col("best.ord"))).alias("best"))
+    return best.select(*by, "key", F.col("best.own.display").alias("suggestion"), F.col("best.own.candidate").alias("suggested_key"), F.round("best.score", 2).alias("score"))

@@ -12,11 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import clean, join_name, norm_key
 from ..functions.values import glob, normalize_value
 
-#: Words that mark a column as not to be validated.
-SKIP_WORDS = r"(?i)do(n'?t| not) (need to )?validate|no need to validate"
-
 # Columns that look as if they should be left out.
-NOT_VALIDATED = r"(?i)(dont|don t|don't|do not|no) need to validate|do not validate|skip|ignore"
+NOT_VALIDATED = r"(?i)(dont|don t|do not|no) need to validate|do not validate|skip|ignore"
 # Words in the names of roles.
 ROLE_WORDS = ["admin", "user", "super", "provider", "nurse", "rn", "ma", "lvn", "biller", "billing", "front desk", "psr", "specialist", "read only", "assistant", "coordinator", "supervisor", "analyst", "liaison", "liason", "compliance", "him", "it"]
 
@@ -72,7 +69,7 @@ def matrix_records(cells: DataFrame, header_row: int, headers: list[str], label:
         (F.col("label") if users_down else F.col("head")).alias("subject"), named.alias("permission"), normalize_value(raw, F.get("kinds", F.col("col"))).alias("value"), raw.alias("raw"),
         (cell(description) if description is not None else F.lit("")).alias("description"), "file", "sheet", "row", F.struct("file", "sheet_no", "row", "col").alias("ord"),
     )
-    out = out.filter(~glob(F.col("subject"), ignore) & ~F.col("subject").rlike(SKIP_WORDS))
+    out = out.filter(~glob(F.col("subject"), ignore))
     return out if blank_is_no else out.filter(F.trim("raw") != "")
 
 

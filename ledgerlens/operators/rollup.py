@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import SEVERITIES, TYPES, severity_rank
 from .compare import TICK_NOTE, Index
+from .order import dictionary
 
 
 def _tally(df: DataFrame, column: str, names: list[str]) -> DataFrame:
@@ -29,12 +30,24 @@ def counts_by_severity(found: DataFrame) -> DataFrame:
     return _tally(found, "severity", list(reversed(SEVERITIES)))
 
 
+def permission_order() -> list[Column]:
+    return [F.expr("excess + missing + different").desc(), *dictionary("permission")]
+
+
+def subject_order() -> list[Column]:
+    return [F.desc("high"), F.desc("medium"), *dictionary("subject")]
+
+
+def action_order() -> list[Column]:
+    return [F.size("remove").desc(), F.size("grant").desc(), *dictionary("subject")]
+
+
 def by_permission(pairs: DataFrame) -> DataFrame:
     """permission (as shown), ok, excess, missing, different, other; those with something to say, most differences first."""
     rows = single_rows(pairs).filter("permission <> ''")
     named = ["ok", "excess", "missing", "different"]
     out = rows.groupBy("permission").agg(*(F.count_if(F.col("type") == t).alias(t) for t in named), F.count_if(~F.col("type").isin(named)).alias("other"))
-    return out.filter("excess + missing + different + other > 0").orderBy(F.expr("excess + missing + different").desc(), "permission")
+    return out.filter("excess + missing + different + other > 0").orderBy(*permission_order())
 
 
 def by_subject(found: DataFrame) -> DataFrame:
@@ -44,7 +57,7 @@ def by_subject(found: DataFrame) -> DataFrame:
     out = found.groupBy("subject").agg(
         *(F.count_if(F.col("severity") == s).alias(s) for s in levels), *(F.count_if(F.col("type") == t).alias(t) for t in named), F.count_if(~F.col("type").isin([*named, "ok"])).alias("other")
     )
-    return out.orderBy(F.desc("high"), F.desc("medium"), F.collate("subject", "UNICODE"))
+    return out.orderBy(*subject_order())
 
 
 def actions(found: DataFrame) -> DataFrame:
@@ -66,7 +79,7 @@ def actions(found: DataFrame) -> DataFrame:
     ).filter("coalesce(remove, grant, review, status) IS NOT NULL")
     listed = [F.array_sort(F.collect_list(c)).alias(c) for c in ("remove", "grant", "review")]
     out = rows.groupBy("subject").agg(*listed, F.coalesce(F.max("status"), F.lit("")).alias("status"))
-    return out.orderBy(F.size("remove").desc(), F.size("grant").desc(), F.collate("subject", "UNICODE"))
+    return out.orderBy(*action_order())
 
 
 def sizes(baseline: Index, actual: Index) -> DataFrame:

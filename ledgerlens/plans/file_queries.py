@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import norm_key
 from ..operators import compare as cmp
 from ..operators import match, records, rollup
+from ..operators.order import dictionary, placed
 from ..sources import books, cells, layout, sinks
 from .derived import sides, table
 from .lineage import cut, drop_folder, put_files
@@ -283,7 +284,7 @@ def template_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'Coverage' AS sheet, name, grp, CASE WHEN in_baseline THEN 'true' ELSE 'false' END AS held FROM cover".join([_CATALOG_SQL + _COVER + " ", ""]))
 def coverage_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage as a sheet, in the report's order of groups and names, read back."""
-    rows = sinks.rows_of(_covered(spark, sf_dir).orderBy(F.collate("grp", "UNICODE"), F.collate("name", "UNICODE")).select("grp", "name", "in_baseline"))
+    rows = sinks.rows_of(_covered(spark, sf_dir).orderBy(*dictionary("grp", "name")).select("grp", "name", "in_baseline"))
     read = lambda folder: cells.read_cells(spark, folder).filter("row > 1").select("sheet", F.get("cells", F.lit(1)).alias("name"), F.get("cells", F.lit(0)).alias("grp"), F.get("cells", F.lit(2)).alias("held"))
     return _read_back(spark, {"coverage.xlsx": sinks.workbook([sinks.Sheet("Coverage", rows)])}, read)
 
@@ -291,22 +292,20 @@ def coverage_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- order, filters, options -------------------------------------------------------------------
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Rows of an ordered result with their place. Bounded: reports are collected."""
-    header, *rows = sinks.rows_of(df)
-    return df.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(rows)], ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "place long"]))
-
-
 @query("SELECT subject, permission, type, severity, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, subject, permission) - 1 AS place FROM found", pairs=True)
 def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(cmp.ordered(_compared(spark, sf_dir).findings).select("subject", "permission", "type", "severity"))
+    return placed(_compared(spark, sf_dir).findings, cmp.finding_order()).select("subject", "permission", "type", "severity", "place")
+
+
+#: Subjects whose number is even in small letters, so that dictionary order is told from that of code units.
+_MIXED = "CASE WHEN right(subject, 1) IN ('0', '2', '4', '6', '8') THEN lower(subject) ELSE subject END"
 
 
-@query("""SELECT subject, permission, row_number() OVER (ORDER BY sf IS NULL, sf, af, pf IS NULL, pf, qf) - 1 AS place FROM (SELECT p.subject, p.permission, sf, af, pf, qf FROM pairs p
-    LEFT JOIN (SELECT subject, min(o) AS sf FROM firsts WHERE side = 'b' GROUP BY subject) USING (subject) LEFT JOIN (SELECT subject, min(o) AS af FROM firsts WHERE side = 'a' GROUP BY subject) USING (subject)
-    LEFT JOIN (SELECT subject, permission, o AS pf FROM firsts WHERE side = 'b') USING (subject, permission) LEFT JOIN (SELECT subject, permission, o AS qf FROM firsts WHERE side = 'a') USING (subject, permission))""".replace("FROM firsts", "FROM (SELECT side, subject, permission, min((l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_partkey, raw)) AS o FROM sided GROUP BY ALL)"), pairs=True)
+@query(f"SELECT {_MIXED} AS subject, permission, row_number() OVER (ORDER BY lower(subject), permission) - 1 AS place FROM pairs", pairs=True)
 def detail_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(cmp.detail(cmp.compare(*sides(spark, sf_dir), cmp.Options(suggest=False, match_by_name=False))).select("subject", "permission"))
+    """Places of all pairs by subject, then setting, as a dictionary has them."""
+    result = cmp.compare(*(x.withColumn("subject", F.expr(_MIXED)) for x in sides(spark, sf_dir)), cmp.Options(suggest=False, match_by_name=False))
+    return placed(result.pairs, dictionary("subject", "permission")).select("subject", "permission", "place")
 
 
 @query("""SELECT 'permission' AS kind, permission AS name, row_number() OVER (ORDER BY d DESC, permission) - 1 AS place FROM (SELECT permission, count(*) FILTER (type IN ('excess', 'missing', 'different')) AS d, count(*) FILTER (type <> 'ok') AS n FROM single WHERE permission <> '' GROUP BY permission) WHERE n > 0
@@ -315,17 +314,17 @@ def detail_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHERE type IN ('excess', 'different', 'user-not-in-baseline', 'user-not-in-actual') OR (type = 'missing' AND severity <> 'info') OR (type = 'permission-not-in-baseline' AND severity = 'low') GROUP BY subject)""", pairs=True)
 def rollup_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = _compared(spark, sf_dir)
-    parts = {"permission": rollup.by_permission(result.pairs).select("permission"), "subject": rollup.by_subject(result.findings).select("subject"), "action": rollup.actions(result.findings).select("subject")}
+    parts = {"permission": (rollup.by_permission(result.pairs), rollup.permission_order()), "subject": (rollup.by_subject(result.findings), rollup.subject_order()), "action": (rollup.actions(result.findings), rollup.action_order())}
     out = None
-    for kind, df in parts.items():
-        part = _numbered(df).toDF("name", "place").select(F.lit(kind).alias("kind"), "name", "place")
+    for kind, (df, by) in parts.items():
+        part = placed(df, by).select(F.lit(kind).alias("kind"), F.col("permission" if kind == "permission" else "subject").alias("name"), "place")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query(_CATALOG_SQL + " SELECT grp, name, row_number() OVER (ORDER BY grp COLLATE EN, name COLLATE EN) - 1 AS place FROM cat".replace(" COLLATE EN", ""))
 def coverage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(_catalog(spark, sf_dir).orderBy(F.collate("grp", "UNICODE"), F.collate("name", "UNICODE")).select("grp", "name"))
+    return placed(_catalog(spark, sf_dir), dictionary("grp", "name")).select("grp", "name", "place")
 
 
 @query("""SELECT subject, permission, type FROM pairs WHERE NOT regexp_matches(subject, '(?i)^supplier#0000000[0-4].$') AND NOT regexp_matches(permission, '(?i)^brand#1.* > eco.*$') AND regexp_matches(subject, '(?i)^supplier.*[02468]$')""", pairs=True)

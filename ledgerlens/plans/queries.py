@@ -78,9 +78,8 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'subject' AS kind, (SELECT count(*) FROM bs) AS baseline, (SELECT count(*) FROM asub) AS actual, (SELECT count(*) FROM bs JOIN asub USING (subject)) AS both
     UNION ALL SELECT 'permission', (SELECT count(*) FROM bp), (SELECT count(*) FROM ap), (SELECT count(*) FROM bp JOIN ap USING (permission))""", pairs=True)
 def set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, a = sides(spark, sf_dir)
-    options = cmp.Options(match_by_name=False)
-    return rollup.sizes(cmp.index(b, options), cmp.index(a, options))
+    both = cmp.both_sides(*sides(spark, sf_dir), cmp.Options(match_by_name=False))
+    return rollup.sizes(both.side("b"), both.side("a"))
 
 
 @query("""SELECT subject, permission, CASE WHEN type IN ('missing', 'permission-not-in-actual') AND bv IS NOT NULL AND av IS NULL AND sa THEN CASE WHEN bv NOT IN ('Y', 'N') THEN 'different' WHEN bv = 'N' THEN 'ok' ELSE 'missing' END ELSE type END AS type
@@ -243,7 +242,7 @@ _SCORED = """(SELECT *, 1e0 - levenshtein(a, b) / greatest(length(a), length(b),
 def closest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     wanted = names.select(F.expr("substring(p_name, 1, length(p_name) - 2)").alias("key"))
-    candidates = names.select(F.col("p_name").alias("key"), F.col("p_name").alias("display"), F.dense_rank().over(Window.orderBy("p_name")).alias("ord"))
+    candidates = names.select(F.col("p_name").alias("key"), F.col("p_name").alias("display"), F.col("p_name").alias("ord"))
     return match.closest(wanted, candidates).select("key", "suggestion", "score")
 
 

@@ -21,9 +21,11 @@ VALUE = ["value", "access", "allowed", "allow", "granted", "grant", "permitted",
 DESCRIPTION = ["description", "security setting description", "setting description", "what it controls", "what it does", "details", "help", "notes", "comment", "comments"]
 CATEGORY = ["category", "module", "section", "group name", "area", "menu", "tab", "security group", "setting group", "folder"]
 ROLE = ["role", "role name", "security role", "job title", "title", "group"]
-CATALOG_NAME = ["security setting name", "setting name", "security setting", "setting", "name"]
-CATALOG_GROUP = ["security group name", "security group", "group name", "group", "category"]
-CATALOG_VALUE = ["permission", "value", "access", "granted"]
+CATALOG_NAME = ["security setting name", "setting name", "security setting", "security attribute", "attribute name", "attribute", "name", "setting", "permission", "permission name", "item", "item name"]
+CATALOG_DESCRIPTION = ["security setting description", "description", "setting description", "attribute description", "what it controls", "what it does", "details", "help"]
+CATALOG_TYPE = ["security setting type", "setting type", "type", "attribute type"]
+CATALOG_GROUP = ["security group name", "group name", "security group", "group", "category", "module", "section"]
+CATALOG_VALUE = ["permission", "permissions", "granted", "allowed", "access", "checked", "enabled", "value", "yes no", "y n", "assigned", "has access"]
 #: Rows that may hold the header, and rows below it that are looked at.
 HEADER_ROWS, BODY_ROWS = 20, 29
 
@@ -167,7 +169,7 @@ def detect_catalog(rows: list[list[str]]) -> Layout | None:
         return None
     taken: set[int] = set()
     found = {}
-    for name, names in (("name", CATALOG_NAME), ("description", DESCRIPTION), ("type", ["security setting type", "setting type", "type"]), ("group", CATALOG_GROUP), ("value", CATALOG_VALUE)):
+    for name, names in (("name", CATALOG_NAME), ("description", CATALOG_DESCRIPTION), ("type", CATALOG_TYPE), ("group", CATALOG_GROUP), ("value", CATALOG_VALUE)):
         found[name] = best_column(headers, names, taken)
         if found[name] is not None:
             taken.add(found[name])

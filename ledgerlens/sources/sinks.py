@@ -7,12 +7,15 @@ import io
 import json
 import re
 import zipfile
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import norm_key
+from ..operators.order import dictionary
 from .cells import column_letters
 
 #: Rows that a report collects at most; more is an error, not a cut.
@@ -177,7 +180,7 @@ def report(result, max_rows: int = MAX_ROWS, catalog: DataFrame | None = None, a
     if catalog is not None:
         held = actual_records if actual_records is not None else result.actual.records
         covered = cat.coverage(catalog, result.baseline.permissions.select("display"), held)
-        cover = rows_of(covered.orderBy(F.collate("grp", "UNICODE"), F.collate("name", "UNICODE")).select("grp", "name", "description", "in_baseline", "granted_to", "type"), max_rows)
+        cover = rows_of(covered.orderBy(*dictionary("grp", "name")).select("grp", "name", "description", "in_baseline", "granted_to", "type"), max_rows)
         colours = {(r, 3): "green" if row[3] else "amber" for r, row in enumerate(cover) if r and (row[3] or row[4])}
         out += [Sheet("Coverage", cover, colours=colours), Sheet("Not in catalog", rows_of(not_in_catalog(result, catalog), max_rows))]
     return out
@@ -244,9 +247,9 @@ def inventory_workbook(records: DataFrame, book=None, catalog: DataFrame | None
 
     names = inventory.subjects_of(records, limit)
     wide = inventory.documented(records, catalog, names)
-    matrix = rows_of(wide.orderBy(F.collate("grp", "UNICODE"), F.collate("setting", "UNICODE")).select("grp", "setting", "description", *(F.col(f"`{n}`") for n in names), "held_by", *(["in_catalog"] if catalog is not None else [])))
+    matrix = rows_of(wide.orderBy(*dictionary("grp", "setting")).select("grp", "setting", "description", *(F.col(f"`{n}`") for n in names), "held_by", *(["in_catalog"] if catalog is not None else [])))
     colours = {(r, c): "green" for r, row in enumerate(matrix) if r for c in range(3, 3 + len(names)) if row[c]}
-    listed = rows_of(inventory.documented_list(records, catalog).orderBy(F.collate("grp", "UNICODE"), F.collate("setting", "UNICODE")).select("grp", "setting", "description", "held_by", "who"))
+    listed = rows_of(inventory.documented_list(records, catalog).orderBy(*dictionary("grp", "setting")).select("grp", "setting", "description", "held_by", "who"))
     source = [["what", "value"], ["subjects", len(names)], ["settings", len(matrix) - 1], ["catalog", catalog.count() if catalog is not None else "none: groups are those of the exports"]]
     if book is not None:
         source += [[f"{file} [{sheet}]", layout.kind + (f" of {layout.role}" if layout.role else "")] for (file, sheet), layout in book.layouts.items()] + [["warning", x] for x in book.warnings]
@@ -263,12 +266,17 @@ def captured_workbook(captured: DataFrame, max_rows: int = MAX_ROWS) -> list[She
     return [Sheet(role, [columns, *held], [44, 70, 8, 34, 10]) for role, held in by_role.items()]
 
 
-def template(catalog_rows: DataFrame, roles: list[str], groups: list[str] | None = None) -> list[Sheet]:
+# The roles of a template for which none are named.
+TEMPLATE_ROLES = ("Provider", "Nurse", "Front Desk", "Biller", "Practice Admin")
+
+
+def template(catalog_rows: DataFrame, roles: Sequence[str] = TEMPLATE_ROLES, groups: list[str] | None = None) -> list[Sheet]:
     """A baseline to fill in: the catalog's settings by blank role columns, a sheet that maps users to roles, and one that says how to."""
-    rows = catalog_rows.filter(catalog_rows["grp"].isin(groups)) if groups else catalog_rows
-    body = rows_of(rows.orderBy("grp", "name").select("grp", "name", "description"))[1:]
+    keys = [r[0] for r in catalog_rows.sparkSession.createDataFrame([(g,) for g in groups], "g string").select(norm_key(F.col("g"))).collect()] if groups else []
+    rows = catalog_rows.filter(norm_key(catalog_rows["grp"]).isin(keys)) if groups else catalog_rows
+    body = rows_of(rows.orderBy(*dictionary("grp", "name")).select("grp", "name", "description"))[1:]
     how = [["How to fill it in"], ["Put X where the role should hold the setting, leave the cell blank where it should not."], ["A level, such as read only, goes into the cell as it is named in the system."], ["On Users, name each user's role if the system lists users rather than roles."]]
-    return [Sheet("Permissions", [["Category", "Security Setting", "What it controls", *roles], *([*r, *[""] * len(roles)] for r in body)]), Sheet("Users", [["User", "Role"]]), Sheet("How to", how)]
+    return [Sheet("Permissions", [["Category", "Security Setting", "What it controls", *roles], *([*r, *[""] * len(roles)] for r in body)]), Sheet("Users", [["User", "Role"], ["", *roles[:1]]]), Sheet("How to", how)]
 
 
 def write(path: str, result, **more) -> None:
