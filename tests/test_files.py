@@ -248,23 +248,73 @@ def one(kind, k, checked=False, top=50, bottom=70, cut_top=False, cut_bottom=Fal
     return {"top": top, "bottom": bottom, "kind": kind, "checked": checked, "cut_top": cut_top, "cut_bottom": cut_bottom, "fp": [0] * 12 if kind == "header" else [r.randint(10, 250) for _ in range(12)]}
 
 
-def test_merger_keeps_cut_rows_and_never_anchors_at_headers(spark):
-    m = frames.Merger()
-    assert not m.add([one("data", 1)]) and m.gaps == 0
-    assert m.add([one("header", 0), one("data", 1), one("data", 2, cut_bottom=True)])
-    assert [r["partial"] for r in m.rows] == [False, False, True]
-    assert m.add([one("data", 1, checked=True), one("data", 2, checked=True), one("header", 0), one("data", 3)])
-    assert [(r["kind"], r["checked"], r["partial"]) for r in m.rows] == [("header", False, False), ("data", True, False), ("data", True, False), ("header", False, False), ("data", False, False)]
-    assert not m.add([one("header", 0), one("data", 9)]) and m.gaps == 1
-    assert m.add([one("header", 0)]) and m.gaps == 1
-    assert m.add([one("header", 0, top=0, bottom=20), one("data", 2, top=21, bottom=40), one("data", 3), one("data", 4)], 300) and len(m.rows) == 6
-    rows = [("r", i, x["kind"], x["checked"], x["partial"], x["fp"], 0) for i, x in enumerate([*m.rows, ])]
+def shots(spark, frames_, height=None):
+    rows = [("r", n, height, [tuple(b.values()) for b in bands]) for n, bands in enumerate(frames_)]
+    return spark.createDataFrame(rows, f"role string, frame_no int, height int, bands array<{frames.BAND}>")
+
+
+def test_merging_keeps_cut_rows_and_never_goes_by_headers(spark):
+    seen = [
+        [one("data", 1)], [one("header", 0), one("data", 1), one("data", 2, cut_bottom=True)], [one("data", 1, checked=True), one("data", 2, checked=True), one("header", 0), one("data", 3)],
+        [one("header", 0), one("data", 9)], [one("header", 0)], [one("header", 0, top=0, bottom=20), one("data", 2, top=21, bottom=40), one("data", 3), one("data", 4)],
+    ]
+    steps = [frames.merge_frames(shots(spark, seen[:k], 300)).orderBy("pos").collect() for k in range(1, 7)]
+    assert steps[0] == [] and [x.partial for x in steps[1]] == [False, False, True]
+    assert [(x.kind, x.checked, x.partial, x.gaps) for x in steps[2]] == [("header", False, False, 0), ("data", True, False, 0), ("data", True, False, 0), ("header", False, False, 0), ("data", False, False, 0)]
+    assert [(len(x), x[0].gaps) for x in steps[3:]] == [(5, 1), (5, 1), (6, 1)]
+    rows = [("r", x.pos, x.kind, x.checked, x.partial, x.fp, 0) for x in steps[5]]
     cat = catalog.catalog(spark.createDataFrame([(f"s{g}{k}", "", "", f"g{g}", g * 10 + k) for g in range(2) for k in range(2)], "name string, description string, type string, grp string, ord long"))
     merged = spark.createDataFrame(rows, frames.MERGED)
     assert [x.permission for x in frames.assign(merged, cat).orderBy("row").collect()] == ["g0 > s00", "g0 > s01", "g1 > s10", "g1 > s11"]
     assert frames.completeness(merged, cat).first().complete
 
 
+def random_capture(seed, n_rows, n_frames, jumps):
+    """Frames of a scrolled list: mostly forward, at times back, at times too far ahead and back to where it was."""
+    r = random.Random(seed)
+    rows = [("header" if k % 20 == 1 else "group" if k % 20 == 0 else "data", k) for k in range(n_rows)]
+    ticks = {k: r.random() < 0.5 for k in range(n_rows)}
+    at, out = 0, []
+    for _ in range(n_frames):
+        ahead = at + 40 if out and r.random() < jumps else at
+        here = [one(kind, k, ticks[k] and kind == "data") for kind, k in rows[ahead : ahead + 8]]
+        if here and r.random() < 0.5:
+            here[-1]["cut_bottom"] = True
+        out.append(here)
+        if r.random() < 0.1:
+            k = r.randrange(n_rows)
+            ticks[k] = not ticks[k]
+        at = max(0, min(at + r.choice([3, 3, 4, 5, -6]), n_rows - 8)) if ahead == at else at
+    return [x for x in out if x]
+
+
+@pytest.mark.parametrize(("seed", "jumps"), [(1, 0.0), (2, 0.02), (3, 0.1)])
+def test_runs_of_frames_join_to_the_whole(spark, seed, jumps):
+    """Dealt over tasks in any way, a capture gives the rows of frames joined one by one, and as many gaps."""
+    df = shots(spark, random_capture(seed, 300, 260, jumps)).repartition(5)
+    key = lambda x: (x.pos, x.kind, x.checked, x.partial, tuple(x.fp), x.gaps)
+    alone = sorted(map(key, frames.merge_frames(df, run=10_000).collect()))
+    for run, meet in ((64, 16), (7, 2), (1, 4)):
+        assert sorted(map(key, frames.merge_frames(df, run=run, meet=meet).collect())) == alone
+    assert len(alone) > 100
+
+
+def test_offsets_by_diagonals_equal_one_by_one():
+    r = random.Random(6)
+    strip = lambda ks, n: frames.Strip.of([{**one(r.choice(["header", "group"]) if k < 3 else "data", k), "partial": r.random() < 0.2} for k in ks], n, False)
+    for _ in range(60):
+        a, b = strip([r.randrange(9) for _ in range(r.randrange(1, 12))], 0), strip([r.randrange(9) for _ in range(r.randrange(1, 6))], 1)
+        near = frames._profiles_alike(a.fp, b.fp)
+        wanted = None
+        for at in range(-len(b) + 1, len(a)):
+            pairs = [(at + j, j) for j in range(len(b)) if 0 <= at + j < len(a)]
+            fits = lambda i, j: a.kind[i] == b.kind[j] and (a.kind[i] == 0 or not a.whole[i] or not b.whole[j] or near[i, j])
+            if all(fits(i, j) for i, j in pairs) and any(a.telling[i] and b.telling[j] for i, j in pairs):
+                wanted = at
+        assert frames.offset_of(a, b) == wanted
+
+
+
 def test_lines_name_settings_and_groups(spark):
     cat = catalog.catalog(spark.createDataFrame([("Merge charts", "", "", "Front office", 1), ("Print labels", "", "", "Billing desk", 2)], "name string, description string, type string, grp string, ord long"))
     bands = spark.createDataFrame([("r", 1, 0, 19, "group", False), ("r", 1, 20, 39, "data", True), ("r", 1, 40, 59, "data", False), ("r", 2, 0, 19, "data", False), ("r", 2, 20, 39, "data", True)], "role string, frame_no int, top int, bottom int, kind string, checked boolean")
