@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import first_bare, norm_key
 from ..functions.values import is_granted
+from .order import dictionary
 
 
 def _mark(value: Column) -> Column:
@@ -48,10 +49,15 @@ def subject_list(records: DataFrame) -> DataFrame:
     return settings(records).groupBy("subject").agg(F.count_if(is_granted(F.col("value"))).alias("held"), F.count(F.lit(1)).alias("listed"))
 
 
+def shown_cell() -> Column:
+    """What both sides show for a pair: one text where they agree (without what the cell said), else 'expected → actual', '—' for nothing."""
+    either = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("—"))
+    return F.when(F.col("type") == "ok", F.regexp_replace("actual", r"(?s) \(.*\)$", "")).otherwise(F.concat(either("expected"), F.lit(" → "), either("actual")))
+
+
 def side_by_side(pairs: DataFrame, subjects: list[str] | None = None, limit: int = 10_000) -> DataFrame:
-    """permission x subject: the value where both agree, else 'expected -> actual'."""
-    cell = F.when(F.col("type") == "ok", F.coalesce("a_value", "b_value")).otherwise(F.concat(F.coalesce("b_value", F.lit("-")), F.lit(" -> "), F.coalesce("a_value", F.lit("-"))))
-    return pairs.groupBy("permission").pivot("subject", subjects or subjects_of(pairs, limit)).agg(F.first(cell)).orderBy("permission")
+    """permission x subject, as `shown_cell` has it."""
+    return pairs.groupBy("permission").pivot("subject", subjects or subjects_of(pairs, limit)).agg(F.first(shown_cell())).orderBy(*dictionary("permission"))
 
 
 def _documented(records: DataFrame, catalog: DataFrame | None) -> DataFrame:

@@ -232,7 +232,7 @@ def report_back(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = held.filter("sheet = 'Findings' AND row > 1").groupBy("sheet", at(1).alias("name")).count().select("sheet", "name", F.col("count").cast("string"), F.lit(""))
         names = held.filter("sheet = 'Side by side' AND row = 1").select(F.col("cells").alias("names"))
         wide = held.filter("sheet = 'Side by side' AND row > 2").join(F.broadcast(names)).select("sheet", F.posexplode(F.slice("cells", 2, 100_000)).alias("i", "cell"), "names").filter("cell <> ''")
-        beside = wide.groupBy("sheet", F.get("names", F.col("i") + 1).alias("name")).agg(F.count(F.lit(1)).cast("string"), F.count_if(~F.col("cell").contains("->")).cast("string"))
+        beside = wide.groupBy("sheet", F.get("names", F.col("i") + 1).alias("name")).agg(F.count(F.lit(1)).cast("string"), F.count_if(~F.col("cell").contains("→")).cast("string"))
         return settings.union(subjects).union(found).union(beside)
 
     return _read_back(spark, {"report.xlsx": data}, read)
@@ -241,18 +241,22 @@ def report_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT subject, kind, count(*) AS n, min(permission) AS first FROM (SELECT subject, permission, CASE WHEN type = 'excess' THEN 'remove' WHEN type = 'missing' AND severity <> 'info' THEN 'grant' END AS kind FROM found) WHERE kind IS NOT NULL GROUP BY subject, kind""", pairs=True)
 def summary_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = sinks.summary_document(_compared(spark, sf_dir))
-    rows = [(p["name"], g["kind"], len(g["items"]), g["items"][0]) for p in page["subjects"] for g in p["groups"] if g["kind"] != "review"]
+    rows = [(p["name"], g["kind"], len(g["items"]), g["items"][0]["text"]) for p in page["subjects"] for g in p["groups"] if g["kind"] != "review"]
     return spark.createDataFrame(rows, "subject string, kind string, n long, first string")
 
 
 @query("""SELECT line FROM (SELECT '  ' || lpad(CAST(n AS VARCHAR), 8, ' ') || '  ' || type AS line FROM (SELECT t.type, count(s.type) AS n FROM (SELECT unnest(['ok', 'excess', 'missing', 'different', 'user-not-in-baseline', 'user-not-in-actual', 'permission-not-in-baseline', 'permission-not-in-actual']) AS type) t LEFT JOIN single s ON s.type = t.type GROUP BY t.type)
     UNION ALL SELECT 'FAIL: ' || count(*) FILTER (type IN ('ok', 'excess', 'missing', 'different')) || ' pairs compared; worst finding: high' FROM single
     UNION ALL SELECT '  subjects: ' || (SELECT count(*) FROM bs) || ' in the baseline, ' || (SELECT count(*) FROM asub) || ' in the system, ' || (SELECT count(*) FROM bs JOIN asub USING (subject)) || ' in both'
-    UNION ALL SELECT '  permissions: ' || (SELECT count(*) FROM bp) || ' in the baseline, ' || (SELECT count(*) FROM ap) || ' in the system, ' || (SELECT count(*) FROM bp JOIN ap USING (permission)) || ' in both')""", pairs=True)
+    UNION ALL SELECT '  permissions: ' || (SELECT count(*) FROM bp) || ' in the baseline, ' || (SELECT count(*) FROM ap) || ' in the system, ' || (SELECT count(*) FROM bp JOIN ap USING (permission)) || ' in both'
+    UNION ALL SELECT '  findings: ' || count(*) FILTER (severity = 'high') || ' high, ' || count(*) FILTER (severity = 'medium') || ' medium, ' || count(*) FILTER (severity = 'low') || ' low, ' || count(*) FILTER (severity = 'info') || ' info' FROM found
+    UNION ALL SELECT '  ... ' || count(DISTINCT subject) || ' more subjects (see the report)' FROM found WHERE type IN ('excess', 'different', 'user-not-in-baseline', 'user-not-in-actual') OR (type = 'missing' AND severity <> 'info') OR (type = 'permission-not-in-baseline' AND severity = 'low')
+    UNION ALL SELECT (SELECT count(*) FROM found WHERE severity = 'low' AND type LIKE 'permission-%') || ' pairs of settings that only one side has (low): ' || (SELECT string_agg(permission, ' | ' ORDER BY permission) FILTER (k <= 6) || CASE WHEN count(*) > 6 THEN ' | ...' ELSE '' END
+        FROM (SELECT permission, row_number() OVER (ORDER BY permission) AS k FROM (SELECT DISTINCT permission FROM found WHERE severity = 'low' AND type LIKE 'permission-%'))))""", pairs=True)
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, a = sides(spark, sf_dir)
     lines = sinks.text_summary(cmp.compare(b, a, cmp.Options(suggest=False, match_by_name=False)), limit=0).split("\n")
-    return spark.createDataFrame([(x,) for x in lines if not x.startswith("...")], "line string")
+    return spark.createDataFrame([(x,) for x in lines if x], "line string")
 
 
 @query("SELECT o_orderpriority AS name, 'Orders' AS grp, " + ", ".join(f"coalesce(max(CASE WHEN subject = '{s}' THEN CASE value WHEN 'Y' THEN 'X' WHEN 'N' THEN '' ELSE value END END), '') AS {s}" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + """, count(*) FILTER (value <> 'N') AS held_by FROM

@@ -323,7 +323,7 @@ def inventory_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.subject_list(_segment_records(spark, sf_dir))
 
 
-@query("SELECT permission, subject, CASE WHEN type = 'ok' THEN coalesce(av, bv) ELSE coalesce(bv, '-') || ' -> ' || coalesce(av, '-') END AS cell FROM pairs", pairs=True)
+@query("SELECT permission, subject, CASE WHEN type = 'ok' THEN regexp_replace(actual, ' \\(.*\\)$', '') ELSE coalesce(nullif(expected, ''), '—') || ' → ' || coalesce(nullif(actual, ''), '—') END AS cell FROM pairs", pairs=True)
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pivot of all subjects, and back to a row for each cell that says something."""
     wide = inv.side_by_side(_compared(spark, sf_dir).pairs)

@@ -18,6 +18,8 @@ from ..functions.keys import norm_key
 from ..operators.order import dictionary
 from .cells import column_letters
 
+#: Names that the text summary lists of what only one side has.
+NAMED = 6
 #: Rows that a report collects at most; more is an error, not a cut.
 MAX_ROWS = 1_000_000
 FINDING_COLUMNS = ["severity", "type", "subject", "permission", "expected", "actual", "note", "baseline_row", "actual_row"]
@@ -138,7 +140,7 @@ def _by_column(rows: list[list], column: int, colours: dict) -> dict[tuple[int,
 
 
 def side_by_side(result, limit: int = 10_000) -> Sheet:
-    """Settings by subjects: the value where both sides agree, else 'expected -> actual', coloured by type; under the names, which side has the subject."""
+    """Settings by subjects (see `inventory.shown_cell`), coloured by type; under the names, which side has the subject."""
     from ..operators import inventory
 
     names = inventory.subjects_of(result.pairs, limit)
@@ -151,7 +153,21 @@ def side_by_side(result, limit: int = 10_000) -> Sheet:
     return Sheet("Side by side", rows, freeze=2, colours=colours)
 
 
-def report(result, max_rows: int = MAX_ROWS, catalog: DataFrame | None = None, actual_records: DataFrame | None = None, warnings: list[str] | None = None) -> list[Sheet]:
+#: What the sheets of a report are, and what severities mean.
+HOW_TO_READ = [
+    ["Actions", "by subject: what to take away, give or look at"], ["Findings", "every difference, worst first, with its row in either file"], ["Side by side", "every setting by subject, expected and actual"],
+    ["Subjects, Settings", "where differences gather"], ["Matches", "names that were paired by an alias or by what they share"],
+    ["high", "held without being wanted"], ["medium", "wanted but not held, another level, or a subject that the system lacks"], ["low, info", "what only one side has"],
+]
+
+
+def _read_as(books: dict) -> list[list]:
+    """For each side its files, sheets and layouts."""
+    rows = [[side, file, sheet, layout.kind] for side, book in books.items() for (file, sheet), layout in book.layouts.items()]
+    return [["side", "file", "sheet", "read as"], *rows, []] if rows else []
+
+
+def report(result, max_rows: int = MAX_ROWS, catalog: DataFrame | None = None, actual_records: DataFrame | None = None, warnings: list[str] | None = None, books: dict | None = None) -> list[Sheet]:
     """The sheets of a comparison: Summary, Actions, Findings, Side by side, Subjects, Settings, Matches; with a catalog also Coverage and Not in catalog."""
     from ..operators import catalog as cat
     from ..operators import rollup
@@ -167,15 +183,16 @@ def report(result, max_rows: int = MAX_ROWS, catalog: DataFrame | None = None, a
     else:
         found = found.select(*FINDING_COLUMNS)
     found = rows_of(found, max_rows)
+    matches, sizes = rows_of(result.matches, max_rows), rows_of(rollup.sizes(result.baseline, result.actual))
     todo = rows_of(rollup.actions(result.findings).join(roles, "subject", "left").select("subject", "role", "remove", "grant", "review", "status"), max_rows)
     out = [
-        Sheet("Summary", [*verdict, [], *counts, [], *severity, *([[], ["warnings"], *([x] for x in warnings)] if warnings else [])], colours={(1, 2): "green" if verdict[1][2] else "red"}),
+        Sheet("Summary", [*verdict, [], *counts, [], *severity, [], *_read_as(books or {}), *sizes, [], ["pairs that match", next(r[1] for r in counts if r[0] == "ok")], ["names paired", len(matches) - 1], [], *HOW_TO_READ, *([[], ["warnings"], *([x] for x in warnings)] if warnings else [])], colours={(1, 2): "green" if verdict[1][2] else "red"}),
         Sheet("Actions", todo),
         Sheet("Findings", found, colours=_by_column(found, 0, SEVERITY_COLOURS)),
         side_by_side(result),
         Sheet("Subjects", rows_of(rollup.by_subject(result.findings).join(roles, "subject", "left"), max_rows)),
         Sheet("Settings", rows_of(rollup.by_permission(result.pairs), max_rows)),
-        Sheet("Matches", rows_of(result.matches, max_rows)),
+        Sheet("Matches", matches),
     ]
     if catalog is not None:
         held = actual_records if actual_records is not None else result.actual.records
@@ -207,21 +224,35 @@ def text_summary(result, limit: int = 40, books: dict | None = None, catalog: Da
         lines += [f"  {side}: {file} [{sheet}; {layout.kind}]" for (file, sheet), layout in book.layouts.items()]
         lines += [f"  warning: {x}" for x in book.warnings]
     lines += [f"  {r['kind']}s: {r['baseline']} in the baseline, {r['actual']} in the system, {r['both']} in both" for r in rollup.sizes(result.baseline, result.actual).collect()]
+    severity = rollup.counts_by_severity(result.findings).collect()
+    lines.append("  findings: " + ", ".join(f"{r['n']} {r['severity']}" for r in severity))
     lines += [f"  {r['n']:>8}  {r['type']}" for r in rollup.counts_by_type(result.pairs).collect()]
     if catalog is not None:
         row = cat.coverage(catalog, result.baseline.permissions.select("display"), result.actual.records).agg(F.count_if("in_baseline").alias("n"), F.count(F.lit(1)).alias("total")).first()
         lines.append(f"  catalog: {row['n']} of {row['total']} settings are in the baseline")
-        unknown = [r["permission"] for r in not_in_catalog(result, catalog).limit(limit).collect()]
-        lines += [f"  not in the catalog: {x}" for x in unknown]
+        for r in not_in_catalog(result, catalog).limit(limit).collect():
+            lines.append(f"  not in the catalog: {r['permission']}" + (f"; closest: \"{r['suggestion']}\" ({r['grp']})" if r["suggestion"] else ""))
     todo = rollup.actions(result.findings)
-    for row in todo.limit(limit).collect():
-        lines.append(f"{row['subject']}: remove {len(row['remove'])}, grant {len(row['grant'])}, review {len(row['review'])}{'; ' + row['status'] if row['status'] else ''}")
+    held = todo.limit(limit).collect()
+    if held:
+        lines += ["", "What to do, by subject:"]
+    for row in held:
+        lines.append(f"  {row['subject']}" + (f": {row['status']}" if row["status"] else ""))
+        lines += [f"    {word}  {x}" for word, key in (("REMOVE", "remove"), ("GRANT", "grant"), ("REVIEW", "review")) for x in row[key]]
     more = todo.count() - limit
-    return "\n".join(lines + ([f"... and {more} more"] if more > 0 else []))
-
-
-def summary_document(result, meta: dict | None = None, max_rows: int = MAX_ROWS) -> dict:
-    """One page for each subject with something to do, as data: title, meta, verdict (passed, headline, detail), subjects (name, role, status, groups of items), matched (subjects without differences)."""
+    if more > 0:
+        lines.append(f"  ... {more} more subjects (see the report)")
+    one_sided = result.findings.filter("severity = 'low' AND type LIKE 'permission-%'")
+    n = one_sided.count()
+    if n:
+        names = [r["permission"] for r in one_sided.select("permission").distinct().orderBy(*dictionary("permission")).limit(NAMED + 1).collect()]
+        lines += ["", f"{n} pairs of settings that only one side has (low): {' | '.join(names[:NAMED])}{' | ...' if len(names) > NAMED else ''}"]
+    return "\n".join(lines)
+
+
+def summary_document(result, meta: dict | None = None, max_rows: int = MAX_ROWS, catalog: DataFrame | None = None) -> dict:
+    """One page for each subject with something to do, as data: title, meta, verdict (passed, headline, detail), subjects (name, role, status, groups of items: text and, from the catalog, description), matched (subjects without differences)."""
+    from ..operators import catalog as cat
     from ..operators import rollup
 
     compared, worst, passed, _ = rollup.verdict(result.pairs, result.findings).first()
@@ -229,13 +260,17 @@ def summary_document(result, meta: dict | None = None, max_rows: int = MAX_ROWS)
     todo = rollup.actions(result.findings)
     rows = [dict(zip(("subject", "remove", "grant", "review", "status"), r, strict=True)) for r in rows_of(todo.select("subject", "remove", "grant", "review", "status"), max_rows)[1:]]
     known = {r["subject"]: r for r in roles.collect()}
+    about = {}
+    if catalog is not None:
+        listed = result.findings.filter("permission <> ''").select("permission").distinct()
+        about = {p: d or "" for p, d in rows_of(cat.enrich(listed, catalog).select("permission", "description"), max_rows)[1:]}
     n = {k: sum(len(r[k]) for r in rows) for k in ("remove", "grant", "review")}
     busy = {r["subject"] for r in rows}
     matched = sorted(s for s, r in known.items() if r["both"] and s not in busy)
     count = lambda k, word: f"{k} {word}{'' if k == 1 else 's'}"
     headline = "the system is as the baseline says" if passed else f"{count(len(rows), 'subject')} to look at"
     detail = f"{count(compared, 'pair')} compared; " + (", ".join(f"{k} {count(v, 'setting')}" for k, v in n.items() if v) or "nothing to change") + f"; {count(len(matched), 'subject')} without differences"
-    pages = [{"name": r["subject"], "role": known[r["subject"]]["role"] if r["subject"] in known else "", "status": r["status"], "groups": [{"kind": k, "items": list(r[k])} for k in ("remove", "grant", "review") if r[k]]} for r in rows]
+    pages = [{"name": r["subject"], "role": known[r["subject"]]["role"] if r["subject"] in known else "", "status": r["status"], "groups": [{"kind": k, "items": [{"text": x, "description": about.get(x.split(": ")[0] if k == "review" else x, "")} for x in r[k]]} for k in ("remove", "grant", "review") if r[k]]} for r in rows]
     sizes = {r["kind"]: [r["baseline"], r["actual"], r["both"]] for r in rollup.sizes(result.baseline, result.actual).collect()}
     return {"title": "Differences by subject", "meta": {**(meta or {}), **sizes}, "verdict": {"passed": passed, "worst": worst, "headline": headline, "detail": detail}, "subjects": pages, "matched": matched}
 

@@ -47,14 +47,19 @@ def test_reports_of_the_sample(spark, compared, tmp_path):
     assert len(sheets["Findings"].rows) == 16 and sheets["Findings"].colours[(1, 0)] == "red" and len(sheets["Coverage"].rows) == 57 and len(sheets["Not in catalog"].rows) == 1
     beside = sheets["Side by side"]
     assert len(beside.rows) == 2 + 37 and beside.rows[1][1:].count("both") == 8 and "system" in beside.rows[1] and "baseline" in beside.rows[1]
-    assert sorted(x for r in beside.rows[2:] for x in r[1:] if x in ("N -> Y", "Y -> N")) == ["N -> Y"] * 2 + ["Y -> N"] * 2
+    assert sorted(x for r in beside.rows[2:] for x in r[1:] if x in ("N → Y", "N (blank) → Y", "Y → N")) == ["N → Y"] * 2 + ["Y → N"] * 2
     path = tmp_path / "out.xlsx"
     sinks.write(str(path), result)
     back = {s: [x.cells for x in rows] for s, rows in ((n, cells.read_cells(spark, str(path), n).orderBy("row").collect()) for n in ("Findings", "Side by side"))}
     assert len(back["Findings"]) == 16 and back["Findings"][0][:4] == ["severity", "type", "subject", "permission"]
     text = sinks.text_summary(result, books={"baseline": b, "system": a}, catalog=cat)
     assert text.startswith("FAIL: 288 pairs compared; worst finding: high") and "catalog: 36 of 56" in text and "baseline.xlsx [Permissions; matrix]" in text
-    page = sinks.summary_document(result)
+    assert "    REMOVE  " in text and "    GRANT  " in text and "  findings: 3 high, 4 medium, 2 low, 6 info" in text and "2 pairs of settings that only one side has (low): " in text
+    summary = [r[0] for r in sheets["Summary"].rows if r]
+    assert "pairs that match" in summary and "names paired" in summary and "How" not in summary and "Findings" in summary
+    assert ["baseline", "permission", "subject"] == sorted({"baseline", *(r[0] for r in sheets["Summary"].rows if r and r[0] in ("permission", "subject"))})
+    page = sinks.summary_document(result, catalog=cat)
+    assert any(i["description"] for p in page["subjects"] for g in p["groups"] for i in g["items"]) and all(i["text"] for p in page["subjects"] for g in p["groups"] for i in g["items"])
     assert page["verdict"]["passed"] is False and [p["name"] for p in page["subjects"] if p["status"]] == ["Quin Rost", "TEMP 1"] and page["matched"] == ["Gus Hall", "Ola Pratt"]
     listed = {s.name: s for s in sinks.inventory_workbook(a.records, a, cat)}
     assert list(listed) == ["Matrix", "Subjects", "Settings", "Source"] and len(listed["Matrix"].rows) == 57 and len(listed["Subjects"].rows) == 10
