@@ -5,13 +5,17 @@ a run of ROWS minima, and sets that share a band's value are candidates. Of each
 are kept, packed into a signature of HASHES * BITS / 8 bytes. Two minima of different sets agree in these bits by
 chance once in 2^BITS, so the share of equal lanes m estimates the similarity as (m - C) / (1 - C), C = 2^-BITS.
 
-1. The members of each band value are held against one of them (a linear number of pairs).
-2. Where a value's members then still lie in several groups, members of different groups are compared by their
-   signatures, in chunks, so a value of any size is spread over tasks.
-
-Candidates whose estimate is so low that a linked pair would have it with a chance below RISK are dropped; all others
-are confirmed on the full sets. A pair at the threshold of 0.85 shares none of the 32 bands with a chance of 6e-11.
-Pairs inside a group already found aren't confirmed again: no link between different groups is lost.
+1. The members of each band value are held against the one that shares most with others, its hub (a linear number of
+   pairs). Candidates of a low estimate are dropped; the others' full sets are compared, which gives the links, and
+   what each member has and the hub hasn't, or the other way round (its difference).
+2. Where a value's members then still lie in several groups, they are compared in chunks, so a value of any size is
+   spread over tasks. Two sets differ in just the elements in which their differences to the hub differ, so all pairs
+   of a chunk are compared exactly by one product of matrices; only links that join groups leave the task. A member
+   without a difference (too unlike the hub) is held against the others by signatures, and confirmed on the full sets.
+
+Candidates are dropped whose estimate is so low that a linked pair would have it with a chance below RISK. A pair at
+the threshold of 0.85 shares none of the 32 bands with a chance of 6e-11. Pairs inside a group already found aren't
+confirmed again: no link between different groups is lost.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; with fewer words than
 a shingle has, the whole sequence is the one shingle. Rows with a null doc_id are linked with nothing, have no
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACED_LOWER, U64, buckets, cut, ids_of, mix, on_workers, pieces, tidy, words_of
-from .ngram_join import CHUNK, HEAVY, _beside, _fingerprints, _set_sizes, _sets, _verify, components, shingles
+from .ngram_join import CHUNK, HEAVY, _beside, _fingerprints, _set_sizes, _sets, components, shingles
 
 LINK_PERCENT = 85
 HASHES, ROWS, BITS = 128, 4, 2
@@ -41,8 +45,10 @@ RISK = 1e-13
 _DRAWN = np.random.Generator(np.random.PCG64(777_2011))
 _TURNS = _DRAWN.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _FACTORS = _DRAWN.integers(0, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
-#: Set members that are hashed at a time.
-_AT_ONCE = 1 << 16
+#: Estimate from which on a member is compared with the hub, and so has a difference.
+HUB_ESTIMATE = 0.25
+#: Set members that are hashed at a time, and columns of a product of matrices.
+_AT_ONCE, _COLUMNS = 1 << 16, 1 << 12
 
 
 def minima(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -130,34 +136,95 @@ def _lanes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 @tidy
-def _likely(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and signatures allow a link."""
+def _likely(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose estimate is `least` or more."""
     for batch in batches:
         if batch.num_rows:
-            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-            sized = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
-            near = similarity(unequal(_lanes(batch.column("x")), _lanes(batch.column("y")))) >= least_estimate(percent)
-            yield batch.select(["a", "b"]).filter(pa.array(sized & near))
+            near = similarity(unequal(_lanes(batch.column("x")), _lanes(batch.column("y")))) >= least
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
+@tidy
+def _held_against(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with whether they are linked, and the elements that one of both sets has."""
+    for batch in batches:
+        linked, apart = np.zeros(batch.num_rows, bool), []
+        for row, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            differ = np.setxor1d(x, y, assume_unique=True)
+            common = (len(x) + len(y) - len(differ)) // 2
+            linked[row] = 100 * common >= percent * (common + len(differ))
+            apart.append(differ.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked), pa.array(apart, pa.binary())], names=["a", "b", "linked", "apart"])
+
+
+def _shared_elements(differences: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many elements the differences of each of left and each of right agree: products of 0-1 matrices over the elements that several have."""
+    size = np.array([len(x) // 8 for x in differences])
+    every = np.frombuffer(b"".join(differences), np.uint64)
+    _, element, times = np.unique(every, return_inverse=True, return_counts=True)
+    kept = times > 1
+    number = np.cumsum(kept) - 1
+    owner = np.repeat(np.arange(len(size)), size)[kept[element]]
+    column = number[element[kept[element]]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(kept.sum()), _COLUMNS):
+        here = (column >= at) & (column < at + _COLUMNS)
+        rows = np.zeros((len(size), min(_COLUMNS, int(kept.sum()) - at)), np.float32)
+        rows[owner[here], column[here] - at] = 1
+        out += rows[left] @ rows[right].T
+    return out
+
+
+def _forest(parts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links a, b join parts that no earlier one has joined."""
+    above = {int(p): int(p) for p in np.unique(parts)}
+
+    def top(p: int) -> int:
+        while above[p] != p:
+            above[p] = p = above[above[p]]
+        return p
+
+    keep = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(parts[a].tolist(), parts[b].tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            above[x], keep[k] = y, True
+    return keep
 
 
 def _compare(percent: int, group: pa.Table) -> pa.RecordBatch:
-    """Pairs of different groups, of a chunk and another (or itself), that sizes and signatures allow."""
+    """Of a chunk and another (or itself), pairs of different groups: links that join groups (sure), and pairs that sizes and signatures allow where differences don't tell."""
     prints, part, size, side = (group.column(c).to_numpy() for c in ("print", "part", "n_shingles", "side"))
-    rows, least = _lanes(group.column("lanes")), least_estimate(percent)
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if (side == 1).any() else left
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    step = max(1, (1 << 18) // max(1, len(right)))
+    told = group.column("apart").is_valid().to_numpy(zero_copy_only=False)
+    apart = [x or b"" for x in group.column("apart").to_pylist()]
+    many = np.array([len(x) // 8 for x in apart])
+    rows, least = _lanes(group.column("lanes")), least_estimate(percent)
+    sure, likely = [], []
+    step = max(1, (1 << 20) // max(1, len(right)))
     for at in range(0, len(left), step):
         i = left[at : at + step]
-        near = (similarity(unequal(rows[i, None, :], rows[None, right, :])) >= least) & (part[i, None] != part[None, right])
-        x, y = np.nonzero(near)
-        n, m = size[i[x]], size[right[y]]
-        sized = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
-        a.append(prints[i[x[sized]]])
-        b.append(prints[right[y[sized]]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        across = part[i, None] != part[None, right]
+        exact = told[i, None] & told[None, right]
+        if (across & exact).any():
+            differ = many[i, None] + many[None, right] - 2 * _shared_elements(apart, i, right).astype(np.int64)
+            common = (size[i, None] + size[None, right] - differ) // 2
+            x, y = np.nonzero(across & exact & (100 * common >= percent * (common + differ)))
+            sure.append((i[x], right[y]))
+        open_ = across & ~exact
+        if open_.any():
+            x, y = np.nonzero(open_)
+            n, m = size[i[x]], size[right[y]]
+            near = (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (similarity(unequal(rows[i[x]], rows[right[y]])) >= least)
+            likely.append((i[x[near]], right[y[near]]))
+    ends = lambda held: [np.concatenate([np.empty(0, np.int64), *(x[k] for x in held)]) for k in (0, 1)]
+    a, b = ends(sure)
+    keep = _forest(part, a, b)
+    c, d = ends(likely)
+    a, b = prints[np.append(a[keep], c)], prints[np.append(b[keep], d)]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.arange(len(a)) < keep.sum())], names=["a", "b", "sure"])
 
 
 @tidy
@@ -177,15 +244,15 @@ def _compare_sorted(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield _compare(percent, rest)
 
 
-def _confirmed(pairs: DataFrame, source: DataFrame, first: DataFrame, width: int, percent: int, heavy: int) -> DataFrame:
-    """The linked ones of pairs, by the full sets of the documents that stand in them."""
+def _by_sets(pairs: DataFrame, source: DataFrame, first: DataFrame, width: int, percent: int, heavy: int) -> DataFrame:
+    """pairs with linked and apart, by the full sets of the documents that stand in them."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct().join(first, "print").select("doc_id", F.col("print").alias("wanted"))
     wanted = cut(wanted)
     sets = source.join(wanted.hint("shuffle_hash"), "doc_id").select("text").mapInArrow(lambda t: _sets(width, t), "print long, members binary")
     # rows that share a doc_id may have other texts than the one wanted
     sets = cut(sets.join(wanted.select(F.col("wanted").alias("print")), "print", "left_semi").dropDuplicates(["print"]))
     both = _beside(_beside(pairs, sets, "a", {"members": "x"}, heavy), sets, "b", {"members": "y"}, heavy)
-    return cut(both.select("a", "b", "x", "y").mapInArrow(lambda t: _verify(percent, t), "a long, b long"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(lambda t: _held_against(percent, t), "a long, b long, linked boolean, apart binary"))
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = LINK_PERCENT, *, chunk: int = CHUNK, heavy: int = HEAVY) -> DataFrame:
@@ -202,27 +269,38 @@ def link(docs: DataFrame, width: int = 5, percent: int = LINK_PERCENT, *, chunk:
     shown = sketched.filter("keys IS NOT NULL")
     lanes = cut(shown.select("print", "n_shingles", "lanes").dropDuplicates(["print"]))
     posted = shown.select("print", F.explode("keys").alias("key")).distinct()
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("print").alias("hub")).filter("members > 1")
-    posted = cut(posted.join(shared.select("key", "hub"), "key"))
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    posted = cut(posted.join(shared, "key"))
+    # the text that near copies were made from shares the most, so all of a group's values have one hub
+    degree = posted.groupBy("print").agg(F.sum("members").alias("degree"))
+    hub = posted.join(degree, "print").groupBy("key").agg(F.max_by("print", F.struct("degree", "print")).alias("hub"))
+    posted = cut(posted.select("key", "print").join(hub, "key"))
 
     # 1. everyone with one member of each value
     pairs = cut(posted.filter("print <> hub").select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct())
-    near = _beside(_beside(pairs, lanes, "a", {"n_shingles": "n", "lanes": "x"}, heavy), lanes, "b", {"n_shingles": "m", "lanes": "y"}, heavy)
-    near = cut(near.select("a", "b", "n", "m", "x", "y").mapInArrow(lambda t: _likely(percent, t), "a long, b long"))
-    found = _confirmed(near, source, first, width, percent, heavy)
+    near = _beside(_beside(pairs, lanes, "a", {"lanes": "x"}, heavy), lanes, "b", {"lanes": "y"}, heavy)
+    near = cut(near.select("a", "b", "x", "y").mapInArrow(lambda t: _likely(min(HUB_ESTIMATE, least_estimate(percent)), t), "a long, b long"))
+    against = _by_sets(near, source, first, width, percent, heavy)
+    found = against.filter("linked").select("a", "b")
 
     # 2. what the groups found so far leave open
     label = components(found).select(F.col("node").alias("print"), "label")
-    parted = cut(posted.join(label, "print", "left").select("key", "print", F.coalesce("label", "print").alias("part")))
+    parted = cut(posted.join(label, "print", "left").select("key", "print", "hub", F.coalesce("label", "print").alias("part")))
     still = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high AND members > 2")
     chunks = F.ceil(F.col("members") / chunk).cast("int")
     open_ = parted.join(still.select("key", chunks.alias("chunks")), "key")
+    differences = against.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "apart")
+    open_ = open_.join(differences, (F.least("print", "hub") == F.col("_a")) & (F.greatest("print", "hub") == F.col("_b")), "left").drop("_a", "_b")
+    open_ = open_.withColumn("apart", F.when(F.col("print") == F.col("hub"), F.lit(b"")).otherwise(F.col("apart"))).join(lanes, "print")
     mine, other = F.pmod(F.xxhash64("print"), F.col("chunks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = open_.select("key", "print", "part", mine.alias("mine"), other.alias("other")).join(lanes, "print")
-    dealt = dealt.select("key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "print", "part", "n_shingles", (F.col("mine") > F.col("other")).cast("int").alias("side"), "lanes")
+    dealt = open_.select("key", "print", "part", "n_shingles", "lanes", "apart", mine.alias("mine"), other.alias("other"))
+    dealt = dealt.select("key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "print", "part", "n_shingles", (F.col("mine") > F.col("other")).cast("int").alias("side"), "lanes", "apart")
     dealt = dealt.repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two")
-    rest = cut(dealt.mapInArrow(lambda t: _compare_sorted(percent, t), "a long, b long").distinct().join(near, ["a", "b"], "left_anti"))
-    links = found if rest.isEmpty() else found.union(_confirmed(rest, source, first, width, percent, heavy))
+    across = cut(dealt.mapInArrow(lambda t: _compare_sorted(percent, t), "a long, b long, sure boolean").distinct())
+    rest = across.filter("NOT sure").select("a", "b").join(near, ["a", "b"], "left_anti")
+    links = found.union(across.filter("sure").select("a", "b"))
+    if not rest.isEmpty():
+        links = links.union(_by_sets(cut(rest), source, first, width, percent, heavy).filter("linked").select("a", "b"))
 
     named = first.join(components(links).withColumnRenamed("node", "print"), "print")
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"))

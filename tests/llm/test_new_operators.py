@@ -81,6 +81,41 @@ def test_minima_of_sets_longer_than_a_step(monkeypatch):
     assert minhash.minima(np.empty(0, np.uint64), np.zeros(1, np.int64)).shape == (0, minhash.HASHES)
 
 
+def test_differences_to_a_hub_give_exact_links():
+    """All pairs of a chunk by differences equal the sets themselves, whatever the width of the products."""
+    import pyarrow as pa
+
+    r = np.random.Generator(np.random.PCG64(4))
+    hub = np.unique(r.integers(0, 1 << 63, 120, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([r.choice(hub, len(hub) - r.integers(0, 30), replace=False), r.choice(np.arange(50, dtype=np.uint64), r.integers(0, 12), replace=False)])) for _ in range(40)]
+    apart = [np.setxor1d(hub, x).tobytes() for x in sets]
+    both = np.arange(40)
+    for columns in (7, 1 << 12):
+        old, minhash._COLUMNS = minhash._COLUMNS, columns
+        shared = minhash._shared_elements(apart, both, both)
+        minhash._COLUMNS = old
+        assert all(shared[i, j] == len(np.intersect1d(np.frombuffer(apart[i], np.uint64), np.frombuffer(apart[j], np.uint64))) for i in both for j in both if i != j)
+    least = minhash.minima(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])))
+    lanes = [x.tobytes() for x in minhash.signatures(least)]
+    table = pa.table({"print": np.arange(40), "part": np.arange(40), "n_shingles": [len(x) for x in sets], "side": np.zeros(40, int), "lanes": pa.array(lanes, pa.binary()), "apart": pa.array([x if k % 7 else None for k, x in enumerate(apart)], pa.binary())})
+    got = minhash._compare(85, table).to_pylist()
+    linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))
+    sure = [(x["a"], x["b"]) for x in got if x["sure"]]
+    assert all(linked(*x) for x in sure) and len(sure) < 40
+    assert all(i % 7 == 0 or j % 7 == 0 for i, j in ((x["a"], x["b"]) for x in got if not x["sure"]))
+    told = [(i, j) for i in both for j in both if i < j and i % 7 and j % 7 and linked(i, j)]
+    assert told and groups_of(sure, told) == groups_of(told, told)
+    assert {(int(i), int(j)) for i in both for j in both if i < j and (i % 7 == 0 or j % 7 == 0) and linked(i, j)} <= {(x["a"], x["b"]) for x in got if not x["sure"]}
+
+
+def groups_of(links, nodes):
+    least = {int(x): int(x) for pair in nodes for x in pair}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
 def test_minhash_odd_rows(spark):
     docs = odd_table(spark)
     got = sorted((x.doc_id or 0, x.component_id or 0, x.kept) for x in minhash.link(docs).collect())
