@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import clean, join_name, norm_key
 from ..functions.values import glob, normalize_value
+from ..plans.lineage import cut
 
 # Columns that look as if they should be left out.
 NOT_VALIDATED = r"(?i)(dont|don t|do not|no) need to validate|do not validate|skip|ignore"
@@ -18,10 +19,34 @@ NOT_VALIDATED = r"(?i)(dont|don t|do not|no) need to validate|do not validate|sk
 ROLE_WORDS = ["admin", "user", "super", "provider", "nurse", "rn", "ma", "lvn", "biller", "billing", "front desk", "psr", "specialist", "read only", "assistant", "coordinator", "supervisor", "analyst", "liaison", "liason", "compliance", "him", "it"]
 
 
-def carry_forward(df: DataFrame, column: str, partition: list[str], order: list[str], into: str | None = None) -> DataFrame:
-    """Blank cells take the last non-blank one above."""
+def carry_forward(df: DataFrame, column: str, partition: list[str], order: list[str], into: str | None = None, ranges: int | None = None) -> DataFrame:
+    """Blank cells take the last non-blank one above.
+
+    ranges: rows are dealt by so many ranges of partition and order, so that one sheet of any length is carried by
+    several tasks; else a sheet is one task's (a window).
+    """
+    filled = F.nullif(F.col(column), F.lit(""))
+    if ranges is not None:
+        return _carried_in_ranges(df, filled, partition, order, into or column, ranges)
     above = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(into or column, F.last(F.nullif(F.col(column), F.lit("")), ignorenulls=True).over(above))
+    return df.withColumn(into or column, F.last(filled, ignorenulls=True).over(above))
+
+
+def _carried_in_ranges(df: DataFrame, filled: Column, partition: list[str], order: list[str], into: str, ranges: int) -> DataFrame:
+    """A segmented scan: each range carries its own cells; what comes from above a range is the last cell of the ranges before it, told from one row a range and partition."""
+    keys = [F.col(c) for c in (*partition, *order)]
+    dealt = df.withColumn("_cell", filled).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    held = cut(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy("_range", *partition).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = held.groupBy("_range", *partition).agg(F.max_by("_cell", F.when(F.col("_cell").isNotNull(), F.col("_at"))).alias("_last"))
+    ends = ends.select(F.col("_range").alias("_its"), *(F.col(c).alias(f"_p{k}") for k, c in enumerate(partition)), F.last("_last", ignorenulls=True).over(before).alias("_above"))
+    same = F.col("_range") == F.col("_its")
+    for k, c in enumerate(partition):
+        same = same & F.col(c).eqNullSafe(F.col(f"_p{k}"))
+    carried = held.withColumn("_own", F.last("_cell", ignorenulls=True).over(own)).join(ends, same, "left")
+    out = carried.withColumn(into, F.coalesce("_own", "_above"))
+    return out.select(*df.columns, *([into] if into not in df.columns else []))
 
 
 def cell(i: int) -> Column:
@@ -32,13 +57,13 @@ def _raw(i: Column) -> Column:
     return F.coalesce(F.get("cells", i), F.lit(""))
 
 
-def long_records(cells: DataFrame, header_row: int, subject: int, permission: int, value: int, category: int | None = None, ignore: str = "", blank_is_no: bool = True) -> DataFrame:
-    """One record per row. Subject and category are printed once per block; ignored subjects don't carry their category on."""
+def long_records(cells: DataFrame, header_row: int, subject: int, permission: int, value: int, category: int | None = None, ignore: str = "", blank_is_no: bool = True, ranges: int | None = None) -> DataFrame:
+    """One record per row. Subject and category are printed once per block; ignored subjects don't carry their category on. ranges: see `carry_forward`."""
     sheet = ["file", "sheet_no"]
     rows = cells.filter(F.col("row") > header_row).withColumn("subject", cell(subject)).withColumn("permission", cell(permission))
-    rows = carry_forward(rows, "subject", sheet, ["row"]).filter(F.col("subject").isNotNull() & ~glob(F.col("subject"), ignore))
+    rows = carry_forward(rows, "subject", sheet, ["row"], ranges=ranges).filter(F.col("subject").isNotNull() & ~glob(F.col("subject"), ignore))
     if category is not None:
-        rows = carry_forward(rows.withColumn("category", cell(category)), "category", sheet, ["row"])
+        rows = carry_forward(rows.withColumn("category", cell(category)), "category", sheet, ["row"], ranges=ranges)
         rows = rows.withColumn("permission", F.when(F.col("permission") != "", join_name(F.col("category"), F.col("permission"))).otherwise(""))
     rows = rows.filter("permission <> ''")
     raw = _raw(F.lit(value))
@@ -47,7 +72,7 @@ def long_records(cells: DataFrame, header_row: int, subject: int, permission: in
     return rows.select("subject", "permission", normalize_value(raw, F.get("kinds", F.lit(value))).alias("value"), raw.alias("raw"), "file", "sheet", "row", F.struct("file", "sheet_no", "row", F.lit(value).alias("col")).alias("ord"))
 
 
-def matrix_records(cells: DataFrame, header_row: int, headers: list[str], label: int, first_data: int, *, users_down: bool = False, category: int | None = None, description: int | None = None, ignore: str = "", blank_is_no: bool = True) -> DataFrame:
+def matrix_records(cells: DataFrame, header_row: int, headers: list[str], label: int, first_data: int, *, users_down: bool = False, category: int | None = None, description: int | None = None, ignore: str = "", blank_is_no: bool = True, ranges: int | None = None) -> DataFrame:
     """One record per cell of a grid. Rows without values are headings, unless there is a category column or users go down."""
     sheet = ["file", "sheet_no"]
     rows = cells.filter(F.col("row") > header_row).withColumn("label", cell(label))
@@ -55,12 +80,12 @@ def matrix_records(cells: DataFrame, header_row: int, headers: list[str], label:
     blank = F.forall(F.slice("cells", first_data + 1, max(1, len(headers) - first_data)), lambda c: clean(c) == "") if len(headers) > first_data else F.lit(True)
     rows = rows.filter("label <> ''")
     if category is not None:
-        rows = carry_forward(rows.withColumn("category", cell(category)), "category", sheet, ["row"])
+        rows = carry_forward(rows.withColumn("category", cell(category)), "category", sheet, ["row"], ranges=ranges)
     elif users_down:
         rows = rows.withColumn("category", F.lit(None).cast("string"))
     else:
         rows = rows.withColumn("heading", F.when(blank, F.col("label")).otherwise(""))
-        rows = carry_forward(rows, "heading", sheet, ["row"], "category").filter("heading = ''")
+        rows = carry_forward(rows, "heading", sheet, ["row"], "category", ranges=ranges).filter("heading = ''")
     names = F.array(*(F.struct(F.lit(i).alias("col"), F.lit(clean_text(headers[i])).alias("head")) for i in data)) if data else F.array().cast("array<struct<col:int,head:string>>")
     melted = rows.select("*", F.explode(names).alias("at")).select("*", "at.col", "at.head")
     raw = _raw(F.col("col"))

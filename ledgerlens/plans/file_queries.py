@@ -196,21 +196,25 @@ def sample_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT subject, permission, type, severity FROM found", pairs=True)
 def findings_csv_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = sinks.findings_csv(cmp.ordered(_compared(spark, sf_dir).findings)).encode()
-    names = ["severity", "type", "subject", "permission"]
+    """All findings as ordered CSV parts, written and read by tasks."""
 
     def read(folder: str) -> DataFrame:
-        rows = cells.read_cells(spark, folder).filter("row > 1")
-        return rows.select(*(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names))).select("subject", "permission", "type", "severity")
+        sinks.write_findings(_compared(spark, sf_dir).findings, folder)
+        names = ["severity", "type", "subject", "permission"]
+        return cells.read_cells(spark, f"{folder}/parts/part-*").select(*(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names))).select("subject", "permission", "type", "severity")
 
-    return _read_back(spark, {"findings.csv": text}, read)
+    return _read_back(spark, {}, read)
 
 
 @query("SELECT subject, permission, type, severity FROM found", pairs=True)
 def findings_json_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = sinks.to_json({"findings": _compared(spark, sf_dir).findings}, {"made": "here"}).encode()
-    schema = "findings array<struct<subject:string,permission:string,type:string,severity:string>>"
-    return _read_back(spark, {"findings.json": text}, lambda folder: spark.read.schema(schema).json(folder).select(F.explode("findings").alias("f")).select("f.*"))
+    """The same as JSON lines."""
+
+    def read(folder: str) -> DataFrame:
+        sinks.write_findings(_compared(spark, sf_dir).findings, folder, "json")
+        return spark.read.schema("subject string, permission string, type string, severity string").json(f"{folder}/parts")
+
+    return _read_back(spark, {}, read)
 
 
 _REPORT_SQL = """SELECT 'Settings' AS sheet, permission AS name, CAST(excess AS VARCHAR) AS a, CAST(missing AS VARCHAR) AS b FROM (SELECT permission, count(*) FILTER (type = 'excess') AS excess, count(*) FILTER (type = 'missing') AS missing, count(*) FILTER (type <> 'ok') AS n FROM single WHERE permission <> '' GROUP BY permission) WHERE n > 0
@@ -293,6 +297,19 @@ def coverage_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(spark, {"coverage.xlsx": sinks.workbook([sinks.Sheet("Coverage", rows)])}, read)
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(text) AS digest, length(text) AS n FROM documents WHERE text <> ''")
+def delimited_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as delimited files with line ends and quotes inside cells, read by byte ranges."""
+
+    def read(folder: str) -> DataFrame:
+        held = table(spark, sf_dir, "documents").select("doc_id", "text").filter("text <> ''").repartition(3)
+        held.write.options(quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder}/held")
+        rows = cells.read_cells(spark, f"{folder}/held/part-*.csv", split_bytes=100_000)
+        return rows.select(F.get("cells", F.lit(0)).alias("doc_id"), F.sha2(F.get("cells", F.lit(1)), 256).alias("digest"), F.length(F.get("cells", F.lit(1))).cast("long").alias("n"))
+
+    return _read_back(spark, {}, read)
+
+
 # ---- order, filters, options -------------------------------------------------------------------
 
 

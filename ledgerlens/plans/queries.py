@@ -130,6 +130,13 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.carry_forward(rows, "cell", ["user_id"], ["ts", "event_id"], "carried").select("event_id", "carried")
 
 
+@query("""SELECT event_id, last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events""")
+def carry_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one sheet, carried by several tasks."""
+    rows = table(spark, sf_dir, "events").withColumn("cell", F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type")).otherwise(""))
+    return records.carry_forward(rows, "cell", [], ["ts", "event_id"], "carried", ranges=8).select("event_id", "carried")
+
+
 @query("""SELECT s_name AS permission, unnest(['Even', 'Rich', 'Nation']) AS subject, unnest([CASE WHEN s_suppkey % 2 = 0 THEN 'Y' ELSE 'N' END, CASE WHEN s_acctbal > 5000 THEN 'Y' ELSE 'N' END, 'level ' || s_nationkey]) AS value, CAST(s_suppkey + 2 AS INT) AS row FROM supplier""")
 def melt_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid of suppliers (down) by three columns, as cells, melted."""
@@ -246,6 +253,14 @@ def closest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.closest(wanted, candidates).select("key", "suggestion", "score")
 
 
+@query(f"""SELECT a AS key, max_by(b, (s, -o)) AS suggestion, round(max(s), 2) AS score FROM (SELECT a, b, {_SIM} AS s, dense_rank() OVER (ORDER BY b) AS o FROM {_SCORED}) WHERE s > 5e-1 GROUP BY a""")
+def closest_name_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    wanted = names.select(F.expr("substring(p_name, 1, length(p_name) - 2)").alias("key"))
+    candidates = names.select(F.col("p_name").alias("key"), F.col("p_name").alias("display"), F.col("p_name").alias("ord"))
+    return match.closest(wanted, candidates, 0.5).select("key", "suggestion", "score")
+
+
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part types in all brands but one as catalog settings; the brand is the group."""
     rows = table(spark, sf_dir, "part").filter("p_brand <> 'Brand#3'").select(F.concat_ws(" ", "p_type", "p_brand").alias("name"), F.col("p_name").alias("description"), F.col("p_type").alias("type"), F.col("p_brand").alias("grp"), F.col("p_partkey").alias("ord"))

@@ -115,15 +115,16 @@ def _grouped(group: Column, name: Column) -> Column:
     return F.when((group != "") & (norm_key(group) != norm_key(name)), F.concat(group, F.lit(" > "), name)).otherwise(name)
 
 
-def read(cells: DataFrame, *, sheet: str | None = None, role: str | None = None, roles: dict[str, str] | None = None, roles_by_name: bool = False, users: DataFrame | None = None, roles_sheet: str | None = None, expand: bool = True, columns: dict | None = None, kind: str | None = None, orientation: str | None = None, ignore: str = "", blank_is_no: bool = True) -> Book:
+def read(cells: DataFrame, *, sheet: str | None = None, role: str | None = None, roles: dict[str, str] | None = None, roles_by_name: bool = False, users: DataFrame | None = None, roles_sheet: str | None = None, expand: bool = True, columns: dict | None = None, kind: str | None = None, orientation: str | None = None, ignore: str = "", blank_is_no: bool = True, ranges: int | None = None) -> Book:
     """Records of one file or of several.
 
     sheet: a sheet's name, or 'all'; else the first sheet of each file with records. role, roles (by file): whose
     list a catalog-shaped file is; roles_by_name takes the file's stem. users: user, role pairs; else a sheet that
     maps users to roles, if there is one. A workbook of sheets with values in catalog columns is one role a sheet.
+    ranges: into how many ranges rows are dealt where names are carried down (for sheets too large for one task).
     """
     options = {k: v for k, v in (("columns", columns), ("kind", kind), ("orientation", orientation)) if v}
-    reading = {"ignore": ignore, "blank_is_no": blank_is_no}
+    reading = {"ignore": ignore, "blank_is_no": blank_is_no, "ranges": ranges}
     every = samples(cells)
     if not every:
         raise ValueError("no sheet has any rows")

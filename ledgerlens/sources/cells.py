@@ -1,8 +1,10 @@
 """Cells of workbooks and delimited files, as a Spark data source named `cells`.
 
 spark.read.format("cells").load(path or glob) gives file, sheet, sheet_no, row (from 1), cells ARRAY<STRING>
-and kinds ARRAY<STRING> (str, num, bool, blank). Options: sheet (only that one). One partition per file:
-a workbook is an archive and is read as a whole, by its own task.
+and kinds ARRAY<STRING> (str, num, bool, blank). Options: sheet (only that one), split_bytes. A workbook larger than
+split_bytes has a task for each of its sheets, which unpacks that sheet alone; smaller files share tasks. Filters on
+file, sheet and sheet_no are handed to the source: what they rule out is not opened. Large delimited files are read by
+byte ranges (`splits`).
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 SCHEMA = "file string, sheet string, sheet_no int, row int, cells array<string>, kinds array<string>"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+csv.field_size_limit(1 << 30)
 _NUMBER = re.compile(r"-?\d+(\.\d+)?\Z")
 
 
@@ -62,12 +65,11 @@ def parse_delimited(text: str, delimiter: str | None = None) -> list[list[tuple[
     """Rows of (text, kind). Blank lines drop out, so rows are numbered without them."""
     text = text.removeprefix("﻿")
     rows = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter or sniff_delimiter(text))
-    out = []
-    for row in rows:
-        cells = _trim([(x, "num" if _NUMBER.match(x) else "str" if x else "blank") for x in row])
-        if any(x.strip() for x, _ in cells):
-            out.append(cells)
-    return out
+    return [cells for cells in map(as_cells, rows) if any(x.strip() for x, _ in cells)]
+
+
+def as_cells(row: list[str]) -> list[tuple[str, str]]:
+    return _trim([(x, "num" if _NUMBER.match(x) else "str" if x else "blank") for x in row])
 
 
 def _shared(book: zipfile.ZipFile) -> list[str]:
@@ -110,10 +112,10 @@ def parse_sheet(xml: bytes, shared: list[str]) -> dict[int, list[tuple[str, str]
     return out
 
 
-def parse_workbook(data: bytes, only: str | None = None) -> Iterator[tuple[str, int, int, list[tuple[str, str]]]]:
-    """(sheet, number, row, cells) of a workbook; only the sheet that is asked for is unpacked."""
+def parse_workbook(data, only: str | None = None, wanted=lambda name, number: True) -> Iterator[tuple[str, int, int, list[tuple[str, str]]]]:
+    """(sheet, number, row, cells) of a workbook (bytes, or a file that can seek); only sheets that are asked for are unpacked."""
     try:
-        book = zipfile.ZipFile(io.BytesIO(data))
+        book = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data)
     except zipfile.BadZipFile as e:
         raise UnreadableError("not a workbook (a damaged or unfinished archive)") from e
     with book:
@@ -127,13 +129,22 @@ def parse_workbook(data: bytes, only: str | None = None) -> Iterator[tuple[str,
             name = sheet.get("name", f"Sheet{number + 1}")
             target = targets.get(sheet.get(_REL), f"worksheets/sheet{number + 1}.xml").lstrip("/")
             part = target if target.startswith("xl/") else f"xl/{target}"
-            if (only is not None and name.lower() != only.lower()) or part not in book.namelist():
+            if (only is not None and name.lower() != only.lower()) or not wanted(name, number) or part not in book.namelist():
                 continue
             for row, cells in sorted(parse_sheet(book.read(part), shared).items()):
                 if cells:
                     yield name, number, row, cells
 
 
+def sheet_names(f) -> list[str]:
+    """The sheets of a workbook file, from its directory and one small part; none if it isn't one."""
+    try:
+        with zipfile.ZipFile(f) as book:
+            return [x.get("name", f"Sheet{k}") for k, x in enumerate(ET.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"), 1)]
+    except (zipfile.BadZipFile, KeyError):
+        return []
+
+
 def parse(data: bytes, name: str = "", sheet: str | None = None) -> Iterator[tuple[str, int, int, list[tuple[str, str]]]]:
     """Rows of a file by its first bytes and its name."""
     if data[:2] == b"PK":
@@ -168,20 +179,63 @@ def _listed(path: str) -> list[str]:
     return [prefix + x for x in sorted(held) if not os.path.basename(x).startswith("~$")]
 
 
+#: Bytes of a file from which on its sheets are read by tasks of their own, and of small files that share a task.
+SPLIT_BYTES = 32 << 20
+_DELIMITED = (".csv", ".tsv")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.sheet = options.get("sheet")
+        self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        self.whole = options.get("ranges") != "elsewhere"  # else larger delimited files are read by ranges
         self.paths = _listed(options.get("path", ""))
+        self.only: dict[str, set] = {}
+
+    def pushFilters(self, filters):  # noqa: N802
+        """Takes equalities on file, sheet and sheet_no; Spark applies the rest."""
+        for x in filters:
+            column = x.attribute[0] if isinstance(x, EqualTo | In) and len(x.attribute) == 1 else None
+            if column in ("file", "sheet", "sheet_no"):
+                values = {x.value} if isinstance(x, EqualTo) else set(x.value)
+                self.only[column] = self.only.get(column, values) & values
+            else:
+                yield x
+
+    def _wants(self, column: str, value) -> bool:
+        return column not in self.only or value in self.only[column]
 
     def partitions(self):
-        return [InputPartition(x) for x in self.paths]
+        """Each a list of (file, number of its sheet or None for all)."""
+        out, small, size = [], [], 0
+        for path in (p for p in self.paths if self._wants("file", p)):
+            fs, base = place(path)
+            n = fs.get_file_info(base).size
+            if n > self.split and path.lower().endswith(_DELIMITED) and not self.whole:
+                continue
+            if n > self.split and not path.lower().endswith(_DELIMITED):
+                with fs.open_input_file(base) as f:
+                    names = sheet_names(f)
+                if names:
+                    out += [InputPartition([(path, k)]) for k, name in enumerate(names) if self._wants("sheet", name) and self._wants("sheet_no", k) and (self.sheet is None or name.lower() == self.sheet.lower())]
+                    continue
+            if small and size + n > self.split:
+                out.append(InputPartition(small))
+                small, size = [], 0
+            small, size = [*small, (path, None)], size + n
+        return [*out, InputPartition(small)]
 
     def read(self, partition):
-        fs, path = place(partition.value)
-        with fs.open_input_file(path) as f:
-            data = f.readall()
-        for sheet, number, row, cells in parse(data, partition.value, self.sheet):
-            yield partition.value, sheet, number, row, [x for x, _ in cells], [k for _, k in cells]
+        for file, only in partition.value:
+            fs, path = place(file)
+            with fs.open_input_file(path) as f:
+                if only is None:
+                    rows = parse(f.readall(), file, self.sheet)
+                else:
+                    rows = parse_workbook(f, self.sheet, lambda _, number, only=only: number == only)
+                for sheet, number, row, cells in rows:
+                    if self._wants("sheet", sheet) and self._wants("sheet_no", number):
+                        yield file, sheet, number, row, [x for x, _ in cells], [k for _, k in cells]
 
 
 class CellSource(DataSource):
@@ -196,11 +250,16 @@ class CellSource(DataSource):
         return _Reader(self.options)
 
 
-def read_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """Cells of files, by the data source: one, a folder's, or those that a pattern in the last part of the path fits; any file system that pyarrow knows."""
+def read_cells(spark: SparkSession, path: str, sheet: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Cells of files, by the data source: one, a folder's, or those that a pattern in the last part of the path fits; any file system that pyarrow knows. Delimited files over split_bytes are read by byte ranges."""
+    from .splits import read_ranges
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark hands a Python source filters only if told to
     spark.dataSource.register(CellSource)
-    reader = spark.read.format("cells")
-    return (reader.option("sheet", sheet) if sheet else reader).load(path)
+    reader = spark.read.format("cells").option("split_bytes", split_bytes).option("ranges", "elsewhere")
+    out = (reader.option("sheet", sheet) if sheet else reader).load(path)
+    large = [p for p in _listed(path) if p.lower().endswith(_DELIMITED) and place(p)[0].get_file_info(place(p)[1]).size > split_bytes]
+    return out.unionByName(read_ranges(spark, large, split_bytes)) if large else out
 
 
 def read_cells_anywhere(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writers of small results: workbooks, CSV, JSON, text. Reports are bounded by max_rows; larger results are written by Spark."""
+"""Writers: workbooks, CSV, JSON and text of results bounded by max_rows; findings of any number as ordered part files (`write_findings`)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key
@@ -126,6 +126,44 @@ def findings_csv(found: DataFrame, max_rows: int = MAX_ROWS) -> str:
     return out.getvalue()
 
 
+def _csv_line(columns: list[str]) -> Column:
+    """A row as the CSV writer has it, without its end."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.concat_ws(",", *(F.when(t.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t) for t in texts))
+
+
+MANIFEST = "manifest.json"
+
+
+def write_findings(found: DataFrame, folder: str, kind: str = "csv", parts: int | None = None) -> list[str]:
+    """Findings of any number, in their order, as part files that tasks write: CSV of the columns and line ends of `findings_csv`, or JSON lines.
+
+    manifest.json lists the files whose contents make up the whole, the header first. Spark's committer keeps what failed tasks wrote out.
+    """
+    from ..operators.compare import finding_order
+    from .cells import place
+
+    n = parts or int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = finding_order()
+    dealt = found.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    if kind == "csv":
+        dealt.select(_csv_line(FINDING_COLUMNS).alias("value")).write.option("lineSep", "\r\n").text(f"{folder}/parts")
+    else:
+        dealt.select(*FINDING_COLUMNS).write.json(f"{folder}/parts")
+    fs, base = place(folder)
+    import pyarrow.fs as pafs
+
+    names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(f"{base}/parts")) if x.base_name.startswith("part-"))
+    files = [f"parts/{x}" for x in names]  # partitions are ranges, and part files are numbered by partition
+    if kind == "csv":
+        with fs.open_output_stream(f"{base}/header.csv") as f:
+            f.write((",".join(FINDING_COLUMNS) + "\r\n").encode())
+        files.insert(0, "header.csv")
+    with fs.open_output_stream(f"{base}/{MANIFEST}") as f:
+        f.write(json.dumps(files).encode())
+    return files
+
+
 def to_json(parts: dict[str, DataFrame], meta: dict | None = None, max_rows: int = MAX_ROWS) -> str:
     """{meta, name: [rows]}."""
     out = {"meta": meta or {}}
