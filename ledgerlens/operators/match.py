@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,54 +53,49 @@ FACTORS = (1.0, 0.95, 0.97)
 #: Similarity of a name whose words all stand in the other, and texts from whose length on edit distance is that of lengths.
 CONTAINED, LONG = 0.9, 200
 #: Commonest tokens that are told from rare ones, by steps; rows of one token that stand in one block, at most.
-COMMON, BLOCK = (16, 128, 1024), 20_000
-
-
-@dataclass(frozen=True)
-class _Filter:
-    """What two forms must share if their similarity is over `least`: see `closest`."""
-
-    least: float
-    common: tuple[frozenset[str], ...] = ()
-
-    @property
-    def gram(self) -> int:
-        """Letters in a gram: with 2 a pair that near shares some at any length; below 2/3 only single letters do."""
-        return 2 if self.least >= 2 / 3 else 1
-
-    def _sorted(self, tokens: Column) -> Column:
-        """Rarest first, each with how often it stood before (so that repeated ones are told apart)."""
-        rank = lambda x: sum((F.when(x.isin(*sorted(held)), 1).otherwise(0) for held in self.common), F.lit(0))
-        return F.array_sort(F.transform(tokens, lambda x, i: F.struct(rank(x).alias("c"), x.alias("t"), F.size(F.filter(F.slice(tokens, 1, i), lambda y: y == x)).alias("k"))))
-
-    def grams(self, form: Column) -> Column:
-        q = self.gram
-        return F.when(F.length(form) >= q, F.transform(F.sequence(F.lit(0), F.length(form) - q), lambda i: F.concat(F.lit("g"), F.substring(form, i + 1, F.lit(q))))).otherwise(F.array().cast("array<string>"))
-
-    def words(self, form: Column) -> Column:
-        return F.transform(F.array_distinct(F.split(form, " ")), lambda w: F.concat(F.lit("w"), w))
-
-    def _prefix(self, tokens: Column, shared: Column) -> Column:
-        """Of tokens of which two near forms share so many at least: the rarest, one of which both have among theirs."""
-        n = F.greatest(F.size(tokens) - F.greatest(shared, F.lit(1)) + 1, F.lit(0))
-        return F.transform(F.slice(self._sorted(tokens), 1, n), lambda x: F.concat(x["t"], F.lit("#"), x["k"].cast("string")))
-
-    def tokens(self, form: Column, asked: bool) -> Column:
-        if self.least >= 1:  # nothing is over it
-            return F.array().cast("array<string>")
-        q, n = self.gram, F.length(form)
-        by_letters = self._prefix(self.grams(form), F.floor(n * (1 - q * (1 - self.least)) - (q - 1) + 1e-9).cast("int") + 1)
-        by_words = self._prefix(self.words(form), F.floor(F.size(self.words(form)) * self.least + 1e-9).cast("int") + 1)
-        short = F.when(n < q, F.array(F.concat(F.lit("="), form))).otherwise(F.array().cast("array<string>"))
-        out = [F.when(n <= LONG, by_letters).otherwise(F.array().cast("array<string>")), by_words, short]
-        if self.least < CONTAINED:
-            rarest = F.when(F.size(self.words(form)) > 1, F.slice(self._sorted(self.words(form)), 1, 1)["t"]).otherwise(F.array().cast("array<string>"))
-            out.append(F.transform(rarest if asked else self.words(form), lambda w: F.concat(F.lit("in"), w)))
-        # of texts over LONG only the length counts: each meets those of its step of lengths and of both beside it
-        step = F.floor(F.log(n.cast("double")) / -math.log(self.least)).cast("int")
-        near = F.array(*(F.concat(F.lit("l"), (step + k).cast("string")) for k in ((-1, 0, 1) if asked else (0,))))
-        out.append(F.when(n > LONG * self.least, near).otherwise(F.array().cast("array<string>")))
-        return F.array_distinct(F.concat(*out))
+COMMON, BLOCK = (16, 128), 20_000
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _grams(form: Column, q: int) -> Column:
+    return F.when(F.length(form) >= q, F.transform(F.sequence(F.lit(0), F.length(form) - q), lambda i: F.concat(F.lit("g"), F.substring(form, i + 1, F.lit(q))))).otherwise(_none())
+
+
+def _words(form: Column) -> Column:
+    return F.transform(F.array_distinct(F.split(form, " ")), lambda w: F.concat(F.lit("w"), w))
+
+
+def _rare_first(tokens: str, common: tuple[frozenset[str], ...]) -> Column:
+    """Tokens (a column's name) from rare to common, each with how often it stood before (so that repeated ones are told apart)."""
+    rank = lambda x: sum((F.when(x.isin(*sorted(held)), 1).otherwise(0) for held in common), F.lit(0))
+    return F.array_sort(F.transform(tokens, lambda x, i: F.struct(rank(x).alias("c"), x.alias("t"), F.size(F.filter(F.slice(tokens, 1, i), lambda y: y == x)).alias("k"))))
+
+
+def _prefix(ordered: str, shared: Column) -> Column:
+    """Of ordered tokens of which two near forms share so many at least: the first few, one of which both have among theirs."""
+    n = F.greatest(F.size(ordered) - F.greatest(shared, F.lit(1)) + 1, F.lit(0))
+    return F.transform(F.slice(ordered, 1, n), lambda x: F.concat(x["t"], F.lit("#"), x["k"].cast("string")))
+
+
+def _with_tokens(df: DataFrame, form: str, q: int, common: tuple[frozenset[str], ...], asked: bool) -> DataFrame:
+    """df with token, a row for each that `form` has by its `least` (similarity that a pair must be over)."""
+    least, n = F.col("least"), F.length(form)
+    held = df.withColumn("_n", n).withColumn("_g", F.when(n <= LONG, _grams(F.col(form), q)).otherwise(_none())).withColumn("_w", _words(F.col(form)))
+    held = held.withColumn("_go", _rare_first("_g", common)).withColumn("_wo", _rare_first("_w", common))
+    by_letters = F.when(n <= LONG, _prefix("_go", F.floor(n * (1 - q * (1 - least)) - (q - 1) + 1e-9).cast("int") + 1)).otherwise(_none())
+    by_words = _prefix("_wo", F.floor(F.size("_w") * least + 1e-9).cast("int") + 1)
+    short = F.when(n < q, F.array(F.concat(F.lit("="), F.col(form)))).otherwise(_none())
+    rarest = F.when(F.size("_w") > 1, F.slice("_wo", 1, 1)["t"]).otherwise(_none()) if asked else F.col("_w")
+    within = F.when(least < CONTAINED, F.transform(rarest, lambda w: F.concat(F.lit("in"), w))).otherwise(_none())
+    # of texts over LONG only the length counts: each meets those of its step of lengths and of both beside it
+    step = F.floor(F.log(n.cast("double")) / -F.log(least)).cast("int")
+    near = F.array(*(F.concat(F.lit("l"), (step + k).cast("string")) for k in ((-1, 0, 1) if asked else (0,))))
+    lengths = F.when(n > LONG * least, near).otherwise(_none())
+    every = F.when(least < 1, F.array_distinct(F.concat(by_letters, by_words, short, within, lengths))).otherwise(_none())  # nothing is over 1
+    return held.withColumn("token", F.explode(every)).drop("_n", "_g", "_w", "_go", "_wo")
 
 
 def _forms(key: Column, display: Column) -> Column:
@@ -113,13 +105,6 @@ def _forms(key: Column, display: Column) -> Column:
     return F.filter(every, lambda x: (x["kind"] != 2) | (x["form"] != ""))
 
 
-def _by_kind(threshold: float, common: tuple[frozenset[str], ...], form: Column, asked: bool) -> Column:
-    out = F.lit(None).cast("array<string>")
-    for k, factor in enumerate(FACTORS):
-        out = F.when(F.col("kind") == k, _Filter(threshold / factor, common).tokens(form, asked)).otherwise(out)
-    return out
-
-
 def closest(names: DataFrame, candidates: DataFrame, threshold: float = 0.72, by: tuple[str, ...] = (), *, block: int = BLOCK) -> DataFrame:
     """key, suggestion, suggested_key, score: the nearest candidate over the threshold (the first of equals).
 
@@ -137,19 +122,21 @@ def closest(names: DataFrame, candidates: DataFrame, threshold: float = 0.72, by
     right = candidates.select(*by, F.explode(_forms(F.col("key"), F.col("display"))).alias("x"), F.struct("display", F.col("key").alias("candidate")).alias("own"), "ord")
     # of candidates with one form the first counts
     right = right.groupBy(*by, F.col("x.kind").alias("kind"), F.col("x.form").alias("form")).agg(F.min_by("own", "ord").alias("own"), F.min("ord").alias("ord"))
-    plain = _Filter(threshold)
-    counts = right.select(F.explode(F.concat(F.array_distinct(plain.grams(F.col("form"))), plain.words(F.col("form")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # two forms that are near share some pairs of letters at any length; below 2/3 only single letters do
+    q = 2 if threshold >= 2 / 3 else 1
+    least = F.element_at(F.array(*(F.lit(threshold / f) for f in FACTORS)), F.col("kind") + 1).alias("least")
+    counts = right.select(F.explode(F.concat(F.array_distinct(_grams(F.col("form"), q)), _words(F.col("form")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(COMMON[-1]).collect()
     common = tuple(frozenset(x.token for x in top[:n]) for n in COMMON) if top else ()
-    asked = left.select(*by, "kind", "form").distinct().select("*", F.explode(_by_kind(threshold, common, F.col("form"), True)).alias("token"))
-    held = right.select(*by, "kind", F.col("form").alias("other"), F.explode(_by_kind(threshold, common, F.col("form"), False)).alias("token"))
+    asked = _with_tokens(left.select(*by, "kind", "form", least).distinct(), "form", q, common, True)
+    held = _with_tokens(right.select(*by, "kind", F.col("form").alias("other"), least), "other", q, common, False).drop("least")
     on = [*by, "kind", "token"]
     if top and top[0].n > block:
         crowded = held.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts")).filter("_parts > 1")
         held = held.join(crowded, on, "left").withColumn("_part", F.pmod(F.xxhash64("other"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
         asked = asked.join(crowded, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
         on.append("_part")
-    alike = F.least(F.length("form"), F.length("other")) > F.element_at(F.array(*(F.lit(threshold / f - 1e-9) for f in FACTORS)), F.col("kind") + 1) * F.greatest(F.length("form"), F.length("other"))
+    alike = F.least(F.length("form"), F.length("other")) > (F.col("least") - 1e-9) * F.greatest(F.length("form"), F.length("other"))
     by_length = F.col("token").startswith("g") | F.col("token").startswith("l")
     pairs = asked.join(held, on).filter(~by_length | alike).select(*by, "kind", "form", "other").distinct()
     factor = F.element_at(F.array(*map(F.lit, FACTORS)), F.col("kind") + 1)
