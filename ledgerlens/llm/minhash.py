@@ -47,6 +47,8 @@ _TURNS = _DRAWN.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _FACTORS = _DRAWN.integers(0, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 #: Estimate from which on a member is compared with the hub, and so has a difference.
 HUB_ESTIMATE = 0.25
+#: Documents whose ids may go to every task (some 16 bytes each).
+FEW = 10_000
 #: Set members that are hashed at a time, and columns of a product of matrices.
 _AT_ONCE, _COLUMNS = 1 << 16, 1 << 12
 
@@ -244,11 +246,13 @@ def _compare_sorted(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield _compare(percent, rest)
 
 
-def _by_sets(pairs: DataFrame, source: DataFrame, first: DataFrame, width: int, percent: int, heavy: int) -> DataFrame:
-    """pairs with linked and apart, by the full sets of the documents that stand in them."""
+def _by_sets(pairs: DataFrame, source: DataFrame, first: DataFrame, width: int, percent: int, heavy: int, rare: bool = False) -> DataFrame:
+    """pairs with linked and apart, by the full sets of the documents that stand in them. rare: few documents are expected to."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct().join(first, "print").select("doc_id", F.col("print").alias("wanted"))
     wanted = cut(wanted)
-    sets = source.join(wanted.hint("shuffle_hash"), "doc_id").select("text").mapInArrow(lambda t: _sets(width, t), "print long, members binary")
+    # texts are dealt by id, unless so few of them are wanted that their ids go to every task
+    few = rare and wanted.limit(FEW + 1).count() <= FEW
+    sets = source.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id").select("text").mapInArrow(lambda t: _sets(width, t), "print long, members binary")
     # rows that share a doc_id may have other texts than the one wanted
     sets = cut(sets.join(wanted.select(F.col("wanted").alias("print")), "print", "left_semi").dropDuplicates(["print"]))
     both = _beside(_beside(pairs, sets, "a", {"members": "x"}, heavy), sets, "b", {"members": "y"}, heavy)
@@ -266,9 +270,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = LINK_PERCENT, *, chunk:
     held = sketched.select("doc_id", "n_shingles", "print")
     # copies of one set count once
     first = held.filter("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-    shown = sketched.filter("keys IS NOT NULL")
-    lanes = cut(shown.select("print", "n_shingles", "lanes").dropDuplicates(["print"]))
-    posted = shown.select("print", F.explode("keys").alias("key")).distinct()
+    shown = cut(sketched.filter("keys IS NOT NULL").select("print", "n_shingles", "keys", "lanes").dropDuplicates(["print"]))
+    lanes = shown.select("print", "n_shingles", "lanes")
+    posted = shown.select("print", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     posted = cut(posted.join(shared, "key"))
     # the text that near copies were made from shares the most, so all of a group's values have one hub
@@ -300,7 +304,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = LINK_PERCENT, *, chunk:
     rest = across.filter("NOT sure").select("a", "b").join(near, ["a", "b"], "left_anti")
     links = found.union(across.filter("sure").select("a", "b"))
     if not rest.isEmpty():
-        links = links.union(_by_sets(cut(rest), source, first, width, percent, heavy).filter("linked").select("a", "b"))
+        links = links.union(_by_sets(cut(rest), source, first, width, percent, heavy, rare=True).filter("linked").select("a", "b"))
 
     named = first.join(components(links).withColumnRenamed("node", "print"), "print")
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
