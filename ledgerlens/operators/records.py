@@ -183,6 +183,8 @@ def diagnostics(records: DataFrame, cells: DataFrame, header_row: int) -> DataFr
     filled = F.exists("cells", lambda c: clean(c) != "")
     skipped = noted(cells.filter((F.col("row") > header_row) & filled).join(used, ["file", "sheet", "row"], "left_anti"), "skipped row", F.col("row").cast("string"))
     twice = duplicates(records.withColumn("subject_key", norm_key(F.col("subject"))).withColumn("permission_key", norm_key(F.col("permission"))), ["file", "sheet", "subject_key", "permission_key"])
+    # a setting that stands twice is one finding, whatever number of subjects it stands twice for
+    twice = twice.groupBy("file", "sheet", "permission_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rows")))).alias("rows"), F.max("conflict").alias("conflict"))
     twice = noted(twice, "duplicate", F.concat("permission_key", F.lit(" rows "), F.array_join("rows", "/"), F.when(F.col("conflict"), " (copies disagree)").otherwise("")))
     out = ticks
     for more in (levels, pasted, skipped, twice):

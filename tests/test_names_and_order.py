@@ -132,3 +132,10 @@ def test_template_takes_groups_by_key(spark):
     sheets = sinks.template(rows, groups=["ALPHA", "gamma"])
     assert [r[:2] for r in sheets[0].rows[1:]] == [["alpha", "two"], ["Gamma ", "three"]] and sheets[0].rows[0][3:] == list(sinks.TEMPLATE_ROLES)
     assert sheets[1].rows == [["User", "Role"], ["", "Provider"]]
+
+
+def test_a_setting_twice_is_noted_once(spark):
+    heads = ["Security Setting", "Admin", "Support", "Nurse"]
+    cells = grid(spark, [heads, ["Run", "X", "X", ""], ["Walk", "X", "X", "X"], ["run", "", "X", ""], ["Walk", "X", "X", "X"]])
+    note = next(x for x in records.read_notes(cells, layout.Layout("matrix", 1, tuple(heads), permission=0, first_data=1)).collect() if x.code == "duplicate")
+    assert note.n == 2 and note.sample == ["run rows 2/4 (copies disagree)", "walk rows 3/5"]
