@@ -1,10 +1,10 @@
 """Cells of workbooks and delimited files, as a Spark data source named `cells`.
 
 spark.read.format("cells").load(path or glob) gives file, sheet, sheet_no, row (from 1), cells ARRAY<STRING>
-and kinds ARRAY<STRING> (str, num, bool, blank). Options: sheet (only that one), split_bytes. A workbook larger than
-split_bytes has a task for each of its sheets, which unpacks that sheet alone; smaller files share tasks. Filters on
-file, sheet and sheet_no are handed to the source: what they rule out is not opened. Large delimited files are read by
-byte ranges (`splits`).
+and kinds ARRAY<STRING> (str, num, bool, blank). Options: sheet (only that one), split_bytes, delimiter. A workbook larger
+than split_bytes has a task for each of its sheets, which unpacks that sheet alone; smaller files share tasks.
+`read_cells` gives the same; there, what filters on file, and on sheet and sheet_no of large workbooks, rule out is not
+opened, and large delimited files are read by byte ranges (`splits`).
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "file string, sheet string, sheet_no int, row int, cells array<string>, kinds array<string>"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -141,18 +142,18 @@ def sheet_names(f) -> list[str]:
     try:
         with zipfile.ZipFile(f) as book:
             return [x.get("name", f"Sheet{k}") for k, x in enumerate(ET.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"), 1)]
-    except (zipfile.BadZipFile, KeyError):
+    except (zipfile.BadZipFile, KeyError, ValueError, OSError):  # pyarrow's files raise these where a short file has no directory
         return []
 
 
-def parse(data: bytes, name: str = "", sheet: str | None = None) -> Iterator[tuple[str, int, int, list[tuple[str, str]]]]:
+def parse(data: bytes, name: str = "", sheet: str | None = None, delimiter: str | None = None) -> Iterator[tuple[str, int, int, list[tuple[str, str]]]]:
     """Rows of a file by its first bytes and its name."""
     if data[:2] == b"PK":
         yield from parse_workbook(data, sheet)
     elif data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
         raise UnreadableError("an old binary workbook (.xls): save it as .xlsx or .csv")
     else:
-        for row, cells in enumerate(parse_delimited(data.decode("utf-8-sig", "replace"), "\t" if name.lower().endswith(".tsv") else None), 1):
+        for row, cells in enumerate(parse_delimited(data.decode("utf-8-sig", "replace"), delimiter or ("\t" if name.lower().endswith(".tsv") else None)), 1):
             yield "Sheet1", 0, row, cells
 
 
@@ -188,36 +189,20 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.sheet = options.get("sheet")
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
-        self.whole = options.get("ranges") != "elsewhere"  # else larger delimited files are read by ranges
         self.paths = _listed(options.get("path", ""))
-        self.only: dict[str, set] = {}
-
-    def pushFilters(self, filters):  # noqa: N802
-        """Takes equalities on file, sheet and sheet_no; Spark applies the rest."""
-        for x in filters:
-            column = x.attribute[0] if isinstance(x, EqualTo | In) and len(x.attribute) == 1 else None
-            if column in ("file", "sheet", "sheet_no"):
-                values = {x.value} if isinstance(x, EqualTo) else set(x.value)
-                self.only[column] = self.only.get(column, values) & values
-            else:
-                yield x
-
-    def _wants(self, column: str, value) -> bool:
-        return column not in self.only or value in self.only[column]
+        self.delimiter = options.get("delimiter")
 
     def partitions(self):
         """Each a list of (file, number of its sheet or None for all)."""
         out, small, size = [], [], 0
-        for path in (p for p in self.paths if self._wants("file", p)):
+        for path in self.paths:
             fs, base = place(path)
             n = fs.get_file_info(base).size
-            if n > self.split and path.lower().endswith(_DELIMITED) and not self.whole:
-                continue
             if n > self.split and not path.lower().endswith(_DELIMITED):
                 with fs.open_input_file(base) as f:
                     names = sheet_names(f)
                 if names:
-                    out += [InputPartition([(path, k)]) for k, name in enumerate(names) if self._wants("sheet", name) and self._wants("sheet_no", k) and (self.sheet is None or name.lower() == self.sheet.lower())]
+                    out += [InputPartition([(path, k)]) for k, name in enumerate(names) if self.sheet is None or name.lower() == self.sheet.lower()]
                     continue
             if small and size + n > self.split:
                 out.append(InputPartition(small))
@@ -227,15 +212,16 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         for file, only in partition.value:
-            fs, path = place(file)
-            with fs.open_input_file(path) as f:
-                if only is None:
-                    rows = parse(f.readall(), file, self.sheet)
-                else:
-                    rows = parse_workbook(f, self.sheet, lambda _, number, only=only: number == only)
-                for sheet, number, row, cells in rows:
-                    if self._wants("sheet", sheet) and self._wants("sheet_no", number):
-                        yield file, sheet, number, row, [x for x, _ in cells], [k for _, k in cells]
+            yield from _read(file, only, self.sheet, self.delimiter)
+
+
+def _read(file: str, number: int | None, sheet: str | None, delimiter: str | None) -> Iterator[tuple]:
+    """Rows of SCHEMA of a file, or of its sheet of that number."""
+    fs, path = place(file)
+    with fs.open_input_file(path) as f:
+        rows = parse(f.readall(), file, sheet, delimiter) if number is None else parse_workbook(f, sheet, lambda _, k: k == number)
+        for name, k, row, cells in rows:
+            yield file, name, k, row, [x for x, _ in cells], [kind for _, kind in cells]
 
 
 class CellSource(DataSource):
@@ -250,16 +236,55 @@ class CellSource(DataSource):
         return _Reader(self.options)
 
 
-def read_cells(spark: SparkSession, path: str, sheet: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Cells of files, by the data source: one, a folder's, or those that a pattern in the last part of the path fits; any file system that pyarrow knows. Delimited files over split_bytes are read by byte ranges."""
+def _opened(spark: SparkSession, listed: list[tuple], sheet: str | None, delimiter: str | None) -> DataFrame:
+    """Cells of listed (file, sheet, sheet_no) or, where these two are None, of whole files. Spark takes filters on what is listed off the list, for each use of the frame apart."""
+    import pyarrow as pa
+
+    whole = listed[0][1] is None
+    own = SCHEMA.partition(", ")[2] if whole else "row int, cells array<string>, kinds array<string>"
+
+    class Opened:
+        def eval(self, file: str, number: int | None):
+            for row in _read(file, number, sheet, delimiter):
+                yield row[1:] if whole else row[3:]
+
+    kinds = pa.schema([("file", pa.string()), ("_sheet" if whole else "sheet", pa.string()), ("_number" if whole else "sheet_no", pa.int32())])
+    names = spark.createDataFrame(pa.table(list(map(list, zip(*listed, strict=True))), schema=kinds))
+    rows = F.udtf(Opened, returnType=own).asDeterministic()(F.col("file").outer(), F.col(kinds.names[2]).outer())
+    return names.lateralJoin(rows).select(*(c.split()[0] for c in SCHEMA.split(", ")))
+
+
+def read_cells(spark: SparkSession, path: str, sheet: str | None = None, split_bytes: int = SPLIT_BYTES, delimiter: str | None = None) -> DataFrame:
+    """Cells of files: one, a folder's, or those that a pattern in the last part of the path fits; any file system that pyarrow knows. Delimited files over split_bytes are read by byte ranges, larger workbooks by sheets. delimiter: that of delimited files, else told from their first line.
+
+    The files (and sheets of large workbooks) are a list that Spark filters before anything is opened. The data source's
+    own hook for filters isn't used: Spark keeps what was pushed with the relation, so that one use of a frame would be
+    filtered as another was.
+    """
+    import pyarrow as pa
+
     from .splits import read_ranges
 
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark hands a Python source filters only if told to
-    spark.dataSource.register(CellSource)
-    reader = spark.read.format("cells").option("split_bytes", split_bytes).option("ranges", "elsewhere")
-    out = (reader.option("sheet", sheet) if sheet else reader).load(path)
-    large = [p for p in _listed(path) if p.lower().endswith(_DELIMITED) and place(p)[0].get_file_info(place(p)[1]).size > split_bytes]
-    return out.unionByName(read_ranges(spark, large, split_bytes)) if large else out
+    whole, apart, odd, large = [], [], [], []
+    for p in _listed(path):
+        fs, base = place(p)
+        if fs.get_file_info(base).size <= split_bytes:
+            whole.append((p, None, None))
+        elif p.lower().endswith(_DELIMITED):
+            large.append(p)
+        else:
+            with fs.open_input_file(base) as f:
+                names = sheet_names(f)
+            held = [(p, name, k) for k, name in enumerate(names) if sheet is None or name.lower() == sheet.lower()]
+            apart, odd = apart + held, odd if names else [*odd, (p, None, None)]
+    parts = [_opened(spark, x, sheet, delimiter) for x in (whole, apart) if x]
+    if odd:  # large and no workbooks: the join lets Spark leave all of this out where a filter rules these files out
+        parts.append(_opened(spark, odd, sheet, delimiter).join(F.broadcast(spark.createDataFrame(pa.table({"file": [p for p, _, _ in odd]}))), "file"))
+    parts += ([read_ranges(spark, large, split_bytes, delimiter)] if large else [])
+    out = parts[0] if parts else spark.createDataFrame([], SCHEMA)
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def read_cells_anywhere(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:

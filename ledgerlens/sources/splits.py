@@ -131,7 +131,7 @@ def _delimiter(path: str, f) -> str:
         held += more
 
 
-def read_ranges(spark: SparkSession, paths: list[str], split_bytes: int) -> DataFrame:
+def read_ranges(spark: SparkSession, paths: list[str], split_bytes: int, delimiter: str | None = None) -> DataFrame:
     """Cells of delimited files, a task for each range of about split_bytes."""
     ranges = []
     for path in paths:

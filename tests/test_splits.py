@@ -66,6 +66,26 @@ def test_filters_reach_the_source(spark, tmp_path):
     assert [x.cells[1] for x in df.filter(F.col("sheet").isin("Two", "None") & F.col("file").endswith("b.xlsx") & (F.col("file") != str(tmp_path / "damaged.xlsx")) & F.col("file").isin(str(tmp_path / "b.xlsx"))).collect()] == ["b"]
 
 
+def test_filters_of_one_use_dont_reach_another(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(sinks.workbook([sinks.Sheet(n, [[n]]) for n in ("One", "Two", "Three")]))
+    for split in (10, 1 << 20):
+        df = cells.read_cells(spark, str(tmp_path), split_bytes=split)
+        assert df.filter("sheet = 'One'").count() == 1 and df.count() == 3
+        both = df.filter("sheet = 'One'").unionByName(df.filter("sheet = 'Two'"))
+        assert sorted(x.sheet for x in both.collect()) == ["One", "Two"]
+
+
+def test_findings_are_read_back_whatever_their_notes_say(spark, tmp_path):
+    note = "nobody has reviewed what this subject holds: " + "; ".join(f"p{k}" for k in range(8)) + "; ..."
+    rows = [("high", "user-not-in-baseline", f"s{k}", "", "", "9 settings (9 granted)", note, None, None) for k in range(6)]
+    found = spark.createDataFrame(rows, "severity string, type string, subject string, permission string, expected string, actual string, note string, baseline_row int, actual_row int")
+    sinks.write_findings(found, str(tmp_path), parts=2)
+    held = cells.read_cells(spark, f"{tmp_path}/parts/part-*", delimiter=",")
+    assert sorted(x.cells[2] for x in held.collect()) == [f"s{k}" for k in range(6)]
+    ranges = cells.read_cells(spark, f"{tmp_path}/parts/part-*", delimiter=",", split_bytes=150)
+    assert sorted(x.cells[2] for x in ranges.collect()) == [f"s{k}" for k in range(6)]
+
+
 def sheet_of(spark, n, seed=1, sheets=2):
     r = random.Random(seed)
     rows = [("f", s, k, r.choice(["", "", "", f"v{r.randint(0, 99)}"]) if k > 3 else "") for s in range(sheets) for k in range(n)]
