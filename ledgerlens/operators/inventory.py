@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import first_bare, norm_key
 from ..functions.values import is_granted
-from .order import dictionary
+from .order import dictionary, placed
 
 
 def _mark(value: Column) -> Column:
@@ -60,6 +60,13 @@ def side_by_side(pairs: DataFrame, subjects: list[str] | None = None, limit: int
     return pairs.groupBy("permission").pivot("subject", subjects or subjects_of(pairs, limit)).agg(F.first(shown_cell())).orderBy(*dictionary("permission"))
 
 
+def side_by_side_tiles(pairs: DataFrame, width: int = 1000) -> DataFrame:
+    """The same for any number of subjects, as tiles: permission, tile (a block of `width` subjects in order) and cells, an array of subject, cell and type in order of subjects."""
+    names = placed(pairs.select("subject").distinct(), [F.col("subject")]).select("subject", F.floor(F.col("place") / width).cast("int").alias("tile"))
+    cells = pairs.select("permission", "subject", shown_cell().alias("cell"), "type").join(names, "subject")
+    return cells.groupBy("permission", "tile").agg(F.array_sort(F.collect_list(F.struct("subject", "cell", "type"))).alias("cells"))
+
+
 def _documented(records: DataFrame, catalog: DataFrame | None) -> DataFrame:
     """The last value of each setting and subject, settings by the catalog's key where it knows them; key, subject, value, setting, grp, description, in_catalog."""
     from .catalog import lookup

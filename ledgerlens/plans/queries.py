@@ -340,9 +340,9 @@ def inventory_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT permission, subject, CASE WHEN type = 'ok' THEN regexp_replace(actual, ' \\(.*\\)$', '') ELSE coalesce(nullif(expected, ''), '—') || ' → ' || coalesce(nullif(actual, ''), '—') END AS cell FROM pairs", pairs=True)
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pivot of all subjects, and back to a row for each cell that says something."""
-    wide = inv.side_by_side(_compared(spark, sf_dir).pairs)
-    return wide.unpivot("permission", wide.columns[1:], "subject", "cell").filter("cell IS NOT NULL")
+    """The pivot of all subjects in tiles, and back to a row for each cell."""
+    tiles = inv.side_by_side_tiles(_compared(spark, sf_dir).pairs)
+    return tiles.select("permission", F.inline("cells")).select("permission", "subject", "cell")
 
 
 @query("""WITH l AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), r AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT')

@@ -182,12 +182,19 @@ def side_by_side(result, limit: int = 10_000) -> Sheet:
     from ..operators import inventory
 
     names = inventory.subjects_of(result.pairs, limit)
-    table = rows_of(inventory.side_by_side(result.pairs, names).select("permission", *(F.col(f"`{n}`") for n in names)))
     known = {r["subject"]: r for r in result.pairs.groupBy("subject").agg(F.max("subject_in_baseline").alias("b"), F.max("subject_in_actual").alias("a")).collect()}
     where = ["", *("both" if known[n]["b"] and known[n]["a"] else "baseline" if known[n]["b"] else "system" for n in names)]
-    rows = [table[0], where, *table[1:]]
-    kinds = {(r["permission"], r["subject"]): r["type"] for r in result.pairs.select("permission", "subject", "type").collect()}
-    colours = {(i, j): TYPE_COLOURS[t] for i, row in enumerate(rows[2:], 2) for j, n in enumerate(names, 1) if (t := kinds.get((row[0], n))) in TYPE_COLOURS}
+    places = {n: k for k, n in enumerate(names, 1)}
+    rows, colours = [["permission", *names], where], {}
+    listed = [r[0] for r in result.pairs.select("permission").distinct().orderBy(*dictionary("permission")).collect()]
+    down = {p: i for i, p in enumerate(listed, 2)}
+    rows += [[p, *[None] * len(names)] for p in listed]
+    for r in inventory.side_by_side_tiles(result.pairs).select("permission", "cells").toLocalIterator():
+        i = down[r["permission"]]
+        for subject, cell, kind in r["cells"]:
+            rows[i][places[subject]] = cell
+            if kind in TYPE_COLOURS:
+                colours[i, places[subject]] = TYPE_COLOURS[kind]
     return Sheet("Side by side", rows, freeze=2, colours=colours)
 
 

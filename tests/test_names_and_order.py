@@ -139,3 +139,15 @@ def test_a_setting_twice_is_noted_once(spark):
     cells = grid(spark, [heads, ["Run", "X", "X", ""], ["Walk", "X", "X", "X"], ["run", "", "X", ""], ["Walk", "X", "X", "X"]])
     note = next(x for x in records.read_notes(cells, layout.Layout("matrix", 1, tuple(heads), permission=0, first_data=1)).collect() if x.code == "duplicate")
     assert note.n == 2 and note.sample == ["run rows 2/4 (copies disagree)", "walk rows 3/5"]
+
+
+def test_side_by_side_in_tiles(spark):
+    from ledgerlens.operators import inventory
+
+    n = 700
+    pairs = spark.range(n * 3).select(F.concat(F.lit("s"), F.col("id") % n).alias("subject"), F.concat(F.lit("p"), F.col("id") % 3).alias("permission"), F.lit("ok").alias("type"), F.lit("Y").alias("expected"), F.lit("Y (x)").alias("actual"))
+    tiles = inventory.side_by_side_tiles(pairs, 100).collect()
+    assert len(tiles) == 21 and all(len(x.cells) == 100 and list(x.cells) == sorted(x.cells) for x in tiles)
+    cells = {(x.permission, c.subject): c.cell for x in tiles for c in x.cells}
+    assert len(cells) == 3 * n and set(cells.values()) == {"Y"}
+    assert len({frozenset(c.subject for c in x.cells) for x in tiles}) == 7
