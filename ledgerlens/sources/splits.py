@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .cells import SCHEMA, as_cells, place, sniff_delimiter
 
 _LINE = re.compile(rb"[^\r\n]*(?:\r\n|\n|\r)")
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 
 
 def _lines(f, at: int) -> Iterator[tuple[int, bytes]]:
@@ -132,13 +132,16 @@ def _delimiter(path: str, f) -> str:
 
 
 def read_ranges(spark: SparkSession, paths: list[str], split_bytes: int, delimiter: str | None = None) -> DataFrame:
-    """Cells of delimited files, a task for each range of about split_bytes."""
-    ranges = []
+    """Cells of delimited files by ranges of about split_bytes, which tasks share where there are many. A file's delimiter is told once (delimiter: as given)."""
+    ranges, marks = [], {}
     for path in paths:
         fs, base = place(path)
         size = fs.get_file_info(base).size
+        with fs.open_input_file(base) as f:
+            marks[path] = delimiter or _delimiter(path, f)
         ranges += [(path, k, at, min(at + split_bytes, size)) for k, at in enumerate(range(0, size, split_bytes))]
-    dealt = spark.createDataFrame(ranges, "file string, number int, start long, stop long").repartition(max(1, len(ranges)), "file", "number")
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    dealt = spark.createDataFrame(ranges, "file string, number int, start long, stop long").repartition(max(1, min(len(ranges), tasks)), "file", "number")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(1 << 30)
@@ -146,10 +149,9 @@ def read_ranges(spark: SparkSession, paths: list[str], split_bytes: int, delimit
             for r in batch.to_pylist():
                 fs, base = place(r["file"])
                 with fs.open_input_file(base) as f:
-                    delimiter = _delimiter(r["file"], f)
                     start, stop = line_begin(f, r["start"]), line_begin(f, r["stop"])
-                    outside, ends = survey(f, start, stop, False, delimiter)
-                    inside, inside_ends = survey(f, start, stop, True, delimiter) if r["number"] else (0, False)
+                    outside, ends = survey(f, start, stop, False, marks[r["file"]])
+                    inside, inside_ends = survey(f, start, stop, True, marks[r["file"]]) if r["number"] else (0, False)
                 yield pa.RecordBatch.from_pylist([{"file": r["file"], "number": r["number"], "start": start, "stop": stop, "outside": outside, "outside_ends": ends, "inside": inside, "inside_ends": inside_ends}], schema=_schema(_SURVEY))
 
     told = []
@@ -161,7 +163,7 @@ def read_ranges(spark: SparkSession, paths: list[str], split_bytes: int, delimit
             told.append((r["file"], r["start"], r["stop"], state, before))
             before += r["inside"] if state else r["outside"]
             state = r["inside_ends"] if state else r["outside_ends"]
-    true = spark.createDataFrame(told, "file string, start long, stop long, inside boolean, before long").repartition(max(1, len(told)), "file", "start")
+    true = spark.createDataFrame(told, "file string, start long, stop long, inside boolean, before long").repartition(max(1, min(len(told), tasks)), "file", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(1 << 30)
@@ -170,7 +172,7 @@ def read_ranges(spark: SparkSession, paths: list[str], split_bytes: int, delimit
                 fs, base = place(r["file"])
                 with fs.open_input_file(base) as f:
                     row, held = r["before"], []
-                    for cells, _ in rows_from(f, r["start"], r["stop"], r["inside"], _delimiter(r["file"], f)) if r["start"] < r["stop"] else ():
+                    for cells, _ in rows_from(f, r["start"], r["stop"], r["inside"], marks[r["file"]]) if r["start"] < r["stop"] else ():
                         if _kept(cells):
                             row += 1
                             pairs = as_cells(cells)

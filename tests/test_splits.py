@@ -86,6 +86,13 @@ def test_findings_are_read_back_whatever_their_notes_say(spark, tmp_path):
     assert sorted(x.cells[2] for x in ranges.collect()) == [f"s{k}" for k in range(6)]
 
 
+def test_tasks_dont_grow_with_the_number_of_ranges(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("".join(f"{k},x\n" for k in range(4000)))
+    df = cells.read_cells(spark, f"{tmp_path}/a.csv", split_bytes=50)
+    assert df.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    assert sorted((x.row, int(x.cells[0])) for x in df.collect()) == [(k + 1, k) for k in range(4000)]
+
+
 def sheet_of(spark, n, seed=1, sheets=2):
     r = random.Random(seed)
     rows = [("f", s, k, r.choice(["", "", "", f"v{r.randint(0, 99)}"]) if k > 3 else "") for s in range(sheets) for k in range(n)]
