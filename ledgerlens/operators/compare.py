@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key, perm_key, plain_key, short_name
@@ -18,8 +18,10 @@ from .match import closest, rewrite, unique_pairs
 from .order import dictionary
 
 TICK_NOTE = "instead of a tick"
-#: Subjects or permissions of both sides that are sent to every task rather than shuffled, at most.
+#: Names that were matched and pass through the driver to every task rather than being shuffled, at most.
 SMALL = 100_000
+#: Subjects or permissions of both sides that are sent to every task rather than shuffled, at most (some 100 bytes each).
+SPREAD = 500_000
 _WINNER = ["permission", "value", "raw", "row", "role"]
 
 
@@ -39,7 +41,7 @@ class Options:
 
 @dataclass
 class Index:
-    """One side: its records by key (one each), its subjects, its permissions."""
+    """One side: its records by key (one each), its subjects, its permissions. Their ord is null where nothing asked for it (see `both_sides`)."""
 
     records: DataFrame
     subjects: DataFrame
@@ -63,18 +65,6 @@ def kept(records: DataFrame, options: Options) -> DataFrame:
     return records.filter(keep)
 
 
-def keyed(records: DataFrame, options: Options, aliases: DataFrame | None = None) -> DataFrame:
-    """Records with subject_key and permission_key; those with an empty key are dropped."""
-    out = records
-    for name, default in (("role", None), ("raw", ""), ("row", None), ("listed_only", False)):
-        if name not in out.columns:
-            out = out.withColumn(name, F.lit(default).cast({"row": "int", "listed_only": "boolean"}.get(name, "string")))
-    out = kept(out, options)
-    out = out.withColumn("subject_key", options.key(F.col("subject"))).withColumn("permission_key", perm_key(F.col("permission"), options.key))
-    out = rewrite(rewrite(out, "subject_key", aliases, "subject"), "permission_key", aliases, "permission")
-    return out.filter((F.col("subject_key") != "") & (F.col("permission_key") != ""))
-
-
 def last_wins(records: DataFrame, keys: list[str]) -> DataFrame:
     """The last record of each key by ord, without a sort."""
     rest = [c for c in records.columns if c not in keys]
@@ -94,53 +84,120 @@ class Both:
     pairs: DataFrame
     subjects: DataFrame
     permissions: DataFrame
-    #: How many subjects and permissions there are.
-    sizes: tuple[int, int] = (0, 0)
+    #: value, raw, shown: what cells say.
+    texts: DataFrame
+    #: How many names subjects and permissions have (no fewer than there are of them), and how many texts there are.
+    sizes: tuple[int, int, int]
 
     def side(self, s: str) -> Index:
         """One side's index."""
         own = lambda df, *more: df.filter(f"{s}_has").select("key", *(F.col(f"{s}_{c}").alias(c) for c in ("display", "ord", *more)))
-        records = self.pairs.filter(f"{s}_has").select("subject_key", "permission_key", f"{s}_last.*", F.col(f"{s}_ord").alias("ord"))
+        records = self.pairs.filter(f"{s}_has").select("subject_key", "permission_key", *(F.col(f"{s}_{c}").alias(c) for c in (*_WINNER, "ord")))
         return Index(records, own(self.subjects, "listed_only", "role"), own(self.permissions))
 
 
 _SIDES = ("b", "a")
 
 
-def _of_side(s: str, rows: DataFrame) -> DataFrame:
-    """A side's records in columns of its own, so that both sides' lie in one table whatever the types of their ord."""
-    named = F.col("role").isNotNull() & (F.col("role") != "")
-    return rows.select(
-        "subject_key", "permission_key", F.lit(True).alias(f"{s}_has"), F.struct(*_WINNER).alias(f"{s}_last"), F.col("ord").alias(f"{s}_ord"), F.struct("subject", "permission").alias(f"{s}_first"),
-        F.col("listed_only").alias(f"{s}_listed_only"), F.when(named, F.col("role")).alias(f"{s}_role"), F.when(named, F.col("ord")).alias(f"{s}_role_ord"),
-    )
+def _of_side(s: str, records: DataFrame, options: Options) -> DataFrame:
+    """A side's records in columns of its own, so that both sides' lie in one table whatever the types of their ord; what the records don't have gets no column."""
+    rows, has = kept(records, options), records.columns
+    raw = F.col("raw") if "raw" in has else F.lit("")
+    held = [F.lit(True).alias("has"), F.struct("ord", "value", raw.alias("raw"), *(F.col(c) for c in ("row", "role") if c in has)).alias("last"), F.col("ord")]
+    if "listed_only" in has:
+        held.append(F.col("listed_only").cast("boolean").alias("listed_only"))
+    if "role" in has:
+        held.append(F.when(F.col("role").isNotNull() & (F.col("role") != ""), F.struct("ord", "role")).alias("role"))
+    rows = rows.select("subject", "permission", F.lit(s).alias("of"), F.struct(*held).alias("x"))
+    return rows.select("subject", "permission", "of", *(F.col(f"x.{c}").alias(f"{s}_{c}") for c in rows.schema["x"].dataType.names))
+
+
+def _merged(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """One row for each `by`: of a side's columns, `last` by its ord, `role` and `ord` the first, the rest true if any is.
+
+    The rows are sorted by a hash of `by` first, as names that all begin alike are slow to compare.
+    """
+    how = lambda c: (F.min if c[2:] in ("ord", "role") else F.max)(c).alias(c)
+    return df.groupBy(F.xxhash64(*by).alias("_hash"), *by).agg(*map(how, columns)).drop("_hash")
+
+
+def _keys(names: DataFrame, column: str, options: Options, aliased: bool) -> DataFrame:
+    """Adds the names' keys, and whether other names have the same key; names with an empty key are dropped."""
+    key = options.key(F.col(column)) if column == "subject" else perm_key(F.col(column), options.key)
+    out = names.withColumn("key", key)
+    if aliased:  # the baseline's keys only
+        out = rewrite(out.filter("of = 'b'"), "key", options.aliases, column).unionByName(out.filter("of = 'a'"))
+    return out.filter("key <> ''").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("key")) > 1)
 
 
 def both_sides(baseline: DataFrame, actual: DataFrame, options: Options) -> Both:
-    """One aggregate over the records of both sides is their index and their full outer join at once; subjects and permissions are aggregates of its (smaller) result."""
+    """One aggregate over the records of both sides by their names is their index and their full outer join at once.
+
+    Names are few beside records, so their keys are told from this (smaller) result, once a name; only pairs of names that share a key with others meet in a further aggregate.
+    Subjects and permissions are aggregates of it, too.
+    """
     spark = baseline.sparkSession
-    rows = _of_side("b", keyed(baseline, options, options.aliases)).unionByName(_of_side("a", keyed(actual, options)), allowMissingColumns=True)
-    first = lambda s, c, by="ord": F.min_by(f"{s}_{c}", f"{s}_{by}").alias(f"{s}_{c}")
-    pairs = cut(rows.groupBy("subject_key", "permission_key").agg(*(
-        x for s in _SIDES for x in (
-            F.max(f"{s}_has").alias(f"{s}_has"), F.max_by(f"{s}_last", f"{s}_ord").alias(f"{s}_last"), first(s, "first"), F.min(f"{s}_ord").alias(f"{s}_ord"),
-            F.max(f"{s}_listed_only").alias(f"{s}_listed_only"), first(s, "role", "role_ord"), F.min(f"{s}_role_ord").alias(f"{s}_role_ord"),
-        )
-    )))
+    aliased = options.aliases is not None  # a name's key then depends on its side
+    by = ["of"] if aliased else []
+    rows = _of_side("b", baseline, options).unionByName(_of_side("a", actual, options), allowMissingColumns=True)
+    held = [c for c in rows.columns if c[:2] in ("b_", "a_")]
+    records = cut(_merged(rows, ["subject", "permission", *by], held))
+    kept_by = lambda *names: [c for c in held if c[2:] in names]
+
+    def names(column: str, *columns: str) -> DataFrame:
+        return cut(_keys(_merged(records, [column, *by], kept_by(*columns)), column, options, aliased))
+
+    def texts() -> DataFrame:
+        """What cells of either side say, and how it is shown: as names, few beside records."""
+        said = records.select(F.inline(F.array(*(F.struct(F.col(f"{s}_last.value").alias("value"), F.col(f"{s}_last.raw").alias("raw")) for s in _SIDES)))).distinct()
+        return cut(said.withColumn("shown", show(F.col("value"), F.col("raw"), options.key)))
+
+    def both_names(*more: str) -> list[DataFrame]:
+        return together(spark, lambda: names("subject", "has", "listed_only", "role", *more), lambda: names("permission", "has", *more))
+
+    # all are small beside the pairs and are read again and again: by pairing, comparison, matches and suggestions
+    (subjects, permissions), shown = together(spark, both_names, texts)
+    counts = subjects.select("shared", F.lit(0).alias("which")).union(permissions.select("shared", F.lit(1))).union(shown.select(F.lit(False), F.lit(2))).groupBy("which").agg(F.count(F.lit(1)).alias("names"), F.max("shared").alias("shared")).collect()
+    sizes, shared = [0, 0, 0], False
+    for r in counts:
+        sizes[r["which"]], shared = r["names"], shared or r["shared"]
+    if shared or options.suggest:
+        # names' own order takes a sort of all records, and is asked for only where names share a key or are suggested
+        subjects, permissions = both_names("ord")
+    else:
+        subjects, permissions = (t.withColumns({f"{s}_ord": F.lit(None).cast(rows.schema[f"{s}_ord"].dataType) for s in _SIDES}) for t in (subjects, permissions))
+    pairs = records
+    for k, (table, column) in enumerate(((subjects, "subject"), (permissions, "permission"))):
+        keys = table.select(column, *by, F.col("key").alias(f"{column}_key"), F.col("shared").alias(f"{column}_shared"))
+        pairs = pairs.join(_spread(keys, sizes[k]), [column, *by])
+    own = {s: {x: F.col(f"{s}_last.{x}") if x in rows.schema[f"{s}_last"].dataType.names else F.lit(None).cast("int" if x == "row" else "string") for x in _WINNER[1:]} for s in _SIDES}
+    for s in _SIDES:
+        own[s] = {"permission": F.when(F.col(f"{s}_has"), F.col("permission")), **own[s]}
+    keys, columns = ["subject_key", "permission_key"], kept_by("has", "ord")
+    flat = lambda df, of: df.select(*keys, *columns, *(c.alias(f"{s}_{x}") for s in _SIDES for x, c in of(s).items()))
+    if shared:
+        some = F.col("subject_shared") | F.col("permission_shared")
+        last = {s: F.when(F.col(f"{s}_has"), F.struct(F.col(f"{s}_last.ord").alias("ord"), *(c.alias(x) for x, c in own[s].items()))) for s in _SIDES}
+        met = _merged(pairs.filter(some).withColumns({f"{s}_last": c for s, c in last.items()}), keys, [*columns, *(f"{s}_last" for s in _SIDES)])
+        pairs = flat(pairs.filter(~some), own.get).unionByName(flat(met, lambda s: {x: F.col(f"{s}_last.{x}") for x in _WINNER}))
+    else:
+        pairs = flat(pairs, own.get)
 
-    def names(column: str, kind: str, more: list[str]) -> DataFrame:
-        held = [x for s in _SIDES for x in (F.max(f"{s}_has").alias(f"{s}_has"), F.min_by(f"{s}_first.{kind}", f"{s}_ord").alias(f"{s}_display"), F.min(f"{s}_ord").alias(f"{s}_ord"))]
-        rest = [x for s in _SIDES for x in (F.max(f"{s}_listed_only").alias(f"{s}_listed_only"), first(s, "role", "role_ord"))] if more else []
-        return pairs.groupBy(F.col(column).alias("key")).agg(*held, *rest)
+    def by_key(table: DataFrame, column: str, more: bool) -> DataFrame:
+        """A row a key: the name that its side has first."""
+        cols = [c for c in table.columns if c[:2] in ("b_", "a_")]
+        first = [F.min(F.when(F.col(f"{s}_has"), F.struct(f"{s}_ord", column))).alias(f"{s}_first") for s in _SIDES]
+        out = table.groupBy("key").agg(*first, *((F.min if c[2:] in ("ord", "role") else F.max)(c).alias(c) for c in cols))
+        side = lambda s: [f"{s}_has", F.col(f"{s}_first.{column}").alias(f"{s}_display"), f"{s}_ord"]
+        rest = lambda s: [F.col(f"{s}_listed_only") if f"{s}_listed_only" in cols else F.when(F.col(f"{s}_has"), False).alias(f"{s}_listed_only"), (F.col(f"{s}_role.role") if f"{s}_role" in cols else F.lit(None).cast("string")).alias(f"{s}_role")]
+        return cut(out.select("key", *(x for s in _SIDES for x in (*side(s), *(rest(s) if more else [])))))
 
-    # both are small beside the pairs and are read again and again: by pairing, comparison, matches and suggestions
-    subjects, permissions = together(spark, lambda: cut(names("subject_key", "subject", ["role"])), lambda: cut(names("permission_key", "permission", [])))
-    return Both(pairs, subjects, permissions)
+    subjects, permissions = together(spark, lambda: by_key(subjects, "subject", True), lambda: by_key(permissions, "permission", False))
+    return Both(pairs, subjects, permissions, shown, tuple(sizes))
 
 
-def _counted(both: Both) -> tuple[int, int]:
-    row = both.subjects.select(F.lit(1).alias("one")).union(both.permissions.select(F.lit(0))).agg(F.sum("one"), F.count_if(F.col("one") == 0)).first()
-    return row[0] or 0, row[1]
+def _spread(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= SPREAD else df
 
 
 def paired_names(both: Both, options: Options) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +226,7 @@ def _renamed(both: Both, subjects: DataFrame | None, permissions: DataFrame | No
         return df.groupBy(*keys).agg(*(F.first(c, ignorenulls=True).alias(c) for c in df.columns if c not in keys))
 
     pairs = merged(both.pairs, ["subject_key", "permission_key"], [subjects, permissions])
-    return Both(pairs, merged(both.subjects, ["key"], [subjects]), merged(both.permissions, ["key"], [permissions]), both.sizes)
+    return Both(pairs, merged(both.subjects, ["key"], [subjects]), merged(both.permissions, ["key"], [permissions]), both.texts, both.sizes)
 
 
 #: Type and severity by rule; None: by whether the value is granted.
@@ -213,25 +270,25 @@ def reconcile(both: Both, options: Options) -> DataFrame:
     What is known of the subject and the permission comes from their tables, which go to every task while they are small.
     """
 
-    def spread(df: DataFrame, which: int) -> DataFrame:
-        return F.broadcast(df) if both.sizes[which] <= SMALL else df
-
     has = lambda c: F.coalesce(F.col(c), F.lit(False))
-    pairs = both.pairs.select("subject_key", "permission_key", has("b_has").alias("has_baseline"), has("a_has").alias("has_actual"), *(x for s in _SIDES for x in (*(F.col(f"{s}_last.{c}").alias(f"{s}_{c}") for c in _WINNER), f"{s}_ord")))
+    pairs = both.pairs.select("subject_key", "permission_key", has("b_has").alias("has_baseline"), has("a_has").alias("has_actual"), *(f"{s}_{c}" for s in _SIDES for c in (*_WINNER, "ord")))
     subjects = both.subjects.select(
         F.col("key").alias("subject_key"), F.coalesce("b_display", "a_display").alias("subject"), F.coalesce("b_role", F.lit("")).alias("role"), F.coalesce("a_listed_only", F.lit(False)).alias("listed_only"),
         has("b_has").alias("subject_in_baseline"), has("a_has").alias("subject_in_actual"),
     )
     known = both.permissions.select(F.col("key").alias("permission_key"), has("b_has").alias("permission_in_baseline"), has("a_has").alias("permission_in_actual"))
-    pairs = pairs.join(spread(subjects, 0), "subject_key").join(spread(known, 1), "permission_key")
+    pairs = pairs.join(_spread(subjects, both.sizes[0]), "subject_key").join(_spread(known, both.sizes[1]), "permission_key")
+    for s in _SIDES:
+        said = both.texts.select(F.col("value").alias("_value"), F.col("raw").alias("_raw"), F.col("shown").alias(f"{s}_shown"))
+        pairs = pairs.join(_spread(said, both.sizes[2]), F.col(f"{s}_value").eqNullSafe(F.col("_value")) & F.col(f"{s}_raw").eqNullSafe(F.col("_raw")), "left").drop("_value", "_raw")
     pairs = classify(pairs)
     pairs = pairs.withColumn("permission", F.coalesce("b_permission", "a_permission"))
-    pairs = pairs.withColumn("expected", F.when(F.col("has_baseline"), show(F.col("b_value"), F.col("b_raw"), options.key)).otherwise(""))
+    pairs = pairs.withColumn("expected", F.when(F.col("has_baseline"), F.col("b_shown")).otherwise(""))
     listed = F.col("has_baseline") & ~F.col("has_actual") & F.col("listed_only") & F.col("subject_in_actual")
-    pairs = pairs.withColumn("actual", F.when(F.col("has_actual"), show(F.col("a_value"), F.col("a_raw"), options.key)).when(listed, "N (not listed)").otherwise(""))
+    pairs = pairs.withColumn("actual", F.when(F.col("has_actual"), F.col("a_shown")).when(listed, "N (not listed)").otherwise(""))
     if not options.report_unknown_permissions:
         pairs = pairs.filter("type <> 'permission-not-in-baseline'")
-    return pairs
+    return pairs.drop("b_shown", "a_shown")
 
 
 def _note() -> Column:
@@ -323,9 +380,7 @@ def compare(baseline: DataFrame, actual: DataFrame, options: Options | None = No
     both = both_sides(baseline, actual, options)
     found: list = [None, None]
     if options.match_by_name:
-        both.sizes, *found = together(spark, lambda: _counted(both), *(lambda t=t: _few(t) for t in paired_names(both, options)))
-    else:
-        both.sizes = _counted(both)
+        found = together(spark, *(lambda t=t: _few(t) for t in paired_names(both, options)))
     matches = []
     if options.aliases is not None:
         for kind, table in (("subject", both.subjects), ("permission", both.permissions)):

@@ -26,7 +26,11 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(baseline, actual) records. `ord` is a struct: it orders rows without a global sort."""
     from ..functions.values import normalize_value
 
-    rows = shipped(spark, sf_dir).withColumn("ord", F.struct(*ORDER)).withColumn("value", normalize_value(F.col("raw")))
+    # flags are few: each is read once, not once a line
+    flags = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("raw")).distinct().withColumn("value", normalize_value(F.col("raw")))
+    flags = flags.withColumnRenamed("raw", "_flag")
+    rows = shipped(spark, sf_dir).withColumn("ord", F.struct(*ORDER))
+    rows = rows.join(F.broadcast(flags), F.col("raw").eqNullSafe(F.col("_flag")), "left").drop("_flag")
     early = F.col("l_shipdate") < F.lit(CUT).cast("timestamp_ntz")
     baseline = rows.filter(early & (F.col("s_nationkey") != 3) & (F.col("p_brand") != "Brand#3"))
     actual = rows.filter(~early & (F.col("s_nationkey") != 7) & (F.col("p_brand") != "Brand#7"))

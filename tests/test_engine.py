@@ -269,3 +269,20 @@ def test_registry():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) >= 35
     assert not [a for a, b in itertools.pairwise(sorted(queries)) if a == b]
+
+
+def test_names_that_share_keys_meet_and_keys_are_told_once_a_name(spark, monkeypatch):
+    plans = []
+    kept = compare.cut
+    monkeypatch.setattr(compare, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    schema = "subject string, permission string, value string, raw string, ord int, role string, listed_only boolean"
+    b = spark.createDataFrame([("Ann", "P > one", "Y", "Y", 2, "", False), ("ann ", "p>One", "N", "N", 3, "boss", False), ("ANN", "P > one", "lead", "Lead", 1, "chief", False), ("Bob", "P > two", "Y", "Y", 4, None, False), ("--", "P > two", "Y", "Y", 5, "", False)], schema)
+    a = spark.createDataFrame([("Robert", "P > two", "Y", "Y", 1, "", False), ("aNN", "P > ONE", "Y", "x", 3, "", False), ("Ann", "P > one", "N", "", 2, "", True)], schema)
+    aliases = spark.createDataFrame([("subject", "bob", "robert")], "kind string, from_key string, to_key string")
+    result = compare.compare(b, a, compare.Options(suggest=False, match_by_name=False, aliases=aliases))
+    got = {tuple(r) for r in result.pairs.select("subject", "permission", "role", "type", "expected", "actual", "listed_only").collect()}
+    assert got == {("ANN", "p>One", "chief", "excess", "N", "Y (x)", True), ("Bob", "P > two", "", "ok", "Y", "Y", False)}
+    assert {tuple(r) for r in result.actual.subjects.select("key", "display", "ord", "listed_only").collect()} == {("ann", "Ann", 2, True), ("robert", "Robert", 1, False)}
+    assert "regexp_replace" not in plans[0].lower()  # the aggregate of all records
+    plain = compare.compare(b.filter("ord <> 4"), a.filter("ord > 1"), compare.Options(suggest=False, match_by_name=False))
+    assert [tuple(r) for r in plain.pairs.select("subject", "permission", "type", "expected").collect()] == [("ANN", "p>One", "excess", "N")]
