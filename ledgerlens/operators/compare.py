@@ -36,6 +36,12 @@ class Options:
     report_ok: bool = False
     #: Look for near names of what stands on one side only.
     suggest: bool = True
+    #: Keep the records' order with the pairs: findings name the first settings of a subject that nobody has reviewed.
+    order: bool = True
+    #: Compute the pairs once, for several readers; a single reader saves writing them.
+    keep: bool = True
+    #: Tell what is expected and what is there in words; without, both are null.
+    texts: bool = True
     key: object = field(default=norm_key)
 
 
@@ -51,7 +57,8 @@ class Index:
 @dataclass
 class Result:
     pairs: DataFrame
-    findings: DataFrame
+    #: None where order or texts were not asked for.
+    findings: DataFrame | None
     matches: DataFrame
     baseline: Index
     actual: Index
@@ -88,6 +95,8 @@ class Both:
     texts: DataFrame
     #: How many names subjects and permissions have (no fewer than there are of them), and how many texts there are.
     sizes: tuple[int, int, int]
+    #: The pairs by their names (subject, permission) in place of keys, where each key has one name; else None.
+    named: DataFrame | None = None
 
     def side(self, s: str) -> Index:
         """One side's index."""
@@ -99,17 +108,46 @@ class Both:
 _SIDES = ("b", "a")
 
 
-def _of_side(s: str, records: DataFrame, options: Options) -> DataFrame:
-    """A side's records in columns of its own, so that both sides' lie in one table whatever the types of their ord; what the records don't have gets no column."""
-    rows, has = kept(records, options), records.columns
-    raw = F.col("raw") if "raw" in has else F.lit("")
-    held = [F.lit(True).alias("has"), F.struct("ord", "value", raw.alias("raw"), *(F.col(c) for c in ("row", "role") if c in has)).alias("last"), F.col("ord")]
-    if "listed_only" in has:
-        held.append(F.col("listed_only").cast("boolean").alias("listed_only"))
-    if "role" in has:
-        held.append(F.when(F.col("role").isNotNull() & (F.col("role") != ""), F.struct("ord", "role")).alias("role"))
-    rows = rows.select("subject", "permission", F.lit(s).alias("of"), F.struct(*held).alias("x"))
-    return rows.select("subject", "permission", "of", *(F.col(f"x.{c}").alias(f"{s}_{c}") for c in rows.schema["x"].dataType.names))
+def _sided(baseline: DataFrame, actual: DataFrame | None, options: Options) -> DataFrame:
+    """Records of both sides in columns of their own, so that they lie in one table whatever the types of their ord; what the records don't have gets no column.
+
+    A record's ord, value, raw, row and role stand in one struct; what else is told of them is told when they are aggregated, as every line passes the shuffle.
+    """
+
+    def held(records: DataFrame, s: str, own) -> list[Column]:
+        has = records.columns
+        last = F.struct("ord", "value", (F.col("raw") if "raw" in has else F.lit("")).alias("raw"), *(F.col(c) for c in ("row", "role") if c in has))
+        listed = [own(F.col("listed_only").cast("boolean")).alias(f"{s}_listed_only")] if "listed_only" in has else []
+        return [own(last).alias(f"{s}_last"), *listed]
+
+    names = ["subject", "permission"]
+    if actual is None:  # one table, read once
+        columns = [c for s in _SIDES for c in held(baseline, s, lambda c, s=s: F.when(F.col("of") == s, c))]
+        return kept(baseline, options).select(*names, "of", *columns)
+    b, a = (kept(x, options).select(*names, F.lit(s).alias("of"), *held(x, s, lambda c: c)) for s, x in zip(_SIDES, (baseline, actual), strict=True))
+    return b.unionByName(a, allowMissingColumns=True)
+
+
+def _all_records(rows: DataFrame, by: list[str], wide: bool, firsts: tuple[str, ...]) -> DataFrame:
+    """One row for each subject, permission and `by`: whether a side has it, what it has last (with its ord if wide), the first ord of the sides in `firsts`, whether it is listed only, its first role.
+
+    Lines are dealt by a hash of the names and sorted once, behind the shuffle, by the hash first, as names that all begin alike are slow to compare.
+    """
+    names, aggregates, out = ["subject", "permission", *by], [], []
+    for s in _SIDES:
+        last, fields = F.col(f"{s}_last"), rows.schema[f"{s}_last"].dataType.names
+        aggregates.append(F.max(last).alias(f"{s}_last"))
+        has = last.isNotNull()
+        out += [F.when(has, True).alias(f"{s}_has"), F.when(has, F.struct(*(last[x].alias(x) for x in fields if wide or x != "ord"))).alias(f"{s}_last")]
+        more = {f"{s}_ord": F.min(last["ord"])} if s in firsts else {}
+        if f"{s}_listed_only" in rows.columns:
+            more[f"{s}_listed_only"] = F.max(f"{s}_listed_only")
+        if "role" in fields:
+            more[f"{s}_role"] = F.min(F.when(last["role"] != "", F.struct(last["ord"].alias("ord"), last["role"].alias("role"))))
+        aggregates += [c.alias(n) for n, c in more.items()]
+        out += more
+    dealt = rows.select(F.xxhash64(*names).alias("_hash"), *names, *(c for c in rows.columns if c[:2] in ("b_", "a_"))).repartition("_hash")
+    return dealt.groupBy("_hash", *names).agg(*aggregates).select(*names, *out)
 
 
 def _merged(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -130,51 +168,64 @@ def _keys(names: DataFrame, column: str, options: Options, aliased: bool) -> Dat
     return out.filter("key <> ''").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("key")) > 1)
 
 
-def both_sides(baseline: DataFrame, actual: DataFrame, options: Options) -> Both:
-    """One aggregate over the records of both sides by their names is their index and their full outer join at once.
+def _seen(records: DataFrame, by: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Subjects, permissions (each with the given columns) and texts (value, raw) of the records, told in one reading of them."""
+    sets = [["subject", *by], ["permission", *by], *([f"{s}_value", f"{s}_raw"] for s in _SIDES)]
+    every = list(dict.fromkeys(c for x in sets for c in x))
+    number = [sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c not in x) for x in sets]
+    how = lambda c: (F.min if c[2:] in ("ord", "role") else F.max)(c).alias(c)
+    flat = records.select("subject", "permission", *by, *(F.col(f"{s}_last.{x}").alias(f"{s}_{x}") for s in _SIDES for x in ("value", "raw")), *columns)
+    told = cut(flat.groupingSets(sets, *every).agg(F.grouping_id().alias("_set"), *map(how, columns)))
+    of = lambda k: told.filter(F.col("_set") == number[k])
+    texts = of(2).select(F.col("b_value").alias("value"), F.col("b_raw").alias("raw")).union(of(3).select("a_value", "a_raw")).distinct()
+    return of(0).select(*sets[0], *columns), of(1).select(*sets[1], *(c for c in columns if c[2:] in ("has", "ord"))), texts
+
+
+def both_sides(baseline: DataFrame, actual: DataFrame | None, options: Options) -> Both:
+    """One aggregate over the records of both sides by their names is their index and their full outer join at once; without `actual`, `baseline` holds both sides' records and says by a column `of` ('b', 'a') whose they are.
 
     Names are few beside records, so their keys are told from this (smaller) result, once a name; only pairs of names that share a key with others meet in a further aggregate.
-    Subjects and permissions are aggregates of it, too.
+    Subjects and permissions are aggregates of it, too. The records' own order is carried on only where names share a key, are suggested, or findings are told.
     """
-    spark = baseline.sparkSession
+    spark = (baseline if actual is None else actual).sparkSession
     aliased = options.aliases is not None  # a name's key then depends on its side
     by = ["of"] if aliased else []
-    rows = _of_side("b", baseline, options).unionByName(_of_side("a", actual, options), allowMissingColumns=True)
-    held = [c for c in rows.columns if c[:2] in ("b_", "a_")]
-    records = cut(_merged(rows, ["subject", "permission", *by], held))
-    kept_by = lambda *names: [c for c in held if c[2:] in names]
-
-    def names(column: str, *columns: str) -> DataFrame:
-        return cut(_keys(_merged(records, [column, *by], kept_by(*columns)), column, options, aliased))
-
-    def texts() -> DataFrame:
-        """What cells of either side say, and how it is shown: as names, few beside records."""
-        said = records.select(F.inline(F.array(*(F.struct(F.col(f"{s}_last.value").alias("value"), F.col(f"{s}_last.raw").alias("raw")) for s in _SIDES)))).distinct()
-        return cut(said.withColumn("shown", show(F.col("value"), F.col("raw"), options.key)))
-
-    def both_names(*more: str) -> list[DataFrame]:
-        return together(spark, lambda: names("subject", "has", "listed_only", "role", *more), lambda: names("permission", "has", *more))
-
-    # all are small beside the pairs and are read again and again: by pairing, comparison, matches and suggestions
-    (subjects, permissions), shown = together(spark, both_names, texts)
-    counts = subjects.select("shared", F.lit(0).alias("which")).union(permissions.select("shared", F.lit(1))).union(shown.select(F.lit(False), F.lit(2))).groupBy("which").agg(F.count(F.lit(1)).alias("names"), F.max("shared").alias("shared")).collect()
-    sizes, shared = [0, 0, 0], False
-    for r in counts:
-        sizes[r["which"]], shared = r["names"], shared or r["shared"]
-    if shared or options.suggest:
-        # names' own order takes a sort of all records, and is asked for only where names share a key or are suggested
-        subjects, permissions = both_names("ord")
-    else:
-        subjects, permissions = (t.withColumns({f"{s}_ord": F.lit(None).cast(rows.schema[f"{s}_ord"].dataType) for s in _SIDES}) for t in (subjects, permissions))
-    pairs = records
+    rows = _sided(baseline, actual, options)
+
+    def told(wide: bool) -> tuple[DataFrame, list[DataFrame]]:
+        records = cut(_all_records(rows, by, wide, _SIDES if wide else ("a",) if options.order else ()))
+        columns = [c for c in records.columns if c[2:] in ("has", "listed_only", "role") or wide and c[2:] == "ord"]
+        subjects, permissions, texts = _seen(records, by, columns)
+        named = lambda t, column: lambda: cut(_keys(t, column, options, aliased))
+        shown = lambda: cut(texts.withColumn("shown", show(F.col("value"), F.col("raw"), options.key)))
+        # all are small beside the pairs and are read again and again: by pairing, comparison, matches and suggestions
+        return records, together(spark, named(subjects, "subject"), named(permissions, "permission"), shown)
+
+    def counted(subjects: DataFrame, permissions: DataFrame, texts: DataFrame) -> tuple[list[int], bool]:
+        held = subjects.select("shared", F.lit(0).alias("which")).union(permissions.select("shared", F.lit(1))).union(texts.select(F.lit(False), F.lit(2)))
+        sizes, shared = [0, 0, 0], False
+        for r in held.groupBy("which").agg(F.count(F.lit(1)).alias("names"), F.max("shared").alias("shared")).collect():
+            sizes[r["which"]], shared = r["names"], shared or r["shared"]
+        return sizes, shared
+
+    wide = options.suggest or aliased
+    records, (subjects, permissions, shown) = told(wide)
+    sizes, shared = counted(subjects, permissions, shown)
+    if shared and not wide:  # which of them is first, which last
+        wide = True
+        records, (subjects, permissions, shown) = told(wide)
+    no_ord = {f"{s}_ord": F.lit(None).cast(rows.schema[f"{s}_last"].dataType["ord"].dataType) for s in _SIDES}
+    if not wide:
+        subjects, permissions = (t.withColumns(no_ord) for t in (subjects, permissions))
+    pairs = records = records.withColumns({n: c for n, c in no_ord.items() if n not in records.columns})
     for k, (table, column) in enumerate(((subjects, "subject"), (permissions, "permission"))):
         keys = table.select(column, *by, F.col("key").alias(f"{column}_key"), F.col("shared").alias(f"{column}_shared"))
         pairs = pairs.join(_spread(keys, sizes[k]), [column, *by])
-    own = {s: {x: F.col(f"{s}_last.{x}") if x in rows.schema[f"{s}_last"].dataType.names else F.lit(None).cast("int" if x == "row" else "string") for x in _WINNER[1:]} for s in _SIDES}
+    own = {s: {x: F.col(f"{s}_last.{x}") if x in records.schema[f"{s}_last"].dataType.names else F.lit(None).cast("int" if x == "row" else "string") for x in _WINNER[1:]} for s in _SIDES}
     for s in _SIDES:
         own[s] = {"permission": F.when(F.col(f"{s}_has"), F.col("permission")), **own[s]}
-    keys, columns = ["subject_key", "permission_key"], kept_by("has", "ord")
-    flat = lambda df, of: df.select(*keys, *columns, *(c.alias(f"{s}_{x}") for s in _SIDES for x, c in of(s).items()))
+    keys, columns = ["subject_key", "permission_key"], [f"{s}_{x}" for s in _SIDES for x in ("has", "ord")]
+    flat = lambda df, of, by=keys: df.select(*by, *columns, *(c.alias(f"{s}_{x}") for s in _SIDES for x, c in of(s).items()))
     if shared:
         some = F.col("subject_shared") | F.col("permission_shared")
         last = {s: F.when(F.col(f"{s}_has"), F.struct(F.col(f"{s}_last.ord").alias("ord"), *(c.alias(x) for x, c in own[s].items()))) for s in _SIDES}
@@ -193,7 +244,7 @@ def both_sides(baseline: DataFrame, actual: DataFrame, options: Options) -> Both
         return cut(out.select("key", *(x for s in _SIDES for x in (*side(s), *(rest(s) if more else [])))))
 
     subjects, permissions = together(spark, lambda: by_key(subjects, "subject", True), lambda: by_key(permissions, "permission", False))
-    return Both(pairs, subjects, permissions, shown, tuple(sizes))
+    return Both(pairs, subjects, permissions, shown, tuple(sizes), None if shared or aliased else flat(records, own.get, ["subject", "permission"]))
 
 
 def _spread(df: DataFrame, size: int) -> DataFrame:
@@ -225,6 +276,8 @@ def _renamed(both: Both, subjects: DataFrame | None, permissions: DataFrame | No
             df = to(df, key, table)
         return df.groupBy(*keys).agg(*(F.first(c, ignorenulls=True).alias(c) for c in df.columns if c not in keys))
 
+    if subjects is None and permissions is None:
+        return both
     pairs = merged(both.pairs, ["subject_key", "permission_key"], [subjects, permissions])
     return Both(pairs, merged(both.subjects, ["key"], [subjects]), merged(both.permissions, ["key"], [permissions]), both.texts, both.sizes)
 
@@ -271,24 +324,32 @@ def reconcile(both: Both, options: Options) -> DataFrame:
     """
 
     has = lambda c: F.coalesce(F.col(c), F.lit(False))
-    pairs = both.pairs.select("subject_key", "permission_key", has("b_has").alias("has_baseline"), has("a_has").alias("has_actual"), *(f"{s}_{c}" for s in _SIDES for c in (*_WINNER, "ord")))
+    held, names = (both.pairs, ["subject_key", "permission_key"]) if both.named is None else (both.named, ["subject", "permission"])
+    pairs = held.select(*(F.col(c).alias(f"_{c}") for c in names), has("b_has").alias("has_baseline"), has("a_has").alias("has_actual"), *(f"{s}_{c}" for s in _SIDES for c in (*_WINNER, "ord")))
+    display = F.coalesce("b_display", "a_display")
+    by = lambda k: (F.col("key") if both.named is None else display).alias(f"_{names[k]}")
     subjects = both.subjects.select(
-        F.col("key").alias("subject_key"), F.coalesce("b_display", "a_display").alias("subject"), F.coalesce("b_role", F.lit("")).alias("role"), F.coalesce("a_listed_only", F.lit(False)).alias("listed_only"),
+        by(0), F.col("key").alias("subject_key"), display.alias("subject"), F.coalesce("b_role", F.lit("")).alias("role"), F.coalesce("a_listed_only", F.lit(False)).alias("listed_only"),
         has("b_has").alias("subject_in_baseline"), has("a_has").alias("subject_in_actual"),
     )
-    known = both.permissions.select(F.col("key").alias("permission_key"), has("b_has").alias("permission_in_baseline"), has("a_has").alias("permission_in_actual"))
-    pairs = pairs.join(_spread(subjects, both.sizes[0]), "subject_key").join(_spread(known, both.sizes[1]), "permission_key")
+    known = both.permissions.select(by(1), F.col("key").alias("permission_key"), has("b_has").alias("permission_in_baseline"), has("a_has").alias("permission_in_actual"))
+    pairs = pairs.join(_spread(subjects, both.sizes[0]), f"_{names[0]}").join(_spread(known, both.sizes[1]), f"_{names[1]}").drop(*(f"_{c}" for c in names))
     for s in _SIDES:
+        if not options.texts:
+            pairs = pairs.withColumn(f"{s}_shown", F.lit(None).cast("string"))
+            continue
         said = both.texts.select(F.col("value").alias("_value"), F.col("raw").alias("_raw"), F.col("shown").alias(f"{s}_shown"))
         pairs = pairs.join(_spread(said, both.sizes[2]), F.col(f"{s}_value").eqNullSafe(F.col("_value")) & F.col(f"{s}_raw").eqNullSafe(F.col("_raw")), "left").drop("_value", "_raw")
     pairs = classify(pairs)
     pairs = pairs.withColumn("permission", F.coalesce("b_permission", "a_permission"))
-    pairs = pairs.withColumn("expected", F.when(F.col("has_baseline"), F.col("b_shown")).otherwise(""))
     listed = F.col("has_baseline") & ~F.col("has_actual") & F.col("listed_only") & F.col("subject_in_actual")
-    pairs = pairs.withColumn("actual", F.when(F.col("has_actual"), F.col("a_shown")).when(listed, "N (not listed)").otherwise(""))
+    expected = F.when(F.col("has_baseline"), F.col("b_shown")).otherwise("")
+    held = F.when(F.col("has_actual"), F.col("a_shown")).when(listed, "N (not listed)").otherwise("")
+    nothing = F.lit(None).cast("string")
+    pairs = pairs.withColumn("expected", expected if options.texts else nothing).withColumn("actual", held if options.texts else nothing)
     if not options.report_unknown_permissions:
         pairs = pairs.filter("type <> 'permission-not-in-baseline'")
-    return pairs.drop("b_shown", "a_shown")
+    return pairs.drop("b_shown", "a_shown", "b_ord", *(f"{s}_{c}" for s in _SIDES for c in ("permission", "role")))
 
 
 def _note() -> Column:
@@ -373,7 +434,8 @@ def _few(table: DataFrame) -> DataFrame | None:
     return F.broadcast(table.sparkSession.createDataFrame(held, table.schema)) if len(held) <= SMALL else table
 
 
-def compare(baseline: DataFrame, actual: DataFrame, options: Options | None = None) -> Result:
+def compare(baseline: DataFrame, actual: DataFrame | None, options: Options | None = None) -> Result:
+    """Without `actual`, `baseline` holds both sides' records (see `both_sides`)."""
     options = options or Options()
     spark = baseline.sparkSession
     shared_dir(spark)
@@ -390,9 +452,12 @@ def compare(baseline: DataFrame, actual: DataFrame, options: Options | None = No
         if table is not None:
             matches.append(table.select("baseline", "actual", F.lit("name").alias("by"), F.lit(kind).alias("kind")))
     both = _renamed(both, *found)
-    pairs = cut(reconcile(both, options))  # findings, counts and roll-ups all read them
+    pairs = reconcile(both, options)
+    if options.keep:  # findings, counts and roll-ups all read them
+        pairs = cut(pairs)
     every = matches[0] if matches else spark.createDataFrame([], "baseline string, actual string, by string, kind string")
     for more in matches[1:]:
         every = every.unionByName(more)
     b, a = both.side("b"), both.side("a")
-    return Result(pairs, findings(pairs, b, a, options), every, b, a)
+    told = options.texts and (options.order or options.suggest)
+    return Result(pairs, findings(pairs, b, a, options) if told else None, every, b, a)

@@ -44,7 +44,7 @@ def action_order() -> list[Column]:
 
 def by_permission(pairs: DataFrame) -> DataFrame:
     """permission (as shown), ok, excess, missing, different, other; those with something to say, most differences first."""
-    rows = single_rows(pairs).filter("permission <> ''")
+    rows = pairs.filter(~F.col("type").isin("user-not-in-actual", "user-not-in-baseline") & (F.col("permission") != ""))
     named = ["ok", "excess", "missing", "different"]
     out = rows.groupBy("permission").agg(*(F.count_if(F.col("type") == t).alias(t) for t in named), F.count_if(~F.col("type").isin(named)).alias("other"))
     return out.filter("excess + missing + different + other > 0").orderBy(*permission_order())

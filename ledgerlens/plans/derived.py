@@ -22,8 +22,8 @@ def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(parts, "l_partkey").join(suppliers, "l_suppkey")
 
 
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(baseline, actual) records. `ord` is a struct: it orders rows without a global sort."""
+def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of both sides, `of` (b, a) tells which. `ord` is a struct: it orders rows without a global sort."""
     from ..functions.values import normalize_value
 
     # flags are few: each is read once, not once a line
@@ -32,10 +32,15 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = shipped(spark, sf_dir).withColumn("ord", F.struct(*ORDER))
     rows = rows.join(F.broadcast(flags), F.col("raw").eqNullSafe(F.col("_flag")), "left").drop("_flag")
     early = F.col("l_shipdate") < F.lit(CUT).cast("timestamp_ntz")
-    baseline = rows.filter(early & (F.col("s_nationkey") != 3) & (F.col("p_brand") != "Brand#3"))
-    actual = rows.filter(~early & (F.col("s_nationkey") != 7) & (F.col("p_brand") != "Brand#7"))
-    columns = ["subject", "permission", "value", "raw", "ord"]
-    return baseline.select(*columns), actual.select(*columns)
+    baseline = early & (F.col("s_nationkey") != 3) & (F.col("p_brand") != "Brand#3")
+    actual = ~early & (F.col("s_nationkey") != 7) & (F.col("p_brand") != "Brand#7")
+    return rows.filter(baseline | actual).select("subject", "permission", "value", "raw", "ord", F.when(early, "b").otherwise("a").alias("of"))
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(baseline, actual) records."""
+    rows = sided(spark, sf_dir)
+    return rows.filter("of = 'b'").drop("of"), rows.filter("of = 'a'").drop("of")
 
 
 #: The same records and their classification in SQL; the queries' SQL begins with it.

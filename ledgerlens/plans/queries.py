@@ -14,12 +14,12 @@ from ..operators import compare as cmp
 from ..operators import inventory as inv
 from ..operators import match, records, rollup
 from ..streaming import frames
-from .derived import sides, table
+from .derived import sided, sides, table
 from .registry import query
 
 
 def _compared(spark: SparkSession, sf_dir: str, **options) -> cmp.Result:
-    return cmp.compare(*sides(spark, sf_dir), cmp.Options(suggest=False, **options))
+    return cmp.compare(sided(spark, sf_dir), None, cmp.Options(suggest=False, **options))
 
 
 @query("SELECT subject, permission, type, severity, expected, actual FROM pairs", pairs=True)
@@ -49,7 +49,7 @@ _TYPE_SUMS = "count(*) FILTER (type = 'excess') AS excess, count(*) FILTER (type
 @query(f"""SELECT * FROM (SELECT permission, count(*) FILTER (type = 'ok') AS ok, {_TYPE_SUMS}, count(*) FILTER (type NOT IN ('ok', 'excess', 'missing', 'different')) AS other
     FROM single WHERE permission <> '' GROUP BY permission) WHERE excess + missing + different + other > 0""", pairs=True)
 def rollup_by_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.by_permission(_compared(spark, sf_dir).pairs)
+    return rollup.by_permission(_compared(spark, sf_dir, order=False, texts=False, keep=False).pairs)
 
 
 @query(f"""SELECT subject, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,

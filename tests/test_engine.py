@@ -286,3 +286,29 @@ def test_names_that_share_keys_meet_and_keys_are_told_once_a_name(spark, monkeyp
     assert "regexp_replace" not in plans[0].lower()  # the aggregate of all records
     plain = compare.compare(b.filter("ord <> 4"), a.filter("ord > 1"), compare.Options(suggest=False, match_by_name=False))
     assert [tuple(r) for r in plain.pairs.select("subject", "permission", "type", "expected").collect()] == [("ANN", "p>One", "excess", "N")]
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_lines_of_both_sides_are_read_and_sorted_once(spark, monkeypatch, tmp_path, shared):
+    r = random.Random(5)
+    names = ["Ann", "Bob", "Cy", "Di", *(["ann ", "BOB"] if shared else [])]
+    lines = [(s, f"P > {r.randint(0, 6)}", v, v, i, r.choice(["", "boss", None]), r.random() < 0.5, "b" if s == "Cy" or s != "Di" and r.random() < 0.5 else "a") for i in range(120) for s, v in [(r.choice(names), r.choice(["Y", "N", "view"]))]]
+    spark.createDataFrame(lines, "subject string, permission string, value string, raw string, ord int, role string, listed_only boolean, of string").coalesce(1).write.parquet(f"{tmp_path}/lines")
+    rows = spark.read.parquet(f"{tmp_path}/lines")
+    plans = []
+    kept = compare.cut
+    monkeypatch.setattr(compare, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    few = compare.compare(rows, None, compare.Options(suggest=False, match_by_name=False, order=False, texts=False, keep=False))
+    assert plans[0].count("FileScan") == 1 and "Aggregate" not in plans[0].split("Exchange hashpartitioning(_hash")[1]
+    assert sum("b_last" in x and "Aggregate" in x for x in plans) == (4 if shared else 2)  # the records, then their names and texts; again with their order where names share keys
+    whole = compare.compare(rows.filter("of = 'b'").drop("of"), rows.filter("of = 'a'").drop("of"), compare.Options(suggest=False, match_by_name=False))
+    columns = ["subject", "permission", "role", "type", "severity", "listed_only", "has_baseline", "b_value", "a_value", "a_row"]
+    assert sorted(map(str, few.pairs.select(columns).collect())) == sorted(map(str, whole.pairs.select(columns).collect())) and few.findings is None
+    told = rollup.by_permission(few.pairs)
+    if not shared:
+        assert "Union" not in told._jdf.queryExecution().optimizedPlan().toString()  # pairs are read once
+    kinds = ["ok", "excess", "missing", "different"]
+    singles = rollup.single_rows(whole.pairs).filter("permission <> ''").groupBy("permission").agg(*(F.count_if(F.col("type") == t).alias(t) for t in kinds), F.count_if(~F.col("type").isin(kinds)).alias("other"))
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, singles.filter("excess + missing + different + other > 0").collect()))
+    both = compare.compare(rows, None, compare.Options(suggest=False, match_by_name=False))
+    assert sorted(map(str, both.findings.collect())) == sorted(map(str, whole.findings.collect()))
