@@ -312,3 +312,13 @@ def test_lines_of_both_sides_are_read_and_sorted_once(spark, monkeypatch, tmp_pa
     assert sorted(map(tuple, told.collect())) == sorted(map(tuple, singles.filter("excess + missing + different + other > 0").collect()))
     both = compare.compare(rows, None, compare.Options(suggest=False, match_by_name=False))
     assert sorted(map(str, both.findings.collect())) == sorted(map(str, whole.findings.collect()))
+
+
+def test_pairs_hold_what_findings_read_and_no_more(spark):
+    base = side(spark, [("a", "p1", "Y")])
+    actual = side(spark, [("a", "p1", "Y"), ("new", "p3", "Y"), ("new", "p1", "Y"), ("new", "p2", "N"), ("new", "p0", "Y")])
+    rows = base.withColumn("of", F.lit("b")).unionByName(actual.withColumn("of", F.lit("a")))
+    for result in (compare.compare(base, actual, compare.Options(suggest=False)), compare.compare(rows, None, compare.Options(suggest=False))):
+        assert not {"b_ord", *(f"{s}_{c}" for s in "ba" for c in ("permission", "role"))} & set(result.pairs.columns)
+        found = result.findings.collect()
+        assert [(x.subject, x.actual, x.note) for x in found] == [("new", "4 settings (3 granted)", "nobody has reviewed what this subject holds: p3; p1; p0")]
