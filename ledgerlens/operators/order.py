@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, together
 
 #: Rows of a task before its own are numbered by monotonically_increasing_id: the place in the partition is below this bit.
 _PARTITION_BIT = 33
@@ -16,6 +16,26 @@ def dictionary(*names: str) -> list[Column]:
     return [*(F.collate(n, "UNICODE") for n in names), *map(F.col, names)]
 
 
+def dictionary_classes(df: DataFrame, *names: str) -> list[tuple[DataFrame, int]]:
+    """For each name a table (name, class) and its size: distinct values but null, with numbers that rise (with gaps) as the dictionary has them; equal only where it tells no two apart (letters in two encodings).
+
+    The names are told in one reading of df and sorted once each, so that rows may be sorted by numbers.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = cut(df.groupingSets([[c] for c in names], *names).agg(F.grouping_id().alias("_set")))
+
+    def classes(k: int) -> tuple[DataFrame, int]:
+        c = names[k]
+        key = F.collate(c, "UNICODE")
+        own = told.filter((F.col("_set") == (1 << len(names)) - 1 - (1 << (len(names) - 1 - k))) & F.col(c).isNotNull()).select(c)
+        # ranges of keys, so that what is alike meets in one; ids rise from range to range
+        ranked = cut(own.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()))
+        return ranked.select(c, F.min("_id").over(Window.partitionBy(key)).alias("class")), ranked.count()
+
+    return together(spark, *(lambda k=k: classes(k) for k in range(len(names))))
+
+
 def placed(df: DataFrame, by: list[Column], column: str = "place", parts: int | None = None) -> DataFrame:
     """df with each row's place (from 0) in the order of by; rows that tie have neighbouring places, in any order.
 

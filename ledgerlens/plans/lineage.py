@@ -29,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def filed(df: DataFrame, folder: str) -> DataFrame:
+    """df computed once, into column files in folder: readers of few columns read no others. It is gone when the folder is."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def together(spark: SparkSession, *jobs: Callable) -> list:
     """Results of jobs that don't wait for each other, run at the same time: each alone leaves executors idle at its ends."""
     with ThreadPoolExecutor(len(jobs)) as pool:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key
 from ..operators.order import dictionary
+from ..plans.lineage import drop_folder, filed
 from .cells import column_letters
 
 #: Names that the text summary lists of what only one side has.
@@ -139,17 +140,22 @@ def write_findings(found: DataFrame, folder: str, kind: str = "csv", parts: int
     """Findings of any number, in their order, as part files that tasks write: CSV of the columns and line ends of `findings_csv`, or JSON lines.
 
     manifest.json lists the files whose contents make up the whole, the header first. Spark's committer keeps what failed tasks wrote out.
+    The findings are computed once, into column files beside the parts that go when the parts are written: names, bounds of ranges and rows are told from these.
     """
-    from ..operators.compare import finding_order
+    from ..operators.compare import with_order
     from .cells import place
 
-    n = parts or int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = finding_order()
-    dealt = found.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    if kind == "csv":
-        dealt.select(_csv_line(FINDING_COLUMNS).alias("value")).write.option("lineSep", "\r\n").text(f"{folder}/parts")
-    else:
-        dealt.select(*FINDING_COLUMNS).write.json(f"{folder}/parts")
+    spark = found.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        held, order = with_order(filed(found.select(*FINDING_COLUMNS), f"{folder}/found"))
+        dealt = held.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        if kind == "csv":
+            dealt.select(_csv_line(FINDING_COLUMNS).alias("value")).write.option("lineSep", "\r\n").text(f"{folder}/parts")
+        else:
+            dealt.select(*FINDING_COLUMNS).write.json(f"{folder}/parts")
+    finally:
+        drop_folder(spark, f"{folder}/found")
     fs, base = place(folder)
     import pyarrow.fs as pafs
 

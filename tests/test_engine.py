@@ -322,3 +322,20 @@ def test_pairs_hold_what_findings_read_and_no_more(spark):
         assert not {"b_ord", *(f"{s}_{c}" for s in "ba" for c in ("permission", "role"))} & set(result.pairs.columns)
         found = result.findings.collect()
         assert [(x.subject, x.actual, x.note) for x in found] == [("new", "4 settings (3 granted)", "nobody has reviewed what this subject holds: p3; p1; p0")]
+
+
+def test_code_of_findings_is_small_enough_to_be_compiled(spark):
+    """Java's virtual machine leaves methods of more than 8,000 bytes to its interpreter."""
+    import re
+
+    rows = side(spark, [("a", "p1", "Y"), ("b", "p1", "N")]).withColumn("of", F.lit("b")).unionByName(side(spark, [("a", "p1", "N"), ("b", "p2", "x")]).withColumn("of", F.lit("a")))
+    found = compare.compare(rows, None, compare.Options(suggest=False, keep=False)).findings
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # whose plans have no code before they run
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(found.select("*")._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000, sizes
+    kinds = {(x.subject, x.permission): x.type for x in found.collect()}
+    assert kinds == {("a", "p1"): "missing", ("b", "p2"): "permission-not-in-baseline"} | {k: t for k, t in kinds.items() if k == ("b", "p1")}

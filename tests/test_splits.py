@@ -132,3 +132,33 @@ def test_findings_in_parts_have_the_bytes_of_the_whole(spark, tmp_path, parts):
     assert whole == sinks.findings_csv(compare.ordered(found)).encode() and json.loads((tmp_path / "csv" / "manifest.json").read_text()) == files
     lines = [json.loads(x) for f in sinks.write_findings(found, str(tmp_path / "json"), "json", parts) for x in (tmp_path / "json" / f).read_text().splitlines()]
     assert [x["permission"] for x in lines] == [x.permission for x in compare.ordered(found).collect()]
+
+
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_findings_are_computed_once_and_ordered_by_numbers(spark, tmp_path, kind):
+    import json
+    import os
+
+    from ledgerlens.operators import compare
+
+    r = random.Random(5)
+    subjects, permissions = ["caf\u00e9", "cafe\u0301", "Caf\u00e9", "cafe", "zoe", "Ann", "ann", ""], ["\u00e9 > b", "e\u0301 > b", "E > b", "a", "B", "10", "9", ""]
+    rows = [(level, "excess", s, p, "", "", "", None, None) for s in subjects for p in permissions for level in ("high", "low")] + [("high", "excess", None, "a", "", "", "", None, None)]
+    r.shuffle(rows)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = spark.createDataFrame(rows, "severity string, type string, subject string, permission string, expected string, actual string, note string, baseline_row int, actual_row int").repartition(3)
+    wanted = [(x.severity, x.subject, x.permission) for x in compare.ordered(found).collect()]
+    files = sinks.write_findings(found.mapInArrow(counted, found.schema), str(tmp_path), kind, parts=3)
+    assert seen.value == len(rows)  # for the names, the bounds of the ranges and the rows
+    held, order = compare.with_order(found)
+    assert [(x.severity, x.subject, x.permission) for x in held.orderBy(*order).collect()] == wanted
+    if kind == "json":
+        lines = [json.loads(x) for f in files for x in (tmp_path / f).read_text().split("\n") if x]
+        assert [(x["severity"], x.get("subject"), x["permission"]) for x in lines] == wanted
+    assert not os.path.exists(tmp_path / "found")
