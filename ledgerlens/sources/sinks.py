@@ -305,8 +305,11 @@ def _file_name(sheet: str) -> str:
     return sheet.lower().replace(" ", "-")
 
 
-def _written(dealt: DataFrame, folder: str, name: str, sheets: Callable[[Iterator], Iterator[Sheet]]) -> list[str]:
-    """What tasks make of their rows' batches, each sheet as a workbook; their files in order of partitions. A file is named by its task's attempt, so that a repeated task writes over nothing."""
+def _written(dealt: DataFrame, folder: str, empty: Sheet, sheets: Callable[[Iterator], Iterator[Sheet]]) -> list[str]:
+    """What tasks make of their rows' batches, each sheet as a workbook; their files in order of partitions. A file is named by its task's attempt, so that a repeated task writes over nothing. empty: the sheet if there are no rows."""
+    from .cells import place
+
+    name = _file_name(empty.name)
 
     def run(batches):
         import pyarrow as pa
@@ -317,29 +320,29 @@ def _written(dealt: DataFrame, folder: str, name: str, sheets: Callable[[Iterato
         task, files = TaskContext.get(), []
         fs, base = place(folder)
         for k, sheet in enumerate(sheets(batches)):
-            files.append(f"{_file_name(name)}-{task.partitionId():05d}-{k:05d}-{task.taskAttemptId()}.xlsx")
+            files.append(f"{name}-{task.partitionId():05d}-{k:05d}-{task.taskAttemptId()}.xlsx")
             with fs.open_output_stream(f"{base}/{files[-1]}") as f:
                 f.write(workbook([sheet]))
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], names=["file"])
 
-    return sorted(r[0] for r in dealt.mapInArrow(run, "file string").collect())
+    out = sorted(r[0] for r in dealt.mapInArrow(run, "file string").collect())
+    if out:
+        return out
+    fs, base = place(folder)
+    with fs.open_output_stream(f"{base}/{name}-00000.xlsx") as f:
+        f.write(workbook([empty]))
+    return [f"{name}-00000.xlsx"]
 
 
 def _write_table(table: Table, folder: str, cells: int) -> tuple[int, list[str]]:
     """Its number of rows, and its workbooks' files in order; one that has the header alone, if there are no rows."""
     from ..operators.compare import with_order
-    from .cells import place
 
     held = table.rows if table.filed else filed(table.rows, f"{folder}/{_file_name(table.name)}.rows")
     by, header = table.by, table.columns
     lists = [c for c in header if isinstance(held.schema[c].dataType, ArrayType)]
     size = sum((F.size(c) for c in lists), F.lit(len(header)))  # what a list names counts as a cell each
     n, total = held.agg(F.count(F.lit(1)), F.sum(size)).first()
-    if not n:
-        fs, base = place(folder)
-        with fs.open_output_stream(f"{base}/{_file_name(table.name)}-00000.xlsx") as f:
-            f.write(workbook([table.sheet([header])]))
-        return 0, [f"{_file_name(table.name)}-00000.xlsx"]
     if table.name == "Findings":  # as many as pairs: sorted by numbers rather than by collation
         held, by = with_order(held)
     made = Table(table.name, None, [], header, table.colour)
@@ -356,7 +359,7 @@ def _write_table(table: Table, folder: str, cells: int) -> tuple[int, list[str]]
         if len(rows) > 1:
             yield made.sheet(rows)
 
-    return n, _written(held.repartitionByRange(-(-total // cells), *by).sortWithinPartitions(*by).select(*header), folder, table.name, sheets)
+    return n, _written(held.repartitionByRange(max(1, -(-(total or 0) // cells)), *by).sortWithinPartitions(*by).select(*header), folder, made.sheet([header]), sheets)
 
 
 def _write_beside(pairs: DataFrame, folder: str, n: int, cells: int) -> list[str]:
@@ -396,7 +399,7 @@ def _write_beside(pairs: DataFrame, folder: str, n: int, cells: int) -> list[str
         if lines:
             yield _beside(side, lines)
 
-    return _written(dealt, folder, "Side by side", sheets)
+    return _written(dealt, folder, _beside({}, []), sheets)
 
 
 def write_report(result, folder: str, catalog: DataFrame | None = None, actual_records: DataFrame | None = None, warnings: list[str] | None = None, books: dict | None = None, one: int = ONE_BOOK, cells: int = BOOK_CELLS) -> dict[str, list[str]]:
@@ -442,8 +445,9 @@ def write_report(result, folder: str, catalog: DataFrame | None = None, actual_r
     import pyarrow.fs as pafs
 
     kept = {f for held in files.values() for f in held}
-    for x in fs.get_file_info(pafs.FileSelector(base)):  # of attempts that failed
-        if x.extension == "xlsx" and x.base_name not in kept and any(x.base_name.startswith(f"{_file_name(name)}-") for name in files):
+    own = re.compile(rf"({'|'.join(map(_file_name, files))})-\d{{5,}}(-\d{{5,}}-\d+)?\.xlsx")
+    for x in fs.get_file_info(pafs.FileSelector(base)):  # of attempts that failed, or of an earlier report
+        if x.base_name not in kept and own.fullmatch(x.base_name):
             fs.delete_file(x.path)
     with fs.open_output_stream(f"{base}/{MANIFEST}") as f:
         f.write(json.dumps(files).encode())
